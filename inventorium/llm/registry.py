@@ -1,12 +1,16 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontaminate, langid, near_duplicates, packing, sharding
+from . import decontaminate, langid, near_duplicates, packing, personal_data, secret_scan, sharding, token_counts, topk_search
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontaminate.op1_decontamination,
         "op2_sharding": sharding.op2_sharding,
+        "op3_token_counts": token_counts.op3_token_counts,
+        "op4_personal_data": personal_data.op4_personal_data,
+        "op5_topk": topk_search.op5_topk,
+        "op6_secrets": secret_scan.op6_secrets,
         "op7_language": langid.op7_language,
         "op8_near_duplicates": near_duplicates.op8_near_duplicates,
         "op10_packing": packing.op10_packing,
@@ -14,4 +18,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.OP1_SQL}
+    return {
+        "op1_decontamination": decontaminate.OP1_SQL,
+        "op5_topk": topk_search.OP5_SQL,
+        "op6_secrets": secret_scan.OP6_SQL,
+    }
