@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontaminate, langid, near_duplicates, packing, personal_data, secret_scan, sharding, token_counts, topk_search
+from . import decontaminate, langid, near_duplicates, packing, personal_data, quality, secret_scan, sharding, token_counts, topk_search
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_secrets": secret_scan.op6_secrets,
         "op7_language": langid.op7_language,
         "op8_near_duplicates": near_duplicates.op8_near_duplicates,
+        "op9_quality": quality.op9_quality,
         "op10_packing": packing.op10_packing,
     }
 
