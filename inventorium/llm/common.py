@@ -52,3 +52,11 @@ def worker_cache() -> dict:
 def text_key(text: Column) -> Column:
     """64 bits of the text; with the id of a row it tells rows of different texts apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or that with more underscores, such that df has no column of the name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

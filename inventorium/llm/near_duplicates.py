@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialise, table
+from .common import free_name, materialise, table
 from .components import connected_components
 
 BITS = 64
@@ -131,25 +132,24 @@ def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", te
 def deduplicate(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all its columns and one document of each group: the smallest id, null ids last. Of rows that repeat that
     id with one fingerprint, one stays."""
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = materialise(simhash(docs, id_col, text_col), "simhash")
-    found = classes(rows, radius)
-    named = rows.hint("merge").join(found.hint("merge"), "fp")
-    kept = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("k")).select(F.col("k.doc_id").alias("__kept_id"), F.col("k.fp").alias("__kept_fp"))
-    kept = materialise(kept, "kept-documents")
+    named = rows.hint("merge").join(classes(rows, radius).hint("merge"), "fp")
+    kept = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("k"))
+    kept = materialise(kept.select("k.doc_id", "k.fp"), "kept-documents")
+    fp, kept_fp, kept_id = (free_name(docs, name) for name in ("__fp", "__kept_fp", "__kept_id"))
 
     def add_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t) for t in batch.column(text_col).cast(pa.string()).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], schema=batch.schema.append(pa.field("__fp", pa.int64())))
-
-    ids = F.coalesce(F.xxhash64(F.col(id_col)), F.lit(0))
-    del kind
-    printed = docs.mapInArrow(add_print, docs.schema.add("__fp", "long") if "__fp" not in docs.columns else docs.schema)
-    here = printed.withColumn("__id", ids)
-    there = kept.withColumn("__id", F.coalesce(F.xxhash64("__kept_id"), F.lit(0)))
-    left = here.hint("merge").join(there.hint("merge"), (here["__fp"] == there["__kept_fp"]) & (here["__id"] == there["__id"]) & here[id_col].eqNullSafe(there["__kept_id"]), "left_semi")
-    return left.dropDuplicates(["__fp", "__id"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            prints = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], [*batch.schema.names, fp])
+
+    printed = docs.mapInArrow(add_print, StructType([*docs.schema.fields, StructField(fp, LongType())]))
+    ids, kept_ids = F.coalesce(F.xxhash64(F.col(id_col)), F.lit(0)), F.coalesce(F.xxhash64(F.col(kept_id)), F.lit(0))
+    there = kept.select(F.col("doc_id").alias(kept_id), F.col("fp").alias(kept_fp))
+    same = (F.col(fp) == F.col(kept_fp)) & (ids == kept_ids) & F.col(id_col).eqNullSafe(F.col(kept_id))
+    left = printed.hint("merge").join(there.hint("merge"), same, "left_semi")
+    return left.dropDuplicates([fp, id_col]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_near_duplicates(spark, sf_dir):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import free_name, materialise, table
 
 # The base kinds in their order, and the kind of added spans.
 KINDS = ("email", "ip", "card", "phone")
@@ -219,18 +219,18 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """``docs`` with all its columns and each span replaced by its kind in brackets."""
     found = find_personal_data(docs, id_col, text_col).where(F.size("spans") > 0)
     spans = materialise(found.groupBy("doc_id", "text_sum").agg(F.first("spans").alias("spans")), "personal-spans")
-    spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_sum").alias("__sum"), F.col("spans").alias("__spans"))
-    own = F.xxhash64(F.col(text_col).cast("string"))
-    here = docs.hint("shuffle_hash")
-    both = here.join(spans.hint("shuffle_hash"), (own == spans["__sum"]) & docs[id_col].eqNullSafe(spans["__id"]), "left").drop("__id", "__sum")
+    mark, own_id, own_sum = (free_name(docs, name) for name in ("__spans", "__id", "__sum"))
+    there = spans.select(F.col("doc_id").alias(own_id), F.col("text_sum").alias(own_sum), F.col("spans").alias(mark))
+    same = (F.xxhash64(F.col(text_col).cast("string")) == F.col(own_sum)) & F.col(id_col).eqNullSafe(F.col(own_id))
+    both = docs.hint("shuffle_hash").join(there.hint("shuffle_hash"), same, "left").drop(own_id, own_sum)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
-            marked = batch.column("__spans").to_pylist()
+            marked = batch.column(batch.schema.get_field_index(mark)).to_pylist()
             texts = batch.column(at).to_pylist()
             new = [redacted_text(t, s) if s else t for t, s in zip(texts, marked, strict=True)]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type)).drop_columns(["__spans"])
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type)).drop_columns([mark])
 
     return both.mapInArrow(run, docs.schema)
 
