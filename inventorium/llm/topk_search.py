@@ -167,6 +167,7 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
     reach = F.aggregate(F.zip_with("q", F.zip_with("lo", "hi", lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))), lambda q, b: F.greatest(q * b["lo"], q * b["hi"]).cast("double")), F.lit(0.0), lambda a, x: a + x)
     near = visits.hint("merge").join(boxes.hint("merge"), ["dims", "other"]).where(F.col("kth").isNull() | (reach * (1 + 1e-9) + 1 >= F.col("kth")))
     near = near.select("vec_id", "q", "dims", F.col("other").alias("shard"), "kth", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    near = materialise(near, "search-visits")
     copies = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     second = copies.groupBy("dims", "shard", "block").cogroup(near.groupBy("dims", "shard", "block")).applyInArrow(_searcher(k, True), _RESULT)
     return _ranked(first.unionByName(second), k)
