@@ -553,7 +553,7 @@ def _matrix(spark, sf):
 register("st1_progress", r"WITH l AS (SELECT CAST(apos // 800 AS VARCHAR) AS batch_id, path || ';' || target || ';' || new_title AS v FROM assignments) SELECT batch_id, count(*) AS n FROM l GROUP BY batch_id")(lambda spark, sf: streams.progress(_answers(spark, sf).select("batch_id", F.explode(F.split("raw_text", "\n")).alias("value"))))
 register("st2_usage_quota", f"{_USAGE_SQL} SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(sum(input_tokens + 10) AS BIGINT) AS tokens, sum(input_tokens + 10) > 200000 AS over_cap FROM u GROUP BY 1")(lambda spark, sf: streams.usage_quota(_usage(spark, sf).select("ts", F.col("total_tokens").alias("tokens"))))
 register("st2_usage_tries", "SELECT strftime(ts, '%Y-%m-%d') AS day, user_id AS client, event_type AS stage, count(*) AS tries, count(*) > 2 AS over FROM events GROUP BY 1, 2, 3")(lambda spark, sf: streams.usage_tries(T.source(spark, sf, "events").select("ts", F.col("user_id").alias("client"), F.col("event_type").alias("stage"))))
-register("st3_sessions", "WITH e AS (SELECT user_id, ts, CAST(floor(value) AS BIGINT) AS t, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1800 SECONDS THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id AS session_key, min(ts) AS started, count(*) AS turns, CAST(sum(t) AS BIGINT) AS tokens FROM s GROUP BY user_id, k")(
+register("st3_sessions", "WITH e AS (SELECT user_id, ts, CAST(floor(value) AS BIGINT) AS t, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 1800 SECONDS THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id AS session_key, min(ts) AS started, count(*) AS turns, CAST(sum(t) AS BIGINT) AS tokens FROM s GROUP BY user_id, k")(
     lambda spark, sf: streams.sessions(T.source(spark, sf, "events").select(F.col("user_id").alias("session_key"), "ts", F.floor("value").cast("long").alias("tokens")))
 )
 

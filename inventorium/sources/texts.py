@@ -54,7 +54,7 @@ def ingest_responses(responses: DataFrame, id_col: str = "Path") -> DataFrame:
     def field(k: int):
         return X.text(F.try_element_at("f", shift + k))
 
-    prose = ~X.is_data_line(F.col("raw")) & (sep != "\t")
+    prose = ~X.is_data_line(F.col("raw")) & ~F.contains("raw", F.lit("\t"))
     return rows.where(~prose).select("batch_id", "line", field(1).alias(name), field(2).alias("target"), field(3).alias("new_title")).where(F.col(name) != "")
 
 
