@@ -1,47 +1,19 @@
-"""What the corpus operators share: the folder for intermediate tables, worker caches, row keys."""
+"""What the corpus operators share: tables, worker caches, free column names, and the folder for intermediate tables."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
+from ..session import materialise, new_path, path_exists, remove, shared_dir
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only in local mode."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="inventorium-")
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+__all__ = ["free_name", "materialise", "new_path", "path_exists", "remove", "shared_dir", "table", "worker_cache"]
 
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, and Spark knows its size."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes an intermediate table that nothing reads any more."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def worker_cache() -> dict:
@@ -49,11 +21,6 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_inventorium_worker_cache", types.ModuleType("_inventorium_worker_cache")).__dict__
 
 
-def text_key(text: Column) -> Column:
-    """64 bits of the text; with the id of a row it tells rows of different texts apart."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or that with more underscores, such that df has no column of the name."""
     taken = {c.lower() for c in df.columns}

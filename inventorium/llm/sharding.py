@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, new_path, table
+from .common import materialise, new_path, path_exists, table
 
 #: Virtual slots of the first range, and as many for the records of split slots. What reaches the driver is a row for each.
 N_SLOTS = 4096
@@ -103,7 +103,7 @@ def shard_records(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
     slot = F.when(F.col("home").isin(split), second).otherwise(F.col("home")) if split else F.col("home")
     slim = slim.withColumn("virtual_slot", slot)
     stats = slot_stats(slim)
-    old, version = load_map(spark, map_path) if map_path and _exists(spark, map_path) else ({}, 0)
+    old, version = load_map(spark, map_path) if map_path and path_exists(spark, map_path) else ({}, 0)
     slot_map = edited_map(old, stats, n_shards) if old else first_map(stats, n_shards)
     save_map(spark, slot_map, version + 1, map_path or new_path(spark, "slot-map"))
     before, first = [0] * n_shards, {}
@@ -115,11 +115,6 @@ def shard_records(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
     return slim.withColumn("nth", within).join(F.broadcast(places), "virtual_slot").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(version + 1).alias("map_version"))
 
 
-def _exists(spark, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def op2_sharding(spark, sf_dir):
     """All documents into 24 shards of nearly equal bytes."""
     return shard_records(table(spark, sf_dir, "documents"), 24)
