@@ -6,10 +6,12 @@ where the inner product of m(i) and v is odd. Any r positions leave some v for w
 fingerprints within the radius agree under some mask: 2^(r+1) - 1 tables miss no pair.
 
 Work is on distinct fingerprints, so copies cost one row. In a table, fingerprints with equal masked values share a bucket.
-Small buckets are joined with themselves and verified. In larger ones, each fingerprint is joined to the values that differ
-from it in at most one unmasked bit, r = 2: two fingerprints link through a value if both are within one bit of it, which is
-the same links, in rows that grow with the bucket and not with its square. Larger radii split a large bucket by all values
-within r / 2 bits in the same way.
+Small buckets are joined with themselves and verified. The fingerprints of larger ones are joined to all values within half
+the radius, which must be even: two fingerprints are within the radius if and only if some value is within half of it from
+both. That gives the same components, in rows that grow with the fingerprints and not with the square of a bucket.
+
+Documents are compared by their three-word shingles with repeats, or, with size=1 and distinct=True, by their sets of words:
+then an edit changes one feature and not three, so that near copies come closer while other texts stay far apart.
 
 Defined results: a null text has no words; no words give fingerprint zero, which links like any other. Repeated rows get a row
 each. A null doc_id is never the smallest; a component of nulls alone has a null component_id. An empty table gives no rows.
@@ -23,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -38,8 +40,9 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _CHUNK = 1 << 15
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included; fewer words are one shingle, none give zero."""
+def fingerprint(text: str | None, size: int = 3, distinct: bool = False) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included unless ``distinct``; fewer words are one shingle, none
+    give zero."""
     import xxhash
 
     words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
@@ -47,7 +50,9 @@ def fingerprint(text: str | None, size: int = 3) -> int:
         return 0
     digest = xxhash.xxh64_intdigest
     rows = zip(*(words[k:] for k in range(size)), strict=False) if len(words) >= size else iter([words])
-    total = max(1, len(words) - size + 1)
+    if distinct:
+        rows = list(dict.fromkeys(rows))
+    total = len(rows) if distinct else max(1, len(words) - size + 1)
     counts = np.zeros(BITS, dtype=np.int64)
     join = b" ".join
     sums = np.fromiter((digest(join(row), 42) for row in rows), dtype=">u8", count=total)
@@ -57,16 +62,20 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "big")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+def _prints(column: pa.Array, size: int, distinct: bool) -> pa.Array:
+    values = [fingerprint(t, size, distinct) for t in column.to_pylist()]
+    return pa.array(np.array(values, dtype=np.uint64).view(np.int64), pa.int64())
 
 
-def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distinct: bool = False) -> DataFrame:
     """(doc_id, fp): each document's fingerprint as a signed long."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(_fingerprints, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _prints(batch.column("text"), size, distinct)], ["doc_id", "fp"])
+
+    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -85,32 +94,37 @@ def _signed(mask: int) -> int:
 
 def links(prints: DataFrame, radius: int = 2, small_bucket: int = SMALL_BUCKET) -> DataFrame:
     """Edges (a, b) over distinct fingerprints ``fp`` whose components are those of all pairs within ``radius`` bits."""
+    if radius % 2:
+        raise ValueError("the radius must be even")
     masks = covering_masks(radius)
     tables = F.array(*[F.struct(F.lit(k).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)])
     keyed = materialise(prints.select("fp", F.explode(tables).alias("x")).select("fp", "x.t", "x.key"), "fingerprint-tables")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.min_by("fp", F.xxhash64("fp", "t")).alias("pivot")).where("n > 1")
     shared = materialise(keyed.hint("merge").join(sizes.hint("merge"), ["t", "key"]), "fingerprint-buckets")
     small = shared.where(F.col("n") <= small_bucket)
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius
     pairs = small.alias("a").hint("merge").join(small.alias("b").hint("merge"), (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp"))).where(near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    return pairs.unionByName(_linked_through_centres(shared.where(F.col("n") > small_bucket), masks, radius))
+    return pairs.unionByName(_linked_through_centres(shared.where(F.col("n") > small_bucket), radius))
 
 
-def _linked_through_centres(large: DataFrame, masks: list[int], radius: int) -> DataFrame:
-    """Two fingerprints are within the radius if, and only if for even radii, some value is within half the radius of both.
-    An odd radius takes one bit less and then steps by one bit more from one side, verified by distance."""
-    if radius % 2:
-        raise ValueError("large buckets are handled for even radii")
-    flips = []
-    for t, mask in enumerate(masks):
-        free = [1 << i for i in range(BITS) if not mask >> i & 1]
-        flips.append([_signed(sum(c)) for k in range(radius // 2 + 1) for c in combinations(free, k)])
-    spread: Column = F.when(F.lit(False), F.array().cast("array<long>"))
-    for t, own in enumerate(flips):
-        spread = spread.when(F.col("t") == t, F.array(*[F.lit(x).cast("long") for x in own]))
-    centred = large.select("fp", F.explode(spread).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("centre")).distinct()
-    least = centred.groupBy("centre").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("centre", "a")
-    return centred.hint("merge").join(least.hint("merge"), "centre").where(F.col("a") != F.col("fp")).select("a", F.col("fp").alias("b")).distinct()
+def _linked_through_centres(large: DataFrame, radius: int) -> DataFrame:
+    """Links of the fingerprints in large buckets (fp, pivot), the pivot being some member of the bucket.
+
+    Fingerprints within the radius of their pivots are linked to them, and the components of these links are their labels: a
+    dense group, which has another pivot in each table, then has few labels. A centre is any value within half the radius of a
+    fingerprint; labels that meet at a centre are linked to the least one there."""
+    close = F.bit_count(F.col("fp").bitwiseXOR(F.col("pivot"))) <= radius
+    stars = large.where(close & (F.col("fp") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct()
+    stars = materialise(stars, "fingerprint-stars")
+    joined = connected_components(stars).select(F.col("node").alias("fp"), F.col("component").alias("label"))
+    labels = large.select("fp").distinct().hint("merge").join(joined.hint("merge"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
+    labels = materialise(labels, "fingerprint-labels")
+    flips = [_signed(sum(1 << i for i in c)) for k in range(radius // 2 + 1) for c in combinations(range(BITS), k)]
+    every = F.from_json(F.lit(str(flips)), "array<bigint>")
+    centred = labels.select("label", F.explode(F.transform(every, lambda x: F.col("fp").bitwiseXOR(x))).alias("centre")).distinct()
+    least = centred.groupBy("centre").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a <> z").select("centre", "a")
+    met = centred.hint("merge").join(least.hint("merge"), "centre").where(F.col("a") != F.col("label")).select("a", F.col("label").alias("b"))
+    return stars.unionByName(met.distinct())
 
 
 def classes(rows: DataFrame, radius: int = 2) -> DataFrame:
@@ -129,10 +143,10 @@ def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", te
     return rows.hint("merge").join(found.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", size: int = 3, distinct: bool = False) -> DataFrame:
     """``docs`` with all its columns and one document of each group: the smallest id, null ids last. Of rows that repeat that
     id with one fingerprint, one stays."""
-    rows = materialise(simhash(docs, id_col, text_col), "simhash")
+    rows = materialise(simhash(docs, id_col, text_col, size, distinct), "simhash")
     named = rows.hint("merge").join(classes(rows, radius).hint("merge"), "fp")
     kept = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("k"))
     kept = materialise(kept.select("k.doc_id", "k.fp"), "kept-documents")
@@ -140,9 +154,8 @@ def deduplicate(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_c
 
     def add_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            prints = np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.int64())], [*batch.schema.names, fp])
+            prints = _prints(batch.column(batch.schema.get_field_index(text_col)), size, distinct)
+            yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, fp])
 
     printed = docs.mapInArrow(add_print, StructType([*docs.schema.fields, StructField(fp, LongType())]))
     ids, kept_ids = F.coalesce(F.xxhash64(F.col(id_col)), F.lit(0)), F.coalesce(F.xxhash64(F.col(kept_id)), F.lit(0))

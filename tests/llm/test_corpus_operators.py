@@ -354,8 +354,8 @@ def test_fingerprints_and_groups_match_brute_force(spark, texts):
     assert all(r.component_id == roots[r.doc_id] for r in got)
 
 
-@pytest.mark.parametrize("small_bucket", [1000, 2])
-def test_no_link_within_the_radius_is_lost(spark, small_bucket):
+@pytest.mark.parametrize(("radius", "small_bucket"), [(2, 1000), (2, 2), (4, 2)])
+def test_no_link_within_the_radius_is_lost(spark, radius, small_bucket):
     rng = random.Random(9)
     prints = {rng.getrandbits(64) for _ in range(100)}
     for p in list(prints)[:40]:
@@ -364,9 +364,9 @@ def test_no_link_within_the_radius_is_lost(spark, small_bucket):
     prints |= {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(80)}
     signed = {p - (1 << 64) if p >> 63 else p for p in prints}
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
-    got = {r.node: r.component for r in connected_components(near_duplicates.links(df, 2, small_bucket)).collect()}
+    got = {r.node: r.component for r in connected_components(near_duplicates.links(df, radius, small_bucket)).collect()}
     ordered = sorted(signed)
-    edges = [(a, b) for a in ordered for b in ordered if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2]
+    edges = [(a, b) for a in ordered for b in ordered if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= radius]
     want = brute_components(ordered, edges)
     linked = {x for e in edges for x in e}
     assert got == {x: want[x] for x in linked}
@@ -376,6 +376,11 @@ def test_masks_cover_every_pair():
     masks = near_duplicates.covering_masks(2)
     assert len(masks) == 7
     assert all(any(not (m >> a & 1 or m >> b & 1) for m in masks) for a in range(64) for b in range(a))
+    rng, more = random.Random(13), near_duplicates.covering_masks(4)
+    assert len(more) == 31
+    for _ in range(2000):
+        bits = sum(1 << i for i in rng.sample(range(64), 4))
+        assert any(not m & bits for m in more)
 
 
 def test_one_document_of_each_group_stays(spark, texts):
@@ -389,6 +394,19 @@ def test_one_document_of_each_group_stays(spark, texts):
     assert near_duplicates.deduplicate(docs.where("false")).count() == 0
 
 
+def test_sets_of_words_bring_near_copies_together(spark):
+    rng = random.Random(14)
+    pool = [f"w{k}" for k in range(3000)]
+    base = [[rng.choice(pool) for _ in range(150)] for _ in range(20)]
+    rows = [(k, " ".join(b)) for k, b in enumerate(base)]
+    for k, b in enumerate(base):
+        copy = list(b)
+        copy[70] = "changed"
+        rows.append((100 + k, " ".join(copy)))
+    kept = {r.doc_id for r in near_duplicates.deduplicate(frame(spark, rows), radius=4, size=1, distinct=True).collect()}
+    assert kept >= set(range(20)) and len(kept) <= 23
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(1, 200)] + [(1000, k) for k in range(1001, 1100)] + [(5000, 5000), (7, 8)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
