@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path, table
+from .common import materialise, new_path, path_exists, table
 
 # What counts as a secret.
 _VALUE = "[A-Za-z0-9+/_.=-]"
@@ -100,7 +100,7 @@ def scan_history(history: DataFrame, ledger_path: str, path_col: str = "path", t
     wanted = F.array(*[F.lit(f"{r.kind}@{r.version}") for r in rules])
     # One path of each blob stands for it; hashing both keeps the copies of one text in different tasks.
     heads = paths.groupBy("blob").agg(F.min(F.struct(F.xxhash64("path").alias("h"), F.col("path").isNull().alias("none"))).alias("head")).select("blob", F.col("head.h").alias("h"))
-    if _has_files(spark, f"{ledger_path}/scanned"):
+    if path_exists(spark, f"{ledger_path}/scanned"):
         done = spark.read.parquet(f"{ledger_path}/scanned").groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"))
         heads = heads.hint("merge").join(done.hint("merge"), "blob", "left")
         todo = F.array_except(wanted, F.coalesce("rules", F.array().cast("array<string>")))
@@ -117,15 +117,11 @@ def scan_history(history: DataFrame, ledger_path: str, path_col: str = "path", t
     rank = F.array_position(F.array(*[F.lit(r.kind) for r in rules]), F.col("kind"))
     current = found.where(F.array_contains(wanted, F.concat_ws("@", "kind", "version")))
     per_blob = current.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("start", rank.alias("rank"), "kind", "version", "end"))).alias("found"))
+    per_blob = materialise(per_blob, "blob-findings")  # apart from the join, which Spark may then split where a blob has many paths
     empty = F.array().cast("array<struct<start:bigint,rank:bigint,kind:string,version:int,end:bigint>>")
     return paths.hint("merge").join(per_blob.hint("merge"), "blob", "left").select("path", "blob", F.coalesce("found", empty).alias("found"))
 
 
-def _has_files(spark, path: str) -> bool:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-
 def digest(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts of the base kinds, the SHA-256 of their spans, and all spans as text."""
     base = [r.kind for r in rules if r.base]
