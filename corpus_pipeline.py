@@ -15,8 +15,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: sets of words within four bits, which most pairs of similarity 0.8 are."""
-    return near_duplicates.deduplicate(docs, radius=4, size=1, distinct=True)
+    """One document of each near-duplicate group, linked by pairs with an exact five-word Jaccard of 0.8 or more."""
+    return near_duplicates.deduplicate_verified(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.window import Window
 
+from ..operators.explore import number_rows
 from .common import free_name, materialise, table
 from .components import connected_components
 
@@ -165,6 +167,150 @@ def deduplicate(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_c
     return left.dropDuplicates([fp, id_col]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+#: The verified search: words in a shingle, the least Jaccard of two sets of shingles, and independent fingerprints.
+SHINGLE, ALIKE, PRINTS = 5, (4, 5), 4
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """SplitMix64's finalizer."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct hashes of a text's five-word shingles (fewer words are one) and those of its distinct words."""
+    import xxhash
+
+    words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
+    known = {w: xxhash.xxh64_intdigest(w, 42) for w in set(words)}
+    each = np.fromiter((known[w] for w in words), dtype=np.uint64, count=len(words))
+    width = min(SHINGLE, len(words))
+    sums = np.zeros(len(words) - width + 1 if words else 0, dtype=np.uint64)
+    for k in range(width):
+        sums = _mix(sums + each[k : k + len(sums)] + np.uint64(width))
+    return np.unique(sums), np.fromiter(known.values(), dtype=np.uint64, count=len(known))
+
+
+def independent_prints(words: np.ndarray, prints: int = PRINTS) -> list[int]:
+    """SimHashes of a set of words under different hash functions, as signed longs."""
+    out = []
+    for k in range(1, prints + 1):
+        counts = np.zeros(BITS, dtype=np.int64)
+        for lo in range(0, len(words), _CHUNK):
+            part = _mix(words[lo : lo + _CHUNK] ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))).astype(">u8")
+            counts += np.unpackbits(part.view(np.uint8)).reshape(len(part), BITS).sum(axis=0, dtype=np.uint32)
+        out.append(int.from_bytes(np.packbits(counts * 2 > len(words)).tobytes(), "big", signed=True))
+    return out
+
+
+def _sets(docs: DataFrame, prints: int) -> DataFrame:
+    """Distinct sets of shingles, numbered by their first document (null ids last): k, doc_id, h (the hash of its text), size
+    and fingerprints. Copies cost one row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, size, fps = [], [], []
+            for text in batch.column("text").to_pylist():
+                own, words = shingles(text)
+                key.append(int(own.sum(dtype=np.uint64).view(np.int64)))
+                size.append(len(own))
+                fps.append(independent_prints(words, prints))
+            made = [pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(fps, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *made], ["doc_id", "h", "shingles", "size", "fps"])
+
+    rows = docs.mapInArrow(run, f"doc_id {kind}, h long, shingles long, size long, fps array<bigint>")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "fps")).alias("f")
+    sets = rows.groupBy("shingles", "size").agg(first).select("f.no_id", "f.doc_id", "f.h", "f.fps", "shingles", "size")
+    return materialise(number_rows(sets, ["no_id", "doc_id", "shingles", "size"], "k").select("k", "doc_id", "h", "size", "fps"), "shingle-sets")
+
+
+def _shared_buckets(sets: DataFrame, radius: int, prints: int) -> DataFrame:
+    """(b, k, fp, size): the members of each bucket of covering LSH that holds at least two sets."""
+    least = ALIKE[0]  # sets of fewer shingles are that similar only if equal
+    out = None
+    for j in range(prints):
+        own = sets.where(F.col("size") >= least).select("k", "size", F.col("fps")[j].alias("fp"))
+        keys = F.array(*[F.xxhash64(F.lit(j), F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(covering_masks(radius))])
+        keyed = own.select("k", F.explode(keys).alias("b"))
+        many = keyed.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
+        shared = keyed.hint("merge").join(many.hint("merge"), "b", "left_semi").hint("merge").join(own.hint("merge"), "k")
+        shared = materialise(shared.select("b", "k", "fp", "size"), "shared-buckets")
+        out = shared if out is None else out.unionByName(shared)
+    return out
+
+
+def verified_pairs(docs: DataFrame, sets: DataFrame, radius: int = 4, prints: int = PRINTS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
+    """Pairs (a, b), a < b, of numbers of ``sets`` whose exact Jaccard is at least ALIKE, among those within the radius in
+    some fingerprint.
+
+    Small buckets are compared pair by pair. In larger ones all members are compared with the lowest (1, 4, 16 ... of them,
+    round by round); those, and members found similar to any lower set, leave, until the rest is small. So two sets that are
+    the lowest of their groups are compared wherever they share a bucket, and rows grow with the members.
+    """
+    num, den = ALIKE
+    close = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius
+    fit = F.least("x.size", "y.size") * den >= F.greatest("x.size", "y.size") * num
+
+    def met(low: DataFrame, high: DataFrame) -> DataFrame:
+        both = low.alias("x").hint("merge").join(high.alias("y").hint("merge"), (F.col("x.b") == F.col("y.b")) & (F.col("x.k") < F.col("y.k")) & close & fit)
+        return both.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
+
+    active, found, known, pivots = _shared_buckets(sets, radius, prints), None, None, 1
+    while True:
+        sizes = active.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
+        active = materialise(active.hint("merge").join(sizes.hint("merge"), "b").select("b", "k", "fp", "size", "n"), "buckets")
+        small, large = active.where(F.col("n") <= small_bucket), active.where(F.col("n") > small_bucket)
+        lowest = large.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("k"))).where(F.col("r") <= pivots)
+        pairs = materialise(met(small, small).unionByName(met(lowest, large)).distinct(), "candidate-pairs")
+        if known is None:
+            named = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).unionByName(large.select("k")).distinct()
+            known = _shingle_table(docs, sets.select("k", "doc_id", "h").hint("merge").join(named.hint("merge"), "k", "left_semi"))
+        first = known.select(F.col("k").alias("a"), F.col("own").alias("own_a"))
+        second = known.select(F.col("k").alias("b"), F.col("own").alias("own_b"))
+        both = F.size(F.array_intersect("own_a", "own_b"))
+        alike = both * den >= (F.size("own_a") + F.size("own_b") - both) * num
+        held = materialise(pairs.hint("merge").join(first.hint("merge"), "a").hint("merge").join(second.hint("merge"), "b").where(alike).select("a", "b"), "verified-pairs")
+        found = held if found is None else found.unionByName(held)
+        gone = held.select(F.col("b").alias("k")).distinct()
+        left = large.hint("merge").join(lowest.select("b", "k").hint("merge"), ["b", "k"], "left_anti").hint("merge").join(gone.hint("merge"), "k", "left_anti")
+        active = materialise(left.select("b", "k", "fp", "size"), "buckets-left")
+        if active.isEmpty():
+            return found
+        pivots *= 4
+
+
+def _shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(k, own): the sorted shingle hashes of the documents named by ``wanted`` (k, doc_id, h)."""
+    there = wanted.select("k", F.xxhash64("h", "doc_id").alias("g"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingles(t)[0].view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(own, pa.list_(pa.int64()))], ["k", "own"])
+
+    texts = docs.select("text", F.xxhash64("h", "doc_id").alias("g")).hint("merge").join(there.hint("merge"), "g").dropDuplicates(["k", "g"])
+    return materialise(texts.select("k", "text").mapInArrow(run, "k long, own array<bigint>"), "shingles")
+
+
+def deduplicate_verified(docs: DataFrame, radius: int = 4, prints: int = PRINTS, id_col: str = "doc_id", text_col: str = "text", small_bucket: int = SMALL_BUCKET) -> DataFrame:
+    """``docs`` with all its columns and one document of each group: the smallest id, null ids last. Groups are linked by pairs
+    whose five-word shingle sets have an exact Jaccard of 0.8 or more, found as candidates by covering LSH over several
+    independent fingerprints of their sets of words. Of rows that repeat an id and text, one stays."""
+    text = F.col(f"`{text_col}`").cast("string")
+    slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"))
+    sets = _sets(slim, prints)
+    joined = connected_components(verified_pairs(slim, sets, radius, prints, small_bucket)).where("node <> component")
+    kept = sets.hint("merge").join(joined.select(F.col("node").alias("k")).hint("merge"), "k", "left_anti")
+    g, h, kept_g, kept_h, kept_id = (free_name(docs, name) for name in ("__g", "__h", "__kept_g", "__kept_h", "__kept_id"))
+    there = materialise(kept.select(F.xxhash64("h", "doc_id").alias(kept_g), F.col("h").alias(kept_h), F.col("doc_id").alias(kept_id)), "kept-documents")
+    hashed = docs.withColumn(h, F.coalesce(F.xxhash64(text), F.lit(0))).withColumn(g, F.xxhash64(F.col(h), F.col(id_col)))
+    same = (F.col(g) == F.col(kept_g)) & (F.col(h) == F.col(kept_h)) & F.col(id_col).eqNullSafe(F.col(kept_id))
+    left = hashed.hint("merge").join(there.hint("merge"), same, "left_semi")
+    return left.dropDuplicates([g, h, id_col]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op8_near_duplicates(spark, sf_dir):
     """Fingerprint and group of every document, radius 2."""
     return near_duplicates(table(spark, sf_dir, "documents"), 2)

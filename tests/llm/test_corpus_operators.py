@@ -407,6 +407,40 @@ def test_sets_of_words_bring_near_copies_together(spark):
     assert kept >= set(range(20)) and len(kept) <= 23
 
 
+def jaccard(a, b):
+    x, y = ({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("small_bucket", [2, 32])
+def test_only_verified_near_copies_are_dropped(spark, small_bucket):
+    rng = random.Random(21)
+    pool = [f"w{k}" for k in range(3000)]
+    base = [[rng.choice(pool) for _ in range(120)] for _ in range(30)]
+    rows = [(k, " ".join(b)) for k, b in enumerate(base)]
+    rows += [(100 + k, " ".join(rng.sample(b, len(b)))) for k, b in enumerate(base)]  # the same words in another order
+    for k, b in enumerate(base):
+        copy = list(b)
+        copy[40], copy[90] = "changed", "twice"
+        rows.append((200 + k, " ".join(copy)))
+    for k in range(60):  # a dense group, which fills large buckets
+        copy = list(base[0])
+        copy[60] = f"only{k}"
+        rows.append((300 + k, " ".join(copy)))
+    rows += [(400, "one two three"), (401, "One two three"), (402, "one two four"), (403, ""), (404, None), (3, rows[3][1]), (None, rows[4][1])]
+    docs = frame(spark, rows)
+    kept = near_duplicates.deduplicate_verified(docs, small_bucket=small_bucket)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(set(ids)) and set(ids) >= set(range(30)) | set(range(100, 130)) | {400, 402, 403}
+    assert {401, 404, None}.isdisjoint(ids)
+    assert sum(k in ids for k in range(200, 230)) <= 2 and sum(k in ids for k in range(300, 360)) == 0
+    text = dict(reversed(rows))
+    for gone in set(range(200, 230)) - set(ids):
+        assert jaccard(text[gone], text[gone - 200]) >= 0.8
+    assert near_duplicates.deduplicate_verified(docs.where("false")).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(1, 200)] + [(1000, k) for k in range(1001, 1100)] + [(5000, 5000), (7, 8)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
