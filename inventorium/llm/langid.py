@@ -1,11 +1,13 @@
 """Language identification by compression: a text is compressed against a raw-content zstandard dictionary of each language,
 and the language whose dictionary makes it smallest is chosen. If the two best sizes lie close together, a text is looked at
 again: a long one at a stronger setting, a short one in one block behind each of several slices of the dictionary, where it
-shares the slice's letter codes, so that even a few words tell languages apart. If the margin stays narrow, the text is
-rejected, but keeps its best guess.
+shares the slice's letter codes, so that even a few words tell languages apart. What a dictionary saves is measured against
+the size without any: a text is rejected, but keeps its best guess, if the best dictionary saves nothing, or if the second
+best saves nearly as much.
 
 A language's dictionary is made of distinct passages of labelled training texts: at most SAMPLE_TEXTS passages of at most
-SAMPLE_CHARS characters each, chosen by a hash of the text, so copies count once. Texts of any length are compressed whole.
+SAMPLE_CHARS characters each, chosen by a hash of the text, so copies count once. A text of any length is compressed over its whole length, in independent blocks,
+each behind the dictionary, and the sizes are summed: a margin does not shrink as a text grows.
 
 Defined results: a null text or one without letters is ``und`` with score 0 and is rejected. Repeated rows get a row each. If
 there is nothing to learn from, every text is ``und``. Ties go to the language with most training texts, then by name. Other
@@ -14,6 +16,7 @@ columns of the input are never looked at, and are kept where a function returns
 
 from __future__ import annotations
 
+import random
 import re
 from collections.abc import Iterator
 
@@ -32,8 +35,11 @@ LEVEL, STRONG_LEVEL, SLICE_LEVEL = 5, 19, 9
 SHORT_BYTES, SLICE_BYTES = 2048, 4096
 #: The best two sizes are close below this share of the second; then the second look decides.
 CLOSE = 0.03
-#: Rejected if they still differ by less than this share.
-NARROW = 0.0005
+#: A longer text is compressed in even blocks of at most so many bytes.
+BLOCK_BYTES = 8192
+#: Rejected if the best saves no more of the size without a dictionary than HELP, or if its lead over the second is less than
+#: NARROW of what it saves.
+HELP, NARROW = 0.0, 0.2
 
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -75,6 +81,7 @@ class Compressors:
         self.slices: list[list[tuple[bytes, int]]] = []
 
     def sizes(self, text: bytes, level: int) -> list[int]:
+        """The sizes behind each dictionary, and last the one without any."""
         import zstandard
 
         if level not in self.by_level:
@@ -83,11 +90,15 @@ class Compressors:
                 made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 made.precompute_compress(level=level)
                 own.append(zstandard.ZstdCompressor(level=level, dict_data=made, write_checksum=False, write_content_size=False, write_dict_id=False))
+            own.append(zstandard.ZstdCompressor(level=level, write_checksum=False, write_content_size=False))
             self.by_level[level] = own
-        return [len(c.compress(text)) for c in self.by_level[level]]
+        step = -(-len(text) // -(-len(text) // BLOCK_BYTES))
+        blocks = [text[k : k + step] for k in range(0, len(text), step)]
+        return [sum(len(c.compress(b)) for b in blocks) for c in self.by_level[level]]
 
     def sliced(self, text: bytes) -> list[float]:
-        """For each language, what the text adds to the compressed size of a slice, on average over the slices."""
+        """For each language, what the text adds to the compressed size of a slice, on average over the slices; and last what
+        it adds to a slice in disorder, which knows a language's letters but none of its words."""
         import zstandard
 
         if not self.slices:
@@ -95,6 +106,8 @@ class Compressors:
             for content in self.dictionaries:
                 own = [content[k : k + SLICE_BYTES] for k in range(0, max(1, len(content) - SLICE_BYTES // 2), SLICE_BYTES)]
                 self.slices.append([(s, len(self.behind.compress(s))) for s in own])
+            mixed = [bytes(random.Random(0).sample(s, len(s))) for own in self.slices for s, _ in own[:2]]
+            self.slices.append([(s, len(self.behind.compress(s))) for s in mixed])
         return [sum(len(self.behind.compress(s + b"\n" + text)) - alone for s, alone in own) / len(own) for own in self.slices]
 
     def classify(self, text: str | None) -> tuple[str, float, bool]:
@@ -104,17 +117,20 @@ class Compressors:
         raw = text.lower().encode("utf-8", "replace")
         if len(self.langs) == 1:
             return self.langs[0], 1.0, True
-        best, margin = _best(self.sizes(raw, LEVEL))
-        if margin < CLOSE and len(raw) <= 1 << 20:
-            best, margin = _best(self.sliced(raw) if len(raw) <= SHORT_BYTES else self.sizes(raw, STRONG_LEVEL))
-        return self.langs[best], margin, margin >= NARROW
-
-
-def _best(sizes: list[float]) -> tuple[int, float]:
-    """The smallest size, and how much smaller it is than the second, as a share of that."""
-    order = sorted(range(len(sizes)), key=lambda k: (sizes[k], k))
-    second = max(sizes[order[1]], 1e-9)
-    return order[0], min(1.0, max(0.0, (second - sizes[order[0]]) / second))
+        best, margin, clear = _best(self.sizes(raw, LEVEL))
+        if margin < CLOSE:
+            best, margin, clear = _best(self.sliced(raw) if len(raw) <= SHORT_BYTES else self.sizes(raw, STRONG_LEVEL))
+        return self.langs[best], margin, clear
+
+
+def _best(sizes: list[float]) -> tuple[int, float, bool]:
+    """The smallest size, how much smaller it is than the second, as a share of that, and whether the language is clear. The
+    last of ``sizes`` is the one without a dictionary."""
+    *own, plain = sizes
+    order = sorted(range(len(own)), key=lambda k: (own[k], k))
+    best, second = own[order[0]], max(own[order[1]], 1e-9)
+    saved = plain - best
+    return order[0], min(1.0, max(0.0, (second - best) / second)), saved > HELP * plain and second - best >= NARROW * saved
 
 
 def _compressors(dictionaries) -> Compressors:

@@ -313,6 +313,27 @@ def test_languages_are_told_apart(spark):
     assert langid.train(docs.where("false")) == [] and {r.lang_pred for r in langid.identify(docs, []).collect()} == {"und"}
 
 
+def test_margins_do_not_shrink_with_length_and_unclear_texts_are_rejected():
+    rng = random.Random(8)
+
+    def words(alphabet, seed, n=1500):
+        own = random.Random(seed)
+        return ["".join(own.choice(alphabet) for _ in range(own.randint(2, 9))) for _ in range(n)]
+
+    pools = {"a": words("abcdefghilmnorst", 1), "b": words("aeioubcdlmnprstvz", 2), "c": words("aeinrsthdgkuwmzf", 3)}
+    said = lambda lang, n: " ".join(pools[lang][min(rng.randrange(1500), rng.randrange(1500), rng.randrange(1500))] for _ in range(n))
+    judge = langid.Compressors([(lang, said(lang, 12_000).encode()[: langid.DICTIONARY_BYTES]) for lang in pools])
+    for lang in pools:
+        assert all(judge.classify(said(lang, 60))[::2] == (lang, True) for _ in range(10))
+        short, long = judge.classify(said(lang, 30_000)), judge.classify(said(lang, 600_000))
+        assert short[::2] == long[::2] == (lang, True) and abs(short[1] - long[1]) < 0.3 * short[1]
+    for n in (60, 600):
+        foreign = [" ".join("".join(rng.choice("бвгдежзиклмнопрст") for _ in range(rng.randint(2, 9))) for _ in range(n)) for _ in range(10)]
+        assert not any(judge.classify(t)[2] for t in foreign)
+    mixed = [judge.classify(" ".join(said("ab"[k % 2], 10) for k in range(200))) for _ in range(10)]
+    assert sum(not m[2] for m in mixed) >= 5
+
+
 # 8
 
 
