@@ -52,14 +52,16 @@ def is_held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS, sample_chars: int = SAMPLE_CHARS) -> list[tuple[str, bytes]]:
     """(language, dictionary), the language with most texts first. What reaches the driver is the bounded sample."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL AND text <> ''")
-    counts = {r.lang: r.n for r in docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    hashes = rows.withColumn("h", F.xxhash64("text"))
+    each = hashes.groupBy("lang", "h").agg(F.count("*").alias("n")).groupBy("lang").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).collect()
+    counts, distinct_texts = {r.lang: r.n for r in each}, {r.lang: r.texts for r in each}
     if not counts:
         return []
     slots = 1 << 30
     least = F.lit(slots)
-    for lang, n in counts.items():
+    for lang, n in distinct_texts.items():
         least = F.when(F.col("lang") == lang, F.lit(min(slots, int(slots * 8 * sample_texts / n) + 1))).otherwise(least)
-    hashed = rows.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(slots)) < least)
+    hashed = hashes.where(F.pmod("h", F.lit(slots)) < least)
     distinct = hashed.groupBy("lang", "h").agg(F.min(F.substring("text", 1, sample_chars)).alias("passage"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h")
     picked = distinct.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_texts).orderBy("lang", "k").collect()

@@ -334,6 +334,13 @@ def test_margins_do_not_shrink_with_length_and_unclear_texts_are_rejected():
     assert sum(not m[2] for m in mixed) >= 5
 
 
+def test_copies_do_not_thin_the_sample(spark):
+    rows = [("en", f"text {k} with its own words") for k in range(300)]
+    copies = spark.range(300_000).select(F.lit("en").alias("lang"), F.lit("the one text that fills the table").alias("text"))
+    model = langid.train(spark.createDataFrame(rows, "lang string, text string").unionByName(copies).select("text", "lang"))
+    assert model[0][1].count(b"\n") + 1 == langid.SAMPLE_TEXTS
+
+
 # 8
 
 
