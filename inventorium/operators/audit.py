@@ -6,59 +6,71 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from .explore import topk
+from ..session import materialise
+from .explore import beside, most, topk
 from .hierarchy import By, _first_labels, _folder_label, empty_folders, folders, items, nonempty_folders
 
 
+#: What the measures derive from a path. ``prepared`` adds these columns once, and every measure uses them where they are.
+_DERIVED = {"__ext": X.extension, "__name": X.basename, "__depth": X.depth, "__noise": X.noise_kind}
+
+
 def prepared(inv: DataFrame) -> DataFrame:
-    """The inventory with what the measures derive from a row: ext, basename, segments, noise. Cache it to feed them all."""
-    p = F.col("path")
-    return inv.withColumns({"ext": X.extension(p), "basename": X.basename(p), "segs": X.segments(p), "noise_kind": X.noise_kind(p)})
+    """The inventory with what the measures derive from a path."""
+    return inv.withColumns({name: of(F.col("path")) for name, of in _DERIVED.items()})
+
+
+def _derived(inv: DataFrame, name: str) -> Column:
+    return F.col(name) if name in inv.columns else _DERIVED[name](F.col("path"))
 
 
 def volumetry(inv: DataFrame, by: By = ()) -> DataFrame:
-    return inv.groupBy(*by).agg(F.count_if(F.col("level") == "Item").alias("items"), F.count_if(F.col("level") == "RecordGrp").alias("folders"), F.count("*").alias("all_rows"), F.coalesce(F.max(X.depth(F.col("path"))), F.lit(0)).alias("max_depth"))
+    depth = _derived(inv, "__depth")
+    return inv.groupBy(*by).agg(F.count_if(F.col("level") == "Item").alias("items"), F.count_if(F.col("level") == "RecordGrp").alias("folders"), F.count("*").alias("all_rows"), F.coalesce(F.max(depth), F.lit(0)).alias("max_depth"))
 
 
-def top_formats(inv: DataFrame, k: int = 10) -> DataFrame:
+def top_formats(inv: DataFrame, k: int = 10, by: By = ()) -> DataFrame:
     """(extension, n, distinct_extensions)."""
-    ext = X.extension(F.col("path"))
-    counts = items(inv).groupBy(F.when(ext == "", "(sans extension)").otherwise(ext).alias("extension")).agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "extension").limit(k).crossJoin(F.broadcast(counts.agg(F.count("*").alias("distinct_extensions"))))
+    ext = _derived(inv, "__ext")
+    counts = items(inv).groupBy(*by, F.when(ext == "", "(sans extension)").otherwise(ext).alias("extension")).agg(F.count("*").alias("n"))
+    return beside(most(counts, "extension", k, by), counts.groupBy(*by).agg(F.count("*").alias("distinct_extensions")), by)
 
 
-def _formats(inv: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
-    ext = X.extension(F.col("path"))
-    return items(inv).where(ext.isin(*wanted)).groupBy(ext.alias("extension")).agg(F.count("*").alias("n"))
+def _formats(inv: DataFrame, wanted: tuple[str, ...], by: By) -> DataFrame:
+    ext = _derived(inv, "__ext")
+    return items(inv).where(ext.isin(*wanted)).groupBy(*by, ext.alias("extension")).agg(F.count("*").alias("n"))
 
 
-def risky_formats(inv: DataFrame) -> DataFrame:
-    return _formats(inv, X.RISKY_EXTENSIONS)
+def risky_formats(inv: DataFrame, by: By = ()) -> DataFrame:
+    return _formats(inv, X.RISKY_EXTENSIONS, by)
 
 
-def compressed_formats(inv: DataFrame) -> DataFrame:
-    return _formats(inv, X.COMPRESSED_EXTENSIONS)
+def compressed_formats(inv: DataFrame, by: By = ()) -> DataFrame:
+    return _formats(inv, X.COMPRESSED_EXTENSIONS, by)
 
 
 def noise(inv: DataFrame, by: By = ()) -> DataFrame:
     """(kind, n) of lock files, system files and temporary files."""
-    return items(inv).withColumn("kind", X.noise_kind(F.col("path"))).where("kind IS NOT NULL").groupBy(*by, "kind").agg(F.count("*").alias("n"))
+    return items(inv).withColumn("kind", _derived(inv, "__noise")).where("kind IS NOT NULL").groupBy(*by, "kind").agg(F.count("*").alias("n"))
 
 
-def noise_examples(inv: DataFrame, k: int = 5) -> DataFrame:
-    found = items(inv).where(X.noise_kind(F.col("path")).isNotNull()).select("pos", F.col("path").alias("label"))
-    return _first_labels(found, k, (), "n_noise")
+def noise_examples(inv: DataFrame, k: int = 5, by: By = ()) -> DataFrame:
+    found = items(inv).where(_derived(inv, "__noise").isNotNull()).select(*by, "pos", F.col("path").alias("label"))
+    return _first_labels(found, k, by, "n_noise")
 
 
 def name_collisions(inv: DataFrame, min_n: int = 2, by: By = ()) -> DataFrame:
-    """(name, n) of the names, case folded, that several Items have; noise left out."""
-    key = F.lower(F.trim(X.basename(F.col("path"))))
-    real = items(inv).where(X.noise_kind(F.col("path")).isNull()).withColumn("name", key).where("name <> ''")
-    return real.groupBy(*by, "name").agg(F.count("*").alias("n"), F.min_by("path", F.struct("pos", "path")).alias("first_path")).where(F.col("n") >= min_n)
+    """(name, n, first_path) of the names, case folded, that several Items have; noise left out. Counts come first, and only
+    the rows of names that repeat look for their first path."""
+    real = items(inv).where(_derived(inv, "__noise").isNull()).withColumn("name", F.lower(F.trim(_derived(inv, "__name")))).where("name <> ''")
+    counts = real.groupBy(*by, "name").agg(F.count("*").alias("n"), F.min("pos").alias("pos")).where(F.col("n") >= min_n)
+    paths = real.select(*by, "name", "pos", "path").hint("merge").join(counts.hint("merge"), [*by, "name", "pos"])
+    return paths.groupBy(*by, "name", "n").agg(F.min("path").alias("first_path"))
 
 
-def name_collision_totals(inv: DataFrame) -> DataFrame:
-    return name_collisions(inv).agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("files"))
+def name_collision_totals(inv: DataFrame, by: By = ()) -> DataFrame:
+    names = items(inv).where(_derived(inv, "__noise").isNull()).select(*by, F.lower(F.trim(_derived(inv, "__name"))).alias("name")).where("name <> ''")
+    return names.groupBy(*by, "name").agg(F.count("*").alias("n")).where("n >= 2").groupBy(*by).agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("files"))
 
 
 def strict_duplicates(inv: DataFrame, by: By = ()) -> DataFrame:
@@ -75,55 +87,58 @@ def strict_duplicates(inv: DataFrame, by: By = ()) -> DataFrame:
     return counts.join(names, [*by, "fp"]).select(*by, F.substring("fp", 1, 12).alias("fingerprint"), "n", "names")
 
 
-def strict_duplicate_totals(inv: DataFrame) -> DataFrame:
+def strict_duplicate_totals(inv: DataFrame, by: By = ()) -> DataFrame:
     """groups, files, redundant, available; without fingerprints, available is false and the rest zero."""
     if "fingerprint" not in inv.columns:
-        return inv.sparkSession.range(1).select(F.lit(0).cast("long").alias("groups"), F.lit(0).cast("long").alias("files"), F.lit(0).cast("long").alias("redundant"), F.lit(False).alias("available"))
+        none = [F.lit(0).cast("long").alias(c) for c in ("groups", "files", "redundant")]
+        holdings = inv.select(*by).distinct() if by else inv.sparkSession.range(1)
+        return holdings.select(*by, *none, F.lit(False).alias("available"))
     fp = F.lower(F.trim(X.text(F.col("fingerprint"))))
-    groups = items(inv).where(fp != "").groupBy(fp.alias("fp")).agg(F.count("*").alias("n")).where("n >= 2")
+    groups = items(inv).where(fp != "").groupBy(*by, fp.alias("fp")).agg(F.count("*").alias("n")).where("n >= 2")
     files = F.coalesce(F.sum("n"), F.lit(0))
-    return groups.agg(F.count("*").alias("groups"), files.alias("files"), (files - F.count("*")).alias("redundant"), F.lit(True).alias("available"))
+    return groups.groupBy(*by).agg(F.count("*").alias("groups"), files.alias("files"), (files - F.count("*")).alias("redundant"), F.lit(True).alias("available"))
 
 
 def source_folders(inv: DataFrame, by: By = ()) -> DataFrame:
     """(path, label, non_empty) of every folder but the root."""
     full = nonempty_folders(inv, by).withColumnRenamed("folder", "path").withColumn("non_empty", F.lit(True))
-    return folders(inv).select(*by, "path", _folder_label().alias("label")).join(full, [*by, "path"], "left").withColumn("non_empty", F.coalesce("non_empty", F.lit(False)))
+    return folders(inv).select(*by, "path", _folder_label().alias("label")).hint("merge").join(full.hint("merge"), [*by, "path"], "left").withColumn("non_empty", F.coalesce("non_empty", F.lit(False)))
 
 
-def structure(inv: DataFrame) -> DataFrame:
+def structure(inv: DataFrame, by: By = ()) -> DataFrame:
     """root_items and their share, folders with an order number in front, folder count."""
     is_item = F.col("level") == "Item"
     n_items = F.count_if(is_item)
-    at_root = F.count_if(is_item & (X.depth(F.col("path")) == 1))
+    at_root = F.count_if(is_item & (_derived(inv, "__depth") == 1))
     folder = (F.col("level") == "RecordGrp") & (F.col("path") != ".")
-    return inv.agg(
+    return inv.groupBy(*by).agg(
         at_root.alias("root_items"),
         F.coalesce(F.round(F.try_divide(100 * at_root, n_items), 1), F.lit(0.0)).alias("root_items_pct"),
-        F.count_if(folder & F.trim(X.basename(F.col("path"))).rlike(r"^[0-9]+[\s._)-]")).alias("prefixed_folders"),
+        F.count_if(folder & F.trim(_derived(inv, "__name")).rlike(r"^[0-9]+[\s._)-]")).alias("prefixed_folders"),
         F.count_if(folder).alias("folder_count"),
     )
 
 
-def crowded_folders(inv: DataFrame, k: int = 5, by_path: bool = False) -> DataFrame:
+def crowded_folders(inv: DataFrame, k: int = 5, by_path: bool = False, by: By = ()) -> DataFrame:
     """(folder, n): the folders with most direct files, by name, or by path."""
     name: Column = X.parent_path(F.col("path")) if by_path else F.try_element_at(X.segments(F.col("path")), F.lit(-2))
-    return topk(items(inv).where(X.depth(F.col("path")) >= 2).select(name.alias("folder")), "folder", k)
+    return topk(items(inv).where(_derived(inv, "__depth") >= 2).select(*by, name.alias("folder")), "folder", k, by)
 
 
-def scan(inv: DataFrame) -> dict[str, DataFrame]:
-    """All measures of one inventory; the rows are cached once for them."""
-    inv = inv.persist()
+def scan(inv: DataFrame, by: By = ()) -> dict[str, DataFrame]:
+    """All measures of one inventory, or of each holding. What they share is derived once and written to the shared folder, so
+    that each of them reads its own columns only, and no cache is left behind."""
+    inv = materialise(prepared(inv), "scan")
     return {
-        "volumetry": volumetry(inv),
-        "top_formats": top_formats(inv),
-        "risky_formats": risky_formats(inv),
-        "compressed_formats": compressed_formats(inv),
-        "noise": noise(inv),
-        "name_collisions": name_collision_totals(inv),
-        "strict_duplicates": strict_duplicate_totals(inv),
-        "empty_folders": empty_folders(inv),
-        "source_folders": source_folders(inv).agg(F.count("*").alias("folders"), F.count_if("non_empty").alias("non_empty")),
-        "structure": structure(inv),
-        "crowded_folders": crowded_folders(inv),
+        "volumetry": volumetry(inv, by),
+        "top_formats": top_formats(inv, by=by),
+        "risky_formats": risky_formats(inv, by),
+        "compressed_formats": compressed_formats(inv, by),
+        "noise": noise(inv, by),
+        "name_collisions": name_collision_totals(inv, by),
+        "strict_duplicates": strict_duplicate_totals(inv, by),
+        "empty_folders": empty_folders(inv, by=by),
+        "source_folders": source_folders(inv, by).groupBy(*by).agg(F.count("*").alias("folders"), F.count_if("non_empty").alias("non_empty")),
+        "structure": structure(inv, by),
+        "crowded_folders": crowded_folders(inv, by=by),
     }

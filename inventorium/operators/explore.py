@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as X
-from .hierarchy import items
+from .hierarchy import By, items
 
 FILTER_KEYS = ("keywords", "extension", "folder", "year_min", "year_max")
 PAGE_SIZE, MAX_BUCKETS, MAX_TERMS, MAX_SAMPLE = 20, 20, 50, 20
@@ -49,31 +49,37 @@ def filter_items(inv: DataFrame, spec: dict | None = None) -> DataFrame:
     return items(inv).where(structured_filter(spec))
 
 
-def result_row(rows: DataFrame) -> DataFrame:
+def result_row(rows: DataFrame, by: By = ()) -> DataFrame:
     """path, title, kind, date: how every search shows a row."""
-    return rows.select("path", "title", F.when(F.col("level") == "Item", "file").otherwise("folder").alias("kind"), F.col("start_date").alias("date"))
+    return rows.select(*by, "path", "title", F.when(F.col("level") == "Item", "file").otherwise("folder").alias("kind"), F.col("start_date").alias("date"))
 
 
-def keyword_search(inv: DataFrame, words: str | list[str]) -> DataFrame:
+def keyword_search(inv: DataFrame, words: str | list[str], by: By = ()) -> DataFrame:
     """Folders and Items, without the root, whose path or title has all words."""
     words = words.split() if isinstance(words, str) else words
-    return result_row(inv.where((F.col("path") != ".") & structured_filter({"keywords": words})))
+    return result_row(inv.where((F.col("path") != ".") & structured_filter({"keywords": words})), by)
 
 
-def tree_search(inv: DataFrame, query: str) -> DataFrame:
+def tree_search(inv: DataFrame, query: str, by: By = ()) -> DataFrame:
     """(path, matched): nodes that match themselves, and those with a match below them."""
-    hit = inv.where((F.col("path") != ".") & structured_filter({"keywords": [query]})).select("path")
-    above = hit.select(F.explode(X.ancestor_paths(F.col("path"))).alias("path")).distinct()
-    return hit.distinct().withColumn("matched", F.lit(True)).unionByName(above.join(hit, "path", "left_anti").withColumn("matched", F.lit(False)))
+    hit = inv.where((F.col("path") != ".") & structured_filter({"keywords": [query]})).select(*by, "path").distinct()
+    above = hit.select(*by, F.explode(X.ancestor_paths(F.col("path"))).alias("path")).distinct()
+    return hit.withColumn("matched", F.lit(True)).unionByName(above.hint("merge").join(hit.hint("merge"), [*by, "path"], "left_anti").withColumn("matched", F.lit(False)))
 
 
 def exclude_noise_names(rows: DataFrame) -> DataFrame:
     return rows.where(~X.is_hidden_or_noise(F.col("path")))
 
 
-def paginate(rows: DataFrame, page: int = 0, size: int = PAGE_SIZE) -> DataFrame:
-    """Rows of a page in input order, with total and pages; a page beyond the end is an error that tells the totals."""
+def paginate(rows: DataFrame, page: int = 0, size: int = PAGE_SIZE, by: By = ()) -> DataFrame:
+    """Rows of a page in input order, with total and pages; a page beyond the end is an error that tells the totals. Of many
+    holdings (``by``) each gives its own page, and those with fewer pages give none."""
     page = max(0, page)
+    if by:
+        own = Window.partitionBy(*by)
+        pages = F.greatest(F.ceil(F.col("total") / size), F.lit(1)).cast("int")
+        placed = rows.withColumns({"__nth": F.row_number().over(own.orderBy("pos", "path")), "total": F.count("*").over(own)}).withColumn("pages", pages)
+        return placed.where((F.col("__nth") > page * size) & (F.col("__nth") <= (page + 1) * size)).drop("__nth")
     total = rows.count()
     pages = max(1, -(-total // size))
     if page >= pages:
@@ -81,17 +87,29 @@ def paginate(rows: DataFrame, page: int = 0, size: int = PAGE_SIZE) -> DataFrame
     return rows.orderBy("pos", "path").offset(page * size).limit(size).withColumns({"total": F.lit(total), "pages": F.lit(pages)})
 
 
-def topk(rows: DataFrame, key: str, k: int) -> DataFrame:
+def most(counts: DataFrame, key: str, k: int, by: By) -> DataFrame:
+    """The k rows of each holding with the greatest n, ties by key."""
+    if not by:
+        return counts.orderBy(F.desc("n"), key).limit(k)
+    order = Window.partitionBy(*by).orderBy(F.desc("n"), key)
+    return counts.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= k).drop("__k")
+
+
+def beside(rows: DataFrame, totals: DataFrame, by: By) -> DataFrame:
+    """``rows`` with the totals of their holding."""
+    return rows.hint("merge").join(totals.hint("merge"), list(by)) if by else rows.crossJoin(F.broadcast(totals))  # one row
+
+
+def topk(rows: DataFrame, key: str, k: int, by: By = ()) -> DataFrame:
     """(key, n): most frequent first, ties by key."""
-    return rows.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(k)
+    return most(rows.groupBy(*by, key).agg(F.count("*").alias("n")), key, k, by)
 
 
-def count_items(inv: DataFrame, spec: dict | None = None, k: int = 5) -> DataFrame:
+def count_items(inv: DataFrame, spec: dict | None = None, k: int = 5, by: By = ()) -> DataFrame:
     """(extension, n, total): the exact total beside the most frequent extensions."""
-    found = filter_items(inv, spec).select(X.extension(F.col("path")).alias("extension"))
-    counts = found.groupBy("extension").agg(F.count("*").alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    return counts.orderBy(F.desc("n"), "extension").limit(k).crossJoin(F.broadcast(total))
+    found = filter_items(inv, spec).select(*by, X.extension(F.col("path")).alias("extension"))
+    counts = found.groupBy(*by, "extension").agg(F.count("*").alias("n"))
+    return beside(most(counts, "extension", k, by), counts.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total")), by)
 
 
 DIMENSIONS = {
@@ -101,14 +119,14 @@ DIMENSIONS = {
 }
 
 
-def stats_by(inv: DataFrame, dim: str, spec: dict | None = None, max_buckets: int = MAX_BUCKETS) -> DataFrame:
+def stats_by(inv: DataFrame, dim: str, spec: dict | None = None, max_buckets: int = MAX_BUCKETS, by: By = ()) -> DataFrame:
     """(value, n): the most frequent values, and what is left as (autres)."""
     if dim not in DIMENSIONS:
         raise ValueError(f"dimension must be one of {sorted(DIMENSIONS)}")
-    counts = filter_items(inv, spec).groupBy(DIMENSIONS[dim]().alias("value")).agg(F.count("*").alias("n"))
-    # the values of a dimension are few beside the Items: the ranking sorts what is already aggregated
-    ranked = counts.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("n"), "value")))
-    return ranked.groupBy(F.when(F.col("rn") > max_buckets, "(autres)").otherwise(F.col("value")).alias("value")).agg(F.sum("n").alias("n"))
+    counts = filter_items(inv, spec).groupBy(*by, DIMENSIONS[dim]().alias("value")).agg(F.count("*").alias("n"))
+    top = most(counts, "value", max_buckets, by)
+    left = counts.groupBy(*by).agg(F.sum("n").alias("n")).unionByName(top.select(*by, (-F.col("n")).alias("n"))).groupBy(*by).agg(F.sum("n").alias("n"))
+    return top.unionByName(left.where("n > 0").withColumn("value", F.lit("(autres)")))
 
 
 def terms(path: Column, title: Column) -> Column:
@@ -124,12 +142,11 @@ def terms(path: Column, title: Column) -> Column:
     return F.array_except(F.array_distinct(found), F.array(*[F.lit(w) for w in folded]))
 
 
-def frequent_terms(inv: DataFrame, spec: dict | None = None, n: int = 20) -> DataFrame:
+def frequent_terms(inv: DataFrame, spec: dict | None = None, n: int = 20, by: By = ()) -> DataFrame:
     """(term, n, distinct_terms): in how many files a term occurs."""
-    each = filter_items(inv, spec).select(F.explode(terms(F.col("path"), F.col("title"))).alias("term"))
-    counts = each.groupBy("term").agg(F.count("*").alias("n"))
-    total = counts.agg(F.count("*").alias("distinct_terms"))
-    return counts.orderBy(F.desc("n"), "term").limit(min(n, MAX_TERMS)).crossJoin(F.broadcast(total))
+    each = filter_items(inv, spec).select(*by, F.explode(terms(F.col("path"), F.col("title"))).alias("term"))
+    counts = each.groupBy(*by, "term").agg(F.count("*").alias("n"))
+    return beside(most(counts, "term", min(n, MAX_TERMS), by), counts.groupBy(*by).agg(F.count("*").alias("distinct_terms")), by)
 
 
 def even_sample(inv: DataFrame, spec: dict | None = None, n: int = 5) -> DataFrame:
@@ -152,10 +169,10 @@ def number_rows(rows: DataFrame, order: list[str], name: str, by: tuple[str, ...
         return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
     from ..session import materialise
 
-    parts = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), "numbered")
-    counts = parts.groupBy("__part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
-    local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    starts = before.select("__part", F.coalesce("before", F.lit(0)).alias("before"))
+    part, nth = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)  # the identifier's own layout
+    parts = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    counts = parts.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__part", before.alias("__before"))
     # one row for each partition of the sort
-    return parts.withColumn(name, local).join(F.broadcast(starts), "__part").withColumn(name, (F.col(name) + F.col("before")).cast("long")).drop("__part", "before")
+    return parts.join(F.broadcast(starts), part == F.col("__part")).withColumn(name, (nth + F.col("__before") + 1).cast("long")).drop("__at", "__part", "__before")

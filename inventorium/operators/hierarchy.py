@@ -103,16 +103,19 @@ def _first_labels(rows: DataFrame, k: int, by: By, count: str) -> DataFrame:
 
 
 def has_cycle(tree: DataFrame, by: By = ()) -> DataFrame:
-    """One row: has_cycle. Every node's pointer jumps twice as far each round; one that still points at a node after
-    log2(n) + 1 rounds lies on a cycle or leads to one."""
+    """has_cycle, in one row, or one for each holding. Every node's pointer jumps twice as far each round, until none is left;
+    one that still points at a node after log2(n) + 1 rounds lies on a cycle or leads to one."""
     nodes = tree.select(*by, "id", F.nullif("parent_id", F.lit("")).alias("up")).dropDuplicates([*by, "id"])
     nodes = materialise(nodes, "pointers")
     rounds = max(1, nodes.count()).bit_length() + 1
     for _ in range(rounds):
+        if nodes.where("up IS NOT NULL").isEmpty():
+            break
         above = nodes.select(*by, F.col("id").alias("up"), F.col("up").alias("next"), F.lit(True).alias("known"))
-        nodes = nodes.where("up IS NOT NULL").join(above, [*by, "up"], "left").where("known").select(*by, "id", F.col("next").alias("up")).unionByName(nodes.where("up IS NULL").select(*by, "id", "up"))
-        nodes = materialise(nodes, "pointers")
-    return nodes.agg(F.coalesce(F.bool_or(F.col("up").isNotNull()), F.lit(False)).alias("has_cycle"))
+        # a pointer to no node ends there
+        jumped = nodes.where("up IS NOT NULL").hint("merge").join(above.hint("merge"), [*by, "up"], "left").select(*by, "id", F.when(F.col("known"), F.col("next")).alias("up"))
+        nodes = materialise(jumped.unionByName(nodes.where("up IS NULL").select(*by, "id", "up")), "pointers")
+    return nodes.groupBy(*by).agg(F.coalesce(F.bool_or(F.col("up").isNotNull()), F.lit(False)).alias("has_cycle"))
 
 
 def max_depth(inv: DataFrame, by: By = ()) -> DataFrame:

@@ -126,30 +126,33 @@ def subtree_signatures(paths: DataFrame) -> DataFrame:
     return sig.select("plan_id", F.col("top").alias("path"), F.when(above == ".", "").otherwise(above).alias("parent"), X.basename(F.col("top")).alias("name"), "sig")
 
 
-def _greedy(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-    """Changes of one holding's plan: highest nodes first; a match takes its subtree along, the most similar name first."""
+def _pairs(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+    """Changes of one holding's plan: all renames first, then all moves; the highest nodes first, each match with the subtree
+    that it takes along. Of several equal subtrees a rename takes the most similar name, a move the most similar parent."""
     from difflib import SequenceMatcher
 
     before, after = set(old["path"]), set(new["path"])
     removed, added = before - after, after - before
-    olds, news = old.set_index("path"), new.set_index("path")
     out = [(p, p, "unchanged") for p in sorted(before & after)]
-
-    def depth(p: str) -> tuple[int, str]:
-        return p.count("/"), p
-
-    for path in sorted(removed, key=depth):
-        if path not in removed:
-            continue
-        row = olds.loc[path]
-        for kind, column in (("renamed", "parent"), ("moved", "name")):
-            near = [p for p in added if news.loc[p, "sig"] == row["sig"] and news.loc[p, column] == row[column]]
-            if near:
-                best = max(near, key=lambda p: (SequenceMatcher(None, row["name"], news.loc[p, "name"]).ratio(), [-ord(c) for c in p]))
+    rows = {r.path: r for r in old.itertuples() if r.path in removed}
+
+    def high(path: str) -> tuple[int, list[str]]:
+        return path.count("/"), path.split("/")
+
+    for kind, same, differ in (("renamed", "parent", "name"), ("moved", "name", "parent")):
+        near: dict[tuple[str, str], list] = {}
+        for r in sorted(new[new["path"].isin(added)].itertuples(), key=lambda r: high(r.path)):
+            near.setdefault((getattr(r, same), r.sig), []).append(r)
+        for path in sorted(removed, key=high):
+            if path not in removed:
+                continue
+            row = rows[path]
+            left = [r for r in near.get((getattr(row, same), row.sig), ()) if r.path in added]
+            if left:
+                best = max(left, key=lambda r: SequenceMatcher(None, getattr(row, differ), getattr(r, differ)).ratio()).path
                 out.append((path, best, kind))
                 removed -= {p for p in removed if p == path or p.startswith(path + "/")}
                 added -= {p for p in added if p == best or p.startswith(best + "/")}
-                break
     out += [(p, None, "removed") for p in sorted(removed)] + [(None, p, "added") for p in sorted(added)]
     return pd.DataFrame([(key[0], *r) for r in out], columns=["plan_id", "old_path", "new_path", "change"])
 
@@ -158,6 +161,6 @@ def diff_plans(old: DataFrame, new: DataFrame) -> DataFrame:
     """(plan_id, old_path, new_path, change) between two states (plan_id, path) of each plan: unchanged, renamed, moved,
     removed, added. Matching is sequential within a plan, which is small; plans are many."""
     a, b = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (subtree_signatures(old), subtree_signatures(new)))
-    return a.groupBy("plan_id").cogroup(b.groupBy("plan_id")).applyInPandas(_greedy, f"plan_id {old.schema['plan_id'].dataType.simpleString()}, old_path string, new_path string, change string")
+    return a.groupBy("plan_id").cogroup(b.groupBy("plan_id")).applyInPandas(_pairs, f"plan_id {old.schema['plan_id'].dataType.simpleString()}, old_path string, new_path string, change string")
 
 

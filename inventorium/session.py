@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,13 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, most_rows: int, otherwise: str = "merge") -> DataFrame:
+    """``df``, which is cheap to count, hinted for a join: broadcast up to ``most_rows``, else joined by a shuffle. Only rows of
+    a few numbers or short names belong here."""
+    small = df.limit(most_rows + 1).count() <= most_rows
+    return F.broadcast(df) if small else df.hint(otherwise)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
@@ -25,37 +25,52 @@ def usable_plans(plans: DataFrame) -> DataFrame:
     return plans.where("kind = 'folders'").unionByName(plans.where("kind = 'markdown'").join(good, "plan_id", "left_semi"))
 
 
+#: Separators of answers, in the order in which they are looked for.
+_SEPARATORS = (";", ",", "\t")
+
+
+def _fields(line: Column, sep: str) -> Column:
+    """The fields of a line, trimmed; quoted ones may hold the separator, and doubled quotes stand for one."""
+    raw = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(sep + r'("(?:[^"]|"")*"|[^' + sep + "]*)"), F.lit(1))
+    bare = lambda f: F.when(F.startswith(F.trim(f), F.lit('"')), F.replace(F.regexp_replace(F.trim(f), '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(f)
+    return F.transform(raw, lambda f: F.trim(bare(f)))
+
+
 def ingest_responses(responses: DataFrame, id_col: str = "Path") -> DataFrame:
     """(batch_id, line, path or ref, target, new_title) of raw answers (batch_id, raw_text).
 
-    The last fenced block counts, or the whole text; lines in brackets are marks and dropped, and so is a header. Fields are
-    split at semicolons, commas or tabs, whichever the line has first in that order; a leading index column is dropped where
-    the header has one; missing fields are empty, extra ones cut off. One job over all batches."""
+    The last fenced block counts, or the whole text; lines or keys in brackets are marks and dropped. A batch is separated by
+    semicolons, commas or tabs, whichever its header has, or any of its lines if it has none, in that order; a line without
+    the separator is prose. Fields are found by the names of the header, and by position without one; missing fields are
+    empty, extra ones cut off. One job over all batches."""
     name = "ref" if id_col.lower() == "ref" else "path"
+    wanted = (id_col.lower(), "targetfolder", "newtitle")
     text = F.regexp_replace(X.text(F.col("raw_text")), "\ufeff|\r", "")
     fences = F.regexp_extract_all(text, F.lit(r"(?s)```[A-Za-z]*[ \t]*\n(.*?)```"), F.lit(1))
-    block = F.coalesce(F.try_element_at(fences, F.lit(-1)), text)
-    lines = responses.select("batch_id", F.posexplode(F.split(block, "\n")).alias("line", "raw"))
-    lines = lines.where((F.trim("raw") != "") & ~F.trim("raw").rlike(r"^\[.*\]$") & ~F.trim("raw").startswith("```"))
-    sep = F.when(F.contains("raw", F.lit(";")), ";").when(F.contains("raw", F.lit(",")), ",").otherwise("\t")
-    fields = None
-    for s in (";", ",", "\t"):
-        schema = ", ".join(f"c{k} string" for k in range(4))
-        parsed = F.from_csv(F.col("raw"), F.lit(schema), {"sep": s, "quote": '"', "escape": '"', "mode": "PERMISSIVE"})
-        own = F.array(*[F.trim(X.text(parsed[f"c{k}"])) for k in range(4)])
-        fields = F.when(sep == s, own) if fields is None else fields.when(sep == s, own)
-    rows = lines.withColumn("f", fields)
-    names = F.transform("f", F.lower)
-    header = F.array_contains(names, "targetfolder")
-    indexed = rows.groupBy("batch_id").agg(F.coalesce(F.bool_or(header & (F.array_position(names, id_col.lower()) == 2)), F.lit(False)).alias("indexed"))
-    rows = rows.where(~header).join(indexed, "batch_id")
-    shift = F.when(F.col("indexed"), 1).otherwise(0)
-
-    def field(k: int):
-        return X.text(F.try_element_at("f", shift + k))
-
-    prose = ~X.is_data_line(F.col("raw")) & ~F.contains("raw", F.lit("\t"))
-    return rows.where(~prose).select("batch_id", "line", field(1).alias(name), field(2).alias("target"), field(3).alias("new_title")).where(F.col(name) != "")
+    block = F.filter(F.split(F.coalesce(F.try_element_at(fences, F.lit(-1)), text), "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("```")))
+    names = lambda line, sep: F.transform(_fields(line, sep), F.lower)
+    is_header = lambda line: F.regexp_replace(F.lower(line), r'[\s"]', "").rlike("(^|[;,\t])targetfolder([;,\t]|$)")
+    batches = responses.select("batch_id", block.alias("block"))
+    batches = batches.withColumn("header", F.try_element_at(F.filter("block", is_header), F.lit(1)))
+    shown = F.coalesce(F.col("header"), F.array_join("block", " "))
+    sep = F.coalesce(*[F.when(F.contains(shown, F.lit(s)), s) for s in _SEPARATORS])
+    batches = batches.withColumn("sep", sep).where("sep IS NOT NULL")
+
+    def by_sep(value) -> Column:
+        return F.coalesce(*[F.when(F.col("sep") == s, value(s)) for s in _SEPARATORS])
+
+    found = F.array(*[F.array_position(F.col("names"), w) for w in wanted])
+    batches = batches.withColumn("names", by_sep(lambda s: names(F.col("header"), s)))
+    places = F.when(F.col("header").isNull(), F.array(F.lit(1), F.lit(2), F.lit(3)).cast("array<bigint>")).when(found[0] > 0, found).otherwise(F.array(F.lit(1).cast("bigint"), found[1], found[2]))
+    lines = batches.select("batch_id", "sep", places.alias("places"), F.posexplode("block").alias("line", "raw"))
+    lines = lines.where(~is_header(F.col("raw")) & F.contains("raw", F.col("sep"))).withColumn("f", by_sep(lambda s: _fields(F.col("raw"), s)))
+
+    def field(k: int) -> Column:
+        at = F.col("places")[k]
+        return F.when(at > 0, X.text(F.try_element_at("f", at.cast("int")))).otherwise("")
+
+    rows = lines.select("batch_id", "line", field(0).alias(name), field(1).alias("target"), field(2).alias("new_title"))
+    return rows.where((F.col(name) != "") & ~F.col(name).rlike(r"^\[.*\]$"))
 
 
 def normalise_corrections(raw: DataFrame) -> DataFrame:
@@ -85,7 +100,9 @@ def parse_directives(lines: DataFrame) -> DataFrame:
 
 
 def read_directives(spark: SparkSession, path: str) -> DataFrame:
-    return parse_directives(spark.read.text(path).withColumn("pos", F.monotonically_increasing_id()))
+    from .inventory import in_file_order
+
+    return parse_directives(in_file_order(spark.read.text(path)))
 
 
 def read_eval_reports(spark: SparkSession, path: str) -> DataFrame:

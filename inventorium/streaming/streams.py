@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..session import path_exists
 from ..sources.texts import ingest_responses
 
 #: Tokens of a day in total, and tries of one client in one stage, that are too many.
@@ -44,6 +45,10 @@ def ingest(spark: SparkSession, folder: str, checkpoint: str, sink: str):
     fresh = stream.withWatermark("ts", "1 day").dropDuplicatesWithinWatermark(["batch_id"])
 
     def store(part: DataFrame, epoch: int) -> None:
+        # The sink itself tells what is in; an epoch that is repeated after a failure writes its own folder again.
+        if path_exists(spark, sink):
+            known = spark.read.schema("batch_id string, epoch int").option("basePath", sink).parquet(sink)
+            part = part.hint("merge").join(known.where(F.col("epoch") != epoch).select("batch_id").distinct().hint("merge"), "batch_id", "left_anti")
         ingest_responses(part).write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
 
     return fresh.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
