@@ -7,9 +7,9 @@ import types
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import materialise, new_path, path_exists, remove, shared_dir
+from ..session import materialise, new_path, path_exists, remove, shared_dir, sized
 
-__all__ = ["free_name", "materialise", "new_path", "path_exists", "remove", "shared_dir", "table", "worker_cache"]
+__all__ = ["free_name", "materialise", "new_path", "path_exists", "remove", "shared_dir", "sized", "table", "worker_cache"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,8 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items are collected and broadcast up to this many bytes of text; a larger benchmark is scanned for in slices of that size.
-MAX_INDEX_BYTES = 32 << 20
+from .common import free_name, materialise, sized, table
+
+#: Bytes of an index that tasks hold at once. A larger benchmark is taken in slices, one job after another.
+MAX_INDEX_BYTES = 128 << 20
+#: Bytes of an index for a byte of text, at most: a word of four bytes and its space with an entry of the vocabulary, a number
+#: and a window of its own.
+_INDEX_PER_TEXT = 32
+
+#: Keys of contaminated texts that are broadcast; more are joined by a shuffle.
+MOST_KEYS = 1_000_000
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _SPANS = "array<struct<first:long,last:long>>"
@@ -32,34 +40,54 @@ def words(text: str | None) -> list[bytes]:
 
 
 class NgramIndex:
-    """The windows of all items as sequences of word numbers, and which items have each."""
+    """The windows of all items in arrays: for each length of window the sorted sums of the windows, where each starts in the
+    items' word numbers, and whose it is."""
 
     def __init__(self, items: list[tuple[str, str | None]], n: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, list[str]]] = {}
+        self.names = sorted({item for item, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        flat: list[np.ndarray] = []
+        by_size: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        at = 0
         for item, text in items:
             own = words(text)
-            numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own], dtype=np.int32)
-            size = min(n, len(own))
-            for i in range(len(own) - size + 1 if own else 0):
-                holders = self.windows.setdefault(size, {}).setdefault(numbers[i : i + size].tobytes(), [])
-                if item not in holders:
-                    holders.append(item)
-        self.sums = {size: np.unique(_sums(np.frombuffer(b"".join(of), dtype=np.int32).reshape(-1, size))) for size, of in self.windows.items()}
-
-    def hits(self, numbers: np.ndarray) -> Iterator[tuple[int, int, list[str]]]:
-        """Start, size and items of every window that occurs in a sequence of word numbers, where 0 is any other word."""
+            flat.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in own], dtype=np.int32))
+            if own:
+                size = min(n, len(own))
+                starts = np.arange(at, at + len(own) - size + 1)
+                by_size.setdefault(size, []).append((starts, np.full(len(starts), number[item], dtype=np.int32)))
+            at += len(own)
+        self.flat = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, parts in by_size.items():
+            starts, whose = (np.concatenate(c) for c in zip(*parts, strict=True))
+            sums = np.concatenate([_sums(np.lib.stride_tricks.sliding_window_view(self.flat, size)[starts[k : k + (1 << 16)]]) for k in range(0, len(starts), 1 << 16)])
+            order = np.argsort(sums, kind="stable")
+            self.windows[size] = sums[order], starts[order], whose[order]
+
+    @property
+    def nbytes(self) -> int:
+        """What the arrays and the vocabulary take, about."""
+        return self.flat.nbytes + sum(a.nbytes for of in self.windows.values() for a in of) + sum(len(w) + 130 for w in self.vocabulary)
+
+    def hits(self, numbers: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Start, size and items (numbers in ``names``) of every window that occurs in a sequence of word numbers, where 0 is
+        any other word."""
         known = np.concatenate(([0], np.cumsum(numbers > 0)))
-        for size, found in self.windows.items():
+        for size, (own, starts_of, whose) in self.windows.items():
             starts = np.flatnonzero(known[size:] - known[:-size] == size)
             for lo in range(0, len(starts), 1 << 16):
                 part = starts[lo : lo + (1 << 16)]
                 views = np.lib.stride_tricks.sliding_window_view(numbers, size)[part]
                 sums = _sums(views)
-                at = np.minimum(np.searchsorted(self.sums[size], sums), len(self.sums[size]) - 1)
-                for k in np.flatnonzero(self.sums[size][at] == sums):
-                    if (items := found.get(views[k].tobytes())) is not None:
-                        yield int(part[k]), size, items
+                first = np.searchsorted(own, sums)
+                for k in np.flatnonzero(own[np.minimum(first, len(own) - 1)] == sums):
+                    end = np.searchsorted(own, sums[k], side="right")
+                    there = self.flat[starts_of[first[k] : end][:, None] + np.arange(size)]
+                    same = (there == views[k]).all(axis=1)
+                    if same.any():
+                        yield int(part[k]), size, whose[first[k] : end][same]
 
 
 def _sums(rows: np.ndarray) -> np.ndarray:
@@ -81,14 +109,14 @@ def _scan(index: NgramIndex, texts: list[str | None]) -> Iterator[tuple[int, lis
         bounds.append(bounds[-1] + len(own) + 1)
     every = np.concatenate(numbers) if numbers else np.zeros(0, dtype=np.int32)
     spans: dict[int, list[tuple[int, int]]] = {}
-    items: dict[int, set[str]] = {}
+    items: dict[int, set[int]] = {}
     starts = np.array(bounds[:-1])
     for at, size, found in index.hits(every):
         k = int(np.searchsorted(starts, at, side="right")) - 1
         spans.setdefault(k, []).append((at - bounds[k], at - bounds[k] + size - 1))
-        items.setdefault(k, set()).update(found)
+        items.setdefault(k, set()).update(found.tolist())
     for k in range(len(texts)):
-        yield bounds[k + 1] - bounds[k] - 1, _merged(spans.get(k, [])), sorted(items.get(k, ()))
+        yield bounds[k + 1] - bounds[k] - 1, _merged(spans.get(k, [])), [index.names[i] for i in sorted(items.get(k, ()))]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[dict]:
@@ -117,61 +145,69 @@ def _without(text: str, spans: list[dict]) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "replace")
 
 
-def _slices(benchmark: DataFrame, id_col: str, text_col: str, max_index_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item") + 64), F.lit(0)).alias("b")).first().b
-    parts = max(1, -(-total // max_index_bytes))
-    for k in range(parts):
-        own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-        yield [(r.item, r.text) for r in own.collect()]
+def _slices(benchmark: DataFrame, id_col: str, text_col: str, max_index_bytes: int) -> list[DataFrame]:
+    """The items (item, text) in as many parts as keep the index of each within the bound."""
+    items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + F.octet_length("item") + 16
+    total = items.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b")).first().b
+    parts = max(1, -(-total * _INDEX_PER_TEXT // max_index_bytes))
+    return [items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k) for k in range(parts)]
+
+
+_HITS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+
+def _scanned(docs: DataFrame, items: DataFrame, n: int, all_rows: bool):
+    """(scan of ``docs`` (doc_id, text), its broadcast): doc_id, text_key, n_words, spans, items; only rows with hits unless
+    ``all_rows``."""
+    index = docs.sparkSession.sparkContext.broadcast(NgramIndex([(r.item, r.text) for r in items.collect()], n))  # bounded by the slices
+    slim = docs.select("doc_id", F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b")).alias("text_key"), "text")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(_scan(index.value, batch.column("text").to_pylist()))
+            found = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], _HITS), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *found], ["doc_id", "text_key", "n_words", "spans", "items"])
+            yield out if all_rows else out.filter(pa.array([bool(r[1]) for r in rows], pa.bool_()))
+
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    return slim.mapInArrow(scan, f"doc_id {kind}, text_key struct<a:long,b:int>, n_words long, spans {_SPANS}, items array<string>"), index
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    """(key, s, i): the merged spans and the items of each text with hits, from the slices' findings."""
+    every = parts[0]
+    for other in parts[1:]:
+        every = every.unionByName(other)
+    grouped = every.where(F.size("spans") > 0).groupBy("text_key").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("i"))
+    last = lambda acc: F.element_at(acc, -1)
+    longer = lambda acc, x: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["first"].alias("first"), F.greatest(last(acc)["last"], x["last"]).alias("last"))))
+    merged = F.aggregate("s", F.array().cast(_SPANS), lambda acc, x: F.when((F.size(acc) > 0) & (x["first"] <= last(acc)["last"] + 1), longer(acc, x)).otherwise(F.concat(acc, F.array(x))))
+    return grouped.select(F.col("text_key").alias("key"), merged.alias("s"), "i")
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_index_bytes: int = MAX_INDEX_BYTES) -> DataFrame:
     """One row per document: its id, n_words, the hit word spans and the items whose windows occur.
 
-    No shuffle: each task looks its documents up in the broadcast windows. A benchmark over ``max_index_bytes`` is taken in
-    slices, each of them broadcast in turn, and the slices' findings are united per document.
-    """
-    spark = docs.sparkSession
+    No shuffle: each task looks its documents up in the broadcast windows. A benchmark whose index would be over
+    ``max_index_bytes`` is taken in slices: each is broadcast, scanned for and dropped before the next, only documents with hits
+    are kept of the later ones, and the findings are united by text."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, text_sum long, n_words long, spans {_SPANS}, items array<string>"
-    slim = slim.withColumn("text_sum", F.xxhash64("text"))
-    found: list[DataFrame] = []
-    for part in _slices(benchmark, item_col, item_text_col, max_index_bytes):
-        index = spark.sparkContext.broadcast(NgramIndex(part, n))
-
-        def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = list(_scan(index.value, batch.column("text").to_pylist()))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        batch.column("text_sum"),
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([r[1] for r in rows], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                        pa.array([r[2] for r in rows], pa.list_(pa.string())),
-                    ],
-                    ["doc_id", "text_sum", "n_words", "spans", "items"],
-                )
-
-        found.append(slim.mapInArrow(scan, schema))
-    if len(found) == 1:
-        return found[0].drop("text_sum")
-    every = found[0]
-    for other in found[1:]:
-        every = every.unionByName(other)
-    # Rows that repeat an id and a text come as often from each slice; dividing by the slices restores their number.
-    united = every.groupBy("doc_id", "text_sum", "n_words").agg(
-        F.flatten(F.collect_set("spans")).alias("s"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        (F.count("*") / len(found)).cast("int").alias("copies"),
-    )
-    merged = F.aggregate(
-        F.array_sort("s"),
-        F.array().cast(_SPANS),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["first"] <= F.element_at(acc, -1)["last"] + 1), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["last"], x["last"]).alias("last"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return united.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "n_words", merged.alias("spans"), "items")
+    slices = _slices(benchmark, item_col, item_text_col, max_index_bytes)
+    if len(slices) == 1:
+        return _scanned(slim, slices[0], n, True)[0].drop("text_key")
+    found = _scan_in_turn(slim, slices, n, True)
+    both = found[0].select("doc_id", "text_key", "n_words").hint("merge").join(_united(found).hint("merge"), F.col("text_key") == F.col("key"), "left")
+    return both.select("doc_id", "n_words", F.coalesce("s", F.array().cast(_SPANS)).alias("spans"), F.coalesce("i", F.array().cast("array<string>")).alias("items"))
+
+
+def _scan_in_turn(docs: DataFrame, slices: list[DataFrame], n: int, all_rows: bool) -> list[DataFrame]:
+    out = []
+    for k, part in enumerate(slices):
+        scan, index = _scanned(docs, part, n, all_rows and k == 0)
+        out.append(materialise(scan, "benchmark-hits"))
+        index.unpersist()
+    return out
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, **columns) -> DataFrame:
@@ -185,29 +221,42 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
     """``docs`` with all its columns, without contaminated documents (remove="documents") or hit words (remove="spans")."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove must be 'documents' or 'spans'")
-    out = docs
-    for part in _slices(benchmark, item_col, item_text_col, max_index_bytes):
-        index = docs.sparkSession.sparkContext.broadcast(NgramIndex(part, n))
-
-        def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.schema.get_field_index(text_col)
-                texts = batch.column(at).to_pylist()
-                rows = list(_scan(index.value, texts))
-                if remove == "documents":
-                    yield batch.filter(pa.array([not r[1] for r in rows], pa.bool_()))
-                else:
-                    kept = [_without(t, r[1]) if r[1] else t for t, r in zip(texts, rows, strict=True)]
-                    yield batch.set_column(at, batch.schema.field(at), pa.array(kept, batch.schema.field(at).type))
-
-        out = out.mapInArrow(clean, docs.schema)
-    return out
+    text = F.col(f"`{text_col}`").cast("string")
+    slices = _slices(benchmark, item_col, item_text_col, max_index_bytes)
+    spans_col, key_col = free_name(docs, "__hit_spans"), free_name(docs, "__text_key")
+    if len(slices) > 1:
+        found = _united(_scan_in_turn(docs.select(F.lit(0).alias("doc_id"), text.alias("text")), slices, n, False))
+        found = materialise(found.select(F.col("key").alias(key_col), F.col("s").alias(spans_col)), "benchmark-spans")
+        keyed = F.struct(F.xxhash64(text).alias("a"), F.hash(text).alias("b")) == F.col(key_col)
+        if remove == "documents":
+            return docs.join(sized(found.select(key_col), MOST_KEYS), keyed, "left_anti")
+        marked = docs.hint("merge").join(found.hint("merge"), keyed, "left").drop(key_col)
+    else:
+        marked = docs
+        index = docs.sparkSession.sparkContext.broadcast(NgramIndex([(r.item, r.text) for r in slices[0].collect()], n))
+
+    several = len(slices) > 1
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            texts = batch.column(at).to_pylist()
+            if several:
+                spans = batch.column(batch.schema.get_field_index(spans_col)).to_pylist()
+                batch = batch.drop_columns([spans_col])
+            else:
+                spans = [r[1] for r in _scan(index.value, texts)]
+            if remove == "documents":
+                yield batch.filter(pa.array([not s for s in spans], pa.bool_()))
+            else:
+                kept = [_without(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
+                yield batch.set_column(at, batch.schema.field(at), pa.array(kept, batch.schema.field(at).type))
+
+    return marked.mapInArrow(clean, docs.schema)
 
 
 def op1_decontamination(spark, sf_dir):
     """Every document against every benchmark item, ten-word windows."""
-    from .common import table
-
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10).drop("spans")
 
 

@@ -2,7 +2,8 @@
 
 Patterns find the base entities: e-mail and IP addresses, payment cards and telephone numbers. They are the seeds: the words
 around each of them, with the shape of what stands between, are lexical patterns. Spark then scores the graph of patterns and
-instances in rounds: a pattern is as good as the instances that it extracts, an unknown instance as good as its patterns.
+instances in rounds, until no score moves: a pattern is as good as the instances that it extracts, an unknown instance as good
+as its patterns.
 Patterns that end with a high score and enough different seeds add the other identifiers that they extract.
 
 Defined results: a null text is an empty one. Repeated rows get a row each, with the same spans. Spans are code points, end
@@ -12,6 +13,7 @@ Other columns of the input are never looked at, and are kept where a function re
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, table
+from .common import free_name, materialise, sized, table
 
 # The base kinds in their order, and the kind of added spans.
 KINDS = ("email", "ip", "card", "phone")
@@ -38,7 +40,11 @@ _EDGES = ".,;:!?()[]{}<>\"'|"
 _LABEL = re.compile(r"(.*[:=])([^:=]+)", re.S)
 
 #: A pattern is trusted with this score and so many different seeds; unknown identifiers have so many digits at least.
-MIN_SCORE, MIN_SEEDS, MIN_DIGITS, ROUNDS = 0.8, 5, 6, 3
+MIN_SCORE, MIN_SEEDS, MIN_DIGITS = 0.8, 5, 6
+#: Scores have settled when none moves by more; they nearly halve the distance each round, and the bound only guards.
+SETTLED, MOST_ROUNDS = 0.01, 20
+#: Trusted patterns that are broadcast; more are joined by a shuffle.
+MOST_PATTERNS = 50_000
 
 
 def _passes_luhn(digits: str) -> bool:
@@ -84,15 +90,20 @@ def _shape(value: str) -> str:
     return "dotted" if value.count(".") >= 3 else "number"
 
 
+def _short(text: str) -> str:
+    """A text that is used as a name: a long one ends in its digest, so that different texts never merge."""
+    return text if len(text) <= 96 else f"{text[:32]}\u2026{hashlib.sha256(text.encode('utf-8', 'replace')).hexdigest()}"
+
+
 def _word(text: str) -> str:
-    return _DIGIT.sub("#", text.strip(_EDGES).lower())[:32]
+    return _short(_DIGIT.sub("#", text.strip(_EDGES).lower()))
 
 
 def _contexts(before: list[str], label: str, after: str, shape: str) -> list[str]:
     """The lexical patterns of an identifier between words: a label in front, two words before, or one on either side."""
     out = []
     if label:
-        out.append(f"{shape} label {label.lower()[-32:]}")
+        out.append(f"{shape} label {_short(label.lower())}")
     if len(before) == 2:
         out.append(f"{shape} before {before[0]} {before[1]}")
     if before and after:
@@ -137,7 +148,7 @@ def instances(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
         after = _word(text[slice(*tokens[last + 1])]) if last + 1 < len(tokens) else ""
         label = text[tokens[first][0] : start].strip("\"'([{<") if tokens else ""
         for pattern in _contexts(before, label, after, _shape(value)):
-            out.append((start, end, value.lower()[:128], pattern, seed))
+            out.append((start, end, _short(value.lower()), pattern, seed))
     return out
 
 
@@ -158,37 +169,41 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_sum"), pa.array(named, pa.list_(_SPAN)), pa.array(listed, pa.list_(_FOUND))], ["doc_id", "text_sum", "base", "found"])
 
 
-def trusted_patterns(edges: DataFrame, rounds: int = ROUNDS, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS) -> DataFrame:
+def trusted_patterns(edges: DataFrame, min_score: float = MIN_SCORE, min_seeds: int = MIN_SEEDS, settled: float = SETTLED, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """(pattern, score) of the patterns that pass. ``edges``: distinct (pattern, instance, seed).
 
     A pattern's score is the mean of its instances' scores, shrunk by seeds / (seeds + 1); an unknown instance is worth
     1 - the product of (1 - score) over its patterns. All counts are over distinct instances, so copies add nothing.
     """
     scored = edges.withColumn("worth", F.col("seed").cast("double"))
-    patterns = None
-    for k in range(rounds):
+    before = None
+    for _ in range(most_rounds):
         seeds = F.sum(F.col("seed").cast("long"))
-        patterns = scored.groupBy("pattern").agg((F.avg("worth") * seeds / (seeds + 1)).alias("score"), seeds.alias("seeds"))
-        if k + 1 < rounds:
-            both = edges.hint("merge").join(patterns.select("pattern", "score").hint("merge"), "pattern")
-            worth = both.where(~F.col("seed")).groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999999)))))).alias("worth"))
-            scored = edges.hint("merge").join(worth.hint("merge"), "instance", "left").withColumn("worth", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("worth", F.lit(0.0))))
-            scored = materialise(scored, "pattern-graph")
+        patterns = materialise(scored.groupBy("pattern").agg((F.avg("worth") * seeds / (seeds + 1)).alias("score"), seeds.alias("seeds")), "pattern-scores")
+        if before is not None:
+            moved = patterns.hint("merge").join(before.hint("merge"), "pattern").where(F.abs(F.col("score") - F.col("old")) > settled)
+            if moved.isEmpty():
+                break
+        before = patterns.select("pattern", F.col("score").alias("old"))
+        both = edges.where(~F.col("seed")).hint("merge").join(patterns.select("pattern", "score").hint("merge"), "pattern")
+        worth = both.groupBy("instance").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999999)))))).alias("worth"))
+        worth = edges.hint("merge").join(worth.hint("merge"), "instance", "left").withColumn("worth", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("worth", F.lit(0.0))))
+        scored = materialise(worth, "pattern-graph")
     return patterns.where((F.col("score") >= min_score) & (F.col("seeds") >= min_seeds)).select("pattern", "score")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text_sum, and spans (start, rank, end); the rank of an added span is that after the base
-    kinds."""
+    kinds. The scan gives no unknown identifier from a token that a base span touches, so added spans overlap none."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_sum", F.xxhash64("text"))
     scanned = materialise(slim.mapInArrow(_scan, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, {_SCAN_SCHEMA}"), "personal-data")
-    listed = scanned.where(F.size("found") > 0).select("doc_id", "text_sum", "base", F.explode("found").alias("x")).select("doc_id", "text_sum", "base", "x.*")
+    listed = scanned.where(F.size("found") > 0).select("doc_id", "text_sum", F.explode("found").alias("x")).select("doc_id", "text_sum", "x.*")
     edges = materialise(listed.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pattern-edges")
-    unknown = listed.where(~F.col("seed") & ~F.exists("base", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
-    added = unknown.hint("merge").join(trusted_patterns(edges).hint("merge"), "pattern")
+    trusted = materialise(trusted_patterns(edges), "trusted-patterns")
+    added = listed.where(~F.col("seed")).hint("merge").join(sized(trusted, MOST_PATTERNS), "pattern")
     per_doc = added.groupBy("doc_id", "text_sum").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).cast("long").alias("rank"), "end")).alias("added"))
     per_doc = per_doc.select(F.col("doc_id").alias("__id"), F.col("text_sum").alias("__sum"), "added")
-    both = scanned.hint("merge").join(per_doc.hint("merge"), (scanned["text_sum"] == per_doc["__sum"]) & scanned["doc_id"].eqNullSafe(per_doc["__id"]), "left")
+    both = scanned.drop("found").hint("merge").join(per_doc.hint("merge"), (scanned["text_sum"] == per_doc["__sum"]) & scanned["doc_id"].eqNullSafe(per_doc["__id"]), "left")
     none = F.array().cast("array<struct<start:bigint,rank:bigint,end:bigint>>")
     return both.select("doc_id", "text_sum", F.array_sort(F.concat("base", F.coalesce("added", none))).alias("spans"))
 

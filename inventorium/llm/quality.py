@@ -1,234 +1,281 @@
-"""Quality by perplexity: an interpolated modified Kneser-Ney model over character n-grams, trained on all trusted text of each
-language, and a threshold for each language at a quantile of its trusted documents' perplexities.
-
-The counts are a table, sharded by language and n-gram. Joins of counts with the sums of their contexts, order by order, give
-the probabilities of the n-grams seen and the back-off weights of their contexts. Characters beyond the most frequent ones of
-a language share one symbol, so a model has at most ALPHABET ** ORDER probabilities; only with that bound, and for the
-MAX_MODELS languages with most trusted text and one pooled model for all others, are they broadcast, and each document is
-scored where it lies. Quantiles come from exact counts of perplexities in narrow bins.
-
-Defined results: a null or empty text has no perplexity and is not kept. Languages without a model of their own, null
-included, use the pooled one and its threshold. Repeated rows get a row each; a label that repeats counts once, and a document
-is trusted if no label of it says otherwise. Without trusted text nothing is scored or kept. An empty table gives no rows.
-Other columns of the inputs are never looked at.
+"""Quality by perplexity: an interpolated modified Kneser-Ney model over character n-grams, trained on the trusted text of each
+language, and thresholds for each language at a quantile of trusted documents that the model has not seen.
+
+Counts, probabilities and back-off weights are tables, sharded by model and n-gram. An n-gram is its context (the characters
+before, 21 bits each) and its last symbol, so every character of Unicode counts as itself and no table has a fixed size.
+Documents are dealt into chunks of bounded size by one shuffle. Each chunk sends its distinct n-grams, not those of each
+document, to the sharded tables; their costs come back by joins and meet the chunk's texts, which were shuffled once, in a
+cogroup that sums them over each document. No part of the model is collected or broadcast, but for tables of proven size.
+
+A document passes if its perplexity and its peak, the dearest WINDOW characters, are both under their thresholds: a few bad
+words hardly move a mean, and a peak shows them.
+
+Defined results: a null or empty text has no perplexity and is not kept. Languages without a model of their own, null and
+the empty string included, use the model pooled over all trusted text, and its thresholds where theirs has no held-out text.
+Repeated rows get a row each; a label that repeats counts once, and a document is trusted if no label of it says otherwise.
+Without trusted text nothing is scored or kept. If no trusted document is held out, thresholds come from all trusted ones. An
+empty table gives no rows. Other columns of the inputs are never looked at.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, table, worker_cache
+from .common import materialise, sized, table
 
-ORDER, ALPHABET, MAX_MODELS = 4, 40, 12
-#: Of the trusted documents of a language, this share has a perplexity under the threshold.
-QUANTILE = 0.995
+ORDER, WINDOW = 4, 6
+#: Of the held-out trusted documents of a language, this share is under each threshold.
+QUANTILE = 0.99
+#: Bytes of text in a chunk, about.
+CHUNK_BYTES = 32 << 20
+#: Trusted ids and rows of small model tables that are broadcast; more are joined by a shuffle.
+MOST_IDS, MOST_ROWS = 2_000_000, 50_000
 _BINS = 512
-_START, _POOLED = 2, ""
-#: Distinct n-grams that a task holds before it sends them on.
-_HELD = 1_500_000
+_POOLED = ""
+_BITS, _START = 21, 0x110000  # one past the last character
+_LAST = (1 << _BITS) - 1
+#: Characters taken at once, and distinct n-grams that a task holds before it sends them on.
+_PIECE, _HELD = 1 << 21, 1_500_000
 
 
-def _characters(text: str) -> np.ndarray:
+def _pieces(text: str) -> Iterator[np.ndarray]:
+    """A text's symbols in pieces, each behind the ORDER - 1 symbols before it."""
     raw = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
-    return np.where(raw > 0xFFFF, 0xFFFD, raw).astype(np.int64)
-
-
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the 4-grams of each language as 4 x 16 bits, summed in the task."""
-    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
-    size = 0
-    start = np.full(ORDER - 1, _START, dtype=np.int64)
-
-    def merged() -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        out = {}
-        for lang, parts in held.items():
-            keys, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            out[lang] = keys, np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-        return out
-
-    def sent() -> Iterator[pa.RecordBatch]:
-        for lang, (keys, counts) in merged().items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], ["lang", "gram", "n"])
-        held.clear()
-
-    for batch in batches:
-        texts: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if text:
-                texts.setdefault(lang, []).append(_characters(text))
-        for lang, own in texts.items():
-            room = 0
-            for lo in range(0, len(own), 256):
-                parts = []
-                for c in own[lo : lo + 256]:
-                    whole = np.concatenate([start, c])
-                    gram = whole[ORDER - 1 :].copy()
-                    for k in range(1, ORDER):
-                        gram |= whole[ORDER - 1 - k : len(whole) - k] << 16 * k
-                    parts.append(gram)
-                keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-                held.setdefault(lang, []).append((keys, counts))
-                room += len(keys)
-            size += room
-        if size > 2 * _HELD:
-            for lang, pair in merged().items():
-                held[lang] = [pair]
-            size = sum(len(p[0]) for parts in held.values() for p in parts)
-            if size > _HELD:
-                yield from sent()
-                size = 0
-    yield from sent()
+    whole = np.concatenate([np.full(ORDER - 1, _START, dtype=np.int64), raw.astype(np.int64)])
+    for lo in range(0, len(raw), _PIECE):
+        yield whole[lo : lo + _PIECE + ORDER - 1]
 
 
-def gram_counts(trusted: DataFrame) -> DataFrame:
-    """``trusted`` (lang, text) to (lang, gram, n) over whole texts."""
-    found = trusted.select(F.coalesce("lang", F.lit(_POOLED)).alias("lang"), "text").mapInArrow(_grams, "lang string, gram long, n long")
-    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def _recoded(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts over each model's symbols, and those symbols: (lang, char, code). Code 0 starts a text, the last is any other."""
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).where(F.col("lang") != _POOLED).orderBy(F.desc("n"), "lang").limit(MAX_MODELS)
-    named = [r.lang for r in totals.collect()]
-    models = counts.where(F.col("lang").isin(named)).unionByName(counts.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(_POOLED)))
-    last = F.col("gram").bitwiseAND(0xFFFF)
-    chars = models.groupBy("lang", last.alias("char")).agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "char")
-    alphabet = chars.withColumn("code", F.row_number().over(best)).where(F.col("code") <= ALPHABET - 2).select("lang", "char", "code")
-    codes = alphabet.unionByName(alphabet.select("lang").distinct().select("lang", F.lit(_START).cast("long").alias("char"), F.lit(0).alias("code")))
-    maps = codes.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("char", "code"))).alias("codes"))
-    coded = models.join(F.broadcast(maps), "lang")  # at most MAX_MODELS + 1 rows of ALPHABET entries
-    gram = F.lit(0)
-    for k in reversed(range(ORDER)):
-        char = F.shiftrightunsigned("gram", 16 * k).bitwiseAND(0xFFFF)
-        gram = gram * ALPHABET + F.coalesce(F.try_element_at("codes", char), F.lit(ALPHABET - 1))
-    return coded.select("lang", gram.cast("long").alias("gram"), "n").groupBy("lang", "gram").agg(F.sum("n").alias("a")), codes
-
-
-def kneser_ney(top: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1: (lang, gram, p) of the n-grams seen and (lang, context, gamma) of their contexts.
+def _grams(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Context and symbol of every position of some pieces."""
+    whole = np.concatenate(pieces)
+    starts = np.cumsum([0] + [len(p) for p in pieces[:-1]])
+    own = np.ones(len(whole), dtype=bool)
+    own[(starts[:, None] + np.arange(ORDER - 1)).ravel()] = False
+    context = np.zeros(len(whole), dtype=np.int64)
+    for k in range(1, ORDER):
+        context[k:] |= whole[:-k] << _BITS * (k - 1)
+    return context[own], whole[own]
 
-    ``a`` is the count at the highest order, and below it the number of different symbols seen before. The discounts of
-    counts 1, 2 and 3 or more come from the counts of counts, by language and order.
-    """
-    tables = [top]
-    for k in range(ORDER - 1, 0, -1):
-        tables.insert(0, tables[0].groupBy("lang", (F.col("gram") % ALPHABET**k).alias("gram")).agg(F.count("*").alias("a")))
-    out: list[tuple[DataFrame, DataFrame]] = []
-    below = None
-    for order, grams in enumerate(tables, 1):
-        grams = materialise(grams, "ngrams")
-        of = grams.groupBy("lang").agg(*[F.count_if(F.col("a") == c).cast("double").alias(f"c{c}") for c in (1, 2, 3, 4)])
-        y = F.col("c1") / (F.col("c1") + 2 * F.col("c2"))
-        sound = (F.col("c1") > 0) & (F.col("c2") > 0) & (F.col("c3") > 0) & (F.col("c4") > 0)
-
-        def discount(c: int, y=y, sound=sound):
-            own = c - (c + 1) * y * F.col(f"c{c + 1}") / F.nullif(F.col(f"c{c}"), F.lit(0.0))
-            return F.when(sound, F.greatest(F.lit(0.05), F.least(own, F.lit(c - 0.05)))).otherwise(0.5).alias(f"d{c}")
-
-        discounts = of.select("lang", *[discount(c) for c in (1, 2, 3)])
-        taken = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
-        cut = grams.join(F.broadcast(discounts), "lang").select("lang", "gram", "a", taken.alias("d"), F.floor(F.col("gram") / ALPHABET).alias("context"))
-        contexts = cut.groupBy("lang", "context").agg(F.sum("a").alias("total"), (F.sum("d") / F.sum("a")).alias("gamma"))
-        joined = cut.hint("shuffle_hash").join(contexts.hint("shuffle_hash"), ["lang", "context"])
-        own = (F.col("a") - F.col("d")) / F.col("total")
-        if below is None:
-            found = joined.select("lang", "gram", (own + F.col("gamma") / ALPHABET).alias("p"))
-        else:
-            rest = below.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            found = joined.withColumn("suffix", F.col("gram") % ALPHABET ** (order - 1)).hint("shuffle_hash").join(rest.hint("shuffle_hash"), ["lang", "suffix"]).select("lang", "gram", (own + F.col("gamma") * F.col("q")).alias("p"))
-        below = materialise(found, "ngram-probabilities")
-        out.append((below, contexts.select("lang", "context", "gamma")))
-    return out
-
-
-def train(trusted: DataFrame) -> dict:
-    """The bounded model: by language, its symbols and, by order, the arrays of n-grams, probabilities, contexts, weights."""
-    top, codes = _recoded(materialise(gram_counts(trusted), "gram-counts"))
-    model: dict = {}
-    for r in codes.collect():
-        model.setdefault(r.lang, {"codes": {}, "orders": []})["codes"][r.char] = r.code
-    for grams, contexts in kneser_ney(top):
-        seen, weights = grams.toArrow(), contexts.toArrow()
-        for lang, own in model.items():
-            g, c = seen.filter(pc.equal(seen["lang"], lang)), weights.filter(pc.equal(weights["lang"], lang))
-            own["orders"].append((g["gram"].to_numpy(), g["p"].to_numpy().astype(np.float32), c["context"].to_numpy(), c["gamma"].to_numpy().astype(np.float32)))
-    return model
-
-
-class Scorer:
-    """A model with every probability laid out, so that scoring a text is one look-up for each character."""
-
-    def __init__(self, own: dict):
-        self.codes = np.full(1 << 16, ALPHABET - 1, dtype=np.int32)
-        for char, code in own["codes"].items():
-            self.codes[char] = code
-        p = np.full(1, 1.0 / ALPHABET, dtype=np.float32)
-        for k, (grams, seen, contexts, gammas) in enumerate(own["orders"]):
-            gamma = np.ones(ALPHABET**k, dtype=np.float32)
-            gamma[contexts] = gammas
-            # the lower order's p(w | shorter context), for every context: its first symbol is dropped
-            p = np.repeat(gamma, ALPHABET) * np.tile(p, ALPHABET)
-            p[grams] = seen
-        self.cost = -np.log(p)
-
-    def __call__(self, text: str) -> float:
-        """The mean cost of a character in nats."""
-        codes = np.concatenate([np.zeros(ORDER - 1, dtype=np.int32), self.codes[_characters(text)]])
-        gram = codes[ORDER - 1 :].copy()
-        for k in range(1, ORDER):
-            gram += codes[ORDER - 1 - k : len(codes) - k] * ALPHABET**k
-        return float(self.cost[gram].mean(dtype=np.float64))
-
-
-def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, lang, model, cost): the model used and the mean cost of a character."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+
+def _distinct(context: np.ndarray, symbol: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams with their counts."""
+    at, contexts = pd.factorize(context)
+    at, keys = pd.factorize(at.astype(np.int64) << _BITS | symbol)
+    counts = np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64)
+    return contexts[keys >> _BITS], keys & _LAST, counts
+
+
+def _counter(labels: tuple[str, ...]):
+    """Counts of the n-grams under each combination of ``labels``, summed in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = worker_cache()
-        if cache.get("quality-name") != shared.value["name"]:
-            cache["quality-name"], cache["quality"] = shared.value["name"], {}
-        made: dict[str, Scorer] = cache["quality"]
-        models = shared.value["models"]
+        held: dict[tuple, list[tuple]] = {}
+        kinds: list[pa.DataType] = []
+
+        def merge() -> int:
+            for label, parts in held.items():
+                held[label] = [_distinct(*(np.concatenate(c) for c in zip(*parts, strict=True)))]
+            return sum(len(parts[0][0]) for parts in held.values())
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            merge()
+            for label, [(context, symbol, n)] in held.items():
+                fixed = [pa.array([x] * len(n), kind) for x, kind in zip(label, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(context), pa.array(symbol), pa.array(n)], [*labels, "context", "symbol", "n"])
+            held.clear()
+
+        size = 0
         for batch in batches:
-            names, costs = [], []
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                name = lang if lang in models else _POOLED
-                if name not in made and name in models:
-                    made[name] = Scorer(models[name])
-                names.append(name)
-                costs.append(made[name](text) if text and name in models else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(names, pa.string()), pa.array(costs, pa.float64())], ["doc_id", "lang", "model", "cost"])
+            kinds = [batch.schema.field(c).type for c in labels]
+            waiting: dict[tuple, list[np.ndarray]] = {}
+            room: dict[tuple, int] = {}
+
+            def count(label: tuple, waiting=waiting, room=room) -> int:
+                found = _distinct(*_grams(waiting.pop(label)))
+                room.pop(label)
+                held.setdefault(label, []).append(found)
+                return len(found[0])
+
+            for *label, text in zip(*(batch.column(c).to_pylist() for c in (*labels, "text")), strict=True):
+                key = tuple(label)
+                for piece in _pieces(text or ""):
+                    waiting.setdefault(key, []).append(piece)
+                    room[key] = room.get(key, 0) + len(piece)
+                    if room[key] > _PIECE:
+                        size += count(key)
+            for key in list(waiting):
+                size += count(key)
+            if size > 2 * _HELD:
+                size = merge()
+                if size > _HELD:
+                    yield from sent()
+                    size = 0
+        yield from sent()
+
+    return run
 
-    return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, lang string, model string, cost double")
+
+def gram_counts(trusted: DataFrame) -> DataFrame:
+    """``trusted`` (lang, text) to (model, context, symbol, n) over whole texts: each language, and all pooled."""
+    rows = trusted.select(F.coalesce("lang", F.lit(_POOLED)).alias("model"), "text")
+    found = rows.mapInArrow(_counter(("model",)), "model string, context long, symbol long, n long")
+    counts = materialise(found.groupBy("model", "context", "symbol").agg(F.sum("n").alias("n")), "gram-counts")
+    pooled = counts.groupBy("context", "symbol").agg(F.sum("n").alias("n")).select(F.lit(_POOLED).alias("model"), "context", "symbol", "n")
+    return counts.where(F.col("model") != _POOLED).unionByName(pooled)
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: doc_id, lang, perplexity, threshold and keep. ``labels``: doc_id, quality, toxic."""
+def kneser_ney(counts: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """For each order from 1, (model, context, symbol, p) of the n-grams seen; and (model, order, context, gamma, uniform).
+
+    ``a`` is the count at the highest order, and below it the number of different symbols seen before. The discounts of
+    counts 1, 2 and 3 or more come from the counts of counts, by model and order. Order 1 backs off to ``uniform``, which
+    leaves room for one symbol that is not in the trusted text.
+    """
+    tables = [counts.select("model", "context", "symbol", F.col("n").alias("a"))]
+    for k in range(ORDER - 1, 0, -1):
+        shorter = F.col("context").bitwiseAND((1 << _BITS * (k - 1)) - 1).alias("context")
+        tables.insert(0, tables[0].groupBy("model", shorter, "symbol").agg(F.count("*").alias("a")))
+    every = None
+    for order, grams in enumerate(tables, 1):
+        own = grams.withColumn("order", F.lit(order))
+        every = own if every is None else every.unionByName(own)
+    every = materialise(every, "ngrams")
+    of = every.groupBy("model", "order").agg(F.count("*").alias("types"), *[F.count_if(F.col("a") == c).cast("double").alias(f"c{c}") for c in (1, 2, 3, 4)])
+    y = F.col("c1") / (F.col("c1") + 2 * F.col("c2"))
+    sound = (F.col("c1") > 0) & (F.col("c2") > 0) & (F.col("c3") > 0) & (F.col("c4") > 0)
+
+    def discount(c: int):
+        own = c - (c + 1) * y * F.col(f"c{c + 1}") / F.nullif(F.col(f"c{c}"), F.lit(0.0))
+        return F.when(sound, F.greatest(F.lit(0.05), F.least(own, F.lit(c - 0.05)))).otherwise(0.5).alias(f"d{c}")
+
+    discounts = materialise(of.select("model", "order", (1.0 / (F.col("types") + 1)).alias("uniform"), *[discount(c) for c in (1, 2, 3)]), "discounts")
+    taken = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
+    cut = every.hint("merge").join(sized(discounts, MOST_ROWS), ["model", "order"]).withColumn("d", taken)
+    contexts = materialise(cut.groupBy("model", "order", "context").agg(F.sum("a").alias("total"), (F.sum("d") / F.sum("a")).alias("gamma"), F.first("uniform").alias("uniform")), "contexts")
+    joined = cut.drop("uniform").hint("merge").join(contexts.hint("merge"), ["model", "order", "context"])
+    seen = materialise(joined.select("model", "order", "context", "symbol", ((F.col("a") - F.col("d")) / F.col("total")).alias("own"), "gamma", "uniform"), "discounted")
+    out = [materialise(seen.where("order = 1").select("model", "context", "symbol", (F.col("own") + F.col("gamma") * F.col("uniform")).alias("p")), "ngram-probabilities")]
+    for order in range(2, ORDER + 1):
+        below = out[-1].select("model", F.col("context").alias("suffix"), "symbol", F.col("p").alias("q"))
+        above = seen.where(F.col("order") == order).withColumn("suffix", F.col("context").bitwiseAND((1 << _BITS * (order - 2)) - 1))
+        both = above.hint("merge").join(below.hint("merge"), ["model", "suffix", "symbol"])
+        out.append(materialise(both.select("model", "context", "symbol", (F.col("own") + F.col("gamma") * F.col("q")).alias("p")), "ngram-probabilities"))
+    return out, contexts.select("model", "order", "context", "gamma", "uniform")
+
+
+def costs(needed: DataFrame, model: tuple[list[DataFrame], DataFrame]) -> DataFrame:
+    """``needed`` (model, context, symbol and others) with ``cost``, -ln p: of the longest n-gram seen, times the weights of the
+    longer contexts that are known. Null without a model."""
+    tables, contexts = model
+    out = needed
+    for order, seen in enumerate(tables, 1):
+        part = F.col("context").bitwiseAND((1 << _BITS * (order - 1)) - 1)
+        weights = contexts.where(F.col("order") == order).select(F.col("model").alias("m"), F.col("context").alias("c"), "gamma", *(["uniform"] if order == 1 else []))
+        weights = materialise(weights, "weights")
+        grams = seen.select(F.col("model").alias("m"), F.col("context").alias("c"), F.col("symbol").alias("s"), F.col("p").alias("found"))
+        out = out.hint("merge").join(sized(weights, MOST_ROWS), (F.col("model") == F.col("m")) & (part == F.col("c")), "left").drop("m", "c")
+        out = out.hint("merge").join(sized(grams, MOST_ROWS), (F.col("model") == F.col("m")) & (part == F.col("c")) & (F.col("symbol") == F.col("s")), "left").drop("m", "c", "s")
+        rest = F.col("gamma") * F.col("uniform") if order == 1 else F.coalesce("gamma", F.lit(1.0)) * F.col("p")
+        out = out.withColumn("p", F.coalesce("found", rest)).drop("found", "gamma", "uniform")
+    return out.withColumn("cost", -F.log("p")).drop("p")
+
+
+def _summed(key, docs: pa.Table, known: pa.Table) -> pa.Table:
+    """Mean and peak cost of each text of a chunk from the costs of the chunk's n-grams."""
+    tables = {}
+    names = known["lang"].to_numpy(zero_copy_only=False)
+    context, symbol = known["context"].to_numpy(), known["symbol"].to_numpy()
+    cost = known["cost"].to_numpy(zero_copy_only=False).astype(np.float64)
+    for lang in dict.fromkeys(names):
+        own = names == lang
+        at, contexts = pd.factorize(context[own])
+        tables[lang] = pd.Index(contexts), pd.Index(at.astype(np.int64) << _BITS | symbol[own]), cost[own]
+    mean: list[float | None] = []
+    peak: list[float | None] = []
+    for lang, text in zip(docs["lang"].to_pylist(), docs["text"].to_pylist(), strict=True):
+        parts = []
+        for piece in _pieces(text or ""):
+            c, s = _grams([piece])
+            contexts, keys, dear = tables[lang]
+            at = keys.get_indexer(contexts.get_indexer(c).astype(np.int64) << _BITS | s)
+            if (at < 0).any():
+                raise RuntimeError("a chunk lacks the cost of an n-gram")
+            parts.append(dear[at])
+        own = np.concatenate(parts) if parts else np.zeros(0)
+        if not len(own) or np.isnan(own[0]):
+            mean.append(None)
+            peak.append(None)
+            continue
+        mean.append(float(own.mean()))
+        width = min(WINDOW, len(own))
+        window = own[: len(own) - width + 1].copy()
+        for k in range(1, width):
+            window += own[k : len(own) - width + 1 + k]
+        peak.append(float(window.max()) / width)
+    return pa.table([docs["doc_id"], docs["label"], pa.array(mean, pa.float64()), pa.array(peak, pa.float64())], ["doc_id", "lang", "cost", "peak"])
+
+
+def score(docs: DataFrame, model: tuple[list[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(doc_id, lang, cost, peak): the mean cost of a character and that of the dearest window."""
+    lang = F.col(lang_col).cast("string")
+    slim = docs.select(F.col(id_col).alias("doc_id"), lang.alias("label"), F.coalesce(lang, F.lit(_POOLED)).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
+    chunks = max(1, -(-total // chunk_bytes))
+    # The row number spreads rows that repeat; every use below reads this one shuffle.
+    salt = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
+    dealt = slim.withColumn("chunk", F.pmod(salt, F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
+    grams = dealt.mapInArrow(_counter(("chunk", "lang")), "chunk int, lang string, context long, symbol long, n long").select("chunk", "lang", "context", "symbol")
+    own = materialise(model[1].select("model").distinct().select(F.col("model").alias("lang"), "model"), "models")
+    needed = grams.select("lang", "context", "symbol").distinct().hint("merge").join(sized(own, MOST_ROWS), "lang", "left").withColumn("model", F.coalesce("model", F.lit(_POOLED)))
+    dear = costs(needed, model).select("lang", "context", "symbol", "cost")
+    known = grams.hint("merge").join(dear.hint("merge"), ["lang", "context", "symbol"])
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    return dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_summed, f"doc_id {kind}, lang string, cost double, peak double")
+
+
+def _limits(scored: DataFrame, by: str, quantile: float) -> DataFrame:
+    """(model, cost and peak under which the share ``quantile`` lies), from exact counts in narrow bins."""
+    out = None
+    for name in ("cost", "peak"):
+        own = scored.select(F.col(by).alias("model"), F.floor(F.col(name) * _BINS).alias("bin"))
+        bins = own.unionByName(own.withColumn("model", F.lit(None).cast("string"))).groupBy("model", "bin").agg(F.count("*").alias("n"))
+        part = Window.partitionBy("model")  # a row for each bin, so a few thousand for each model
+        ranked = bins.withColumn("upto", F.sum("n").over(part.orderBy("bin"))).withColumn("all", F.sum("n").over(part))
+        found = ranked.where(F.col("upto") >= F.col("all") * quantile).groupBy("model").agg(((F.min("bin") + 1) / _BINS).alias(f"most_{name}"))
+        out = found if out is None else out.join(found.withColumnRenamed("model", "m2"), F.col("model").eqNullSafe(F.col("m2"))).drop("m2")
+    return materialise(out, "thresholds")
+
+
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """One row per document: doc_id, lang, perplexity, peak, their thresholds and keep. ``labels``: doc_id, quality, toxic. A
+    fifth of the trusted documents, by the CRC-32 of their id, is held out of the training and gives the thresholds."""
     good = labels.groupBy(F.col("doc_id").alias("__label_id")).agg(F.min((F.coalesce(F.col("quality"), F.lit(0)) == 1) & (F.coalesce(F.col("toxic"), F.lit(1)) == 0)).alias("ok")).where("ok").select("__label_id")
+    held = F.crc32(F.col("__label_id").cast("string").cast("binary")) % 5 == 0
+    good = materialise(good.where("__label_id IS NOT NULL").withColumn("__held_out", held), "trusted-ids")
+    trained = good.where("NOT __held_out")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    trusted = texts.hint("shuffle_hash").join(good.hint("shuffle_hash"), texts["doc_id"] == good["__label_id"], "left_semi").select("lang", "text")
-    model = {"models": train(trusted), "name": uuid.uuid4().hex}
-    scored = materialise(score(docs, model, id_col, text_col, lang_col), "perplexities")
-    known = scored.where("cost IS NOT NULL").hint("merge").join(good.hint("merge"), scored["doc_id"] == good["__label_id"], "left_semi")
-    own = known.select("model", F.floor(F.col("cost") * _BINS).alias("bin"))
-    pooled = own.select(F.lit(_POOLED).alias("model"), "bin")
-    bins = own.where(F.col("model") != _POOLED).unionByName(pooled).groupBy("model", "bin").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("model")  # a row for each bin, so a few thousand for each model
-    ranked = bins.withColumn("upto", F.sum("n").over(by.orderBy("bin"))).withColumn("all", F.sum("n").over(by))
-    limits = ranked.where(F.col("upto") >= F.col("all") * quantile).groupBy("model").agg(((F.min("bin") + 1) / _BINS).alias("most"))
-    out = scored.join(F.broadcast(limits), "model", "left")  # a row for each model
-    return out.select("doc_id", "lang", F.exp("cost").alias("perplexity"), F.exp("most").alias("threshold"), F.coalesce(F.col("cost") <= F.col("most"), F.lit(False)).alias("keep"))
+    trusted = texts.hint("shuffle_hash").join(sized(trained, MOST_IDS, "shuffle_hash"), texts["doc_id"] == F.col("__label_id"), "left_semi")
+    model = kneser_ney(gram_counts(trusted.select("lang", "text")))
+    scored = materialise(score(docs, model, id_col, text_col, lang_col, chunk_bytes), "perplexities")
+    some = not good.where("__held_out").isEmpty()
+    judges = good.where("__held_out") if some else good
+    known = scored.where("cost IS NOT NULL").hint("merge").join(judges.hint("merge"), scored["doc_id"] == F.col("__label_id"), "left_semi")
+    limits = _limits(known.select(F.coalesce("lang", F.lit(_POOLED)).alias("lang"), "cost", "peak"), "lang", quantile)
+    own = limits.where("model IS NOT NULL").select(F.col("model").alias("m"), "most_cost", "most_peak")
+    pooled = limits.where("model IS NULL").agg(F.max("most_cost").alias("cost"), F.max("most_peak").alias("peak")).first()
+    name = F.coalesce("lang", F.lit(_POOLED))
+    out = scored.hint("merge").join(sized(materialise(own, "own-thresholds"), MOST_ROWS), name == F.col("m"), "left")
+    most_cost, most_peak = F.coalesce("most_cost", F.lit(pooled.cost).cast("double")), F.coalesce("most_peak", F.lit(pooled.peak).cast("double"))
+    keep = F.coalesce((F.col("cost") <= most_cost) & (F.col("peak") <= most_peak), F.lit(False))
+    return out.select("doc_id", "lang", F.exp("cost").alias("perplexity"), F.exp("peak").alias("peak"), F.exp(most_cost).alias("threshold"), F.exp(most_peak).alias("peak_threshold"), keep.alias("keep"))
 
 
 def op9_quality(spark, sf_dir):

@@ -1,34 +1,52 @@
 """Sharding over fixed virtual slots: records are hashed into thousands of slots, bytes are summed per slot, and a versioned
 slot-to-shard map says where each slot lives; rebalancing edits the map, never the hash.
 
-A record's slot comes from its text, so equal texts share a slot. A slot that holds more than a quarter of a shard (one text
-may hold a third of all rows) is split: its records go to a second range of slots by their id.
+A record's slot is the hash of its text, so equal texts share one. A slot with more than a quarter of a shard's bytes or rows
+(one text may hold a third of all) has several parts, and a record's part is the hash of its id. The map has a row for each
+part of each slot, with the number of parts, so that a version alone says where a record lives; a later version may double a
+slot's parts, which moves no record between the halves.
 
 The law is ``bytes``: shards get nearly equal sums of sizes. Size: the UTF-8 bytes of the text (null: none) plus 8.
-Defined results: null texts form one group; repeated rows get a row each; an empty table gives no rows. Other columns of the
-input are never looked at.
+Defined results: null texts form one group; repeated rows get a row each, and rows that repeat both id and text stay together;
+an empty table gives no rows. Other columns of the input are never looked at.
 """
 
 from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import materialise, new_path, path_exists, table
 
-#: Virtual slots of the first range, and as many for the records of split slots. What reaches the driver is a row for each.
-N_SLOTS = 4096
+#: Virtual slots, and parts of one slot at most. A slot's part is numbered slot + part * N_SLOTS.
+N_SLOTS, MAX_PARTS = 4096, 1024
+#: Rows of a shard that one task numbers, about.
+NUMBERED_ROWS = 1 << 20
 
 
 def slot_stats(records: DataFrame, slot: str = "virtual_slot", size: str = "size") -> list[tuple[int, int, int]]:
-    """(slot, bytes, rows) of each slot that has records: at most twice N_SLOTS rows."""
+    """(slot, bytes, rows) of each slot that has records; the driver gets a row for each slot and part."""
     rows = records.groupBy(slot).agg(F.sum(size).alias("b"), F.count("*").alias("n")).orderBy(slot).collect()
     return [(r[0], r.b, r.n) for r in rows]
 
 
+def parts_of(stats: list[tuple[int, int, int]], n_shards: int, old: dict[int, int] | None = None) -> dict[int, int]:
+    """The slots with several parts: enough, as a power of two, that none has over a quarter of a shard's bytes or rows, and no
+    fewer than in the ``old`` version."""
+    most_bytes, most_rows = sum(b for _, b, _ in stats) / n_shards / 4, sum(n for _, _, n in stats) / n_shards / 4
+    out = dict(old or {})
+    for slot, size, rows in stats:
+        parts = out.get(slot, 1)
+        while parts < MAX_PARTS and parts < rows and (size / parts > most_bytes or rows / parts > most_rows):
+            parts *= 2
+        if parts > 1:
+            out[slot] = parts
+    return out
+
+
 def first_map(stats: list[tuple[int, int, int]], n_shards: int) -> dict[int, int]:
     """Largest slot first, each to the shard with the fewest bytes."""
     shards = [(0, k) for k in range(n_shards)]
@@ -71,21 +89,39 @@ def edited_map(old: dict[int, int], stats: list[tuple[int, int, int]], n_shards:
     return out
 
 
-def save_map(spark, slot_map: dict[int, int], version: int, path: str) -> None:
+def save_map(spark, slot_map: dict[int, int], parts: dict[int, int], version: int, path: str) -> None:
     """Appends a version of the map; a reader takes the highest version or any earlier one."""
-    spark.createDataFrame([(version, s, k) for s, k in slot_map.items()], "version int, slot int, shard int").coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    rows = [(version, s, parts.get(s % N_SLOTS, 1), k) for s, k in slot_map.items()]
+    spark.createDataFrame(rows, "version int, slot int, parts int, shard int").coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
-def load_map(spark, path: str, version: int | None = None) -> tuple[dict[int, int], int]:
+def load_map(spark, path: str, version: int | None = None) -> tuple[dict[int, int], dict[int, int], int]:
+    """(shard of each slot and part, slots with several parts, version)."""
     maps = spark.read.parquet(path)
     version = maps.agg(F.max("version").alias("v")).first().v if version is None else version
-    return {r.slot: r.shard for r in maps.where(F.col("version") == version).collect()}, version
+    rows = maps.where(F.col("version") == version).collect()
+    return {r.slot: r.shard for r in rows}, {r.slot % N_SLOTS: r.parts for r in rows if r.parts > 1}, version
+
 
+def virtual_slot(doc_id: Column, text: Column, parts: dict[int, int]) -> Column:
+    """Where a record lives, from its id and text alone and the parts of a version of the map."""
+    return _slot_of(F.pmod(F.xxhash64(text), F.lit(N_SLOTS)).cast("int"), doc_id, parts)
 
-def shard_records(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
+
+def _slot_of(home: Column | str, doc_id: Column | str, parts: dict[int, int]) -> Column:
+    home = F.col(home) if isinstance(home, str) else home
+    if not parts:
+        return home
+    of = F.coalesce(F.try_element_at(F.map_from_arrays(F.from_json(F.lit(str(list(parts))), "array<int>"), F.from_json(F.lit(str(list(parts.values()))), "array<int>")), home), F.lit(1))
+    return (home + F.pmod(F.xxhash64(doc_id, F.lit("part")), of) * N_SLOTS).cast("int")
+
+
+def shard_records(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None, numbered_rows: int = NUMBERED_ROWS) -> DataFrame:
     """One row per record: doc_id, size, text_crc32, law, shard, slot (its place in the shard), grown_shard (null by this
     law), and the virtual slot and map version. If ``map_path`` has a map, its next version is edited from it.
-    """
+
+    Places come from counts: each shard is dealt into buckets of about ``numbered_rows`` rows, rows are numbered in their bucket
+    and start after the buckets before it, so that no task sees a shard or a slot whole."""
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     slim = docs.select(
@@ -96,23 +132,27 @@ def shard_records(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", t
         F.monotonically_increasing_id().alias("row"),
     )
     slim = materialise(slim, "shard-records")
+    old, parts, version = load_map(spark, map_path) if map_path and path_exists(spark, map_path) else ({}, {}, 0)
     homes = slot_stats(slim, "home")
-    most = sum(b for _, b, _ in homes) / n_shards / 4
-    split = [s for s, b, _ in homes if b > most]
-    second = F.lit(N_SLOTS) + F.pmod(F.xxhash64("doc_id", "row"), F.lit(N_SLOTS)).cast("int")
-    slot = F.when(F.col("home").isin(split), second).otherwise(F.col("home")) if split else F.col("home")
-    slim = slim.withColumn("virtual_slot", slot)
-    stats = slot_stats(slim)
-    old, version = load_map(spark, map_path) if map_path and path_exists(spark, map_path) else ({}, 0)
+    grown = parts_of(homes, n_shards, parts)
+    for slot, now in grown.items():  # the new halves start where their records have lived
+        for part in range(parts.get(slot, 1), now):
+            if (was := old.get(slot + part % parts.get(slot, 1) * N_SLOTS)) is not None:
+                old[slot + part * N_SLOTS] = was
+    placed = slim.withColumn("virtual_slot", _slot_of("home", "doc_id", grown))
+    stats = slot_stats(placed)
     slot_map = edited_map(old, stats, n_shards) if old else first_map(stats, n_shards)
-    save_map(spark, slot_map, version + 1, map_path or new_path(spark, "slot-map"))
-    before, first = [0] * n_shards, {}
-    for s, _, n in stats:
-        first[s] = before[slot_map[s]]
-        before[slot_map[s]] += n
-    places = spark.createDataFrame([(s, slot_map[s], first[s]) for s, _, _ in stats], "virtual_slot int, shard int, first long")
-    within = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "row"))
-    return slim.withColumn("nth", within).join(F.broadcast(places), "virtual_slot").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(version + 1).alias("map_version"))
+    save_map(spark, slot_map, grown, version + 1, map_path or new_path(spark, "slot-map"))
+    where = spark.createDataFrame([(s, slot_map[s]) for s, _, _ in stats], "virtual_slot int, shard int")
+    total = sum(n for _, _, n in homes)
+    buckets = max(1, -(-total // n_shards // numbered_rows))
+    dealt = placed.join(F.broadcast(where), "virtual_slot").withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))  # a row for each slot and part
+    counts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    first = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = materialise(counts.select("shard", "bucket", first.alias("first")), "shard-starts")  # a row for each million records
+    within = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("doc_id", "row"))
+    numbered = dealt.withColumn("nth", within).hint("shuffle_hash").join(starts.hint("shuffle_hash"), ["shard", "bucket"])
+    return numbered.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("nth") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(version + 1).alias("map_version"))
 
 
 def op2_sharding(spark, sf_dir):

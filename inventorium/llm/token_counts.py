@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import table, worker_cache
 
 SPACE = "▁"
-#: Terminals kept between batches, and characters of a piece at most.
-MAX_TERMINALS, MAX_PIECE = 1_000_000, 24
+#: Terminals kept between batches.
+MAX_TERMINALS = 1_000_000
 
 
 class UnigramTrie:
@@ -36,7 +36,7 @@ class UnigramTrie:
         harmonic = math.log(sum(1 / (k + 1) for k in range(len(pieces))) or 1)
         self.score: dict[str, float] = {}
         for k, piece in enumerate(pieces):
-            if piece and len(piece) <= MAX_PIECE:
+            if piece:
                 self.score.setdefault(piece, -math.log(k + 1) - harmonic)
         self.longest = max(map(len, self.score), default=1)
         self.unknown = -math.log(len(pieces) + 1) - harmonic - 10.0
@@ -94,10 +94,10 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             split = [t.split() for t in texts]
-            for lo in range(0, len(split), 512):
-                trie.add(set().union(*split[lo : lo + 512]))
-                part = split[lo : lo + 512]
-                rows = [(len(t.encode("utf-8", "replace")), len(w), sum(map(trie.terminals.__getitem__, w))) for t, w in zip(texts[lo : lo + 512], part, strict=True)]
+            for lo in range(0, len(split), 2048):
+                trie.add(set().union(*split[lo : lo + 2048]))
+                part = split[lo : lo + 2048]
+                rows = [(len(t.encode("utf-8", "replace")), len(w), sum(map(trie.terminals.__getitem__, w))) for t, w in zip(texts[lo : lo + 2048], part, strict=True)]
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(part)), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "n_bytes", "n_pretokens", "n_tokens"])
 
