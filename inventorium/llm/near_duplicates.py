@@ -25,13 +25,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..operators.explore import number_rows
-from .common import free_name, materialise, table
+from .common import free_name, materialise, sized, table
 from .components import connected_components
 
 BITS = 64
@@ -167,8 +167,13 @@ def deduplicate(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_c
     return left.dropDuplicates([fp, id_col]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-#: The verified search: words in a shingle, the least Jaccard of two sets of shingles, and independent fingerprints.
-SHINGLE, ALIKE, PRINTS = 5, (4, 5), 4
+#: The verified search: words in a shingle, the least Jaccard of two sets of shingles, independent fingerprints, and longs of
+#: a set's bitmap.
+SHINGLE, ALIKE, PRINTS, BITMAP = 5, (4, 5), 4, 8
+#: Members of a bucket that are compared with all others of it in the second round; eight times as many in each round after.
+PIVOTS = 32
+#: Keys of documents that are broadcast to a scan of the texts; more are joined by a shuffle.
+MOST_KEYS = 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -204,111 +209,169 @@ def independent_prints(words: np.ndarray, prints: int = PRINTS) -> list[int]:
     return out
 
 
-def _sets(docs: DataFrame, prints: int) -> DataFrame:
-    """Distinct sets of shingles, numbered by their first document (null ids last): k, doc_id, h (the hash of its text), size
-    and fingerprints. Copies cost one row."""
+def _bitmap(own: np.ndarray) -> np.ndarray:
+    """Which of 64 * BITMAP values the hashes of a set have. A bit that only one of two sets has stands for a shingle that the
+    other lacks, so bitmaps bound the shared shingles from above."""
+    bits = np.zeros(64 * BITMAP, dtype=bool)
+    bits[(own >> np.uint64(20)) % np.uint64(64 * BITMAP)] = True
+    return np.packbits(bits).view(np.int64)
+
+
+_BITMAP_COLUMNS = [f"b{k}" for k in range(BITMAP)]
+
+
+def _rows(docs: DataFrame, prints: int) -> DataFrame:
+    """Of each row: doc_id, h (the hash of its text), shingles (the sum of its set), size, fingerprints and bitmap."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, size, fps = [], [], []
+            key, size, fps, bits = [], [], [], []
             for text in batch.column("text").to_pylist():
                 own, words = shingles(text)
                 key.append(int(own.sum(dtype=np.uint64).view(np.int64)))
                 size.append(len(own))
                 fps.append(independent_prints(words, prints))
-            made = [pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(fps, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *made], ["doc_id", "h", "shingles", "size", "fps"])
+                bits.append(_bitmap(own))
+            made = [pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(fps, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *made], ["doc_id", "h", "shingles", "size", "fps", "bits"])
 
-    rows = docs.mapInArrow(run, f"doc_id {kind}, h long, shingles long, size long, fps array<bigint>")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "fps")).alias("f")
-    sets = rows.groupBy("shingles", "size").agg(first).select("f.no_id", "f.doc_id", "f.h", "f.fps", "shingles", "size")
-    return materialise(number_rows(sets, ["no_id", "doc_id", "shingles", "size"], "k").select("k", "doc_id", "h", "size", "fps"), "shingle-sets")
+    return docs.mapInArrow(run, f"doc_id {kind}, h long, shingles long, size long, fps array<bigint>, bits array<bigint>")
+
+
+def _sets(rows: DataFrame) -> DataFrame:
+    """Distinct sets of shingles, numbered by their first document (null ids last): k, doc_id, h, size, fingerprints and bitmap.
+    Copies cost one row."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "fps", "bits")).alias("f")
+    sets = rows.groupBy("shingles", "size").agg(first).select("f.*", "shingles", "size")
+    columns = ["k", "doc_id", "h", "size", "fps", *[F.col("bits")[k].alias(c) for k, c in enumerate(_BITMAP_COLUMNS)]]
+    return materialise(number_rows(sets, ["no_id", "doc_id", "shingles", "size"], "k").select(*columns), "shingle-sets")
 
 
 def _shared_buckets(sets: DataFrame, radius: int, prints: int) -> DataFrame:
-    """(b, k, fp, size): the members of each bucket of covering LSH that holds at least two sets."""
+    """(b, k, fp, size, bitmap): the members of each bucket of covering LSH that holds at least two sets."""
     least = ALIKE[0]  # sets of fewer shingles are that similar only if equal
     out = None
     for j in range(prints):
-        own = sets.where(F.col("size") >= least).select("k", "size", F.col("fps")[j].alias("fp"))
+        own = sets.where(F.col("size") >= least).select("k", "size", F.col("fps")[j].alias("fp"), *_BITMAP_COLUMNS)
         keys = F.array(*[F.xxhash64(F.lit(j), F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(covering_masks(radius))])
         keyed = own.select("k", F.explode(keys).alias("b"))
         many = keyed.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
         shared = keyed.hint("merge").join(many.hint("merge"), "b", "left_semi").hint("merge").join(own.hint("merge"), "k")
-        shared = materialise(shared.select("b", "k", "fp", "size"), "shared-buckets")
+        shared = materialise(shared.select("b", "k", "fp", "size", *_BITMAP_COLUMNS), "shared-buckets")
         out = shared if out is None else out.unionByName(shared)
     return out
 
 
-def verified_pairs(docs: DataFrame, sets: DataFrame, radius: int = 4, prints: int = PRINTS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
-    """Pairs (a, b), a < b, of numbers of ``sets`` whose exact Jaccard is at least ALIKE, among those within the radius in
-    some fingerprint.
-
-    Small buckets are compared pair by pair. In larger ones all members are compared with the lowest (1, 4, 16 ... of them,
-    round by round); those, and members found similar to any lower set, leave, until the rest is small. So two sets that are
-    the lowest of their groups are compared wherever they share a bucket, and rows grow with the members.
-    """
-    num, den = ALIKE
+def _may_be_alike(radius: int) -> Column:
+    """Whether the bucket members x and y are within the radius, and their sizes and bitmaps leave room for the Jaccard."""
     close = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius
-    fit = F.least("x.size", "y.size") * den >= F.greatest("x.size", "y.size") * num
 
-    def met(low: DataFrame, high: DataFrame) -> DataFrame:
-        both = low.alias("x").hint("merge").join(high.alias("y").hint("merge"), (F.col("x.b") == F.col("y.b")) & (F.col("x.k") < F.col("y.k")) & close & fit)
-        return both.select(F.col("x.k").alias("a"), F.col("y.k").alias("b")).distinct()
+    def lacking(one: str, other: str) -> Column:
+        lone = [F.bit_count(F.col(f"{one}.{c}").bitwiseAND(F.bitwise_not(F.col(f"{other}.{c}")))) for c in _BITMAP_COLUMNS]
+        return F.col(f"{one}.size") - sum(lone[1:], lone[0])
+
+    num, den = ALIKE  # shared / (x + y - shared) >= num / den
+    return close & (F.least(lacking("x", "y"), lacking("y", "x")) * (num + den) >= (F.col("x.size") + F.col("y.size")) * num)
+
+
+def linked_sets(docs: DataFrame, sets: DataFrame, radius: int = 4, prints: int = PRINTS, pivots: int = PIVOTS) -> DataFrame:
+    """(k, label) of the sets with another one in their group, label being its lowest number. Groups are the components of all
+    pairs within the radius in some fingerprint whose exact Jaccard is at least ALIKE.
 
-    active, found, known, pivots = _shared_buckets(sets, radius, prints), None, None, 1
+    In a first round each member of a bucket is compared with the lowest. A bucket whose members have one label is finished.
+    In each later round some members of every other bucket, those of its rarest labels first, are compared with all members
+    of other labels, and then leave it: no pair of different labels is lost, pairs of one label are never made, and a group,
+    which soon has one label, costs rows in proportion to its members.
+    """
+    spark = docs.sparkSession
+    active = _shared_buckets(sets, radius, prints)
+    labels = spark.createDataFrame([], "k long, label long")
+    known, most = None, 1
+    may_be_alike = _may_be_alike(radius)
     while True:
-        sizes = active.groupBy("b").agg(F.count("*").alias("n")).where("n > 1")
-        active = materialise(active.hint("merge").join(sizes.hint("merge"), "b").select("b", "k", "fp", "size", "n"), "buckets")
-        small, large = active.where(F.col("n") <= small_bucket), active.where(F.col("n") > small_bucket)
-        lowest = large.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("k"))).where(F.col("r") <= pivots)
-        pairs = materialise(met(small, small).unionByName(met(lowest, large)).distinct(), "candidate-pairs")
-        if known is None:
-            named = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).unionByName(large.select("k")).distinct()
-            known = _shingle_table(docs, sets.select("k", "doc_id", "h").hint("merge").join(named.hint("merge"), "k", "left_semi"))
-        first = known.select(F.col("k").alias("a"), F.col("own").alias("own_a"))
-        second = known.select(F.col("k").alias("b"), F.col("own").alias("own_b"))
-        both = F.size(F.array_intersect("own_a", "own_b"))
-        alike = both * den >= (F.size("own_a") + F.size("own_b") - both) * num
-        held = materialise(pairs.hint("merge").join(first.hint("merge"), "a").hint("merge").join(second.hint("merge"), "b").where(alike).select("a", "b"), "verified-pairs")
-        found = held if found is None else found.unionByName(held)
-        gone = held.select(F.col("b").alias("k")).distinct()
-        left = large.hint("merge").join(lowest.select("b", "k").hint("merge"), ["b", "k"], "left_anti").hint("merge").join(gone.hint("merge"), "k", "left_anti")
-        active = materialise(left.select("b", "k", "fp", "size"), "buckets-left")
-        if active.isEmpty():
-            return found
-        pivots *= 4
+        named = active.hint("merge").join(labels.hint("merge"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+        bucket = Window.partitionBy("b")
+        mixed = named.withColumns({"least": F.min("label").over(bucket), "greatest": F.max("label").over(bucket)}).where("least <> greatest").drop("least", "greatest")
+        order = bucket.orderBy("k") if known is None else bucket.orderBy("rarity", "label", "k")
+        ranked = mixed.withColumn("rarity", F.count("*").over(Window.partitionBy("b", "label"))).withColumn("r", F.row_number().over(order)).drop("rarity")
+        ranked = materialise(ranked, "buckets")
+        if ranked.isEmpty():
+            return labels
+        pivot = ranked.where(F.col("r") <= most)
+        crossing = (F.col("x.b") == F.col("y.b")) & (F.col("x.r") < F.col("y.r")) & (F.col("x.label") != F.col("y.label")) & may_be_alike
+        met = pivot.alias("x").hint("merge").join(ranked.alias("y").hint("merge"), crossing)
+        pairs = met.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
+        pairs = materialise(pairs, "candidate-pairs")
+        wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
+        if known is not None:
+            wanted = wanted.hint("merge").join(known.select("k").hint("merge"), "k", "left_anti")
+        wanted = materialise(sets.select("k", "doc_id", "h").hint("merge").join(wanted.hint("merge"), "k", "left_semi"), "wanted-sets")
+        more = _shingle_table(docs, wanted)
+        known = more if known is None else known.unionByName(more)
+        links = materialise(_verified(pairs, known).select("la", "lb").distinct(), "label-links")
+        joined = connected_components(links).where("node <> component")
+        renamed = joined.select(F.col("node").alias("label"), F.col("component").alias("new"))
+        # the old labels that go over to another, and their members
+        moved = labels.hint("merge").join(renamed.hint("merge"), "label", "left").select("k", F.coalesce("new", "label").alias("label"))
+        labels = materialise(moved.unionByName(renamed.select(F.col("label").alias("k"), F.col("new").alias("label"))), "set-labels")
+        active = ranked.where(F.col("r") > most).drop("r", "label")
+        most = pivots if most == 1 else most * 8
+
+
+def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b and others) whose sets of shingles have an exact Jaccard of at least ALIKE."""
+    num, den = ALIKE
+    first = known.select(F.col("k").alias("a"), F.col("own").alias("own_a"))
+    second = known.select(F.col("k").alias("b"), F.col("own").alias("own_b"))
+    both = F.size(F.array_intersect("own_a", "own_b"))
+    alike = both * den >= (F.size("own_a") + F.size("own_b") - both) * num
+    return pairs.hint("merge").join(first.hint("merge"), "a").hint("merge").join(second.hint("merge"), "b").where(alike)
 
 
 def _shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(k, own): the sorted shingle hashes of the documents named by ``wanted`` (k, doc_id, h)."""
-    there = wanted.select("k", F.xxhash64("h", "doc_id").alias("g"))
+    """(k, own): the shingle hashes of the documents named by ``wanted`` (k, doc_id, h), each once."""
+    there = wanted.select("k", F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingles(t)[0].view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(own, pa.list_(pa.int64()))], ["k", "own"])
 
-    texts = docs.select("text", F.xxhash64("h", "doc_id").alias("g")).hint("merge").join(there.hint("merge"), "g").dropDuplicates(["k", "g"])
-    return materialise(texts.select("k", "text").mapInArrow(run, "k long, own array<bigint>"), "shingles")
+    same = (F.col("h") == F.col("__h")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+    texts = docs.join(sized(there, MOST_KEYS), same).select("k", "text").dropDuplicates(["k"])
+    return materialise(texts.mapInArrow(run, "k long, own array<bigint>"), "shingles")
 
 
-def deduplicate_verified(docs: DataFrame, radius: int = 4, prints: int = PRINTS, id_col: str = "doc_id", text_col: str = "text", small_bucket: int = SMALL_BUCKET) -> DataFrame:
+def deduplicate_verified(docs: DataFrame, radius: int = 4, prints: int = PRINTS, id_col: str = "doc_id", text_col: str = "text", pivots: int = PIVOTS) -> DataFrame:
     """``docs`` with all its columns and one document of each group: the smallest id, null ids last. Groups are linked by pairs
     whose five-word shingle sets have an exact Jaccard of 0.8 or more, found as candidates by covering LSH over several
-    independent fingerprints of their sets of words. Of rows that repeat an id and text, one stays."""
+    independent fingerprints of their sets of words. Of rows that repeat an id and text, one stays.
+
+    What stays is decided on ids and hashes; the texts are only read again to leave out the others."""
     text = F.col(f"`{text_col}`").cast("string")
-    slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("h"))
-    sets = _sets(slim, prints)
-    joined = connected_components(verified_pairs(slim, sets, radius, prints, small_bucket)).where("node <> component")
-    kept = sets.hint("merge").join(joined.select(F.col("node").alias("k")).hint("merge"), "k", "left_anti")
-    g, h, kept_g, kept_h, kept_id = (free_name(docs, name) for name in ("__g", "__h", "__kept_g", "__kept_h", "__kept_id"))
-    there = materialise(kept.select(F.xxhash64("h", "doc_id").alias(kept_g), F.col("h").alias(kept_h), F.col("doc_id").alias(kept_id)), "kept-documents")
-    hashed = docs.withColumn(h, F.coalesce(F.xxhash64(text), F.lit(0))).withColumn(g, F.xxhash64(F.col(h), F.col(id_col)))
-    same = (F.col(g) == F.col(kept_g)) & (F.col(h) == F.col(kept_h)) & F.col(id_col).eqNullSafe(F.col(kept_id))
-    left = hashed.hint("merge").join(there.hint("merge"), same, "left_semi")
-    return left.dropDuplicates([g, h, id_col]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    h = F.coalesce(F.xxhash64(text), F.lit(0))
+    slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), h.alias("h"))
+    rows = materialise(_rows(slim, prints), "shingle-rows")
+    sets = _sets(rows)
+    dropped = linked_sets(slim, sets, radius, prints, pivots).where("label <> k")
+    kept = sets.select("k", "doc_id", "h").hint("merge").join(dropped.select("k").hint("merge"), "k", "left_anti")
+    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h"))
+    own = rows.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
+    stays = (F.col("h") == F.col("kept_h")) & F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    judged = own.hint("merge").join(kept.hint("merge"), stays, "left").select("doc_id", "h", "n", F.col("kept_h").isNotNull().alias("stays"))
+    judged = materialise(judged.where("NOT stays OR n > 1"), "judged-documents")
+    key_id, key_h = free_name(docs, "__key_id"), free_name(docs, "__key_h")
+
+    def named(which: str) -> DataFrame:
+        return sized(judged.where(which).select(F.col("doc_id").alias(key_id), F.col("h").alias(key_h)), MOST_KEYS)
+
+    same = (h == F.col(key_h)) & F.col(id_col).eqNullSafe(F.col(key_id))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if judged.where("stays").isEmpty():
+        return docs.join(named("true"), same, "left_anti")
+    once = docs.join(named("stays"), same).dropDuplicates([key_id, key_h]).select(*columns)
+    return docs.join(named("true"), same, "left_anti").unionByName(once)
 
 
 def op8_near_duplicates(spark, sf_dir):

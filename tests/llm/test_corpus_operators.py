@@ -588,8 +588,8 @@ def jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
-@pytest.mark.parametrize("small_bucket", [2, 32])
-def test_only_verified_near_copies_are_dropped(spark, small_bucket):
+@pytest.mark.parametrize("pivots", [2, 32])
+def test_only_verified_near_copies_are_dropped(spark, pivots):
     rng = random.Random(21)
     pool = [f"w{k}" for k in range(3000)]
     base = [[rng.choice(pool) for _ in range(120)] for _ in range(30)]
@@ -603,9 +603,10 @@ def test_only_verified_near_copies_are_dropped(spark, small_bucket):
         copy = list(base[0])
         copy[60] = f"only{k}"
         rows.append((300 + k, " ".join(copy)))
+    rows += [(600 + k, " ".join([*base[1][:60], *(f"own{k}x{j}" for j in range(40)), *base[1][60:]])) for k in range(50)]  # dense too, but unlike
     rows += [(400, "one two three"), (401, "One two three"), (402, "one two four"), (403, ""), (404, None), (3, rows[3][1]), (None, rows[4][1])]
     docs = frame(spark, rows)
-    kept = near_duplicates.deduplicate_verified(docs, small_bucket=small_bucket)
+    kept = near_duplicates.deduplicate_verified(docs, pivots=pivots)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids)) and set(ids) >= set(range(30)) | set(range(100, 130)) | {400, 402, 403}
@@ -614,9 +615,45 @@ def test_only_verified_near_copies_are_dropped(spark, small_bucket):
     text = dict(reversed(rows))
     for gone in set(range(200, 230)) - set(ids):
         assert jaccard(text[gone], text[gone - 200]) >= 0.8
+    assert set(range(600, 650)) <= set(ids)
     assert near_duplicates.deduplicate_verified(docs.where("false")).count() == 0
 
 
+def test_bitmaps_leave_out_no_similar_pair():
+    import numpy as np
+
+    rng = random.Random(22)
+    for _ in range(300):
+        n = rng.choice([4, 30, 150, 900])
+        words = [f"w{rng.randrange(2000)}" for _ in range(n + 4)]
+        other = list(words)
+        for _ in range(rng.randint(0, max(1, n // 30))):
+            other[rng.randrange(len(other))] = f"x{rng.randrange(2000)}"
+        x, y = (near_duplicates.shingles(" ".join(w))[0] for w in (words, other))
+        a, b = (near_duplicates._bitmap(own).view(np.uint64) for own in (x, y))
+        room = min(len(x) - int(np.bitwise_count(a & ~b).sum()), len(y) - int(np.bitwise_count(b & ~a).sum()))
+        assert room >= len(np.intersect1d(x, y))
+
+
+def test_near_copies_are_found(spark):
+    """A labelled set: copies of 40 to 400 words with one to all the edits that leave a Jaccard of 0.8."""
+    rng = random.Random(23)
+    pool = [f"{rng.choice('bcdfglmnprst')}{rng.choice('aeiou')}{k}" for k in range(4000)]
+    rows, near = [], []
+    for k in range(400):
+        words = [rng.choice(pool) for _ in range(rng.randint(60, 400))]
+        copy = list(words)
+        for _ in range(rng.randint(1, max(1, len(words) // 50))):
+            copy[rng.randrange(len(copy))] = rng.choice(pool)
+        rows += [(k, " ".join(words)), (1000 + k, " ".join(copy))]
+        if jaccard(rows[-1][1], rows[-2][1]) >= 0.8:
+            near.append(1000 + k)
+    kept = {r.doc_id for r in near_duplicates.deduplicate_verified(frame(spark, rows)).select("doc_id").collect()}
+    found = sum(i not in kept for i in near)
+    assert set(range(400)) <= kept and kept >= set(range(1000, 1400)) - set(near)
+    assert len(near) > 300 and found >= 0.9 * len(near), (found, len(near))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(1, 200)] + [(1000, k) for k in range(1001, 1100)] + [(5000, 5000), (7, 8)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -624,6 +661,38 @@ def test_components_of_chains_and_stars(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+# the pipeline
+
+
+def test_pipeline_runs_its_stages_in_order(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(24)
+    pools = {"en": [f"the{k}ing" for k in range(400)], "fr": [f"la{k}eux" for k in range(400)]}
+    said = lambda lang, n: " ".join(rng.choice(pools[lang]) for _ in range(n))
+    rows = [(k, said("fr" if k % 3 == 0 else "en", 120)) for k in range(120)]
+    langs = {k: "fr" if k % 3 == 0 else "en" for k in range(120)}
+    item = said("en", 30)
+    edited = rows[7][1].split()
+    edited[60] = "changed"
+    rows += [(200, rows[4][1]), (201, " ".join(edited)), (202, f"{said('en', 50)} {item} {said('en', 50)}"), (203, f"{said('en', 80)} write to me@mail.example.org soon"), (204, None), (205, "123 456"), (None, said("en", 90)), (206, " ".join("".join(rng.choice("бвгджз") for _ in range(6)) for _ in range(100)))]
+    langs |= {200: "en", 201: "en", 202: "en", 203: "en", 204: None, 205: None, 206: None}
+    frame(spark, rows, langs).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    got = {r.doc_id for r in out.collect()}
+    assert got == set(range(120)) | {203, None}
+    docs, names = spark.read.parquet(str(tmp_path / "documents.parquet")), [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["language", "near_duplicates", "decontamination", "personal_data", "packing"]
+    for name, stage in corpus_pipeline.STAGES:
+        some = stage(spark, docs.where("doc_id = 203 OR doc_id < 30"), str(tmp_path))
+        assert name == "packing" or some.columns == docs.columns
+        if name == "personal_data":
+            assert "me@mail.example.org" not in {r.doc_id: r.text for r in some.collect()}[203]
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
 # 9
 
 
