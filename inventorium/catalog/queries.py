@@ -102,16 +102,30 @@ register(
 register("x10_x20_file_names", r"""SELECT page_id, trim(regexp_replace(url, '[^\p{L}\p{N}_]+', '_', 'g'), '_') AS slug_created, coalesce(nullif(regexp_replace(trim(regexp_replace(url, '[<>:"/\\|?*\x00-\x1f]', '_', 'g')), '\.+$', ''), ''), 'sans_nom') AS file_name FROM pages""")(
     lambda spark, sf: T.source(spark, sf, "pages").select("page_id", X.slug_created(F.col("url")).alias("slug_created"), X.sanitize_filename(F.col("url")).alias("file_name"))
 )
-register("x24_usage_json")(lambda spark, sf: T.source(spark, sf, "events").select("event_id", X.normalize_usage(F.col("props")).alias("u")).select("event_id", "u.*"))
-register("x23_action_json")(lambda spark, sf: T.source(spark, sf, "events").select("event_id", X.action_json(F.concat(F.lit("call "), F.col("props"), F.lit(" done"))).alias("call")))
+
+
+def _usage_json(spark, sf) -> DataFrame:
+    """Usage as three providers write it, with and without the optional counters."""
+    e, n, m = T.source(spark, sf, "events"), (F.col("event_id") % 1000).cast("string"), (F.col("user_id") % 50).cast("string")
+    chat = F.concat(F.lit('{"prompt_tokens": '), n, F.lit(', "completion_tokens": '), m, F.when(F.col("user_id") % 2 == 0, F.concat(F.lit(', "prompt_tokens_details": {"cached_tokens": '), m, F.lit("}"))).otherwise(""), F.lit("}"))
+    plain = F.concat(F.lit('{"input_tokens": '), n, F.lit(', "output_tokens": '), m, F.lit(', "cache_read_input_tokens": '), n, F.lit(', "total_tokens": '), (F.col("event_id") % 1000 + 7).cast("string"), F.lit("}"))
+    return e.select("event_id", F.when(F.col("event_id") % 3 == 0, chat).when(F.col("event_id") % 3 == 1, plain).otherwise(F.lit("{}")).alias("usage"))
+
+
+register("x24_usage_json", "WITH e AS (SELECT event_id, event_id % 3 AS kind, event_id % 1000 AS n, user_id % 50 AS m, user_id % 2 = 0 AS cached FROM events) SELECT event_id, CASE WHEN kind < 2 THEN CAST(n AS BIGINT) END AS input_tokens, CASE WHEN kind < 2 THEN CAST(m AS BIGINT) END AS output_tokens, CAST(CASE kind WHEN 0 THEN n + m WHEN 1 THEN n + 7 END AS BIGINT) AS total_tokens, CAST(CASE WHEN kind = 1 THEN n WHEN kind = 0 AND cached THEN m END AS BIGINT) AS cache_read_tokens, CAST(NULL AS BIGINT) AS reasoning_tokens FROM e")(lambda spark, sf: _usage_json(spark, sf).select("event_id", X.normalize_usage(F.col("usage")).alias("u")).select("event_id", "u.*"))
+register("x23_action_json", "SELECT event_id, props AS call FROM events")(lambda spark, sf: T.source(spark, sf, "events").select("event_id", X.action_json(F.concat(F.lit("call {not this} "), F.col("props"), F.lit(' done {"later": 1}'))).alias("call")))
 register(
     "x26_data_lines",
     r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents) SELECT doc_id, count(*) FILTER (NOT starts_with(trim(s), '```') AND (length(s) - length(replace(s, ';', '')) >= 2 OR length(s) - length(replace(s, ',', '')) >= 2)) AS data_lines FROM l GROUP BY doc_id""",
 )(lambda spark, sf: T.source(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("s")).groupBy("doc_id").agg(F.count_if(X.is_data_line(F.col("s"))).alias("data_lines")))
-register(
-    "x13_conservation_labels",
-    rf"""SELECT DISTINCT {_base()} AS name, array_to_string(list_sort(list_distinct([w FOR w IN string_split_regex({_fold(f"trim(replace(regexp_replace(regexp_replace({_base()}, '^[0-9]+([.-][0-9]+)*[.)][ ]+', ''), '^[0-9]+(-[0-9]+)*_', ''), '_', ' '))")}, '[^a-z0-9]+') IF length(w) > 1 OR regexp_matches(w, '^[0-9]$')])), ' ') AS label FROM inventory WHERE {_FOLDERS}""",
-)(lambda spark, sf: hierarchy.folders(T.inventory(spark, sf)).select(X.basename(F.col("path")).alias("name"), X.conservation_label(X.basename(F.col("path"))).alias("label")).distinct())
+
+
+def _conserved(name: str) -> str:
+    bare = f"trim(replace(regexp_replace(regexp_replace({name}, '^[0-9]+([.-][0-9]+)*[.)][ ]+', ''), '^[0-9]+(-[0-9]+)*_', ''), '_', ' '))"
+    return f"array_to_string(list_sort(list_distinct([w FOR w IN string_split_regex({_fold(bare)}, '[^a-z0-9]+') IF length(w) > 1 OR regexp_matches(w, '^[0-9]$')])), ' ')"
+
+
+register("x13_conservation_labels", f"SELECT DISTINCT {_base()} AS name, {_conserved(_base())} AS label FROM inventory WHERE {_FOLDERS}")(lambda spark, sf: hierarchy.folders(T.inventory(spark, sf)).select(X.basename(F.col("path")).alias("name"), X.conservation_label(X.basename(F.col("path"))).alias("label")).distinct())
 
 # filters and exploration
 
@@ -173,6 +187,33 @@ def _scan(spark, sf):
     return sets.assemble(*rows)
 
 
+# two holdings at once: each function gives for each what it gives for one
+
+
+def _holdings(inv: DataFrame) -> DataFrame:
+    """The inventory as two holdings, by the region of a path."""
+    return inv.withColumn("fonds_id", F.when(F.col("path") < "3", "a").otherwise("b"))
+
+
+_FONDS = "SELECT *, CASE WHEN path < '3' THEN 'a' ELSE 'b' END AS fonds_id FROM inventory"
+_BY = ("fonds_id",)
+
+
+def over_holdings(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """``sql`` reads a table h."""
+    register(name, f"WITH h AS ({_FONDS}){', ' + sql[5:] if sql.startswith('WITH ') else ' ' + sql}")(lambda spark, sf: f(_holdings(T.inventory(spark, sf))))
+
+
+over_holdings("by_a11_count_items", lambda h: explore.count_items(h, None, 3, _BY), f"WITH c AS (SELECT fonds_id, {_ext()} AS extension, count(*) AS n FROM h WHERE {_ITEMS} GROUP BY ALL), r AS (SELECT *, CAST(sum(n) OVER (PARTITION BY fonds_id) AS BIGINT) AS total, row_number() OVER (PARTITION BY fonds_id ORDER BY n DESC, extension) AS k FROM c) SELECT fonds_id, extension, n, total FROM r WHERE k <= 3")
+over_holdings("by_a12_stats_by", lambda h: explore.stats_by(h, "year", max_buckets=4, by=_BY), f"WITH c AS (SELECT fonds_id, coalesce(nullif(regexp_extract(start_date, '^([0-9]{{4}})', 1), ''), '(sans date)') AS v, count(*) AS c FROM h WHERE {_ITEMS} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY fonds_id ORDER BY c DESC, v) AS rn FROM c) SELECT fonds_id, CASE WHEN rn > 4 THEN '(autres)' ELSE v END AS value, CAST(sum(c) AS BIGINT) AS n FROM r GROUP BY ALL")
+over_holdings("by_f3_tree_search", lambda h: explore.tree_search(h, "rapport_12", _BY), f"""WITH hit AS (SELECT DISTINCT fonds_id, path FROM h WHERE path <> '.' AND contains({_fold("path || ' ' || title")}, 'rapport_12')), up AS (SELECT DISTINCT fonds_id, unnest([array_to_string(string_split(path, '/')[1:i], '/') FOR i IN range(1, len(string_split(path, '/')))]) AS path FROM hit) SELECT fonds_id, path, true AS matched FROM hit UNION ALL SELECT fonds_id, path, false FROM up ANTI JOIN hit USING (fonds_id, path)""")
+over_holdings("by_o1_paginate", lambda h: explore.paginate(hierarchy.items(h), 1, 10, _BY).select("fonds_id", "path", "total", "pages"), f"WITH r AS (SELECT fonds_id, path, count(*) OVER w AS total, row_number() OVER (PARTITION BY fonds_id ORDER BY pos, path) AS k FROM h WHERE {_ITEMS} WINDOW w AS (PARTITION BY fonds_id)) SELECT fonds_id, path, total, CAST(ceil(total / 10) AS INT) AS pages FROM r WHERE k BETWEEN 11 AND 20")
+over_holdings("by_a1_volumetry", lambda h: audit.volumetry(h, _BY), f"SELECT fonds_id, count(*) FILTER ({_ITEMS}) AS items, count(*) FILTER (level = 'RecordGrp') AS folders, count(*) AS all_rows, CAST(max(len({_segs()})) AS INT) AS max_depth FROM h GROUP BY fonds_id")
+over_holdings("by_a9_structure", lambda h: audit.structure(h, _BY), f"SELECT fonds_id, count(*) FILTER ({_ITEMS} AND len({_segs()}) = 1) AS root_items, round(100.0 * count(*) FILTER ({_ITEMS} AND len({_segs()}) = 1) / count(*) FILTER ({_ITEMS}), 1) AS root_items_pct, count(*) FILTER ({_FOLDERS} AND regexp_matches({_base()}, '^[0-9]+[\\s._)-]')) AS prefixed_folders, count(*) FILTER ({_FOLDERS}) AS folder_count FROM h GROUP BY fonds_id")
+over_holdings("by_a6_name_collisions", lambda h: audit.name_collisions(h, by=_BY), f"SELECT fonds_id, lower(trim({_base()})) AS name, count(*) AS n, arg_min(path, pos) AS first_path FROM h WHERE {_ITEMS} AND {_NOISE} IS NULL AND trim({_base()}) <> '' GROUP BY ALL HAVING count(*) >= 2")
+over_holdings("by_q10_validate", lambda h: checks.validate(_broken(h), False, _BY), "WITH b AS (SELECT fonds_id, CASE pos % 1000 WHEN 1 THEN 'Fichier' WHEN 2 THEN NULL ELSE level END AS level, CASE WHEN pos % 1000 = 3 THEN 'dup' ELSE id END AS id, start_date, CASE WHEN pos % 1000 = 5 THEN '1900' ELSE end_date END AS end_date FROM h), i AS (SELECT fonds_id, id, count(*) AS c FROM b GROUP BY ALL) SELECT fonds_id, 'invalid_level' AS rule, count(*) FILTER (coalesce(level NOT IN ('RecordGrp', 'SubGrp', 'Series', 'Subseries', 'File', 'Item', 'OtherLevel'), true)) AS n FROM b GROUP BY fonds_id UNION ALL SELECT fonds_id, 'duplicate_id', CAST(coalesce(sum(c) FILTER (c > 1), 0) AS BIGINT) FROM i GROUP BY fonds_id UNION ALL SELECT fonds_id, 'start_after_end', count(*) FILTER (start_date <> '' AND end_date <> '' AND start_date > end_date) FROM b GROUP BY fonds_id")
+over_holdings("by_h6_has_cycle", lambda h: hierarchy.has_cycle(h.select("fonds_id", "id", F.when((F.col("id") == "10") & (F.col("fonds_id") == "a"), "100").otherwise(F.col("parent_id")).alias("parent_id")), _BY), "SELECT fonds_id, fonds_id = 'a' AND count(*) FILTER (id = '100' AND parent_id = '10') > 0 AS has_cycle FROM h GROUP BY fonds_id")
+
 # hierarchy
 
 over_inventory("h1_rollup_dates", hierarchy.rollup_dates, f"SELECT folder, coalesce(min(nullif(start_date, '')), '') AS start_date, coalesce(max(nullif(end_date, '')), '') AS end_date FROM ({_CHAIN}) GROUP BY folder")
@@ -223,7 +264,14 @@ over_inventory("p8_result_row", lambda inv: explore.result_row(inv), f"SELECT pa
 over_inventory("w1_assign_ref", lambda inv: windows.assign_ref(inv).select("ref", "id"), f"SELECT row_number() OVER (ORDER BY pos, path) AS ref, id FROM inventory WHERE {_ITEMS}")
 over_inventory("w2_batch_slices", lambda inv: windows.batch_slices(windows.assign_ref(inv), 400).groupBy("batch").agg(F.count("*").alias("n"), F.min("ref").alias("first")), f"WITH r AS (SELECT row_number() OVER (ORDER BY pos, path) AS ref FROM inventory WHERE {_ITEMS}) SELECT (ref - 1) // 400 AS batch, count(*) AS n, min(ref) AS first FROM r GROUP BY 1")
 over_inventory("a21_token_estimate", lambda inv: runs.token_estimate(inv, ["id", "path", "title"], ("level",)), "SELECT level, count(*) AS rows, CAST(ceil(sum(length(id || ';' || path || ';' || title) + 1) / 3.5) AS BIGINT) AS tokens FROM inventory GROUP BY level")
-over_inventory("a30_budget_report", lambda inv: runs.budget_report(inv, 0, False))
+over_inventory(
+    "a30_budget_report",
+    lambda inv: runs.budget_report(inv, 0, False),
+    f"""WITH c AS (SELECT count(*) AS n FROM inventory WHERE {_ITEMS}), b AS (SELECT CASE WHEN n <= 200 THEN 0 WHEN n <= 1000 THEN 5 WHEN n <= 5000 THEN 3 ELSE 2 END AS k FROM c),
+    r AS (SELECT *, row_number() OVER (PARTITION BY parent_id, {_ITEMS} ORDER BY pos) AS rn FROM inventory), w AS (SELECT r.*, k FROM r, b WHERE level <> 'Item' OR k = 0 OR rn <= k)
+    SELECT 'current' AS setting, 0 AS sample_n, count(*) AS rows, CAST(ceil(sum(length(id || ';' || parent_id || ';' || path || ';' || level || ';' || title || ';' || start_date || ';' || end_date) + 1) / 3.5) AS BIGINT) AS tokens FROM inventory
+    UNION ALL SELECT 'recommended', any_value(k), count(*), CAST(ceil(sum(length(id || ';' || parent_id || ';' || path || ';' || level || ';' || title || ';' || CASE WHEN {_ITEMS} THEN '' ELSE start_date END || ';' || CASE WHEN {_ITEMS} THEN '' ELSE end_date END) + 1) / 3.5) AS BIGINT) FROM w""",
+)
 over_inventory("j9_recommend_sampling", lambda inv: joins.recommend_sampling(hierarchy.items(inv).groupBy("parent_id").agg((F.count("*") * 20).alias("items"))), f"SELECT parent_id, 20 * count(*) AS items, CASE WHEN 20 * count(*) <= 200 THEN 'petit' WHEN 20 * count(*) <= 1000 THEN 'moyen' WHEN 20 * count(*) <= 5000 THEN 'grand' ELSE 'très grand' END AS tier, CASE WHEN 20 * count(*) <= 200 THEN 0 WHEN 20 * count(*) <= 1000 THEN 5 WHEN 20 * count(*) <= 5000 THEN 3 ELSE 2 END AS sample_n FROM inventory WHERE {_ITEMS} GROUP BY parent_id")
 register("w4_diverse_examples", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY apos) AS rn FROM assignments) SELECT path, target, new_title FROM r ORDER BY rn > 1, apos LIMIT 12")(lambda spark, sf: windows.diverse_examples(T.assignments(spark, sf).withColumnRenamed("apos", "pos")).select("path", "target", "new_title"))
 register("w5_assign_folder_ids", "WITH f AS (SELECT DISTINCT folder FROM plan) SELECT folder, CAST((SELECT max(CAST(id AS BIGINT)) FROM inventory) + row_number() OVER (ORDER BY folder) AS VARCHAR) AS id FROM f")(lambda spark, sf: windows.assign_folder_ids(T.plan(spark, sf), T.inventory(spark, sf)))
@@ -244,7 +292,13 @@ over_both("w10_keep_last", lambda asg, inv: windows.keep_last(asg, ["path"], ["a
 over_both("w10_keep_first", lambda asg, inv: windows.keep_first(asg, ["path"], ["apos"]).select("path", "target"), "SELECT path, arg_min(target, apos) AS target FROM assignments GROUP BY path")
 over_both("a19_redundant_assignments", lambda asg, inv: windows.redundant_assignments(asg), "SELECT path, count(*) AS n FROM assignments GROUP BY path HAVING count(*) > 1")
 register("o2_natural_plan_order", "SELECT folder, row_number() OVER (ORDER BY string_split(folder, '_')[1] = '', [CAST(p AS BIGINT) FOR p IN string_split(string_split(folder, '_')[1], '-')], lower(folder)) AS place FROM plan")(lambda spark, sf: explore.number_rows(T.plan(spark, sf).withColumn("key", windows.natural_plan_order(F.col("folder"))), ["key"], "place").select("folder", "place"))
-over_inventory("o3_id_order", lambda inv: hierarchy.folders(inv).select(F.when(F.col("pos") % 3 == 0, F.concat(F.lit("x"), F.col("id"))).otherwise(F.col("id")).alias("id")).orderBy(*windows.id_order(F.col("id"))).limit(50), f"WITH i AS (SELECT CASE WHEN pos % 3 = 0 THEN 'x' || id ELSE id END AS id FROM inventory WHERE {_FOLDERS}) SELECT id FROM i ORDER BY try_cast(id AS BIGINT) IS NULL, try_cast(id AS BIGINT), id LIMIT 50")
+over_inventory("o3_id_order", lambda inv: _ordered_ids(hierarchy.folders(inv).select(F.when(F.col("pos") % 3 == 0, F.concat(F.lit("x"), F.col("id"))).otherwise(F.col("id")).alias("id"))), f"WITH i AS (SELECT CASE WHEN pos % 3 = 0 THEN 'x' || id ELSE id END AS id FROM inventory WHERE {_FOLDERS}) SELECT id, row_number() OVER (ORDER BY try_cast(id AS BIGINT) IS NULL, try_cast(id AS BIGINT), id) AS place FROM i")
+
+
+def _ordered_ids(ids: DataFrame) -> DataFrame:
+    keys = {f"__o{k}": c for k, c in enumerate(windows.id_order(F.col("id")))}
+    return explore.number_rows(ids.withColumns(keys), list(keys), "place").select("id", "place")
+
 
 # joins
 
@@ -255,7 +309,7 @@ over_both("j4_unknown_paths", lambda asg, inv: joins.unknown_paths(inv, asg).sel
 register("j5_match_targets", "SELECT path, apos, folder AS plan_folder FROM assignments LEFT JOIN plan ON target = folder")(lambda spark, sf: joins.match_targets(T.assignments(spark, sf), T.plan(spark, sf)).select("path", "apos", "plan_folder"))
 over_inventory("j6_orphans", lambda inv: checks.orphans(inv.where("pos <> 101")).select("id"), "SELECT id FROM inventory WHERE pos <> 101 AND parent_id <> '' AND parent_id NOT IN (SELECT id FROM inventory WHERE pos <> 101)")
 register("j7_plan_parents", "SELECT plan_id, pos, folder, parent FROM plan")(lambda spark, sf: joins.plan_parents(T.plan(spark, sf)))
-register("j10_retained_folders")(lambda spark, sf: joins.retained_folders(T.inventory(spark, sf), T.plan(spark, sf).unionByName(hierarchy.folders(T.inventory(spark, sf)).where("pos % 3 = 0").select(F.lit("plan").alias("plan_id"), "pos", X.slugify(X.basename(F.col("path"))).alias("folder"), F.lit(None).cast("string").alias("parent"), "title"))))
+register("j10_retained_folders", f"WITH sl AS (SELECT {_base()} AS b, pos FROM inventory WHERE {_FOLDERS}), pl AS (SELECT {_conserved('folder')} AS label FROM plan UNION SELECT {_conserved("coalesce(nullif(trim(regexp_replace(strip_accents(b), '[^A-Za-z0-9]+', '_', 'g'), '_'), ''), 'Nouveau_dossier')")} FROM sl WHERE pos % 3 = 0), src AS (SELECT DISTINCT {_conserved('b')} AS label FROM sl) SELECT label, label IN (SELECT label FROM pl) AS retained FROM src WHERE label <> ''")(lambda spark, sf: joins.retained_folders(T.inventory(spark, sf), T.plan(spark, sf).unionByName(hierarchy.folders(T.inventory(spark, sf)).where("pos % 3 = 0").select(F.lit("plan").alias("plan_id"), "pos", X.slugify(X.basename(F.col("path"))).alias("folder"), F.lit(None).cast("string").alias("parent"), "title"))))
 over_both("j18_filters_equivalent", lambda asg, inv: joins.equivalence(inv, {"extension": "pdf", "year_min": 1995}, {"extension": ".PDF", "folder": "1_AFRICA"}), f"WITH f AS (SELECT {_ext()} = 'pdf' AND coalesce(try_cast(regexp_extract(start_date, '^([0-9]{{4}})', 1) AS INT) >= 1995, false) AS a, {_ext()} = 'pdf' AND starts_with(lower(path), '1_africa/') AS b FROM inventory WHERE {_ITEMS}) SELECT count(*) FILTER (a AND NOT b) AS only_first, count(*) FILTER (NOT a AND b) AS only_second, count(*) FILTER (a AND b) AS both FROM f")
 
 
@@ -356,7 +410,10 @@ register(
     f"""{_SPLIT} SELECT (SELECT count(*) FROM inventory WHERE {_ITEMS}) AS total, count(*) FILTER (status IN ('ok', 'off_plan', 'malformed')) AS classified, (SELECT count(*) FROM inventory WHERE {_ITEMS} AND path NOT IN (SELECT path FROM s)) AS unclassified, count(*) FILTER (status = 'malformed') AS malformed,
     count(*) FILTER (status IN ('ok', 'off_plan', 'malformed') AND fixed_title <> new_title) AS extensions_fixed, count(*) FILTER (status = 'unknown_target') AS targets_unknown, count(*) FILTER (status = 'unknown_path') AS paths_not_found FROM s""",
 )(lambda spark, sf: classify.counters(_done(spark, sf).status, T.inventory(spark, sf)).drop("classified_pct"))
-register("e2_classement_metrics")(lambda spark, sf: evaluate.classement_metrics(classify.counters(_done(spark, sf).status, T.inventory(spark, sf))))
+_FIGURES = f"""{_SPLIT}, z AS (SELECT (SELECT count(*) FROM inventory WHERE {_ITEMS}) AS total, count(*) FILTER (status IN ('ok', 'off_plan', 'malformed')) AS classified, (SELECT count(*) FROM inventory WHERE {_ITEMS} AND path NOT IN (SELECT path FROM s)) AS unclassified, count(*) FILTER (status = 'malformed') AS malformed,
+count(*) FILTER (status IN ('ok', 'off_plan', 'malformed') AND fixed_title <> new_title) AS extensions_fixed, count(*) FILTER (status = 'unknown_target') AS targets_unknown, count(*) FILTER (status = 'unknown_path') AS paths_not_found FROM s)"""
+_SHARES = ", ".join(f"{c}, round(100.0 * {c} / total, 1) AS {c}_pct" for c in ("classified", "unclassified", "malformed", "extensions_fixed", "targets_unknown", "paths_not_found"))
+register("e2_classement_metrics", f"{_FIGURES} SELECT total, {_SHARES} FROM z")(lambda spark, sf: evaluate.classement_metrics(classify.counters(_done(spark, sf).status, T.inventory(spark, sf))))
 
 
 @register("a16_conformity", f"{_SPLIT}, u AS (SELECT DISTINCT folder FROM s WHERE status IN ('ok', 'off_plan')), n AS (SELECT folder FROM u UNION SELECT parent FROM plan WHERE parent IS NOT NULL AND folder IN (SELECT folder FROM u)) SELECT (SELECT count(*) FROM plan) AS plan_folders, count(*) AS output_folders, count(*) FILTER (folder NOT IN (SELECT folder FROM plan)) AS off_plan, (SELECT count(*) FROM plan WHERE folder NOT IN (SELECT folder FROM n)) AS missing, false AS plan_matches FROM n")
@@ -366,8 +423,10 @@ def _conformity(spark, sf):
 
 
 register("u6_off_plan", "SELECT DISTINCT target AS folder FROM assignments WHERE target NOT IN (SELECT folder FROM plan)")(lambda spark, sf: sets.off_plan(T.plan(spark, sf), T.assignments(spark, sf).select(F.col("target").alias("folder"))))
-register("a26_coverage_report")(lambda spark, sf: runs.coverage_report(T.inventory(spark, sf), _done(spark, sf).rows))
-register("a27_manifest_summary")(lambda spark, sf: runs.manifest_summary(_done(spark, sf).rows))
+_KEPT = f"""{_SPLIT}, f AS (SELECT path, arg_min(start_date, pos) AS a, arg_min(end_date, pos) AS b FROM inventory WHERE {_ITEMS} GROUP BY path), y AS (SELECT path, CASE WHEN status = 'malformed' THEN '.' ELSE folder END AS folder, apos, a, b FROM s JOIN f USING (path) WHERE status IN ('ok', 'off_plan', 'malformed')),
+u AS (SELECT DISTINCT folder FROM s WHERE status IN ('ok', 'off_plan')), n AS (SELECT folder FROM u UNION SELECT parent FROM plan WHERE parent IS NOT NULL AND folder IN (SELECT folder FROM u))"""
+register("a26_coverage_report", f"{_KEPT}, o AS (SELECT count(*) AS c FROM inventory WHERE {_ITEMS}) SELECT c AS original_items, (SELECT count(*) FROM n) AS new_folders, (SELECT count(*) FROM y) AS new_items, (SELECT count(*) FROM y WHERE a = '') AS undated_items, c - (SELECT count(*) FROM y) AS missing FROM o")(lambda spark, sf: runs.coverage_report(T.inventory(spark, sf), _done(spark, sf).rows))
+register("a27_manifest_summary", f"{_KEPT} SELECT (SELECT count(*) FROM n) AS folders, count(*) AS items, coalesce(min(nullif(a, '')), '') AS start_date, coalesce(max(nullif(b, '')), '') AS end_date FROM y")(lambda spark, sf: runs.manifest_summary(_done(spark, sf).rows))
 register("c9_copy_preview")(lambda spark, sf: classify.copy_preview(_done(spark, sf).rows))
 register("j16_verify_copy")(lambda spark, sf: joins.verify_copy(*_preview_and_listing(spark, sf)))
 
@@ -378,7 +437,7 @@ def _preview_and_listing(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 
 over_both("c10_worklist", lambda asg, inv: classify.worklist(asg, inv, "", True).select("path", "target", "duplicate", "unclassified"), f"WITH n AS (SELECT path, count(*) AS c FROM assignments GROUP BY path) SELECT path, target, true AS duplicate, false AS unclassified FROM assignments JOIN n USING (path) WHERE c > 1 UNION ALL SELECT path, '', false, true FROM inventory WHERE {_ITEMS} AND path NOT IN (SELECT path FROM n)")
-over_both("o5_triage_order", lambda asg, inv: windows.triage_order(classify.worklist(asg, inv)).limit(40).select("path", "pos"), f"WITH n AS (SELECT path, count(*) AS c FROM assignments GROUP BY path), w AS (SELECT path, apos AS pos, c > 1 AS duplicate FROM assignments JOIN n USING (path) UNION ALL SELECT path, pos, false FROM inventory WHERE {_ITEMS} AND path NOT IN (SELECT path FROM n)) SELECT path, pos FROM w ORDER BY NOT duplicate, CASE WHEN duplicate THEN path END, pos LIMIT 40")
+over_both("o5_triage_order", lambda asg, inv: explore.number_rows(classify.worklist(asg, inv).withColumns(windows.triage_keys()), [*windows.triage_keys(), "path"], "place").select("path", "pos", "place"), f"WITH n AS (SELECT path, count(*) AS c FROM assignments GROUP BY path), w AS (SELECT path, apos AS pos, c > 1 AS duplicate FROM assignments JOIN n USING (path) UNION ALL SELECT path, pos, false FROM inventory WHERE {_ITEMS} AND path NOT IN (SELECT path FROM n)) SELECT path, pos, row_number() OVER (ORDER BY NOT duplicate, CASE WHEN duplicate THEN path ELSE '' END, pos, path) AS place FROM w")
 register("c11_clean_exemplars", "WITH g AS (SELECT path, arg_min(target, apos) AS target, min(apos) AS apos FROM assignments WHERE target IN (SELECT folder FROM plan) GROUP BY path), r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY apos) AS rn FROM g) SELECT path, target FROM r ORDER BY rn > 1, apos LIMIT 12")(lambda spark, sf: classify.clean_exemplars(T.assignments(spark, sf), T.plan(spark, sf)).select("path", "target"))
 
 
@@ -422,10 +481,12 @@ def _two_states(spark, sf) -> tuple[DataFrame, DataFrame]:
     return old, new
 
 
-register("u7_plan_path_diff")(lambda spark, sf: sets.plan_path_diff(*[d.select(F.concat_ws("/", "plan_id", "path").alias("path")) for d in _two_states(spark, sf)]))
-register("r5_diff_plans")(lambda spark, sf: P.diff_plans(*_two_states(spark, sf)))
-register("q8_check_plan_text")(lambda spark, sf: checks.check_plan_text(P.plan_lines(_plan_texts(spark, sf)).where("folder NOT LIKE '2\\_%'")))
-register("q9_check_plan_nodes")(lambda spark, sf: checks.check_plan_nodes(P.plan_nodes(_plan_texts(spark, sf))))
+_PATHS = f"{_PLANS_SQL}, p8 AS (SELECT plan_id, CASE WHEN parent IS NULL THEN '' ELSE regexp_replace(parent, '^[0-9]+(-[0-9]+)*_', '') || '/' END || regexp_replace(folder, '^[0-9]+(-[0-9]+)*_', '') AS path FROM pp), new8 AS (SELECT plan_id, regexp_replace(path, '^Building', 'Batiment') AS path FROM p8 WHERE path NOT LIKE 'Machinery%')"
+register("u7_plan_path_diff", f"{_PATHS}, a8 AS (SELECT DISTINCT plan_id || '/' || path AS path FROM p8), b8 AS (SELECT DISTINCT plan_id || '/' || path AS path FROM new8) SELECT coalesce(a8.path, b8.path) AS path, CASE WHEN a8.path IS NULL THEN 'added' WHEN b8.path IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM a8 FULL JOIN b8 ON a8.path = b8.path")(lambda spark, sf: sets.plan_path_diff(*[d.select(F.concat_ws("/", "plan_id", "path").alias("path")) for d in _two_states(spark, sf)]))
+register("r5_diff_plans", f"{_PATHS} SELECT plan_id, path AS old_path, path AS new_path, 'unchanged' AS change FROM p8 JOIN new8 USING (plan_id, path) UNION ALL SELECT plan_id, path, 'Batiment', 'renamed' FROM p8 WHERE path = 'Building' UNION ALL SELECT plan_id, path, NULL, 'removed' FROM p8 WHERE path LIKE 'Machinery%'")(lambda spark, sf: P.diff_plans(*_two_states(spark, sf)))
+_NUMBER = "regexp_extract({}, '^([0-9]+(-[0-9]+)*)_', 1)"
+register("q8_check_plan_text", f"{_PLANS_SQL}, l8 AS (SELECT * FROM pp WHERE NOT starts_with(folder, '2_')) SELECT plan_id, 'missing_parent' AS rule, count(*) AS n FROM l8 WHERE contains({_NUMBER.format('folder')}, '-') AND (plan_id, regexp_replace({_NUMBER.format('folder')}, '-[0-9]+$', '')) NOT IN (SELECT (plan_id, {_NUMBER.format('folder')}) FROM l8) GROUP BY plan_id UNION ALL SELECT plan_id, 'duplicate_name', count(*) FROM (SELECT plan_id, lower(folder) FROM l8 GROUP BY ALL HAVING count(*) > 1) GROUP BY plan_id")(lambda spark, sf: checks.check_plan_text(P.plan_lines(_plan_texts(spark, sf)).where("folder NOT LIKE '2\\_%'")))
+register("q9_check_plan_nodes", f"{_PLANS_SQL} SELECT plan_id, 'root_count' AS rule, count(*) FILTER (parent IS NULL) AS n FROM pp GROUP BY plan_id HAVING count(*) FILTER (parent IS NULL) <> 1 UNION ALL SELECT plan_id, 'bad_slug', count(*) FROM pp WHERE NOT regexp_matches(regexp_replace(folder, '^[0-9]+(-[0-9]+)*_', ''), '^[A-Za-z0-9_]+$') GROUP BY plan_id")(lambda spark, sf: checks.check_plan_nodes(P.plan_nodes(_plan_texts(spark, sf))))
 register("w8_number_created", "WITH a AS (SELECT DISTINCT folder AS parent, 'Sujet_' || pos % 3 AS slug FROM plan UNION ALL SELECT folder, 'Autre' FROM plan), k AS (SELECT substring(folder, 1, 1) AS p, max(CAST(substring(folder, 3, 1) AS BIGINT)) AS top FROM plan WHERE parent IS NOT NULL GROUP BY 1), r AS (SELECT parent, slug, string_split(parent, '_')[1] AS prefix, row_number() OVER (PARTITION BY parent ORDER BY slug) AS n FROM a) SELECT parent, slug, prefix || '-' || (n + coalesce(top, 0)) || '_' || slug AS folder FROM r LEFT JOIN k ON p = prefix")(
     lambda spark, sf: windows.number_created(T.plan(spark, sf).select(F.col("folder").alias("parent"), F.concat(F.lit("Sujet_"), F.col("pos") % 3).alias("slug")).unionByName(T.plan(spark, sf).select(F.col("folder").alias("parent"), F.lit("Autre").alias("slug"))), T.plan(spark, sf))
 )
@@ -440,6 +501,18 @@ def _answers(spark, sf) -> DataFrame:
     return a.groupBy("batch_id").agg(F.concat(F.lit("Voici :\n```csv\nPath;TargetFolder;NewTitle\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("apos", line.alias("l")))), lambda x: x["l"]), "\n"), F.lit("\n[FIN LOT]\n```\nVoilà.")).alias("raw_text"))
 
 
+register("s6_reordered_and_short_rows", "SELECT CAST(apos // 800 AS VARCHAR) AS batch_id, path, CASE WHEN apos // 800 % 3 = 2 THEN '' ELSE target END AS target, CASE WHEN apos // 800 % 3 = 0 THEN new_title ELSE '' END AS new_title FROM assignments WHERE apos // 800 % 3 < 2 OR target <> ''")(lambda spark, sf: text_io.ingest_responses(_odd_answers(spark, sf)).drop("line"))
+
+
+def _odd_answers(spark, sf) -> DataFrame:
+    """Answers with their columns in another order, rows of two fields, and rows with an index whose target is empty."""
+    a = T.assignments(spark, sf).withColumns({"batch_id": F.floor(F.col("apos") / 800).cast("string"), "kind": F.floor(F.col("apos") / 800) % 3})
+    line = F.when(F.col("kind") == 0, F.concat_ws(";", "target", "path", "new_title")).when(F.col("kind") == 1, F.concat_ws(";", "path", "target")).otherwise(F.concat_ws(";", "apos", "path", F.lit("")))
+    head = F.when(F.col("kind") == 0, "TargetFolder;Path;NewTitle").when(F.col("kind") == 1, "Path;TargetFolder;NewTitle").otherwise("#;Path;TargetFolder;NewTitle")
+    lines = a.where("kind < 2 OR target <> ''").groupBy("batch_id", head.alias("head")).agg(F.array_sort(F.collect_list(F.struct("apos", line.alias("l")))).alias("rows"))
+    return lines.select("batch_id", F.concat(F.lit("Voici :\n```csv\n"), "head", F.lit("\n"), F.array_join(F.transform("rows", lambda x: x["l"]), "\n"), F.lit("\n```")).alias("raw_text"))
+
+
 register("s6_ingest_responses", "SELECT path, target, new_title, CAST(apos // 800 AS VARCHAR) AS batch_id FROM assignments")(lambda spark, sf: text_io.ingest_responses(_answers(spark, sf)).drop("line"))
 
 
@@ -447,7 +520,8 @@ register("s6_ingest_responses", "SELECT path, target, new_title, CAST(apos // 80
 def _round_trip(spark, sf):
     path = new_path(spark, "inventory-csv")
     inv_io.write_inventory(T.inventory(spark, sf), path)
-    return inv_io.read_inventory(spark, path).drop("pos")
+    back = inv_io.read_inventory(spark, path)
+    return back.select("id", "parent_id", "path", "level", "title", "start_date", "end_date", "fingerprint")
 
 
 @register("n1_normalize_native", "WITH r AS (SELECT id, parent_id, path, level, title, row_number() OVER (ORDER BY pos, id) AS n FROM inventory) SELECT CAST(r.n AS VARCHAR) AS id, coalesce(CAST(p.n AS VARCHAR), '') AS parent_id, r.path, r.level, r.title FROM r LEFT JOIN r AS p ON r.parent_id = p.id")
@@ -472,7 +546,7 @@ def _documents_inventory(spark, sf) -> DataFrame:
 
 register("s7_normalise_corrections", "SELECT trim(path) AS path, target, trim(new_title) AS new_title FROM assignments WHERE target <> ''")(lambda spark, sf: text_io.normalise_corrections(T.assignments(spark, sf).select(F.concat(F.lit(" "), "path").alias("Path"), F.col("target").alias("targetFolder"), F.col("new_title").alias("new_title"))).drop("pos"))
 register("u8_merge_corrections", "SELECT path, arg_max(target, apos + apos % 2 * 10000000000) AS target, arg_max(new_title, apos + apos % 2 * 10000000000) AS new_title FROM assignments GROUP BY path")(lambda spark, sf: sets.merge_corrections(*[T.assignments(spark, sf).where(f"apos % 2 = {k}").withColumnRenamed("apos", "pos") for k in (0, 1)]).drop("place"))
-register("s12_manifest")(lambda spark, sf: inv_io.manifest(_done(spark, sf).rows)[0])
+register("s12_manifest", f"{_KEPT}, d AS (SELECT unnest(list_distinct([l.folder, coalesce(plan.parent, l.folder)])) AS folder, a, b FROM (SELECT path, arg_max(folder, apos) AS folder, any_value(a) AS a, any_value(b) AS b FROM y GROUP BY path) AS l LEFT JOIN plan ON plan.folder = l.folder), x AS (SELECT folder, min(nullif(a, '')) AS a, max(nullif(b, '')) AS b FROM d GROUP BY folder) SELECT coalesce(parent || '/', '') || n.folder AS path, coalesce(nullif(title, ''), trim(replace(regexp_replace(n.folder, '^[0-9]+(-[0-9]+)*_', ''), '_', ' '))) AS title, coalesce(a, '') AS start_date, coalesce(b, '') AS end_date FROM n LEFT JOIN plan ON plan.folder = n.folder LEFT JOIN x ON x.folder = n.folder")(lambda spark, sf: inv_io.manifest(_done(spark, sf).rows)[0])
 
 
 @register("s11_run_ledger")
@@ -520,9 +594,13 @@ def _reports(spark, sf) -> DataFrame:
 register("e1_audit_metrics")(lambda spark, sf: evaluate.audit_metrics(_reports(spark, sf), audit.volumetry(T.inventory(spark, sf))))
 
 
-@register("e3_directives_followed")
+@register(
+    "e3_directives_followed",
+    f"""{_KEPT}, k3 AS (SELECT DISTINCT path, target AS folder, apos % 4 = 0 AS under FROM assignments WHERE target <> ''), l3 AS (SELECT DISTINCT y.path, y.folder AS landed, unnest(list_distinct([y.folder, coalesce(plan.parent, '.'), '.'])) AS above FROM y LEFT JOIN plan ON plan.folder = y.folder),
+    m3 AS (SELECT k3.*, CASE WHEN under THEN (path, folder) IN (SELECT (path, above) FROM l3) ELSE (path, folder) IN (SELECT (path, landed) FROM l3) END AS followed FROM k3) SELECT count(*) AS total, count(*) FILTER (followed) AS followed, round(100.0 * count(*) FILTER (followed) / count(*), 1) AS pct FROM m3""",
+)
 def _followed(spark, sf):
-    cases = T.assignments(spark, sf).where("apos % 40 = 0 AND target <> ''").select("path", F.col("target").alias("folder"), (F.col("apos") % 80 == 0).alias("under"))
+    cases = T.assignments(spark, sf).where("target <> ''").select("path", F.col("target").alias("folder"), (F.col("apos") % 4 == 0).alias("under"))
     return evaluate.directives_followed(_done(spark, sf).rows, cases.distinct())
 
 

@@ -47,7 +47,7 @@ def assign_folder_ids(folders: DataFrame, inv: DataFrame) -> DataFrame:
     """(folder, id): numbers above the largest identifier, by folder name; from 101 if identifiers are no integers."""
     top = inv.agg(F.when(F.count_if(F.col("id").try_cast("long").isNull()) == 0, F.max(F.col("id").try_cast("long"))).otherwise(100).alias("top"))
     ranked = number_rows(folders.select("folder").distinct(), ["folder"], "k")
-    return ranked.crossJoin(F.broadcast(F.broadcast(top))).select("folder", (F.col("k") + F.coalesce("top", F.lit(100))).cast("string").alias("id"))
+    return ranked.crossJoin(F.broadcast(top)).select("folder", (F.col("k") + F.coalesce("top", F.lit(100))).cast("string").alias("id"))
 
 
 def dedup_names(rows: DataFrame, folder: str, name: str, order: str = "pos", mark: Column | None = None) -> DataFrame:
@@ -112,6 +112,10 @@ def id_order(id_: Column) -> list[Column]:
     return [id_.try_cast("long").isNull(), id_.try_cast("long"), id_]
 
 
+def triage_keys() -> dict[str, Column]:
+    """Columns to sort a worklist by: duplicates first, together by path; the rest as it was."""
+    return {"__single": ~F.col("duplicate"), "__path": F.when(F.col("duplicate"), F.col("path")).otherwise(""), "__pos": F.col("pos")}
+
+
 def triage_order(rows: DataFrame) -> DataFrame:
-    """Duplicates first, together by path; the rest as it was."""
-    return rows.orderBy(~F.col("duplicate"), F.when(F.col("duplicate"), F.col("path")), "pos")
+    return rows.orderBy(*triage_keys().values())
