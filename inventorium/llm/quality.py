@@ -89,7 +89,7 @@ def _counter(labels: tuple[str, ...]):
             merge()
             for label, [(context, symbol, n)] in held.items():
                 fixed = [pa.array([x] * len(n), kind) for x, kind in zip(label, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([*fixed, pa.array(context), pa.array(symbol), pa.array(n)], [*labels, "context", "symbol", "n"])
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(context), pa.array(symbol.astype(np.int32)), pa.array(n)], [*labels, "context", "symbol", "n"])
             held.clear()
 
         size = 0
@@ -126,7 +126,7 @@ def _counter(labels: tuple[str, ...]):
 def gram_counts(trusted: DataFrame) -> DataFrame:
     """``trusted`` (lang, text) to (model, context, symbol, n) over whole texts: each language, and all pooled."""
     rows = trusted.select(F.coalesce("lang", F.lit(_POOLED)).alias("model"), "text")
-    found = rows.mapInArrow(_counter(("model",)), "model string, context long, symbol long, n long")
+    found = rows.mapInArrow(_counter(("model",)), "model string, context long, symbol int, n long")
     counts = materialise(found.groupBy("model", "context", "symbol").agg(F.sum("n").alias("n")), "gram-counts")
     pooled = counts.groupBy("context", "symbol").agg(F.sum("n").alias("n")).select(F.lit(_POOLED).alias("model"), "context", "symbol", "n")
     return counts.where(F.col("model") != _POOLED).unionByName(pooled)
@@ -197,14 +197,15 @@ def _summed(key, docs: pa.Table, known: pa.Table) -> pa.Table:
     for lang in dict.fromkeys(names):
         own = names == lang
         at, contexts = pd.factorize(context[own])
-        tables[lang] = pd.Index(contexts), pd.Index(at.astype(np.int64) << _BITS | symbol[own]), cost[own]
+        keys, first = np.unique(at.astype(np.int64) << _BITS | symbol[own].astype(np.int64), return_index=True)  # a task may send one twice
+        tables[lang] = pd.Index(contexts), pd.Index(keys), cost[own][first]
     mean: list[float | None] = []
     peak: list[float | None] = []
     for lang, text in zip(docs["lang"].to_pylist(), docs["text"].to_pylist(), strict=True):
         parts = []
         for piece in _pieces(text or ""):
             c, s = _grams([piece])
-            contexts, keys, dear = tables[lang]
+            contexts, keys, dear = tables[lang or _POOLED]
             at = keys.get_indexer(contexts.get_indexer(c).astype(np.int64) << _BITS | s)
             if (at < 0).any():
                 raise RuntimeError("a chunk lacks the cost of an n-gram")
@@ -220,23 +221,26 @@ def _summed(key, docs: pa.Table, known: pa.Table) -> pa.Table:
         for k in range(1, width):
             window += own[k : len(own) - width + 1 + k]
         peak.append(float(window.max()) / width)
-    return pa.table([docs["doc_id"], docs["label"], pa.array(mean, pa.float64()), pa.array(peak, pa.float64())], ["doc_id", "lang", "cost", "peak"])
+    return pa.table([docs["doc_id"], docs["lang"], pa.array(mean, pa.float64()), pa.array(peak, pa.float64())], ["doc_id", "lang", "cost", "peak"])
 
 
 def score(docs: DataFrame, model: tuple[list[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, lang, cost, peak): the mean cost of a character and that of the dearest window."""
     lang = F.col(lang_col).cast("string")
-    slim = docs.select(F.col(id_col).alias("doc_id"), lang.alias("label"), F.coalesce(lang, F.lit(_POOLED)).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
     total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     chunks = max(1, -(-total // chunk_bytes))
     # The row number spreads rows that repeat; every use below reads this one shuffle.
     salt = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
     dealt = slim.withColumn("chunk", F.pmod(salt, F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
-    grams = dealt.mapInArrow(_counter(("chunk", "lang")), "chunk int, lang string, context long, symbol long, n long").select("chunk", "lang", "context", "symbol")
+    grams = dealt.mapInArrow(_counter(("chunk", "lang")), "chunk int, lang string, context long, symbol int, n long")
+    grams = grams.select("chunk", F.coalesce("lang", F.lit(_POOLED)).alias("lang"), "context", "symbol").repartition("lang", "context", "symbol")
     own = materialise(model[1].select("model").distinct().select(F.col("model").alias("lang"), "model"), "models")
-    needed = grams.select("lang", "context", "symbol").distinct().hint("merge").join(sized(own, MOST_ROWS), "lang", "left").withColumn("model", F.coalesce("model", F.lit(_POOLED)))
-    dear = costs(needed, model).select("lang", "context", "symbol", "cost")
-    known = grams.hint("merge").join(dear.hint("merge"), ["lang", "context", "symbol"])
+    # Asking for the first chunk keeps all columns, so that the distinct n-grams and the join read one shuffle of ``grams``.
+    needed = grams.groupBy("lang", "context", "symbol").agg(F.min("chunk").alias("first"))
+    needed = needed.hint("merge").join(sized(own, MOST_ROWS), "lang", "left").withColumn("model", F.coalesce("model", F.lit(_POOLED)))
+    dear = costs(needed, model).select("lang", "context", "symbol", "first", "cost")
+    known = grams.hint("merge").join(dear.hint("merge"), ["lang", "context", "symbol"]).where(F.col("chunk") >= F.col("first")).drop("first")
     kind = slim.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_summed, f"doc_id {kind}, lang string, cost double, peak double")
 
