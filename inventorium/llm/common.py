@@ -4,21 +4,35 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import materialise, new_path, path_exists, remove, shared_dir, sized
 
-__all__ = ["free_name", "materialise", "new_path", "path_exists", "remove", "shared_dir", "sized", "table", "worker_cache"]
+__all__ = ["free_name", "in_slices", "materialise", "new_path", "path_exists", "remove", "shared_dir", "sized", "table", "worker_cache"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker, so that tasks share what is slow to load."""
-    return sys.modules.setdefault("_inventorium_worker_cache", types.ModuleType("_inventorium_worker_cache")).__dict__
+def worker_cache(owner: str) -> dict:
+    """A dict that lives in the Python worker until another owner asks for one, so that tasks share what is slow to load and a
+    worker holds the models of one operator at a time."""
+    module = sys.modules.setdefault("_inventorium_worker_cache", types.ModuleType("_inventorium_worker_cache"))
+    if getattr(module, "owner", None) != owner:
+        module.owner, module.held = owner, {}
+        pa.default_memory_pool().release_unused()
+    return module.held
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of some rows, so that few texts at once are Python objects."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, sized, table
+from .common import free_name, in_slices, materialise, sized, table, worker_cache
 
 #: Bytes of an index that tasks hold at once. A larger benchmark is taken in slices, one job after another.
 MAX_INDEX_BYTES = 128 << 20
@@ -164,7 +164,8 @@ def _scanned(docs: DataFrame, items: DataFrame, n: int, all_rows: bool):
     slim = docs.select("doc_id", F.struct(F.xxhash64("text").alias("a"), F.hash("text").alias("b")).alias("text_key"), "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        worker_cache("decontaminate")
+        for batch in in_slices(batches):
             rows = list(_scan(index.value, batch.column("text").to_pylist()))
             found = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], _HITS), pa.array([r[2] for r in rows], pa.list_(pa.string()))]
             out = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), *found], ["doc_id", "text_key", "n_words", "spans", "items"])
@@ -238,7 +239,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: st
     several = len(slices) > 1
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        worker_cache("decontaminate")
+        for batch in in_slices(batches):
             at = batch.schema.get_field_index(text_col)
             texts = batch.column(at).to_pylist()
             if several:

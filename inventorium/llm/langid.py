@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, worker_cache
+from .common import in_slices, table, worker_cache
 
 SAMPLE_TEXTS = 240
 SAMPLE_CHARS = 600
@@ -119,10 +119,10 @@ def _best(sizes: list[float]) -> tuple[int, float, bool]:
 
 
 def _compressors(model) -> Compressors:
-    cache = worker_cache()
-    known = cache.get("langid")
+    cache = worker_cache("langid")
+    known = cache.get("model")
     if known is None or known[0] != model.value:
-        known = cache["langid"] = (model.value, Compressors(model.value))
+        known = cache["model"] = (model.value, Compressors(model.value))
     return known[1]
 
 
@@ -134,7 +134,7 @@ def identify(docs: DataFrame, model: list[tuple[str, list[str]]], text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _compressors(shared)
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = [judge.classify(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
             made = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], [*batch.schema.names[:-1], "lang_pred", "score", "accepted"])
@@ -148,7 +148,7 @@ def accepted_only(docs: DataFrame, model: list[tuple[str, list[str]]], text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _compressors(shared)
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array([judge.classify(t)[2] for t in texts], pa.bool_()))
 

@@ -31,7 +31,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from ..operators.explore import number_rows
-from .common import free_name, materialise, sized, table
+from .common import free_name, in_slices, materialise, sized, table, worker_cache
 from .components import connected_components
 
 BITS = 64
@@ -74,7 +74,7 @@ def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _prints(batch.column("text"), size, distinct)], ["doc_id", "fp"])
 
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, fp long")
@@ -155,7 +155,7 @@ def deduplicate(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_c
     fp, kept_fp, kept_id = (free_name(docs, name) for name in ("__fp", "__kept_fp", "__kept_id"))
 
     def add_print(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             prints = _prints(batch.column(batch.schema.get_field_index(text_col)), size, distinct)
             yield pa.RecordBatch.from_arrays([*batch.columns, prints], [*batch.schema.names, fp])
 
@@ -225,7 +225,8 @@ def _rows(docs: DataFrame, prints: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        worker_cache("near_duplicates")  # what another operator held goes
+        for batch in in_slices(batches):
             key, size, fps, bits = [], [], [], []
             for text in batch.column("text").to_pylist():
                 own, words = shingles(text)
@@ -334,7 +335,7 @@ def _shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     there = wanted.select("k", F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             own = [shingles(t)[0].view(np.int64) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(own, pa.list_(pa.int64()))], ["k", "own"])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, worker_cache
+from .common import in_slices, table, worker_cache
 
 WINDOW = 1024
 END_ID = 0
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        cache, key = worker_cache(), ("encoder", tokenizer_path, ranks_path)
+        cache, key = worker_cache("packing"), (tokenizer_path, ranks_path)
         encode = cache.get(key) or cache.setdefault(key, Encoder(tokenizer_path, ranks_path))
         packer = SumOfSquares(window)
         next_id = TaskContext.get().partitionId() << 40
@@ -156,7 +156,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), *(pa.array(c, pa.int64()) for c in columns[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in batches:
+        for batch in in_slices(batches):
             kind = batch.schema.field("doc_id").type
             for name, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.append(encode(text or ""), np.uint32(END_ID)).astype("<u4").tobytes()

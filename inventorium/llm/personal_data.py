@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialise, sized, table
+from .common import free_name, in_slices, materialise, sized, table, worker_cache
 
 # The base kinds in their order, and the kind of added spans.
 KINDS = ("email", "ip", "card", "phone")
@@ -158,7 +158,8 @@ _SCAN_SCHEMA = "text_sum long, base array<struct<start:long,rank:long,end:long>>
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    worker_cache("personal_data")
+    for batch in in_slices(batches):
         base, found = [], []
         for text in batch.column("text").to_pylist():
             own = base_spans(text) if text else []
@@ -240,7 +241,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     both = docs.hint("shuffle_hash").join(there.hint("shuffle_hash"), same, "left").drop(own_id, own_sum)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             at = batch.schema.get_field_index(text_col)
             marked = batch.column(batch.schema.get_field_index(mark)).to_pylist()
             texts = batch.column(at).to_pylist()

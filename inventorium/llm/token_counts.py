@@ -89,7 +89,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, key = worker_cache(), ("unigram", model_path)
+        cache, key = worker_cache("token_counts"), model_path
         trie = cache.get(key) or cache.setdefault(key, UnigramTrie(vocabulary(model_path)))
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
