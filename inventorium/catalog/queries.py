@@ -426,7 +426,7 @@ register("u6_off_plan", "SELECT DISTINCT target AS folder FROM assignments WHERE
 _KEPT = f"""{_SPLIT}, f AS (SELECT path, arg_min(start_date, pos) AS a, arg_min(end_date, pos) AS b FROM inventory WHERE {_ITEMS} GROUP BY path), y AS (SELECT path, CASE WHEN status = 'malformed' THEN '.' ELSE folder END AS folder, apos, a, b FROM s JOIN f USING (path) WHERE status IN ('ok', 'off_plan', 'malformed')),
 u AS (SELECT DISTINCT folder FROM s WHERE status IN ('ok', 'off_plan')), n AS (SELECT folder FROM u UNION SELECT parent FROM plan WHERE parent IS NOT NULL AND folder IN (SELECT folder FROM u))"""
 register("a26_coverage_report", f"{_KEPT}, o AS (SELECT count(*) AS c FROM inventory WHERE {_ITEMS}) SELECT c AS original_items, (SELECT count(*) FROM n) AS new_folders, (SELECT count(*) FROM y) AS new_items, (SELECT count(*) FROM y WHERE a = '') AS undated_items, c - (SELECT count(*) FROM y) AS missing FROM o")(lambda spark, sf: runs.coverage_report(T.inventory(spark, sf), _done(spark, sf).rows))
-register("a27_manifest_summary", f"{_KEPT} SELECT (SELECT count(*) FROM n) AS folders, count(*) AS items, coalesce(min(nullif(a, '')), '') AS start_date, coalesce(max(nullif(b, '')), '') AS end_date FROM y")(lambda spark, sf: runs.manifest_summary(_done(spark, sf).rows))
+register("a27_manifest_summary", f"{_KEPT} SELECT (SELECT count(*) FROM n) AS folders, count(*) AS items, (SELECT CAST(max(CASE WHEN parent IS NULL THEN 1 ELSE 2 END) AS BIGINT) FROM n LEFT JOIN plan USING (folder)) AS max_depth, coalesce(min(nullif(a, '')), '') AS start_date, coalesce(max(nullif(b, '')), '') AS end_date FROM y")(lambda spark, sf: runs.manifest_summary(_done(spark, sf).rows))
 register("c9_copy_preview")(lambda spark, sf: classify.copy_preview(_done(spark, sf).rows))
 register("j16_verify_copy")(lambda spark, sf: joins.verify_copy(*_preview_and_listing(spark, sf)))
 
@@ -571,6 +571,16 @@ def _sections(spark, sf) -> DataFrame:
 
 
 register("a15_boilerplate_lines", r"WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS section FROM documents), c AS (SELECT DISTINCT doc_id, section, regexp_replace(trim(regexp_replace(t, '\s+', ' ', 'g')), '[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z]{2,})', '[email]@\1', 'g') AS line FROM s) SELECT doc_id, line, count(*) AS n FROM c WHERE length(line) BETWEEN 1 AND 150 GROUP BY ALL HAVING count(*) >= 2")(lambda spark, sf: content.boilerplate_lines(_sections(spark, sf)))
+register("x18_pick_title", r"WITH c AS (SELECT doc_id, lang, regexp_replace(trim(regexp_replace(text[1:80], '\s+', ' ', 'g')), '[A-Za-z0-9._%+-]+@([A-Za-z0-9.-]+\.[A-Za-z]{2,})', '[email]@\1', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND lang <> '' THEN 'Bilan ' || lang WHEN t <> '' AND length(regexp_replace(t, '[^\p{L}]', '', 'g')) >= 0.6 * length(regexp_replace(t, '\s', '', 'g')) AND NOT starts_with(lower(t), 'microsoft word -') AND lower(t) NOT IN ('d' || doc_id) THEN t ELSE '' END AS title FROM c")(lambda spark, sf: T.source(spark, sf, "documents").select("doc_id", X.pick_title(_title_candidates(), F.concat(F.lit("x/d"), "doc_id")).alias("title")))
+
+
+def _title_candidates():
+    """A document's first characters, then what a style names a heading, for every third one."""
+    said = F.struct(F.substring("text", 1, 80).alias("text"), F.lit("position").alias("style"))
+    styled = F.struct(F.concat(F.lit("Bilan "), "lang").alias("text"), F.lit("Heading 1").alias("style"))
+    return F.when(F.col("doc_id") % 3 == 0, F.array(said, styled)).otherwise(F.array(said))
+
+
 register("k1_describe_documents")(lambda spark, sf: content.describe(_described(spark, sf)))
 register("a29_enrich_report")(lambda spark, sf: runs.enrich_report(content.describe(_described(spark, sf))))
 
@@ -604,26 +614,30 @@ def _followed(spark, sf):
     return evaluate.directives_followed(_done(spark, sf).rows, cases.distinct())
 
 
-def _agent(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """A log of calls and results, and what was expected, from the events of a user."""
-    e = T.source(spark, sf, "events").withColumn("args", F.concat(F.lit('{"extension":"'), F.when(F.col("event_id") % 3 == 0, "doc").otherwise("pdf"), F.lit('"}')))
-    total = F.floor("value").cast("string")
+def _agent(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A log of calls and results, and what was expected, from the events of a user. Right filters come in several forms."""
+    inv = T.inventory(spark, sf)
+    counts = hierarchy.items(inv).agg(F.count("*").cast("string").alias("all"), F.count_if(X.extension(F.col("path")) == "pdf").cast("string").alias("pdf"))
+    args = F.when(F.col("event_id") % 3 == 0, '{"extension":"doc"}').when(F.col("event_id") % 3 == 1, '{"extension": ".PDF", "keywords": []}').otherwise('{"folder": "/", "keywords": ["."], "extension": "pdf"}')
+    e = T.source(spark, sf, "events").crossJoin(F.broadcast(counts)).withColumn("args", args)  # one row
+    total = F.when(F.col("event_id") % 5 > 0, F.col("pdf")).otherwise(F.col("all"))
     steps = F.array(F.struct(F.lit(0).alias("k"), F.lit("tool").alias("type"), F.lit("count").alias("name"), F.col("args").alias("arguments"), F.lit(None).cast("string").alias("result")), F.struct(F.lit(1).alias("k"), F.lit("toolResult").alias("type"), F.lit("count").alias("name"), F.lit(None).cast("string").alias("arguments"), F.concat(F.lit('{"total":'), total, F.lit("}")).alias("result")), F.struct(F.lit(2).alias("k"), F.lit("final").alias("type"), F.lit("").alias("name"), F.lit(None).cast("string").alias("arguments"), F.concat(F.lit("Il y en a "), F.when(F.col("event_id") % 4 == 0, "7777777").otherwise(total), F.lit(".")).alias("result")))
     log = e.select(F.col("event_type").alias("run_id"), F.col("event_id").cast("string").alias("case_id"), F.explode(steps).alias("s")).select("run_id", "case_id", F.col("s.k").alias("seq"), "s.type", "s.name", "s.arguments", "s.result")
     cases = e.select(F.col("event_id").cast("string").alias("case_id"), F.array(F.lit("count")).alias("tools"), F.when(F.col("event_id") % 5 > 0, '{"extension":"pdf"}').alias("filter"), F.lit(True).alias("check_total"))
-    return log, cases
+    return log, cases, inv
 
 
-_AGENT_SQL = "WITH c AS (SELECT event_type AS run_id, event_id, CASE WHEN event_id % 5 > 0 THEN event_id % 3 <> 0 END AS filter_ok, event_id % 4 <> 0 OR floor(value) = 7777777 AS total_ok FROM events)"
+_AGENT_SQL = "WITH c AS (SELECT event_type AS run_id, event_id, CASE WHEN event_id % 5 > 0 THEN event_id % 3 <> 0 END AS filter_ok, event_id % 4 <> 0 AS total_ok FROM events)"
 register("e4_agent_cases", f"{_AGENT_SQL} SELECT run_id, CAST(event_id AS VARCHAR) AS case_id, true AS tool_ok, filter_ok, total_ok, coalesce(filter_ok, true) AND total_ok AS passed FROM c")(lambda spark, sf: evaluate.agent_cases(*_agent(spark, sf)).drop("steps", "error"))
 register("e5_a23_agent_runs", f"{_AGENT_SQL} SELECT run_id, count(*) AS cases, count(*) FILTER (coalesce(filter_ok, true) AND total_ok) AS passed, count(*) FILTER (filter_ok) AS filter_ok, count(filter_ok) AS filter_measured, count(*) FILTER (total_ok) AS total_ok FROM c GROUP BY run_id")(lambda spark, sf: evaluate.agent_runs(evaluate.agent_cases(*_agent(spark, sf))).select("run_id", "cases", "passed", "filter_ok", "filter_measured", "total_ok"))
 
 
-@register("e6_run_matrix", "WITH d AS (SELECT DISTINCT c_mktsegment AS dataset FROM customer), m AS (SELECT DISTINCT o_orderpriority AS model FROM orders), o AS (SELECT DISTINCT o_orderstatus AS mode FROM orders), r AS (SELECT c_mktsegment AS dataset, o_orderpriority AS model, o_orderstatus AS mode, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority < '4' GROUP BY ALL) SELECT d.dataset, m.model, o.mode, n FROM d CROSS JOIN m CROSS JOIN o LEFT JOIN r ON r.dataset = d.dataset AND r.model = m.model AND r.mode = o.mode")
+@register("e6_run_matrix", "WITH d AS (SELECT DISTINCT c_mktsegment AS dataset FROM customer), m AS (SELECT DISTINCT o_orderpriority AS model FROM orders), o AS (SELECT DISTINCT o_orderstatus AS mode FROM orders), r AS (SELECT c_mktsegment AS dataset, o_orderpriority AS model, o_orderstatus AS mode, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL) SELECT d.dataset, m.model, o.mode, p.preparation, n FROM d CROSS JOIN m CROSS JOIN o CROSS JOIN (VALUES ('none'), ('blank_dates')) AS p(preparation) LEFT JOIN r ON r.dataset = d.dataset AND r.model = m.model AND r.mode = o.mode AND p.preparation = 'none'")
 def _matrix(spark, sf):
     c, o = T.source(spark, sf, "customer"), T.source(spark, sf, "orders")
-    results = o.where("o_orderpriority < '4'").join(c, o["o_custkey"] == c["c_custkey"]).groupBy(F.col("c_mktsegment").alias("dataset"), F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("mode")).agg(F.count("*").alias("n"))
-    return runs.run_matrix(c.select(F.col("c_mktsegment").alias("dataset")).distinct(), o.select(F.col("o_orderpriority").alias("model")).distinct(), o.select(F.col("o_orderstatus").alias("mode")).distinct(), results)
+    results = o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy(F.col("c_mktsegment").alias("dataset"), F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("mode"), F.lit("none").alias("preparation")).agg(F.count("*").alias("n"))
+    preparations = spark.createDataFrame([("none",), ("blank_dates",)], "preparation string")
+    return runs.run_matrix(c.select(F.col("c_mktsegment").alias("dataset")).distinct(), o.select(F.col("o_orderpriority").alias("model")).distinct(), o.select(F.col("o_orderstatus").alias("mode")).distinct(), results, preparations)
 
 
 # streaming; the same operators take a stream, as the tests show

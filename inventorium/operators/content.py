@@ -4,18 +4,58 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scalars as X
 
 
+#: Characters of a boilerplate line at most, and how many of them a description shows.
+LINE_CHARS, SHOWN_LINES = 150, 2
+# The labels of a description, in their order.
+LABELS = ("Titre interne", "Titre (contenu)", "Mots-clés", "Mots du contenu", "Sujet", "En-tête/pied de page", "Extrait")
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _counted(values: Column) -> Column:
+    """(value, n) of the values of an array, inside the row: sorted, so that equal ones are neighbours."""
+
+    def ends_of(w: Column) -> Column:
+        last = F.transform(w, lambda v, i: F.when(F.coalesce(F.get(w, i + 1) != v, F.lit(True)), i + 1))
+        return _let(F.filter(last, lambda i: i.isNotNull()), lambda ends: runs(w, ends))
+
+    def runs(w: Column, ends: Column) -> Column:
+        return F.transform(ends, lambda e, i: F.struct(F.get(w, e - 1).alias("value"), (e - F.when(i > 0, F.get(ends, i - 1)).otherwise(0)).alias("n")))
+
+    return _let(F.array_sort(values), ends_of)
+
+
+def keywords_of(text: Column, k: int = 6) -> Column:
+    """(word, n) of the k most frequent words of three letters or more that occur twice or more, stop words left out, ties by
+    word."""
+    found = F.regexp_extract_all(X.redact_emails(X.text(text)), F.lit("[A-Za-zÀ-ÖØ-öø-ÿ]{3,}"), F.lit(0))
+    words = F.filter(F.transform(found, F.lower), lambda w: ~w.isin(*X.STOP_WORDS, *X.PLACEHOLDER_WORDS))
+    often = F.filter(_counted(words), lambda x: x["n"] >= 2)
+    ranked = F.array_sort(F.transform(often, lambda x: F.struct((-x["n"]).alias("less"), x["value"].alias("word"), x["n"].alias("n"))))
+    return F.transform(F.slice(ranked, 1, k), lambda x: F.struct(x["word"].alias("word"), x["n"].alias("n")))
+
+
 def recurring_keywords(docs: DataFrame, k: int = 6) -> DataFrame:
-    """(doc_id, word, n, rank): words of three letters or more that occur twice or more, stop words left out."""
-    found = F.regexp_extract_all(X.redact_emails(F.col("text")), F.lit("[A-Za-zÀ-ÖØ-öø-ÿ]{3,}"), F.lit(0))
-    words = docs.select("doc_id", F.explode(F.transform(found, F.lower)).alias("word"))
-    counts = words.where(~F.col("word").isin(*X.STOP_WORDS, *X.PLACEHOLDER_WORDS)).groupBy("doc_id", "word").agg(F.count("*").alias("n")).where("n >= 2")
-    order = Window.partitionBy("doc_id").orderBy(F.desc("n"), "word")
-    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """(doc_id, word, n, rank) of the recurring words of each text; counted inside the row, so nothing is shuffled."""
+    found = docs.select("doc_id", F.posexplode(keywords_of(F.col("text"), k)).alias("at", "x"))
+    return found.select("doc_id", "x.word", F.col("x.n").cast("long").alias("n"), (F.col("at") + 1).alias("rank"))
+
+
+def _lines(section: Column) -> Column:
+    return F.split(X.text(section), r"\r?\n")
+
+
+def boilerplate_of(sections: Column) -> Column:
+    """The clean lines that stand in two of the sections or more, those longer than LINE_CHARS left out."""
+    own = F.transform(sections, lambda s: F.array_distinct(F.filter(F.transform(_lines(s), X.clean), lambda x: (x != "") & (F.length(x) <= LINE_CHARS))))
+    return F.transform(F.filter(_counted(F.flatten(own)), lambda x: x["n"] >= 2), lambda x: x["value"])
 
 
 def boilerplate_lines(sections: DataFrame, min_n: int = 2, most: int = 150) -> DataFrame:
@@ -36,12 +76,42 @@ def sample_positions(n: Column, want: int = 3, around: int = 0) -> Column:
 
 
 def describe(docs: DataFrame, overwrite: bool = False, k: int = 6) -> DataFrame:
-    """(doc_id, description, status) of documents (doc_id, path, text, description): recurring words and a snippet; an existing
-    description is kept unless ``overwrite``."""
-    words = recurring_keywords(docs, k).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), ", ").alias("words"))
-    rows = docs.join(words, "doc_id", "left")
-    made = X.format_description([("Thèmes", F.col("words")), ("Extrait", X.snippet(F.col("text")))])
-    has = F.trim(X.text(F.col("description"))) != ""
-    keep = has if not overwrite else F.lit(False)
-    status = F.when(keep, "already").when(X.text(F.col("text")) == "", "missing").when(made == "", "no_text").otherwise("enriched")
-    return rows.select("doc_id", F.when(keep | (made == ""), F.col("description")).otherwise(made).alias("description"), status.alias("status"))
+    """(doc_id, description, status) of documents (doc_id, path, text or sections, description).
+
+    Optional columns: ``title``, ``keywords`` and ``subject`` from a file's properties, ``headings`` (candidates for a title
+    with their styles, as structs of text and style), ``error`` and ``supported``. Of the sections (a text is cut at form
+    feeds) the first, middle and last are read. Lines that recur between them are shown once and left out of the rest. An
+    existing description is kept unless ``overwrite``. Everything happens inside the row."""
+    has = set(docs.columns)
+    sections = F.col("sections") if "sections" in has else F.split(X.text(F.col("text")), "\f")
+    rows = docs.withColumn("__read", F.transform(sample_positions(F.size(sections)), lambda i: F.get(sections, i)))
+    rows = rows.withColumn("__lines", boilerplate_of(F.col("__read")))
+    body = F.transform("__read", lambda s: F.array_join(F.filter(_lines(s), lambda x: ~F.array_contains(F.col("__lines"), X.clean(x))), "\n"))
+    rows = rows.withColumn("__body", body)
+
+    def given(name: str) -> Column:
+        return X.clean(F.col(name)) if name in has else F.lit("")
+
+    first_line = F.filter(F.transform(F.flatten(F.transform("__body", _lines)), X.clean), lambda x: x != "")
+    candidates = F.transform(F.slice(first_line, 1, 1), lambda x: F.struct(x.alias("text"), F.lit("position").alias("style")))
+    if "headings" in has:
+        candidates = F.concat(F.transform("headings", lambda h: F.struct(h["text"].alias("text"), h["style"].alias("style"))), candidates)
+    shown = F.array_sort(F.transform("__lines", lambda x: F.struct(F.length(x).alias("size"), x.alias("line"))))
+    snippet = F.coalesce(F.try_element_at(F.filter(F.transform("__body", X.snippet), lambda x: x != ""), F.lit(1)), F.lit(""))
+    words = F.array_join(F.transform(keywords_of(F.array_join("__body", "\n"), k), lambda x: x["word"]), ", ")
+    values = (
+        F.when(~X.noise_title(given("title"), F.col("path")), given("title")),
+        X.pick_title(candidates, F.col("path")),
+        given("keywords"),
+        words,
+        given("subject"),
+        F.array_join(F.transform(F.slice(shown, 1, SHOWN_LINES), lambda x: x["line"]), " · "),
+        snippet,
+    )
+    made = X.format_description(list(zip(LABELS, values, strict=True)))
+    keep = F.trim(X.text(F.col("description"))) != "" if not overwrite else F.lit(False)
+    failed = F.trim(X.text(F.col("error"))) != "" if "error" in has else F.lit(False)
+    other = ~F.coalesce(F.col("supported"), F.lit(True)) if "supported" in has else F.lit(False)
+    empty = F.array_join(F.transform(sections, X.text), "") == ""
+    status = F.when(keep, "already").when(other, "unsupported").when(failed, "error").when(empty, "missing").when(made == "", "no_text").otherwise("enriched")
+    return rows.select("doc_id", F.when(status == "enriched", made).otherwise(F.col("description")).alias("description"), status.alias("status"))

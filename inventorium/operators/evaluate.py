@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..plans.plans import parse_plans
-from .hierarchy import plan_shape
+from ..session import materialise
+from .explore import checked_filter, structured_filter
+from .hierarchy import items, plan_shape
 from .joins import expectations_met
 from .runs import agent_run_metrics
 from .windows import pair_events
@@ -36,24 +40,100 @@ def classement_metrics(counts: DataFrame) -> DataFrame:
     return counts.select("total", *names, *[F.round(F.try_divide(100 * F.col(c), F.col("total")), 1).alias(f"{c}_pct") for c in names])
 
 
-def agent_cases(events: DataFrame, cases: DataFrame) -> DataFrame:
+#: Filters, or pairs of them, that one job over the inventory evaluates.
+_FILTERS_AT_ONCE = 64
+
+
+def _canonical(name: str | None, arguments: str | None) -> str | None:
+    """The filter that a call selects by, as JSON in one form, or null if it selects by none or is not valid. Searches select
+    by their words, a listing by its folder; any other call has a filter, or is one."""
+    try:
+        given = json.loads(arguments or "{}")
+    except ValueError:
+        return None
+    if not isinstance(given, dict):
+        return None
+    given = given.get("filter", given) or {}
+    if name == "search":
+        given = {"keywords": given.get("keywords")}
+    elif name == "list_folder":
+        given = {"folder": given.get("path")}
+    if not isinstance(given, dict):
+        return None
+    out = {}
+    for key, value in given.items():
+        if key == "keywords" and isinstance(value, str):
+            value = value.split()
+        if key == "keywords" and isinstance(value, list) and all(isinstance(w, str) for w in value):
+            value = sorted({w.lower() for w in value})
+        elif isinstance(value, str):
+            value = value.strip().lower().strip("/").lstrip(".") if key in ("extension", "folder") else value
+        if value not in (None, "", []):
+            out[key] = value
+    try:
+        checked_filter(out)
+    except ValueError:
+        return None
+    return json.dumps(out, sort_keys=True, ensure_ascii=False)
+
+
+def _evaluated(inv: DataFrame, asked: DataFrame, of, name: str, kind: str) -> DataFrame:
+    """``asked`` (rows of canonical filters) with one more column: the aggregate ``of`` a row over the Items. Filters are few
+    beside the Items: they come block by block, and each block is one pass."""
+    schema = f"{', '.join(f'{c} string' for c in asked.columns)}, {name} {kind}"
+    out, block = [], []
+    for row in [*asked.toLocalIterator(), None]:
+        if row is not None:
+            block.append(row)
+        if block and (row is None or len(block) == _FILTERS_AT_ONCE):
+            found = items(inv).agg(*[of(*r).alias(f"v{k}") for k, r in enumerate(block)]).first()
+            out += [(*r, found[k]) for k, r in enumerate(block)]
+            block = []
+    return asked.sparkSession.createDataFrame(out, schema)
+
+
+def _predicate(canonical: str):
+    return F.coalesce(structured_filter(json.loads(canonical)), F.lit(False))
+
+
+def agent_cases(events: DataFrame, cases: DataFrame, inv: DataFrame | None = None) -> DataFrame:
     """Of each run and case: tool_ok, filter_ok, total_ok (null if the case does not ask for it), passed, steps, error.
 
-    ``cases``: case_id, tools, filter (the expected filter as sorted JSON, or null), check_total. ``events``: run_id, case_id,
-    seq, type, name, arguments, result. A filter matches if its arguments are those expected; the total of the paired result
+    ``cases``: case_id, tools, filter (JSON, or null), check_total. ``events``: run_id, case_id, seq, type, name, arguments,
+    result. A filter matches if a call of an expected tool selects the Items that the expected one selects; without ``inv``,
+    if both are the same filter in some form. The total of the expected filter, or without ``inv`` that of the paired result,
     must stand in the final answer as a whole word."""
-    paired = pair_events(events)
-    total = F.get_json_object("result", "$.total")
-    used = paired.groupBy("run_id", "case_id").agg(F.collect_set("name").alias("names"), F.collect_set("call_args").alias("args"), F.max_by(total, "seq").alias("total"))
+    canonical = F.udf(_canonical, "string")
+    calls = pair_events(events).select("run_id", "case_id", "seq", "name", "call_args", F.get_json_object("result", "$.total").alias("said"))
+    forms = materialise(calls.select("name", "call_args").distinct().withColumn("emitted", canonical("name", "call_args")), "emitted-filters")
+    asked = cases.select("filter").where("filter IS NOT NULL").distinct()
+    asked = materialise(asked.withColumn("expected", canonical(F.lit("filter"), "filter")), "expected-filters")
+    same_call = (F.col("name") == F.col("n2")) & F.col("call_args").eqNullSafe(F.col("a2"))
+    known = forms.select(F.col("name").alias("n2"), F.col("call_args").alias("a2"), "emitted")
+    wanted = cases.hint("merge").join(asked.withColumnRenamed("filter", "f2").hint("merge"), F.col("filter") == F.col("f2"), "left").drop("f2")
+    tried = calls.hint("merge").join(known.hint("merge"), same_call, "left").drop("n2", "a2").hint("merge").join(wanted.select("case_id", "tools", "filter", "expected").hint("merge"), "case_id")
+    tried = materialise(tried.withColumn("admitted", (F.size("tools") == 0) | F.array_contains("tools", F.col("name"))), "tried-calls")
+    alike = F.col("emitted") == F.col("expected")
+    if inv is not None:
+        differ = tried.where("admitted AND emitted <> expected").select("emitted", "expected").distinct()
+        pairs = _evaluated(inv, differ, lambda a, b: F.count_if(_predicate(a) != _predicate(b)) == 0, "equal", "boolean")
+        tried = tried.hint("merge").join(materialise(pairs, "equal-filters").hint("merge"), ["emitted", "expected"], "left")
+        alike = alike | F.coalesce("equal", F.lit(False))
+    used = tried.groupBy("run_id", "case_id").agg(F.bool_or((F.size("tools") > 0) & F.col("admitted")).alias("tool"), F.bool_or(F.col("admitted") & F.coalesce(alike, F.lit(False))).alias("same"), F.max_by("said", "seq").alias("said"))
     ends = events.groupBy("run_id", "case_id").agg(F.max_by("result", F.when(F.col("type") == "final", F.col("seq"))).alias("answer"), F.count_if(F.col("type") == "tool").alias("steps"), F.max(F.when(F.col("type") == "error", F.col("result"))).alias("error"))
-    rows = ends.join(cases, "case_id").join(used, ["run_id", "case_id"], "left")
-    none = F.array().cast("array<string>")
-    tool = F.when(F.size("tools") > 0, F.arrays_overlap("tools", F.coalesce("names", none)))
-    same = F.when(F.col("filter").isNotNull(), F.coalesce(F.array_contains("args", F.col("filter")), F.lit(False)))
-    said = F.when(F.col("check_total"), F.coalesce(F.regexp_like(X.text(F.col("answer")), F.concat(F.lit(r"\b"), F.col("total"), F.lit(r"\b"))), F.lit(False)))
+    rows = ends.hint("merge").join(wanted.hint("merge"), "case_id").hint("merge").join(used.hint("merge"), ["run_id", "case_id"], "left")
+    total = F.col("said")
+    if inv is not None:
+        every = asked.select(F.coalesce("expected", F.lit("{}")).alias("form")).unionByName(asked.sparkSession.createDataFrame([("{}",)], "form string")).distinct()
+        totals = _evaluated(inv, every, lambda a: F.count_if(_predicate(a)), "exact", "long")
+        rows = rows.withColumn("form", F.coalesce("expected", F.lit("{}"))).hint("merge").join(materialise(totals, "filter-totals").hint("merge"), "form", "left")
+        total = F.col("exact").cast("string")
+    tool = F.when(F.size("tools") > 0, F.coalesce("tool", F.lit(False)))
+    same = F.when(F.col("filter").isNotNull(), F.coalesce("same", F.lit(False)))
+    said = F.when(F.col("check_total"), F.coalesce(F.regexp_like(X.text(F.col("answer")), F.concat(F.lit(r"\b"), total, F.lit(r"\b"))), F.lit(False)))
     rows = rows.withColumns({"tool_ok": tool, "filter_ok": same, "total_ok": said})
-    asked = F.coalesce(F.col("tool_ok"), F.col("filter_ok"), F.col("total_ok")).isNotNull()
-    passed = asked & F.coalesce("tool_ok", F.lit(True)) & F.coalesce("filter_ok", F.lit(True)) & F.coalesce("total_ok", F.lit(True))
+    measured = F.coalesce(F.col("tool_ok"), F.col("filter_ok"), F.col("total_ok")).isNotNull()
+    passed = measured & F.coalesce("tool_ok", F.lit(True)) & F.coalesce("filter_ok", F.lit(True)) & F.coalesce("total_ok", F.lit(True))
     return rows.select("run_id", "case_id", "tool_ok", "filter_ok", "total_ok", passed.alias("passed"), "steps", "error")
 
 

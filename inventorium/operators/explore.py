@@ -13,33 +13,40 @@ FILTER_KEYS = ("keywords", "extension", "folder", "year_min", "year_max")
 PAGE_SIZE, MAX_BUCKETS, MAX_TERMS, MAX_SAMPLE = 20, 20, 50, 20
 
 
-def structured_filter(spec: dict | None) -> Column:
-    """The predicate of a filter; raises ValueError before any job if a key or type is wrong."""
-    out = F.lit(True)
+def checked_filter(spec: dict | None) -> dict:
+    """The filter, or a ValueError if a key or type is wrong; needs no session."""
     spec = spec or {}
+    words = spec.get("keywords")
     if unknown := sorted(set(spec) - set(FILTER_KEYS)):
         raise ValueError(f"unknown filter keys {unknown}; keys are {list(FILTER_KEYS)}")
+    if words and not isinstance(words, str) and (not isinstance(words, list) or not all(isinstance(w, str) for w in words)):
+        raise ValueError("keywords must be strings")
+    for key in ("extension", "folder"):
+        if spec.get(key) and not isinstance(spec[key], str):
+            raise ValueError(f"{key} must be a string")
+    for key in ("year_min", "year_max"):
+        if spec.get(key) is not None and (not isinstance(spec[key], int) or isinstance(spec[key], bool)):
+            raise ValueError(f"{key} must be a year")
+    return spec
+
+
+def structured_filter(spec: dict | None) -> Column:
+    """The predicate of a filter; raises ValueError before any job if a key or type is wrong."""
+    out = F.lit(True)
+    spec = checked_filter(spec)
     words = spec.get("keywords")
     words = [words] if isinstance(words, str) else words
     if words:
-        if not isinstance(words, list) or not all(isinstance(w, str) for w in words):
-            raise ValueError("keywords must be strings")
         hay = X.fold(F.concat_ws(" ", X.text(F.col("path")), X.text(F.col("title"))))
         for w in words:
             out = out & F.contains(hay, X.fold(F.lit(w)))
     if ext := spec.get("extension"):
-        if not isinstance(ext, str):
-            raise ValueError("extension must be a string")
         out = out & (X.extension(F.col("path")) == X.fold(F.lit(ext.lstrip("."))))
     if folder := spec.get("folder"):
-        if not isinstance(folder, str):
-            raise ValueError("folder must be a string")
         if folder.strip("/") not in ("", "."):
             out = out & F.startswith(X.fold(F.col("path")), F.concat(X.fold(F.lit(folder.strip("/"))), F.lit("/")))
     for key, bound in (("year_min", spec.get("year_min")), ("year_max", spec.get("year_max"))):
         if bound is not None:
-            if not isinstance(bound, int) or isinstance(bound, bool):
-                raise ValueError(f"{key} must be a year")
             own = X.year(F.col("start_date")).cast("int")
             out = out & F.coalesce(own >= bound if key == "year_min" else own <= bound, F.lit(False))
     return out

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from .explore import filter_items
-from .hierarchy import By, items
+from ..session import sized
+from .hierarchy import By, closure_by_id, items
 from .joins import price_models, recommend_sampling
 from .windows import sample_per_folder
 
@@ -58,9 +58,13 @@ def coverage_report(inv: DataFrame, classified: DataFrame) -> DataFrame:
 
 
 def manifest_summary(classified: DataFrame) -> DataFrame:
-    """folders, items, first and last date."""
-    item = F.col("level") == "Item"
-    return classified.agg(F.count_if((F.col("level") == "RecordGrp") & (F.col("path") != ".")).alias("folders"), F.count_if(item).alias("items"), F.coalesce(F.min(F.nullif("start_date", F.lit(""))), F.lit("")).alias("start_date"), F.coalesce(F.max(F.nullif("end_date", F.lit(""))), F.lit("")).alias("end_date"))
+    """folders, items, max_depth of the folders below the root, first and last date of the Items."""
+    item, folder = F.col("level") == "Item", F.col("level") == "RecordGrp"
+    tree = classified.where(folder).select("id", "parent_id")
+    deepest = closure_by_id(tree).groupBy("id").agg(F.max("distance").alias("d")).agg(F.coalesce(F.max("d"), F.lit(0)).cast("long").alias("max_depth"))
+    first, last = (F.coalesce(f(F.when(item, F.nullif(c, F.lit("")))), F.lit("")).alias(c) for f, c in ((F.min, "start_date"), (F.max, "end_date")))
+    volumes = classified.agg(F.count_if(folder & (F.col("path") != ".")).alias("folders"), F.count_if(item).alias("items"), first, last)
+    return volumes.crossJoin(F.broadcast(deepest)).select("folders", "items", "max_depth", "start_date", "end_date")  # one row each
 
 
 def plan_ranges(shapes: DataFrame) -> DataFrame:
@@ -110,12 +114,12 @@ def llm_projection(rows: DataFrame, ref_mode: bool) -> DataFrame:
     return rows if ref_mode else rows.drop("ref")
 
 
-def run_matrix(datasets: DataFrame, models: DataFrame, modes: DataFrame, results: DataFrame) -> DataFrame:
-    """A row for each dataset, model and mode, with its result where there is one. The three parameter lists are short; what
-    they multiply to is the result asked for."""
-    grid = datasets.select("dataset").crossJoin(F.broadcast(models.select("model"))).crossJoin(F.broadcast(modes.select("mode")))
-    return grid.join(results, ["dataset", "model", "mode"], "left")
-
-
-def filtered_volume(inv: DataFrame, spec: dict | None) -> DataFrame:
-    return filter_items(inv, spec).agg(F.count("*").alias("n"))
+def run_matrix(datasets: DataFrame, models: DataFrame, modes: DataFrame, results: DataFrame, preparations: DataFrame | None = None) -> DataFrame:
+    """A row for each dataset, model, mode and, where given, preparation, with its result where there is one. What the
+    parameter lists multiply to is the result asked for; a list is broadcast if it is short."""
+    grid, keys = datasets.select("dataset"), ["dataset"]
+    for name, values in (("model", models), ("mode", modes), ("preparation", preparations)):
+        if values is not None:
+            grid = grid.crossJoin(sized(values.select(name), 1_000))
+            keys.append(name)
+    return grid.hint("merge").join(results.hint("merge"), keys, "left")
