@@ -70,7 +70,8 @@ def name_collisions(inv: DataFrame, min_n: int = 2, by: By = ()) -> DataFrame:
 
 def name_collision_totals(inv: DataFrame, by: By = ()) -> DataFrame:
     names = items(inv).where(_derived(inv, "__noise").isNull()).select(*by, F.lower(F.trim(_derived(inv, "__name"))).alias("name")).where("name <> ''")
-    return names.groupBy(*by, "name").agg(F.count("*").alias("n")).where("n >= 2").groupBy(*by).agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("files"))
+    several = F.col("n") >= 2
+    return names.groupBy(*by, "name").agg(F.count("*").alias("n")).groupBy(*by).agg(F.count_if(several).alias("groups"), F.coalesce(F.sum(F.when(several, F.col("n"))), F.lit(0)).alias("files"))
 
 
 def strict_duplicates(inv: DataFrame, by: By = ()) -> DataFrame:
@@ -94,9 +95,9 @@ def strict_duplicate_totals(inv: DataFrame, by: By = ()) -> DataFrame:
         holdings = inv.select(*by).distinct() if by else inv.sparkSession.range(1)
         return holdings.select(*by, *none, F.lit(False).alias("available"))
     fp = F.lower(F.trim(X.text(F.col("fingerprint"))))
-    groups = items(inv).where(fp != "").groupBy(*by, fp.alias("fp")).agg(F.count("*").alias("n")).where("n >= 2")
-    files = F.coalesce(F.sum("n"), F.lit(0))
-    return groups.groupBy(*by).agg(F.count("*").alias("groups"), files.alias("files"), (files - F.count("*")).alias("redundant"), F.lit(True).alias("available"))
+    counts, several = items(inv).where(fp != "").groupBy(*by, fp.alias("fp")).agg(F.count("*").alias("n")), F.col("n") >= 2
+    groups, files = F.count_if(several), F.coalesce(F.sum(F.when(several, F.col("n"))), F.lit(0))
+    return counts.groupBy(*by).agg(groups.alias("groups"), files.alias("files"), (files - groups).alias("redundant"), F.lit(True).alias("available"))
 
 
 def source_folders(inv: DataFrame, by: By = ()) -> DataFrame:

@@ -49,7 +49,7 @@ def ingest_responses(responses: DataFrame, id_col: str = "Path") -> DataFrame:
     fences = F.regexp_extract_all(text, F.lit(r"(?s)```[A-Za-z]*[ \t]*\n(.*?)```"), F.lit(1))
     block = F.filter(F.split(F.coalesce(F.try_element_at(fences, F.lit(-1)), text), "\n"), lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("```")))
     names = lambda line, sep: F.transform(_fields(line, sep), F.lower)
-    is_header = lambda line: F.regexp_replace(F.lower(line), r'[\s"]', "").rlike("(^|[;,\t])targetfolder([;,\t]|$)")
+    is_header = lambda line: F.regexp_replace(F.lower(line), '[ "]', "").rlike("(^|[;,\t])targetfolder([;,\t]|$)")
     batches = responses.select("batch_id", block.alias("block"))
     batches = batches.withColumn("header", F.try_element_at(F.filter("block", is_header), F.lit(1)))
     shown = F.coalesce(F.col("header"), F.array_join("block", " "))

@@ -183,6 +183,11 @@ def test_plan_differences(spark):
     new = spark.createDataFrame([("a", p) for p in ("X2", "X2/1", "X2/2", "w", "w/y", "w/y/k", "z")], "plan_id string, path string")
     got = {(r.old_path, r.new_path, r.change) for r in P.diff_plans(old, new).collect()}
     assert got == {("x", "X2", "renamed"), ("y", "w/y", "moved"), ("z", "z", "unchanged"), (None, "w", "added")}
+    # the closest name is the rename, though a move would fit the same leaf, and the closest parent is the move
+    old = spark.createDataFrame([("a", p) for p in ("Budget", "Conseil", "Conseil/Actes", "Ecole", "Ecole/Menus", "Mairie")], "plan_id string, path string")
+    new = spark.createDataFrame([("a", p) for p in ("Budgets", "Conseil", "Ecole", "Mairie", "Mairie/Actes", "Archives", "Ecoles", "Ecoles/Menus", "Archives/Menus")], "plan_id string, path string")
+    got = {(r.old_path, r.new_path) for r in P.diff_plans(old, new).where("change IN ('renamed', 'moved')").collect()}
+    assert got == {("Budget", "Budgets"), ("Conseil/Actes", "Mairie/Actes"), ("Ecole/Menus", "Ecoles/Menus")}
 
 
 def test_classification_keeps_account_of_every_row(spark, inv):
@@ -238,9 +243,13 @@ def test_answers_are_read_as_they_come(spark):
         ("4", "Je ne peux pas."),
         ("5", None),
         ("6", "p;1_A"),
+        ("7", f"{fence}\nTargetFolder;Path;NewTitle\n2_B;r/s;Un\n3_C;[FIN];\n1_A;t/u\n{fence}"),
+        ("8", "\ufeff\"Path\";\"TargetFolder\";\"NewTitle\"\r\n\"v \"\"w\"\"\";\"1_A\";\"\"\r\nVoilà, terminé."),
+        ("9", "Path\tTargetFolder\tNewTitle\nx\t1_A\tT, de, plus"),
+        ("10", "a.pdf;1_X\nc.pdf;2_Y;T"),
     ]
     got = {(r.batch_id, r.path, r.target, r.new_title) for r in text_io.ingest_responses(spark.createDataFrame(raw, "batch_id string, raw_text string")).collect()}
-    assert got == {("1", "a/b.txt", "1_A", "Titre"), ("1", "c;d.txt", "2_B", "Un; deux"), ("2", "a", "1_A", "Titre"), ("2", "b", "2_B", "T"), ("3", "p/q", "1_A", "T")}
+    assert got == {("1", "a/b.txt", "1_A", "Titre"), ("1", "c;d.txt", "2_B", "Un; deux"), ("2", "a", "1_A", "Titre"), ("2", "b", "2_B", "T"), ("3", "p/q", "1_A", "T"), ("6", "p", "1_A", ""), ("7", "r/s", "2_B", "Un"), ("7", "t/u", "1_A", ""), ("8", 'v "w"', "1_A", ""), ("9", "x", "1_A", "T, de, plus"), ("10", "a.pdf", "1_X", ""), ("10", "c.pdf", "2_Y", "T")}
 
 
 def test_files_round_trip(spark, inv, tmp_path):
@@ -291,7 +300,7 @@ def test_scalars(spark):
         X.fold(F.lit("ÀÉÎõü Œuf")).alias("fold"), X.extension(F.lit("a/.hidden")).alias("hidden"), X.extension(F.lit("a\\b.TXT")).alias("ext"), X.slugify(F.lit("L'été – 2024 !")).alias("slug"), X.slugify(F.lit("—")).alias("none"),
         X.preserve_extension(F.lit("Titre.pdf"), F.lit("x/y.DOCX")).alias("kept"), X.preserve_extension(F.lit("Titre"), F.lit("x/y")).alias("bare"), X.conservation_label(F.lit("2. Conseils d'école 2")).alias("label"), X.redact_emails(F.lit("à jean.dupont@mairie.fr.")).alias("mail"),
         X.sanitize_filename(F.lit(' a:b/c?.. ')).alias("safe"), X.sanitize_filename(F.lit("..")).alias("void"), X.order_verdict(F.lit("**Ordre existant :** Partiellement structuré")).alias("verdict"), X.volumetry_line(F.lit("Items : 12 | RecordGrp : 3 | Profondeur : 4 niveaux")).alias("v"),
-        X.pick_title(F.array(F.lit("document"), F.lit("y"), F.lit("Vrai titre")), F.lit("x/y.doc")).alias("title"), X.action_json(F.lit('ok {"a": "}{", "b": {"c": 1}} fin {}')).alias("call"), X.normalize_usage(F.lit('{"prompt_tokens": 3, "completion_tokens": 4, "prompt_tokens_details": {"cached_tokens": 1}}')).alias("u"),
+        X.pick_title(F.array(*[F.struct(F.lit(t).alias("text"), F.lit(s).alias("style")) for t, s in (("document", "Title"), ("y", "position"), ("@@## 12", "Heading 1"), ("Première ligne", "position"), ("Vrai titre", "Heading 2"))]), F.lit("x/y.doc")).alias("title"), X.action_json(F.lit('ok {"a": "}{", "b": {"c": 1}} fin {}')).alias("call"), X.normalize_usage(F.lit('{"prompt_tokens": 3, "completion_tokens": 4, "prompt_tokens_details": {"cached_tokens": 1}}')).alias("u"),
         X.gabarit_sections(F.lit("# 1.1 A\n## 1.3 B\ntext 1.2")).alias("sections"), X.report_sections(F.lit("# Partie 2 : plan\na <!-- PLAN_STRUCTURE_START -->\nX_y/\n<!-- PLAN_STRUCTURE_END -->\n# Partie 3\nnotes\n")).alias("r"), X.format_description([("A", F.lit("x")), ("B", F.lit(""))], 10).alias("d"),
     ).first()
     assert row.fold == "aeiou œuf" and row.hidden == "" and row.ext == "txt" and row.slug == "L_ete_2024" and row.none == "Nouveau_dossier"
@@ -301,6 +310,79 @@ def test_scalars(spark):
     assert tuple(row.r) == ("X_y/", "notes") and row.d == "A : x"
 
 
+def test_actions_are_the_first_object_that_is_json(spark):
+    said = [
+        ('{"reponse": "ok"}', '{"reponse": "ok"}'), ("Voici :\n```json\n{\"outil\": {\"a\": [\"}{\"]}}\n```", '{"outil": {"a": ["}{"]}}'), ("{not json} {\"tool\": 1} {}", '{"tool": 1}'),
+        ("rien", None), ('{"cassé": ', None), ("", None), (None, None), ("{" * 3000, None), ('{"a": {"b": 1}', '{"b": 1}'), ("[1] {} {", "{}"),
+    ]
+    got = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(said)], "k int, t string").select("k", X.action_json(F.col("t")).alias("a"))
+    assert dicts(got, "k", "a") == {k: a for k, (_, a) in enumerate(said)}
+
+
+def test_sections_of_a_report(spark):
+    said = ["# 1.1 Volumes\n## PLANS  DE CLASSEMENT proposés\nA_b/\n\nB_c/\n## Partie 3\nune note\nune autre\n═══ FIN ═══\nreste", "## NOTES POUR la suite\nseules", "texte", None, "# Plan de classement\nseul"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(said)], "k int, t string").select("k", X.report_sections(F.col("t")).alias("r")).orderBy("k").collect()
+    assert [tuple(r.r) for r in got] == [("A_b/\n\nB_c/", "une note\nune autre"), ("", "seules"), ("", ""), ("", ""), ("seul", "")]
+
+
+def test_order_over_several_files(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    head = "ID;ParentID;File;Content.DescriptionLevel;Content.Title;Content.StartDate;Content.EndDate\n"
+    for k, n in (("a", 2), ("b", 400), ("c", 1)):  # Spark reads the largest first
+        (tmp_path / "many" / f"{k}.csv").write_text(head + "".join(f"{k}{j};0;{k}/{j:03d};Item;t;;\n" for j in range(n)))
+    rows = inv_io.read_inventory(spark, str(tmp_path / "many")).orderBy("pos").collect()
+    assert [r.path for r in rows] == [f"a/{j:03d}" for j in range(2)] + [f"b/{j:03d}" for j in range(400)] + ["c/000"]
+    (tmp_path / "lines").mkdir()
+    for k, n in (("a", 1), ("b", 300)):
+        (tmp_path / "lines" / f"{k}.txt").write_text("".join(f"{k}_{j} : note\n" for j in range(n)))
+    assert [r.folder for r in text_io.read_directives(spark, str(tmp_path / "lines")).orderBy("pos").collect()] == ["a_0"] + [f"b_{j}" for j in range(300)]
+
+
+def test_descriptions_are_whole(spark):
+    kind = "doc_id int, path string, sections array<string>, description string, title string, headings array<struct<text:string,style:string>>, error string"
+    page = "Mairie de X — page\n{}\nvoirie voirie et travaux {}"
+    rows = [
+        (1, "p/a.pdf", [page.format("Plan des rues", "un"), "non lue", page.format("suite", "deux"), "non lue", page.format("fin", "trois")], "", "Rapport annuel", [], None),
+        (2, "p/b.pdf", ["premier corps de texte"], None, "b", [("Titre du style", "Heading 1")], None),
+        (3, "p/c.pdf", ["x"], "déjà", None, [], None),
+        (4, "p/d.pdf", [], None, None, [], "illisible"),
+        (5, "p/e.pdf", [], None, None, None, None),
+    ]
+    got = {r.doc_id: r for r in content.describe(spark.createDataFrame(rows, kind)).collect()}
+    assert {k: r.status for k, r in got.items()} == {1: "enriched", 2: "enriched", 3: "already", 4: "error", 5: "missing"}
+    said = got[1].description
+    assert said.startswith("Titre interne : Rapport annuel · Titre (contenu) : Plan des rues · Mots du contenu : voirie") and "En-tête/pied de page : Mairie de X — page" in said and "non lue" not in said
+    assert " · Extrait : " in said and len(said) <= 300
+    assert got[2].description.startswith("Titre (contenu) : Titre du style · Extrait : premier corps")
+    assert got[3].description == "déjà" and got[5].description is None
+
+
+def test_agent_filters_are_judged_by_what_they_select(spark, inv):
+    def turn(case, name, arguments, answer):
+        return [("r", case, 0, "tool", name, arguments, None), ("r", case, 1, "toolResult", name, None, '{"total": 1}'), ("r", case, 2, "final", None, None, answer)]
+
+    events = [
+        *turn("form", "count", '{"keywords": [], "extension": ".PDF"}', "Il y a 1 fichier."), *turn("same", "count", '{"filter": {"keywords": ["facture"]}}', "1 fichier"),
+        *turn("search", "search", '{"keywords": "FACTURE"}', "1"), *turn("other", "count", '{"extension": "xlsx"}', "Il y a 2 fichiers."), *turn("tool", "stats", '{"extension": "pdf"}', "10 fichiers"), *turn("bad", "count", "{oops", "1"),
+    ]
+    log = spark.createDataFrame(events, "run_id string, case_id string, seq int, type string, name string, arguments string, result string")
+    cases = spark.createDataFrame([(c, ["count", "search"], '{"extension":"pdf"}', True) for c in ("form", "same", "search", "other", "tool", "bad")], "case_id string, tools array<string>, filter string, check_total boolean")
+    got = {r.case_id: (r.tool_ok, r.filter_ok, r.total_ok, r.passed) for r in evaluate.agent_cases(log, cases, inv).collect()}
+    assert got == {"form": (True, True, True, True), "same": (True, True, True, True), "search": (True, True, True, True), "other": (True, False, False, False), "tool": (False, False, False, False), "bad": (True, False, True, False)}
+    plain = {r.case_id: r.filter_ok for r in evaluate.agent_cases(log, cases).collect()}
+    assert plain["form"] and not plain["same"]
+
+
+def test_each_holding_has_its_own_figures(spark, inv):
+    both = inv.withColumn("fonds_id", F.lit("a")).unionByName(inv.where("id <> '8'").withColumn("fonds_id", F.lit("b")))
+    by = ("fonds_id",)
+    for f in (lambda d, *b: audit.volumetry(d, *b), lambda d, *b: audit.top_formats(d, 3, *b), lambda d, *b: explore.stats_by(d, "year", None, 2, *b), lambda d, *b: checks.validate(d, True, *b), lambda d, *b: hierarchy.has_cycle(d, *b), lambda d, *b: explore.count_items(d, None, 2, *b), lambda d, *b: audit.name_collision_totals(d, *b)):
+        found = f(both, by)
+        for holding, own in (("a", inv), ("b", inv.where("id <> '8'"))):
+            want = f(own)
+            assert sorted(map(tuple, found.where(F.col("fonds_id") == holding).select(*want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
 def test_content(spark):
     docs = spark.createDataFrame([(1, "p/a.txt", "École école mairie mairie mairie une une seul a@b.fr a@b.fr", ""), (2, "p/b.txt", "", None), (3, "p/c.txt", "x", "déjà"), (4, "p/d.txt", "1 2 3 4", None)], "doc_id int, path string, text string, description string")
     words = {r.word: r.rank for r in content.recurring_keywords(docs).collect()}
@@ -363,6 +445,9 @@ def test_each_batch_is_ingested_once(spark, tmp_path):
     put("1", "b.json")
     put("2", "c.json")
     assert run() == 2
+    put("1", "d.json")  # a later day
+    (tmp_path / "in" / "d.json").write_text('{"batch_id": "1", "ts": "2024-03-01T00:00:00Z", "raw_text": "a;1_A;t"}\n{"batch_id": "3", "ts": "2024-03-02T00:00:00Z", "raw_text": "a;1_A;t"}\n')
+    assert run() == 3
 
 
 def test_ledger(spark, tmp_path):
