@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, sized, table
+from .common import materialise, new_path, remove, sized, table
 
 ORDER, WINDOW = 4, 6
 #: Of the held-out trusted documents of a language, this share is under each threshold.
 QUANTILE = 0.99
 #: Bytes of text in a chunk, about.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 48 << 20
+#: Chunks whose numbers an n-gram takes along in one row.
+LISTED_CHUNKS = 4096
 #: Trusted ids and rows of small model tables that are broadcast; more are joined by a shuffle.
 MOST_IDS, MOST_ROWS = 2_000_000, 50_000
 _BINS = 512
@@ -147,7 +149,9 @@ def kneser_ney(counts: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     for order, grams in enumerate(tables, 1):
         own = grams.withColumn("order", F.lit(order))
         every = own if every is None else every.unionByName(own)
-    every = materialise(every, "ngrams")
+    spark, passing = counts.sparkSession, [new_path(counts.sparkSession, "ngrams"), new_path(counts.sparkSession, "discounted")]
+    every.write.parquet(passing[0])
+    every = spark.read.schema(every.schema).parquet(passing[0])
     of = every.groupBy("model", "order").agg(F.count("*").alias("types"), *[F.count_if(F.col("a") == c).cast("double").alias(f"c{c}") for c in (1, 2, 3, 4)])
     y = F.col("c1") / (F.col("c1") + 2 * F.col("c2"))
     sound = (F.col("c1") > 0) & (F.col("c2") > 0) & (F.col("c3") > 0) & (F.col("c4") > 0)
@@ -161,13 +165,17 @@ def kneser_ney(counts: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     cut = every.hint("merge").join(sized(discounts, MOST_ROWS), ["model", "order"]).withColumn("d", taken)
     contexts = materialise(cut.groupBy("model", "order", "context").agg(F.sum("a").alias("total"), (F.sum("d") / F.sum("a")).alias("gamma"), F.first("uniform").alias("uniform")), "contexts")
     joined = cut.drop("uniform").hint("merge").join(contexts.hint("merge"), ["model", "order", "context"])
-    seen = materialise(joined.select("model", "order", "context", "symbol", ((F.col("a") - F.col("d")) / F.col("total")).alias("own"), "gamma", "uniform"), "discounted")
+    joined = joined.select("model", "order", "context", "symbol", ((F.col("a") - F.col("d")) / F.col("total")).alias("own"), "gamma", "uniform")
+    joined.write.parquet(passing[1])
+    seen = spark.read.schema(joined.schema).parquet(passing[1])
     out = [materialise(seen.where("order = 1").select("model", "context", "symbol", (F.col("own") + F.col("gamma") * F.col("uniform")).alias("p")), "ngram-probabilities")]
     for order in range(2, ORDER + 1):
         below = out[-1].select("model", F.col("context").alias("suffix"), "symbol", F.col("p").alias("q"))
         above = seen.where(F.col("order") == order).withColumn("suffix", F.col("context").bitwiseAND((1 << _BITS * (order - 2)) - 1))
         both = above.hint("merge").join(below.hint("merge"), ["model", "suffix", "symbol"])
         out.append(materialise(both.select("model", "context", "symbol", (F.col("own") + F.col("gamma") * F.col("q")).alias("p")), "ngram-probabilities"))
+    for path in passing:
+        remove(spark, path)
     return out, contexts.select("model", "order", "context", "gamma", "uniform")
 
 
@@ -234,13 +242,13 @@ def score(docs: DataFrame, model: tuple[list[DataFrame], DataFrame], id_col: str
     salt = F.xxhash64("doc_id", "text", F.monotonically_increasing_id())
     dealt = slim.withColumn("chunk", F.pmod(salt, F.lit(chunks)).cast("int")).repartition(chunks, "chunk")
     grams = dealt.mapInArrow(_counter(("chunk", "lang")), "chunk int, lang string, context long, symbol int, n long")
-    grams = grams.select("chunk", F.coalesce("lang", F.lit(_POOLED)).alias("lang"), "context", "symbol").repartition("lang", "context", "symbol")
+    grams = grams.select("chunk", F.coalesce("lang", F.lit(_POOLED)).alias("lang"), "context", "symbol")
     own = materialise(model[1].select("model").distinct().select(F.col("model").alias("lang"), "model"), "models")
-    # Asking for the first chunk keeps all columns, so that the distinct n-grams and the join read one shuffle of ``grams``.
-    needed = grams.groupBy("lang", "context", "symbol").agg(F.min("chunk").alias("first"))
+    # An n-gram takes the numbers of its chunks along, in lists of bounded length, so that its cost comes back without a join.
+    block = F.floor(F.col("chunk") / LISTED_CHUNKS).alias("block")
+    needed = grams.groupBy("lang", "context", "symbol", block).agg(F.collect_list("chunk").alias("chunks"))
     needed = needed.hint("merge").join(sized(own, MOST_ROWS), "lang", "left").withColumn("model", F.coalesce("model", F.lit(_POOLED)))
-    dear = costs(needed, model).select("lang", "context", "symbol", "first", "cost")
-    known = grams.hint("merge").join(dear.hint("merge"), ["lang", "context", "symbol"]).where(F.col("chunk") >= F.col("first")).drop("first")
+    known = costs(needed, model).select(F.explode("chunks").alias("chunk"), "lang", "context", "symbol", F.col("cost").cast("float").alias("cost"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     return dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_summed, f"doc_id {kind}, lang string, cost double, peak double")
 
