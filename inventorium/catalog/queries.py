@@ -452,15 +452,15 @@ def _pending(spark, sf):
 
 
 def _plan_texts(spark, sf) -> DataFrame:
-    """A plan for each nation, as text: its market segments, and a folder in each."""
-    rows = spark.sql(T.PLAN_TEXTS, customer=T.source(spark, sf, "customer"), nation=T.source(spark, sf, "nation"))
-    k = F.row_number().over(Window.partitionBy("plan_id").orderBy("c_mktsegment"))
-    slug, k = X.slugify(F.initcap("c_mktsegment")), k.cast("string")
-    lines = rows.select("plan_id", F.concat(F.lit("├─ "), k, F.lit(". "), F.initcap("c_mktsegment"), F.lit(" → "), k, F.lit("_"), slug, F.lit("/\n│  └─ "), k, F.lit(".1. Clients -> "), k, F.lit("-1_Clients_"), slug, F.lit("/")).alias("line"))
+    """A plan for each customer, as text: the priorities of their orders, and a folder in each."""
+    rows = spark.sql(T.PLAN_TEXTS, orders=T.source(spark, sf, "orders"))
+    k = F.row_number().over(Window.partitionBy("plan_id").orderBy("segment"))
+    slug, k = X.slugify(F.initcap("segment")), k.cast("string")
+    lines = rows.select("plan_id", F.concat(F.lit("├─ "), k, F.lit(". "), F.initcap("segment"), F.lit(" → "), k, F.lit("_"), slug, F.lit("/\n│  └─ "), k, F.lit(".1. Clients -> "), k, F.lit("-1_Clients_"), slug, F.lit("/")).alias("line"))
     return lines.groupBy("plan_id").agg(F.concat(F.lit("## Arborescence technique\nDossier_racine/\n"), F.array_join(F.array_sort(F.collect_list("line")), "\n"), F.lit("\nPréconisations\n8_Rien/")).alias("text"))
 
 
-_PLANS_SQL = "WITH g AS (SELECT DISTINCT 'plan_' || n_name AS plan_id, c_mktsegment, upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) AS s FROM customer JOIN nation ON c_nationkey = n_nationkey), h AS (SELECT plan_id, s, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY c_mktsegment) AS VARCHAR) AS k FROM g), pp AS (SELECT plan_id, k || '_' || s AS folder, CAST(NULL AS VARCHAR) AS parent, s AS title FROM h UNION ALL SELECT plan_id, k || '-1_Clients_' || s, k || '_' || s, 'Clients' FROM h)"
+_PLANS_SQL = "WITH f0 AS (SELECT DISTINCT 'plan_' || o_custkey AS plan_id, replace(o_orderpriority[3:], ' ', '') AS segment FROM orders), g AS (SELECT plan_id, segment, upper(segment[1]) || lower(segment[2:]) AS s FROM f0), h AS (SELECT plan_id, s, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY segment) AS VARCHAR) AS k FROM g), pp AS (SELECT plan_id, k || '_' || s AS folder, CAST(NULL AS VARCHAR) AS parent, s AS title FROM h UNION ALL SELECT plan_id, k || '-1_Clients_' || s, k || '_' || s, 'Clients' FROM h)"
 register("r1_parse_plan", f"{_PLANS_SQL} SELECT plan_id, folder, parent FROM pp")(lambda spark, sf: P.parse_plans(_plan_texts(spark, sf)).select("plan_id", "folder", "parent"))
 register("r2_parse_titles", f"{_PLANS_SQL} SELECT plan_id, folder, title FROM pp")(lambda spark, sf: P.parse_titles(_plan_texts(spark, sf)))
 register("r3_render_plan")(lambda spark, sf: P.render_plans(P.plan_nodes(_plan_texts(spark, sf))))
@@ -477,13 +477,13 @@ register("w11_plan_numbering", f"{_PLANS_SQL} SELECT plan_id, folder AS id, rege
 
 def _two_states(spark, sf) -> tuple[DataFrame, DataFrame]:
     old = P.plan_paths(P.parse_plans(_plan_texts(spark, sf))).select("plan_id", "path")
-    new = old.select("plan_id", F.regexp_replace("path", "^Building", "Batiment").alias("path")).where("path NOT LIKE 'Machinery%'")
+    new = old.select("plan_id", F.regexp_replace("path", "^Urgent", "Pressant").alias("path")).where("path NOT LIKE 'Low%'")
     return old, new
 
 
-_PATHS = f"{_PLANS_SQL}, p8 AS (SELECT plan_id, CASE WHEN parent IS NULL THEN '' ELSE regexp_replace(parent, '^[0-9]+(-[0-9]+)*_', '') || '/' END || regexp_replace(folder, '^[0-9]+(-[0-9]+)*_', '') AS path FROM pp), new8 AS (SELECT plan_id, regexp_replace(path, '^Building', 'Batiment') AS path FROM p8 WHERE path NOT LIKE 'Machinery%')"
+_PATHS = f"{_PLANS_SQL}, p8 AS (SELECT plan_id, CASE WHEN parent IS NULL THEN '' ELSE regexp_replace(parent, '^[0-9]+(-[0-9]+)*_', '') || '/' END || regexp_replace(folder, '^[0-9]+(-[0-9]+)*_', '') AS path FROM pp), new8 AS (SELECT plan_id, regexp_replace(path, '^Urgent', 'Pressant') AS path FROM p8 WHERE path NOT LIKE 'Low%')"
 register("u7_plan_path_diff", f"{_PATHS}, a8 AS (SELECT DISTINCT plan_id || '/' || path AS path FROM p8), b8 AS (SELECT DISTINCT plan_id || '/' || path AS path FROM new8) SELECT coalesce(a8.path, b8.path) AS path, CASE WHEN a8.path IS NULL THEN 'added' WHEN b8.path IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM a8 FULL JOIN b8 ON a8.path = b8.path")(lambda spark, sf: sets.plan_path_diff(*[d.select(F.concat_ws("/", "plan_id", "path").alias("path")) for d in _two_states(spark, sf)]))
-register("r5_diff_plans", f"{_PATHS} SELECT plan_id, path AS old_path, path AS new_path, 'unchanged' AS change FROM p8 JOIN new8 USING (plan_id, path) UNION ALL SELECT plan_id, path, 'Batiment', 'renamed' FROM p8 WHERE path = 'Building' UNION ALL SELECT plan_id, path, NULL, 'removed' FROM p8 WHERE path LIKE 'Machinery%'")(lambda spark, sf: P.diff_plans(*_two_states(spark, sf)))
+register("r5_diff_plans", f"{_PATHS} SELECT plan_id, path AS old_path, path AS new_path, 'unchanged' AS change FROM p8 JOIN new8 USING (plan_id, path) UNION ALL SELECT plan_id, path, 'Pressant', 'renamed' FROM p8 WHERE path = 'Urgent' UNION ALL SELECT plan_id, path, NULL, 'removed' FROM p8 WHERE path LIKE 'Low%'")(lambda spark, sf: P.diff_plans(*_two_states(spark, sf)))
 _NUMBER = "regexp_extract({}, '^([0-9]+(-[0-9]+)*)_', 1)"
 register("q8_check_plan_text", f"{_PLANS_SQL}, l8 AS (SELECT * FROM pp WHERE NOT starts_with(folder, '2_')) SELECT plan_id, 'missing_parent' AS rule, count(*) AS n FROM l8 WHERE contains({_NUMBER.format('folder')}, '-') AND (plan_id, regexp_replace({_NUMBER.format('folder')}, '-[0-9]+$', '')) NOT IN (SELECT (plan_id, {_NUMBER.format('folder')}) FROM l8) GROUP BY plan_id UNION ALL SELECT plan_id, 'duplicate_name', count(*) FROM (SELECT plan_id, lower(folder) FROM l8 GROUP BY ALL HAVING count(*) > 1) GROUP BY plan_id")(lambda spark, sf: checks.check_plan_text(P.plan_lines(_plan_texts(spark, sf)).where("folder NOT LIKE '2\\_%'")))
 register("q9_check_plan_nodes", f"{_PLANS_SQL} SELECT plan_id, 'root_count' AS rule, count(*) FILTER (parent IS NULL) AS n FROM pp GROUP BY plan_id HAVING count(*) FILTER (parent IS NULL) <> 1 UNION ALL SELECT plan_id, 'bad_slug', count(*) FROM pp WHERE NOT regexp_matches(regexp_replace(folder, '^[0-9]+(-[0-9]+)*_', ''), '^[A-Za-z0-9_]+$') GROUP BY plan_id")(lambda spark, sf: checks.check_plan_nodes(P.plan_nodes(_plan_texts(spark, sf))))
@@ -595,7 +595,7 @@ register("k2_sample_positions", "WITH n AS (SELECT doc_id, len(string_split(text
 
 
 def _reports(spark, sf) -> DataFrame:
-    """A report for each nation's plan, which states the volumes of the inventory for some."""
+    """A report for each plan, which states the volumes of the inventory for some."""
     v = audit.volumetry(T.inventory(spark, sf))
     said = F.concat(F.lit("## 1.1 Volumes\nItems : "), F.when(F.length("plan_id") % 2 == 0, F.col("items")).otherwise(1), F.lit(" | RecordGrp : "), "folders", F.lit(" | Profondeur : "), "max_depth", F.lit("\n## 1.2 Formats\n**Ordre existant : partiellement structuré**\n## PARTIE 2 — PLANS DE CLASSEMENT\n"), "text", F.lit("\n## PARTIE 3 — NOTES\nfin"))
     return _plan_texts(spark, sf).withColumn("text", F.regexp_replace("text", "\n## ", "\n")).crossJoin(F.broadcast(v)).select(F.col("plan_id").alias("report_id"), said.alias("text"))

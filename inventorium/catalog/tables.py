@@ -44,7 +44,7 @@ UNION ALL SELECT path, '9_VIDE', title, CAST(2 * k + 1 AS BIGINT) FROM i WHERE k
 """
 
 PLAN_TEXTS = """
-SELECT 'plan_' || n_name AS plan_id, n_nationkey, c_mktsegment, COUNT(*) AS n FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name, n_nationkey, c_mktsegment
+SELECT 'plan_' || CAST(o_custkey AS STRING) AS plan_id, REPLACE(SUBSTR(o_orderpriority, 3), ' ', '') AS segment, COUNT(*) AS n FROM {orders} GROUP BY o_custkey, o_orderpriority
 """
 
 _SOURCES = ("region", "nation", "customer", "supplier", "orders", "lineitem")

@@ -24,7 +24,7 @@ def audit_metrics(reports: DataFrame, volumes: DataFrame) -> DataFrame:
     plans = parse_plans(parts.select(F.col("report_id").alias("plan_id"), F.col("r.plan").alias("text")))
     shape = plan_shape(plans).withColumnRenamed("plan_id", "report_id")
     same = (F.col("v.items") == F.col("items")) & (F.col("v.folders") == F.col("n_folders")) & (F.col("v.depth") == F.col("max_depth"))
-    rows = parts.crossJoin(F.broadcast(volumes.withColumnRenamed("folders", "n_folders"))).join(shape, "report_id", "left")
+    rows = parts.crossJoin(F.broadcast(volumes.withColumnRenamed("folders", "n_folders"))).hint("merge").join(shape.hint("merge"), "report_id", "left")
     return rows.select("report_id", "chars", F.size("sections").alias("n_sections"), "verdict", F.col("folders").isNotNull().alias("plan_found"), "folders", "depth", "max_children", "leaves", same.alias("volumes_match"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as X
-from ..session import materialise
+from ..session import materialise, merged
 
 By = tuple[str, ...]
 
@@ -46,7 +46,7 @@ def closure_by_id(tree: DataFrame, by: By = ()) -> DataFrame:
     Cycles end where a node would meet itself."""
     step = tree.where((F.col("parent_id") != "") & (F.col("parent_id") != F.col("id"))).select(*by, "id", F.col("parent_id").alias("ancestor"), F.lit(1).cast("long").alias("distance")).distinct()
     known = tree.select(*by, F.col("id").alias("ancestor")).distinct()
-    reach = step.join(known, [*by, "ancestor"], "left_semi").select(*by, "id", "ancestor", "distance")
+    reach = merged(step, known, [*by, "ancestor"], "left_semi").select(*by, "id", "ancestor", "distance")
     size = -1
     while True:
         reach = materialise(reach, "closure")
@@ -55,7 +55,7 @@ def closure_by_id(tree: DataFrame, by: By = ()) -> DataFrame:
             return reach
         size = now
         far = reach.select(*by, F.col("id").alias("ancestor"), F.col("ancestor").alias("top"), F.col("distance").alias("more"))
-        longer = reach.join(far, [*by, "ancestor"]).where(F.col("top") != F.col("id")).select(*by, "id", F.col("top").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
+        longer = merged(reach, far, [*by, "ancestor"]).where(F.col("top") != F.col("id")).select(*by, "id", F.col("top").alias("ancestor"), (F.col("distance") + F.col("more")).alias("distance"))
         reach = reach.unionByName(longer).groupBy(*by, "id", "ancestor").agg(F.min("distance").alias("distance"))
 
 
@@ -63,10 +63,10 @@ def full_paths(tree: DataFrame, name: str = "title", by: By = ()) -> DataFrame:
     """(id, full_path): the chain of names from the top, from parent identifiers."""
     reach = closure_by_id(tree, by)
     names = tree.select(*by, F.col("id").alias("ancestor"), F.col(name).alias("above"))
-    chains = reach.join(names, [*by, "ancestor"]).groupBy(*by, "id").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "above"))).alias("chain"))
+    chains = merged(reach, names, [*by, "ancestor"]).groupBy(*by, "id").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "above"))).alias("chain"))
     own = tree.select(*by, "id", F.col(name).alias("own"))
     chain = F.transform("chain", lambda x: x["above"])
-    return own.join(chains, [*by, "id"], "left").select(*by, "id", F.concat_ws("/", F.coalesce(chain, F.array().cast("array<string>")), "own").alias("full_path"))
+    return merged(own, chains, [*by, "id"], "left").select(*by, "id", F.concat_ws("/", F.coalesce(chain, F.array().cast("array<string>")), "own").alias("full_path"))
 
 
 def rollup_dates(inv: DataFrame, by: By = ()) -> DataFrame:
@@ -87,7 +87,7 @@ def _folder_label() -> Column:
 def empty_folders(inv: DataFrame, examples: int = 5, by: By = ()) -> DataFrame:
     """One row (for each holding): n_empty and the first labels in input order."""
     full = nonempty_folders(inv, by).withColumnRenamed("folder", "path")
-    empty = folders(inv).join(full, [*by, "path"], "left_anti")
+    empty = merged(folders(inv), full, [*by, "path"], "left_anti")
     return _first_labels(empty.select(*by, "pos", _folder_label().alias("label")), examples, by, "n_empty")
 
 
@@ -130,7 +130,7 @@ def files_per_folder(inv: DataFrame, parent: str = ".", most: int = 20) -> DataF
     """(folder, n_items) of the first direct sub-folders of a folder, what lies below them included."""
     sub = folders(inv).where(X.fold(X.parent_path(F.col("path"))) == X.fold(F.lit(parent))).select(F.col("path").alias("folder")).orderBy("folder").limit(most)
     counts = descendant_counts(inv)
-    return sub.join(counts, "folder", "left").select("folder", F.coalesce("n_items", F.lit(0)).alias("n_items"))
+    return merged(sub, counts, "folder", "left").select("folder", F.coalesce("n_items", F.lit(0)).alias("n_items"))
 
 
 def list_folder(inv: DataFrame, path: str = ".", page: int = 0, size: int = 20) -> DataFrame:
@@ -151,7 +151,7 @@ def needed_folders(targets: DataFrame, tree: DataFrame) -> DataFrame:
     """The plan folders that targets (folder) refer to, with all above them. ``tree``: folder, parent."""
     nodes = tree.select(F.col("folder").alias("id"), F.coalesce("parent", F.lit("")).alias("parent_id"))
     used = targets.select(F.col("folder").alias("id")).distinct()
-    above = closure_by_id(nodes).join(used, "id", "left_semi").select(F.col("ancestor").alias("id"))
+    above = merged(closure_by_id(nodes), used, "id", "left_semi").select(F.col("ancestor").alias("id"))
     return used.unionByName(above).distinct().select(F.col("id").alias("folder"))
 
 
@@ -159,8 +159,8 @@ def plan_shape(plan: DataFrame) -> DataFrame:
     """Of each plan (plan_id, folder, parent): folders, depth, max_children, leaves; roots are children of nothing."""
     nodes = plan.select("plan_id", F.col("folder").alias("id"), F.coalesce("parent", F.lit("")).alias("parent_id"))
     depths = closure_by_id(nodes, ("plan_id",)).groupBy("plan_id", "id").agg(F.max("distance").alias("d"))
-    deep = nodes.join(depths, ["plan_id", "id"], "left").groupBy("plan_id").agg(F.count("*").alias("folders"), (F.max(F.coalesce("d", F.lit(0))) + 1).alias("depth"))
+    deep = merged(nodes, depths, ["plan_id", "id"], "left").groupBy("plan_id").agg(F.count("*").alias("folders"), (F.max(F.coalesce("d", F.lit(0))) + 1).alias("depth"))
     kids = nodes.groupBy("plan_id", "parent_id").agg(F.count("*").alias("n"))
     wide = kids.groupBy("plan_id").agg(F.max("n").alias("max_children"))
-    leaves = nodes.join(kids.where("parent_id <> ''").select("plan_id", F.col("parent_id").alias("id")), ["plan_id", "id"], "left_anti").groupBy("plan_id").agg(F.count("*").alias("leaves"))
-    return deep.join(wide, "plan_id").join(leaves, "plan_id", "left").select("plan_id", "folders", "depth", "max_children", F.coalesce("leaves", F.lit(0)).alias("leaves"))
+    leaves = merged(nodes, kids.where("parent_id <> ''").select("plan_id", F.col("parent_id").alias("id")), ["plan_id", "id"], "left_anti").groupBy("plan_id").agg(F.count("*").alias("leaves"))
+    return merged(merged(deep, wide, "plan_id"), leaves, "plan_id", "left").select("plan_id", "folders", "depth", "max_children", F.coalesce("leaves", F.lit(0)).alias("leaves"))

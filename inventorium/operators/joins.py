@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..session import merged
 from .explore import structured_filter
 from .hierarchy import closure_by_id, folders, items
 from .windows import keep_first
@@ -46,7 +47,7 @@ def plan_parents(plan: DataFrame) -> DataFrame:
     prefix = F.substring_index("folder", "_", 1)
     own = plan.select("plan_id", "pos", "folder", F.when(F.instr(prefix, "-") > 0, F.regexp_replace(prefix, "-[^-]*$", "")).alias("above"))
     first = plan.select("plan_id", prefix.alias("above"), "pos", "folder").groupBy("plan_id", "above").agg(F.min_by("folder", "pos").alias("parent"))
-    return own.join(first, ["plan_id", "above"], "left").select("plan_id", "pos", "folder", "parent")
+    return merged(own, first, ["plan_id", "above"], "left").select("plan_id", "pos", "folder", "parent")
 
 
 # Prices in euros for a million tokens, by the first rule whose text is in a model's name; local prefixes.

@@ -14,6 +14,7 @@ from ..operators.hierarchy import closure_by_id, plan_shape
 from ..operators.joins import plan_parents
 from ..operators.runs import plan_ranges
 from ..operators.sets import all_folders
+from ..session import merged
 
 _ARROW = r"\s*(?:→|->)\s*"
 _FOLDER = r"([\p{L}\p{N}_][\p{L}\p{N}_-]*)/"
@@ -39,7 +40,7 @@ def plan_main_root(parents: DataFrame) -> DataFrame:
     prefix = F.substring_index("folder", "_", 1)
     named = parents.where(F.col("parent").isNull() & ~prefix.rlike("^[0-9]") & (F.length(prefix) > 1))
     main = named.groupBy("plan_id").agg(F.min_by("folder", "pos").alias("main"))
-    out = parents.join(main, "plan_id", "left")
+    out = merged(parents, main, "plan_id", "left")
     return out.withColumn("parent", F.when(F.col("parent").isNull() & (F.col("folder") != F.col("main")), F.col("main")).otherwise(F.col("parent"))).drop("main")
 
 
@@ -48,7 +49,7 @@ def parse_plans(texts: DataFrame) -> DataFrame:
     lines = plan_lines(texts)
     first = lines.groupBy("plan_id", "folder").agg(F.min("pos").alias("pos"), F.coalesce(F.max_by("title", F.when(F.col("title") != "", F.col("pos"))), F.lit("")).alias("title"))
     parents = plan_main_root(plan_parents(first.select("plan_id", "pos", "folder")))
-    return parents.join(first.select("plan_id", "folder", "title"), ["plan_id", "folder"]).select("plan_id", "pos", "folder", "parent", "title")
+    return merged(parents, first.select("plan_id", "folder", "title"), ["plan_id", "folder"]).select("plan_id", "pos", "folder", "parent", "title")
 
 
 def parse_titles(texts: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def plan_from_inventory(inv: DataFrame, plan_id: str = "inventory") -> DataFrame
     ids = rows.select(F.col("id").alias("parent_id")).distinct().withColumn("known", F.lit(True))
     base = X.strip_prefix(X.basename(F.col("path")))
     slug = X.slugify(F.when(base != "", base).otherwise(F.col("title")))
-    out = rows.join(ids, "parent_id", "left")
+    out = merged(rows, ids, "parent_id", "left")
     return out.select(F.lit(plan_id).alias("plan_id"), "id", F.when(F.col("known"), F.col("parent_id")).otherwise("").alias("parent_id"), F.when(X.text(F.col("title")) != "", F.col("title")).otherwise(X.humanize(X.basename(F.col("path")))).alias("title"), slug.alias("slug"), "pos")
 
 
@@ -76,8 +77,8 @@ def plan_numbering(nodes: DataFrame) -> DataFrame:
     order = Window.partitionBy("plan_id", "parent_id").orderBy("pos", "id")
     own = nodes.withColumn("k", F.row_number().over(order))
     chain = closure_by_id(nodes.select("plan_id", "id", "parent_id"), ("plan_id",))
-    above = chain.join(own.select("plan_id", F.col("id").alias("ancestor"), F.col("k").alias("ak")), ["plan_id", "ancestor"]).groupBy("plan_id", "id").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ak"))).alias("ks"))
-    rows = own.join(above, ["plan_id", "id"], "left")
+    above = merged(chain, own.select("plan_id", F.col("id").alias("ancestor"), F.col("k").alias("ak")), ["plan_id", "ancestor"]).groupBy("plan_id", "id").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ak"))).alias("ks"))
+    rows = merged(own, above, ["plan_id", "id"], "left")
     ks = F.concat(F.coalesce(F.transform("ks", lambda x: x["ak"]), F.array().cast("array<int>")), F.array("k"))
     return rows.withColumn("numbers", ks).withColumn("number", F.array_join(F.transform("numbers", lambda n: n.cast("string")), "-")).withColumn("folder", F.concat_ws("_", "number", "slug")).drop("k", "ks")
 
@@ -97,7 +98,7 @@ def plan_paths(plan: DataFrame) -> DataFrame:
     """(plan_id, folder, path): the whole path of every folder, names without numbers."""
     nodes = plan.select("plan_id", F.col("folder").alias("id"), F.coalesce("parent", F.lit("")).alias("parent_id"))
     chain = closure_by_id(nodes, ("plan_id",)).groupBy("plan_id", "id").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), X.strip_prefix(F.col("ancestor")).alias("n")))).alias("c"))
-    rows = nodes.join(chain, ["plan_id", "id"], "left")
+    rows = merged(nodes, chain, ["plan_id", "id"], "left")
     above = F.coalesce(F.transform("c", lambda x: x["n"]), F.array().cast("array<string>"))
     return rows.select("plan_id", F.col("id").alias("folder"), F.array_join(F.concat(above, F.array(X.strip_prefix(F.col("id")))), "/").alias("path"))
 
@@ -106,7 +107,7 @@ def rubric_labels(plan: DataFrame) -> DataFrame:
     """(plan_id, label) without a single root that has children."""
     kids = plan.where("parent IS NOT NULL").select("plan_id", F.col("parent").alias("folder")).distinct().withColumn("has_kids", F.lit(True))
     roots = plan.where("parent IS NULL").groupBy("plan_id").agg(F.count("*").alias("n_roots"))
-    rows = plan.join(kids, ["plan_id", "folder"], "left").join(roots, "plan_id", "left")
+    rows = merged(merged(plan, kids, ["plan_id", "folder"], "left"), roots, "plan_id", "left")
     alone = F.col("parent").isNull() & (F.col("n_roots") == 1) & F.coalesce("has_kids", F.lit(False))
     return rows.where(~alone).select("plan_id", X.semantic_label(F.col("folder")).alias("label"))
 

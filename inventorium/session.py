@@ -32,6 +32,11 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join by sorting both sides, whatever Spark guesses their sizes to be; skewed keys are left to adaptive execution."""
+    return left.hint("merge").join(right.hint("merge"), on, how)
+
+
 def sized(df: DataFrame, most_rows: int, otherwise: str = "merge") -> DataFrame:
     """``df``, which is cheap to count, hinted for a join: broadcast up to ``most_rows``, else joined by a shuffle. Only rows of
     a few numbers or short names belong here."""

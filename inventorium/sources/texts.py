@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..session import merged
 
 
 def read_plans(spark: SparkSession, path: str) -> DataFrame:
@@ -22,7 +23,7 @@ def usable_plans(plans: DataFrame) -> DataFrame:
     from ..plans.plans import plan_lines
 
     good = plan_lines(plans.where("kind = 'markdown'")).select("plan_id").distinct()
-    return plans.where("kind = 'folders'").unionByName(plans.where("kind = 'markdown'").join(good, "plan_id", "left_semi"))
+    return plans.where("kind = 'folders'").unionByName(merged(plans.where("kind = 'markdown'"), good, "plan_id", "left_semi"))
 
 
 #: Separators of answers, in the order in which they are looked for.
