@@ -14,22 +14,17 @@ LINE_CHARS, SHOWN_LINES = 150, 2
 LABELS = ("Titre interne", "Titre (contenu)", "Mots-clés", "Mots du contenu", "Sujet", "En-tête/pied de page", "Extrait")
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _counted(values: Column) -> Column:
     """(value, n) of the values of an array, inside the row: sorted, so that equal ones are neighbours."""
 
     def ends_of(w: Column) -> Column:
         last = F.transform(w, lambda v, i: F.when(F.coalesce(F.get(w, i + 1) != v, F.lit(True)), i + 1))
-        return _let(F.filter(last, lambda i: i.isNotNull()), lambda ends: runs(w, ends))
+        return X.let(F.filter(last, lambda i: i.isNotNull()), lambda ends: runs(w, ends))
 
     def runs(w: Column, ends: Column) -> Column:
         return F.transform(ends, lambda e, i: F.struct(F.get(w, e - 1).alias("value"), (e - F.when(i > 0, F.get(ends, i - 1)).otherwise(0)).alias("n")))
 
-    return _let(F.array_sort(values), ends_of)
+    return X.let(F.array_sort(values), ends_of)
 
 
 def keywords_of(text: Column, k: int = 6) -> Column:
@@ -97,7 +92,7 @@ def describe(docs: DataFrame, overwrite: bool = False, k: int = 6) -> DataFrame:
     if "headings" in has:
         candidates = F.concat(F.transform("headings", lambda h: F.struct(h["text"].alias("text"), h["style"].alias("style"))), candidates)
     shown = F.array_sort(F.transform("__lines", lambda x: F.struct(F.length(x).alias("size"), x.alias("line"))))
-    snippet = F.coalesce(F.try_element_at(F.filter(F.transform("__body", X.snippet), lambda x: x != ""), F.lit(1)), F.lit(""))
+    snippet = F.coalesce(F.try_element_at(F.filter(F.transform("__body", lambda s: X.snippet(s)), lambda x: x != ""), F.lit(1)), F.lit(""))
     words = F.array_join(F.transform(keywords_of(F.array_join("__body", "\n"), k), lambda x: x["word"]), ", ")
     values = (
         F.when(~X.noise_title(given("title"), F.col("path")), given("title")),
