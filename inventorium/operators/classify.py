@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..session import materialise
+from ..session import materialise, sized
 from .checks import validate
 from .hierarchy import closure_by_id, items
 from .joins import unclassified
@@ -30,6 +30,10 @@ ANOMALIES = (
 )
 
 
+#: Folders of a plan that are broadcast to the assignments, of which a few folders hold most; more are joined by a shuffle.
+MOST_FOLDERS = 100_000
+
+
 @dataclass
 class Classified:
     """rows: the classified inventory; status: a row for each assignment; created: new folders with their parents."""
@@ -50,12 +54,12 @@ def resolve_targets(asg: DataFrame, plan: DataFrame, allowed: DataFrame) -> tupl
     split = asg.withColumns({"leaf": leaf, "above": above})
     known = plan.select(F.col("folder").alias("leaf")).distinct().withColumn("in_plan", F.lit(True))
     may = allowed.join(plan.select("folder"), "folder", "left_semi").select(F.col("folder").alias("above")).distinct().withColumn("may_create", F.lit(True))
-    split = split.join(known, "leaf", "left").join(may, "above", "left").withColumn("slug", X.slug_created(F.col("leaf")))
+    split = split.join(sized(known, MOST_FOLDERS), "leaf", "left").join(sized(may, MOST_FOLDERS), "above", "left").withColumn("slug", X.slug_created(F.col("leaf")))
     asks = F.col("in_plan").isNull() & F.coalesce("may_create", F.lit(False)) & (F.col("slug") != "") & ~X.looks_like_file(F.col("leaf"))
     split = split.withColumn("asks", asks)
-    made = number_created(split.where("asks").select(F.col("above").alias("parent"), "slug"), plan)
+    made = materialise(number_created(split.where("asks").select(F.col("above").alias("parent"), "slug"), plan), "created-names")
     names = made.select(F.col("parent").alias("above"), "slug", F.col("folder").alias("made"))
-    done = split.join(names, ["above", "slug"], "left").withColumn("folder", F.when(F.col("asks"), F.col("made")).otherwise(F.col("leaf")))
+    done = split.join(sized(names, MOST_FOLDERS), ["above", "slug"], "left").withColumn("folder", F.when(F.col("asks"), F.col("made")).otherwise(F.col("leaf")))
     return done.drop("above", "slug", "leaf", "in_plan", "may_create", "asks", "made"), made.select("folder", "parent")
 
 
@@ -69,7 +73,7 @@ def route(resolved: DataFrame, inv: DataFrame, plan: DataFrame) -> DataFrame:
     """Adds status: malformed, unknown_target, unknown_path, off_plan or ok. ``plan`` holds created folders too."""
     known_paths = items(inv).select("path").distinct().withColumn("has_path", F.lit(True))
     in_plan = plan.select("folder").distinct().withColumn("in_plan", F.lit(True))
-    rows = resolved.join(known_paths, "path", "left").join(in_plan, "folder", "left")
+    rows = resolved.hint("merge").join(known_paths.hint("merge"), "path", "left").join(sized(in_plan, MOST_FOLDERS), "folder", "left")
     missing_path, outside = F.col("has_path").isNull(), F.col("in_plan").isNull()
     status = F.when(F.trim(X.text(F.col("folder"))) == "", "unknown_target").when(missing_path, "unknown_path").when(outside & X.looks_like_file(F.col("folder")), "malformed").when(outside, "off_plan").otherwise("ok")
     return rows.withColumn("status", status).drop("has_path", "in_plan")
@@ -95,7 +99,7 @@ def build_items(status: DataFrame, inv: DataFrame, folders: DataFrame) -> DataFr
     placed = status.where(F.col("status").isin("ok", "off_plan", "malformed"))
     places = folders.select(F.col("path").alias("folder"), F.col("id").alias("pid"))
     source = keep_first(items(inv), ["path"], ["pos"]).drop("parent_id", "title")
-    rows = placed.select("path", "folder", "fixed_title", "apos").join(places, "folder", "left").crossJoin(F.broadcast(root)).join(source, "path")
+    rows = placed.select("path", "folder", "fixed_title", "apos").join(sized(places, MOST_FOLDERS), "folder", "left").crossJoin(F.broadcast(root)).hint("merge").join(source.hint("merge"), "path")
     return rows.select("id", F.coalesce("pid", "root_id").alias("parent_id"), "path", "level", F.col("fixed_title").alias("title"), "start_date", "end_date", "pos", "apos")
 
 
@@ -115,6 +119,7 @@ def with_dates(folders: DataFrame, new_items: DataFrame, root: DataFrame) -> Dat
 
 def finalize(asg: DataFrame, inv: DataFrame, plan: DataFrame, allowed: DataFrame | None = None, strip_numbers: bool = False) -> Classified:
     """The whole pipeline. The status of assignments is written once and feeds all that follows."""
+    plan = materialise(plan.select("plan_id", "folder", "parent", "title", "pos") if "plan_id" in plan.columns else plan, "plan")
     allowed = plan.select("folder").limit(0) if allowed is None else allowed
     resolved, created = resolve_targets(asg, plan, allowed)
     created = materialise(created, "created")
