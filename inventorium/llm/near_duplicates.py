@@ -291,7 +291,10 @@ def linked_sets(docs: DataFrame, sets: DataFrame, radius: int = 4, prints: int =
     known, most = None, 1
     may_be_alike = _may_be_alike(radius)
     while True:
-        named = active.hint("merge").join(labels.hint("merge"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+        if known is None:  # each set is its own label
+            named = active.withColumn("label", F.col("k"))
+        else:
+            named = active.hint("merge").join(labels.hint("merge"), "k", "left").withColumn("label", F.coalesce("label", "k"))
         bucket = Window.partitionBy("b")
         mixed = named.withColumns({"least": F.min("label").over(bucket), "greatest": F.max("label").over(bucket)}).where("least <> greatest").drop("least", "greatest")
         order = bucket.orderBy("k") if known is None else bucket.orderBy("rarity", "label", "k")
