@@ -267,7 +267,7 @@ def test_added_spans_match_a_plain_graph(spark):
     rows = []
     for k in range(160):
         head = rng.choice(heads[:2] if k % 2 else heads)
-        value = f"user{k}@mail.example.org" if head in heads[:2] and rng.random() < 0.8 else f"ID{rng.randint(100000, 999999)}"
+        value = f"+331{k:08d}" if head in heads[:2] and rng.random() < 0.9 else f"06{rng.randint(10000000, 99999999)}"
         rows.append((k, f"{rng.choice(['Please', 'Now', 'Then'])} {head} {value} {rng.choice(['today', 'soon'])} {'x' * (200 if k % 40 == 0 else 3)}{k:06d}"))
     rows += [(500, None), (501, ""), (3, rows[3][1])]
     found, edges = {}, {}
