@@ -250,7 +250,8 @@ def _sets(rows: DataFrame) -> DataFrame:
 
 
 def _shared_buckets(sets: DataFrame, radius: int, prints: int) -> DataFrame:
-    """(b, k, fp, size, bitmap): the members of each bucket of covering LSH that holds at least two sets."""
+    """(b, k, fp, size, bitmap): the members of each bucket of covering LSH that holds at least two sets. Close fingerprints meet
+    in many tables: of the buckets of a fingerprint that hold the same sets, one is kept."""
     least = ALIKE[0]  # sets of fewer shingles are that similar only if equal
     out = None
     for j in range(prints):
@@ -258,7 +259,10 @@ def _shared_buckets(sets: DataFrame, radius: int, prints: int) -> DataFrame:
         keys = F.array(*[F.xxhash64(F.lit(j), F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(covering_masks(radius))])
         keyed = own.select("k", F.explode(keys).alias("b"))
         many = keyed.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
-        shared = keyed.hint("merge").join(many.hint("merge"), "b", "left_semi").hint("merge").join(own.hint("merge"), "k")
+        met = materialise(keyed.hint("merge").join(many.hint("merge"), "b", "left_semi"), "met-in-buckets")
+        held = met.groupBy("b").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y"))
+        once = materialise(held.groupBy("n", "x", "y").agg(F.min("b").alias("b")).select("b"), "different-buckets")
+        shared = met.hint("merge").join(once.hint("merge"), "b", "left_semi").hint("merge").join(own.hint("merge"), "k")
         shared = materialise(shared.select("b", "k", "fp", "size", *_BITMAP_COLUMNS), "shared-buckets")
         out = shared if out is None else out.unionByName(shared)
     return out
@@ -298,7 +302,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, radius: int = 4, prints: int =
         bucket = Window.partitionBy("b")
         mixed = named.withColumns({"least": F.min("label").over(bucket), "greatest": F.max("label").over(bucket)}).where("least <> greatest").drop("least", "greatest")
         order = bucket.orderBy("k") if known is None else bucket.orderBy("rarity", "label", "k")
-        ranked = mixed.withColumn("rarity", F.count("*").over(Window.partitionBy("b", "label"))).withColumn("r", F.row_number().over(order)).drop("rarity")
+        ranked = mixed.withColumn("rarity", F.count("*").over(Window.partitionBy("b", "label"))).withColumns({"r": F.row_number().over(order), "n": F.count("*").over(bucket)}).drop("rarity")
         ranked = materialise(ranked, "buckets")
         if ranked.isEmpty():
             return labels
@@ -319,7 +323,7 @@ def linked_sets(docs: DataFrame, sets: DataFrame, radius: int = 4, prints: int =
         # the old labels that go over to another, and their members
         moved = labels.hint("merge").join(renamed.hint("merge"), "label", "left").select("k", F.coalesce("new", "label").alias("label"))
         labels = materialise(moved.unionByName(renamed.select(F.col("label").alias("k"), F.col("new").alias("label"))), "set-labels")
-        active = ranked.where(F.col("r") > most).drop("r", "label")
+        active = ranked.where((F.col("r") > most) & (F.col("n") > most + 1)).drop("r", "label", "n")  # one that is left has met all
         most = pivots if most == 1 else most * 8
 
 
