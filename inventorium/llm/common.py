@@ -6,12 +6,14 @@ import sys
 import types
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import materialise, new_path, path_exists, remove, shared_dir, sized
 
-__all__ = ["free_name", "in_slices", "materialise", "new_path", "path_exists", "remove", "shared_dir", "sized", "table", "worker_cache"]
+__all__ = ["free_name", "in_byte_slices", "in_slices", "materialise", "new_path", "path_exists", "remove", "shared_dir", "sized", "table", "worker_cache"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +37,18 @@ def in_slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa
             yield batch.slice(lo, rows)
 
 
+def in_byte_slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have about ``most`` bytes; a longer text is a slice of its own."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or that with more underscores, such that df has no column of the name."""
     taken = {c.lower() for c in df.columns}

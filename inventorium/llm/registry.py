@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontaminate, langid, near_duplicates, packing, personal_data, quality, secret_scan, sharding, token_counts, topk_search
+from . import chat_format, decontaminate, langid, near_duplicates, packing, personal_data, quality, resampling, secret_scan, sharding, token_counts, topk_search
 
 
 def queries() -> dict:
@@ -15,6 +15,8 @@ def queries() -> dict:
         "op8_near_duplicates": near_duplicates.op8_near_duplicates,
         "op9_quality": quality.op9_quality,
         "op10_packing": packing.op10_packing,
+        "op11_chat": chat_format.op11_chat,
+        "op13_resampling": resampling.op13_resampling,
     }
 
 
@@ -23,4 +25,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_decontamination": decontaminate.OP1_SQL,
         "op5_topk": topk_search.OP5_SQL,
         "op6_secrets": secret_scan.OP6_SQL,
+        "op11_chat": chat_format.OP11_SQL,
+        "op13_resampling": resampling.OP13_SQL,
     }
