@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import chat_format, decontaminate, langid, near_duplicates, packing, personal_data, quality, resampling, secret_scan, sharding, token_counts, topk_search
+from . import alignment, chat_format, decontaminate, langid, near_duplicates, packing, personal_data, quality, resampling, secret_scan, sharding, token_counts, topk_search
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op9_quality": quality.op9_quality,
         "op10_packing": packing.op10_packing,
         "op11_chat": chat_format.op11_chat,
+        "op12_alignment": alignment.op12_alignment,
         "op13_resampling": resampling.op13_resampling,
     }
 

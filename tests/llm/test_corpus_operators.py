@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from inventorium.llm import decontaminate, langid, near_duplicates, packing, personal_data, quality, secret_scan, sharding, token_counts, topk_search
+from inventorium.llm import alignment, chat_format, decontaminate, langid, near_duplicates, packing, personal_data, quality, resampling, secret_scan, sharding, token_counts, topk_search
 from inventorium.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, shard int, size int, spans string, __fp long"
@@ -848,3 +848,144 @@ def _moves(counts, size):
             if h + size < 16:
                 new[h + size] += 1
             yield new
+
+
+# 11
+
+
+def test_conversations_come_back_from_their_format(spark):
+    rng = random.Random(11)
+    bits = ["</s>", "[INST]", "<\\s>", "\\", "\\\\", "<<SYS>>", "<<s>", "[/INST] ", " [TEXT] ", "<s", ">", "\n", "é😀", "ok", "$1", "[ROLE] ", "<", "[[INST]]"]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool", "[TEXT] x", ""]), "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))) for c in range(40) for t in range(rng.randint(1, 6))]
+    rows += [(100, 0, "user", None), (100, 1, None, "x"), (101, None, "assistant", "b"), (101, 1, "user", "a"), (101, 1, "user", "a"), (None, 1, "user", "p"), (None, 2, "assistant", "q"), (102, 0, "user", "u" * 200_000)]
+    schema = "conv_id long, turn long, role string, text string, formatted string, segments int, alone int"
+    frame_ = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], schema)
+    chats = chat_format.format_conversations(frame_)
+    told: dict = defaultdict(list)
+    for k, (c, t, r, x) in enumerate(rows):
+        told[c if c is not None else f"alone {k}"].append((t is None, t or 0, r or "", x or ""))
+    want = Counter()
+    for turns in told.values():
+        turns.sort()
+        learned = "".join(x for _, _, r, x in turns if r == "assistant")
+        want[(len(turns), hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in turns).encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest())] += 1
+    got = Counter((r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_format.digest(chats).collect())
+    assert got == want
+    for r in chats.collect():
+        assert r.formatted == "".join(s.text for s in r.segments)
+        assert all(c not in s.text for s in r.segments[1::3] for c in chat_format.TEMPLATE.controls)
+    assert chat_format.digest(chat_format.format_conversations(frame_.where("false"))).count() == 0
+
+
+def test_the_machine_refuses_turns_out_of_order(spark):
+    cases = {1: "user assistant user", 2: "system user assistant", 3: "assistant user", 4: "user user", 5: "system", 6: "user assistant system", 7: "user tool assistant"}
+    rows = [(c, t, r, "x") for c, roles in cases.items() for t, r in enumerate(roles.split())]
+    got = {r.conv_id: (r.state, r.refused, r.valid) for r in chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {1: ("asked", None, True), 2: ("answered", None, True), 3: ("asked", 0, False), 4: ("asked", 1, False), 5: ("ready", None, False), 6: ("answered", 2, False), 7: ("answered", 1, False)}
+    with pytest.raises(ValueError):
+        chat_format.Template({"user": chat_format.Turn("plain ", "</s>")}, chat_format.Turn("<s>", "</s>"), "<s>", {}, "a", (), ("<s>", "</s>"))
+
+
+# 12
+
+
+def brute_alignment(texts, tokens):
+    """Groups and links one by one."""
+    rows, holders = [], Counter()
+    for text in texts:
+        whole = f" {text}".encode()
+        a = tokens.a.slow.encode(f" {text}", add_special_tokens=False).ids if text else []
+        b = tokens.b.encode(text) if text else []
+        ends = []
+        for ids, table_ in ((a, tokens.a_bytes), (b, tokens.b_bytes)):
+            at, own = 0, []
+            for k in ids:
+                at += len(table_[k])
+                own.append(at)
+            ends.append(own)
+        if not text or any(b"".join(t[k] for k in ids) != whole for ids, t in ((a, tokens.a_bytes), (b, tokens.b_bytes))):
+            rows.append(([], [], [], Counter()))
+            continue
+        cuts = sorted(set(ends[0]) & set(ends[1]))
+        groups = [([], []) for _ in cuts]
+        for side, ids in enumerate((a, b)):
+            for k, end in zip(ids, ends[side]):
+                groups[next(g for g, cut in enumerate(cuts) if end <= cut)][side].append(k)
+        links = Counter((x, y) for ga, gb in groups for x in ga for y in gb)
+        rows.append((a, b, groups, links))
+        holders.update(links.keys())
+    top = Counter()
+    for (x, _), n in holders.items():
+        top[x] = max(top[x], n)
+    out = []
+    for a, b, groups, links in rows:
+        text = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+        digest = hashlib.sha256(text.encode()).hexdigest() if groups else ""
+        out.append((len(a), len(b), len(groups), sum(links.values()), sum(n for p, n in links.items() if holders[p] == top[p[0]]), sum(n * holders[p] for p, n in links.items()), digest))
+    return out
+
+
+@pytest.mark.parametrize(("cell", "many"), [(alignment.CELL_BYTES, alignment.MANY_LINKS), (500, 3)])
+def test_alignment_matches_brute_force(spark, monkeypatch, cell, many):
+    """Also with cells of a few runs, blocks of a few pairs and groups taken by distinct ids."""
+    rng = random.Random(12)
+    texts = [None, "", " ", "▁a b", "a b", "ﬁ½ é", "😀😀 日本語", "</s> <|endoftext|> <s>", "x" * 700, "ab\tc\n\n d   e", "word " * 300, "Donaudampfschifffahrt über año"]
+    texts += [prose(rng, rng.randint(1, 40)) for _ in range(40)] + [texts[8], texts[9], "".join(rng.choice("abcdefgh0123456789") for _ in range(900))]
+    tokens = alignment.Tokenizers()
+    monkeypatch.setattr(alignment, "STRETCH", 60)
+    assert [b.tolist() if (b := e and e[1]) is not None else None for e in tokens.encode([t for t in texts if t])] == [b if (b"".join(tokens.b_bytes[k] for k in b)) == f" {t}".encode() else None for t in texts if t for b in [tokens.b.encode(t)]]
+    found = alignment.Aligned(tokens, [e for e in tokens.encode([t for t in texts if t]) if e])
+    plain = found.records()
+    monkeypatch.setattr(alignment, "MANY_LINKS", many)
+    monkeypatch.setattr(alignment, "EXPANDED", 50)
+    assert all((x == y).all() for x, y in zip(plain, found.records(), strict=True))
+    rows = frame(spark, [(k if k % 7 else None, t) for k, t in enumerate(texts)]).repartition(3)
+    got = Counter((r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in alignment.align(rows, cell_bytes=cell).collect())
+    assert got == Counter(brute_alignment(texts, tokens))
+    assert alignment.align(rows.where("false")).count() == 0
+
+
+def test_heap_merge_sums_runs_of_many_blocks(monkeypatch):
+    rng = random.Random(13)
+    monkeypatch.setattr(alignment, "BLOCK", 5)
+    runs, want = [], Counter()
+    for base in range(7):
+        records = sorted({(rng.randint(0, 40) << 32) | rng.randint(0, 9) for _ in range(60)})
+        want.update(c >> 32 for c in records)
+        codes = alignment.np.array(records)
+        runs += alignment.runs_of(codes, alignment.np.ones_like(codes), base, 100)
+    merged = list(alignment.heap_merged([(r["pairs"], r["counts"]) for r in runs]))
+    keys = [k for m in merged for k in m[0].tolist()]
+    assert keys == sorted(want) and [n for m in merged for n in m[1].tolist()] == [want[k] for k in keys] and len(merged) > 3
+
+
+# 13
+
+
+@pytest.mark.parametrize("longest", [1, 3])
+def test_resampling_matches_brute_force(spark, texts, longest):
+    import math
+
+    target = [(1, texts[4][1]), (2, "the OF river"), (3, None), (4, "")]
+
+    def features(text):
+        ws = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        return len(ws), [zlib.crc32(" ".join(ws[i : i + n]).encode()) % 500 for n in range(1, longest + 1) for i in range(len(ws) - n + 1)]
+
+    own = [(i, *features(t)) for i, t in texts]
+    s, t = Counter(b for _, _, f in own for b in f), Counter(b for _, x in target for b in features(x)[1])
+    gains = [math.floor(1000 * math.log((t[b] + 1) * (s.total() + 500) / ((s[b] + 1) * (t.total() + 500)))) for b in range(500)]
+    scored = []
+    for i, n, f in own:
+        h = int(hashlib.sha256(f"9:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gains[b] for b in f)
+        scored.append((i, n, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32)))))
+    fit = sorted((r for r in scored if r[1] >= 12), key=lambda r: (-r[4], r[0] is not None, r[0] or 0, r[2]))
+    ranks = {k: n + 1 for n, k in enumerate(r[:1] + r[2:] for r in fit[: 30 * len(fit) // 100])}
+    docs = frame(spark, texts)
+    rows = resampling.resample(docs, spark.createDataFrame(target, "item_id long, text string"), 30, longest=longest, buckets=500, min_words=12, seed=9).collect()
+    assert Counter((r.doc_id, r.n_features, r.weight, r.score) for r in rows) == Counter((r[0], *r[2:]) for r in scored)
+    assert sorted(r["rank"] for r in rows if r["rank"]) == list(range(1, 30 * len(fit) // 100 + 1))
+    assert all(abs(ranks[(r.doc_id, r.n_features, r.weight, r.score)] - r["rank"]) <= 2 for r in rows if r["rank"])
+    assert resampling.resample(docs.where("false"), docs, 10).count() == 0
+    assert resampling.resample(docs, docs.where("false"), 10).count() == len(texts)
