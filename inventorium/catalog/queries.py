@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as X
-from ..operators import audit, checks, classify, content, evaluate, explore, hierarchy, joins, runs, sets, windows
+from ..operators import audit, checks, classify, content, evaluate, explore, hierarchy, joins, postings, runs, sets, windows
+from ..plans import differences
 from ..plans import plans as P
-from ..session import materialise, new_path
+from ..session import materialise, merged, new_path
 from ..sources import inventory as inv_io
 from ..sources import texts as text_io
 from ..streaming import streams
@@ -313,6 +314,27 @@ register("j10_retained_folders", f"WITH sl AS (SELECT {_base()} AS b, pos FROM i
 over_both("j18_filters_equivalent", lambda asg, inv: joins.equivalence(inv, {"extension": "pdf", "year_min": 1995}, {"extension": ".PDF", "folder": "1_AFRICA"}), f"WITH f AS (SELECT {_ext()} = 'pdf' AND coalesce(try_cast(regexp_extract(start_date, '^([0-9]{{4}})', 1) AS INT) >= 1995, false) AS a, {_ext()} = 'pdf' AND starts_with(lower(path), '1_africa/') AS b FROM inventory WHERE {_ITEMS}) SELECT count(*) FILTER (a AND NOT b) AS only_first, count(*) FILTER (NOT a AND b) AS only_second, count(*) FILTER (a AND b) AS both FROM f")
 
 
+@register(
+    "j18_many_filters",
+    rf"""WITH y AS (SELECT DISTINCT try_cast(regexp_extract(start_date, '^([0-9]{{4}})', 1) AS INT) AS year FROM inventory WHERE {_ITEMS}), f AS (SELECT lower(path) AS folder, year, ext FROM inventory, y, (VALUES ('pdf'), ('doc')) e(ext) WHERE {_FOLDERS} AND length(path) - length(replace(path, '/', '')) = 1 AND year IS NOT NULL AND CAST(id AS BIGINT) < 1000),
+    i AS (SELECT lower(array_to_string(string_split(path, '/')[1:2], '/')) AS folder, {_ext()} AS ext, try_cast(regexp_extract(start_date, '^([0-9]{{4}})', 1) AS INT) AS year, contains({_fold("path || ' ' || title")}, 'rapport_1') AS hit FROM inventory WHERE {_ITEMS} AND contains(path, '/')),
+    c AS (SELECT folder, ext, year, count(*) AS n, count(*) FILTER (hit) AS hits FROM i GROUP BY ALL)
+    SELECT f.folder, ext, year, CAST(0 AS BIGINT) AS only_first, CAST(coalesce(n - hits, 0) AS BIGINT) AS only_second, CAST(coalesce(hits, 0) AS BIGINT) AS both, coalesce(n - hits, 0) = 0 AS equal FROM f LEFT JOIN c USING (folder, ext, year)""",
+)
+def _many_filters(spark, sf):
+    """For each nation, year and two formats, the filter with a word against the one without."""
+    inv = T.inventory(spark, sf)
+    years = hierarchy.items(inv).select(X.year(F.col("start_date")).cast("int").alias("year")).distinct().where("year IS NOT NULL")
+    nations = hierarchy.folders(inv).where((X.depth(F.col("path")) == 2) & (F.col("id").cast("long") < 1000)).select(F.lower("path").alias("folder"))
+    asked = nations.join(years).join(spark.sql("SELECT explode(array('pdf', 'doc')) AS ext"))  # every combination is asked for
+    bounds = [F.col("ext").alias("extension"), F.col("folder"), F.col("year").alias("year_max"), F.col("year").alias("year_min")]
+    pairs = materialise(asked.select("folder", "year", "ext", F.to_json(F.struct(*bounds, F.array(F.lit("rapport_1")).alias("keywords"))).alias("first"), F.to_json(F.struct(*bounds)).alias("second")), "asked-filters")
+    bits = postings.bitmaps(inv, pairs.select(F.explode(F.array("first", "second")).alias("filter")))
+    return merged(pairs, postings.compared(bits, pairs), ["first", "second"]).select("folder", "ext", "year", "only_first", "only_second", "both", "equal")
+
+
+
+
 def _directives(spark, sf) -> DataFrame:
     """A directive for each plan folder, and for folders that the plan lacks."""
     p = T.plan(spark, sf)
@@ -483,7 +505,18 @@ def _two_states(spark, sf) -> tuple[DataFrame, DataFrame]:
 
 _PATHS = f"{_PLANS_SQL}, p8 AS (SELECT plan_id, CASE WHEN parent IS NULL THEN '' ELSE regexp_replace(parent, '^[0-9]+(-[0-9]+)*_', '') || '/' END || regexp_replace(folder, '^[0-9]+(-[0-9]+)*_', '') AS path FROM pp), new8 AS (SELECT plan_id, regexp_replace(path, '^Urgent', 'Pressant') AS path FROM p8 WHERE path NOT LIKE 'Low%')"
 register("u7_plan_path_diff", f"{_PATHS}, a8 AS (SELECT DISTINCT plan_id || '/' || path AS path FROM p8), b8 AS (SELECT DISTINCT plan_id || '/' || path AS path FROM new8) SELECT coalesce(a8.path, b8.path) AS path, CASE WHEN a8.path IS NULL THEN 'added' WHEN b8.path IS NULL THEN 'removed' ELSE 'unchanged' END AS change FROM a8 FULL JOIN b8 ON a8.path = b8.path")(lambda spark, sf: sets.plan_path_diff(*[d.select(F.concat_ws("/", "plan_id", "path").alias("path")) for d in _two_states(spark, sf)]))
-register("r5_diff_plans", f"{_PATHS} SELECT plan_id, path AS old_path, path AS new_path, 'unchanged' AS change FROM p8 JOIN new8 USING (plan_id, path) UNION ALL SELECT plan_id, path, 'Pressant', 'renamed' FROM p8 WHERE path = 'Urgent' UNION ALL SELECT plan_id, path, NULL, 'removed' FROM p8 WHERE path LIKE 'Low%'")(lambda spark, sf: P.diff_plans(*_two_states(spark, sf)))
+register("r5_diff_plans", f"{_PATHS} SELECT plan_id, path AS old_path, path AS new_path, 'unchanged' AS change FROM p8 JOIN new8 USING (plan_id, path) UNION ALL SELECT plan_id, path, 'Pressant', 'renamed' FROM p8 WHERE path = 'Urgent' UNION ALL SELECT plan_id, path, NULL, 'removed' FROM p8 WHERE path LIKE 'Low%'")(lambda spark, sf: differences.diff_plans(*_two_states(spark, sf)))
+register("r5_summaries", f"{_PATHS}, n8 AS (SELECT plan_id, count(*) FILTER (path NOT LIKE 'Urgent%' AND path NOT LIKE 'Low%') AS u, count(*) FILTER (path = 'Urgent') AS r, count(*) FILTER (path LIKE 'Low%') AS l FROM p8 GROUP BY plan_id) SELECT plan_id, u AS unchanged, r AS renamed, CAST(0 AS BIGINT) AS moved, l AS removed, CAST(0 AS BIGINT) AS added, r + l = 0 AS identical FROM n8")(lambda spark, sf: differences.summaries(differences.diff_plans(*_two_states(spark, sf))))
+register("j15_match_subtrees", f"{_PATHS} SELECT plan_id, '' AS parent, CAST(1 AS BIGINT) AS n_old, CAST(1 AS BIGINT) AS n_new FROM p8 WHERE path = 'Urgent'")(lambda spark, sf: _subtrees_gone_and_come(spark, sf))
+
+
+def _subtrees_gone_and_come(spark, sf) -> DataFrame:
+    """Groups of equal subtrees among the top folders that are gone and those that came."""
+    a, b = (materialise(differences.subtree_signatures(d), "signatures") for d in _two_states(spark, sf))
+    gone, came = (merged(x.where("parent = ''"), y.select("plan_id", "path"), ["plan_id", "path"], "left_anti") for x, y in ((a, b), (b, a)))
+    return joins.match_subtrees(gone, came, "parent").drop("sig")
+
+
 _NUMBER = "regexp_extract({}, '^([0-9]+(-[0-9]+)*)_', 1)"
 register("q8_check_plan_text", f"{_PLANS_SQL}, l8 AS (SELECT * FROM pp WHERE NOT starts_with(folder, '2_')) SELECT plan_id, 'missing_parent' AS rule, count(*) AS n FROM l8 WHERE contains({_NUMBER.format('folder')}, '-') AND (plan_id, regexp_replace({_NUMBER.format('folder')}, '-[0-9]+$', '')) NOT IN (SELECT (plan_id, {_NUMBER.format('folder')}) FROM l8) GROUP BY plan_id UNION ALL SELECT plan_id, 'duplicate_name', count(*) FROM (SELECT plan_id, lower(folder) FROM l8 GROUP BY ALL HAVING count(*) > 1) GROUP BY plan_id")(lambda spark, sf: checks.check_plan_text(P.plan_lines(_plan_texts(spark, sf)).where("folder NOT LIKE '2\\_%'")))
 register("q9_check_plan_nodes", f"{_PLANS_SQL} SELECT plan_id, 'root_count' AS rule, count(*) FILTER (parent IS NULL) AS n FROM pp GROUP BY plan_id HAVING count(*) FILTER (parent IS NULL) <> 1 UNION ALL SELECT plan_id, 'bad_slug', count(*) FROM pp WHERE NOT regexp_matches(regexp_replace(folder, '^[0-9]+(-[0-9]+)*_', ''), '^[A-Za-z0-9_]+$') GROUP BY plan_id")(lambda spark, sf: checks.check_plan_nodes(P.plan_nodes(_plan_texts(spark, sf))))

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import scalars as X
 from ..plans.plans import parse_plans
 from ..session import materialise
-from .explore import checked_filter, structured_filter
-from .hierarchy import items, plan_shape
+from .explore import checked_filter
+from .hierarchy import plan_shape
 from .joins import expectations_met
+from .postings import bitmaps, compared, totals
 from .runs import agent_run_metrics
 from .windows import pair_events
 
@@ -40,10 +43,6 @@ def classement_metrics(counts: DataFrame) -> DataFrame:
     return counts.select("total", *names, *[F.round(F.try_divide(100 * F.col(c), F.col("total")), 1).alias(f"{c}_pct") for c in names])
 
 
-#: Filters, or pairs of them, that one job over the inventory evaluates.
-_FILTERS_AT_ONCE = 64
-
-
 def _canonical(name: str | None, arguments: str | None) -> str | None:
     """The filter that a call selects by, as JSON in one form, or null if it selects by none or is not valid. Searches select
     by their words, a listing by its folder; any other call has a filter, or is one."""
@@ -77,23 +76,11 @@ def _canonical(name: str | None, arguments: str | None) -> str | None:
     return json.dumps(out, sort_keys=True, ensure_ascii=False)
 
 
-def _evaluated(inv: DataFrame, asked: DataFrame, of, name: str, kind: str) -> DataFrame:
-    """``asked`` (rows of canonical filters) with one more column: the aggregate ``of`` a row over the Items. Filters are few
-    beside the Items: they come block by block, and each block is one pass."""
-    schema = f"{', '.join(f'{c} string' for c in asked.columns)}, {name} {kind}"
-    out, block = [], []
-    for row in [*asked.toLocalIterator(), None]:
-        if row is not None:
-            block.append(row)
-        if block and (row is None or len(block) == _FILTERS_AT_ONCE):
-            found = items(inv).agg(*[of(*r).alias(f"v{k}") for k, r in enumerate(block)]).first()
-            out += [(*r, found[k]) for k, r in enumerate(block)]
-            block = []
-    return asked.sparkSession.createDataFrame(out, schema)
-
-
-def _predicate(canonical: str):
-    return F.coalesce(structured_filter(json.loads(canonical)), F.lit(False))
+@F.pandas_udf(StringType())
+def canonical_filter(name: pd.Series, arguments: pd.Series) -> pd.Series:
+    """The filter of each call in one form; nothing is computed twice for the calls of a batch."""
+    known: dict = {}
+    return pd.Series([known[c] if c in known else known.setdefault(c, _canonical(*c)) for c in zip(name, arguments, strict=True)], dtype=object)
 
 
 def agent_cases(events: DataFrame, cases: DataFrame, inv: DataFrame | None = None) -> DataFrame:
@@ -103,7 +90,7 @@ def agent_cases(events: DataFrame, cases: DataFrame, inv: DataFrame | None = Non
     result. A filter matches if a call of an expected tool selects the Items that the expected one selects; without ``inv``,
     if both are the same filter in some form. The total of the expected filter, or without ``inv`` that of the paired result,
     must stand in the final answer as a whole word."""
-    canonical = F.udf(_canonical, "string")
+    canonical = canonical_filter
     calls = pair_events(events).select("run_id", "case_id", "seq", "name", "call_args", F.get_json_object("result", "$.total").alias("said"))
     forms = materialise(calls.select("name", "call_args").distinct().withColumn("emitted", canonical("name", "call_args")), "emitted-filters")
     asked = cases.select("filter").where("filter IS NOT NULL").distinct()
@@ -115,8 +102,12 @@ def agent_cases(events: DataFrame, cases: DataFrame, inv: DataFrame | None = Non
     tried = materialise(tried.withColumn("admitted", (F.size("tools") == 0) | F.array_contains("tools", F.col("name"))), "tried-calls")
     alike = F.col("emitted") == F.col("expected")
     if inv is not None:
-        differ = tried.where("admitted AND emitted <> expected").select("emitted", "expected").distinct()
-        pairs = _evaluated(inv, differ, lambda a, b: F.count_if(_predicate(a) != _predicate(b)) == 0, "equal", "boolean")
+        differ = tried.where("admitted AND emitted <> expected").select(F.col("emitted").alias("first"), F.col("expected").alias("second")).distinct()
+        differ = materialise(differ, "filter-pairs")
+        every = asked.select(F.coalesce("expected", F.lit("{}")).alias("filter")).unionByName(inv.sparkSession.sql("SELECT '{}' AS filter")).distinct()
+        every = materialise(every, "expected-forms")
+        bits = bitmaps(inv, every.unionByName(differ.select(F.col("first").alias("filter"))))
+        pairs = compared(bits, differ).select(F.col("first").alias("emitted"), F.col("second").alias("expected"), "equal")
         tried = tried.hint("merge").join(materialise(pairs, "equal-filters").hint("merge"), ["emitted", "expected"], "left")
         alike = alike | F.coalesce("equal", F.lit(False))
     used = tried.groupBy("run_id", "case_id").agg(F.bool_or((F.size("tools") > 0) & F.col("admitted")).alias("tool"), F.bool_or(F.col("admitted") & F.coalesce(alike, F.lit(False))).alias("same"), F.max_by("said", "seq").alias("said"))
@@ -124,9 +115,8 @@ def agent_cases(events: DataFrame, cases: DataFrame, inv: DataFrame | None = Non
     rows = ends.hint("merge").join(wanted.hint("merge"), "case_id").hint("merge").join(used.hint("merge"), ["run_id", "case_id"], "left")
     total = F.col("said")
     if inv is not None:
-        every = asked.select(F.coalesce("expected", F.lit("{}")).alias("form")).unionByName(asked.sparkSession.createDataFrame([("{}",)], "form string")).distinct()
-        totals = _evaluated(inv, every, lambda a: F.count_if(_predicate(a)), "exact", "long")
-        rows = rows.withColumn("form", F.coalesce("expected", F.lit("{}"))).hint("merge").join(materialise(totals, "filter-totals").hint("merge"), "form", "left")
+        exact = totals(bits, every).select(F.col("filter").alias("form"), F.col("total").alias("exact"))
+        rows = rows.withColumn("form", F.coalesce("expected", F.lit("{}"))).hint("merge").join(materialise(exact, "filter-totals").hint("merge"), "form", "left")
         total = F.col("exact").cast("string")
     tool = F.when(F.size("tools") > 0, F.coalesce("tool", F.lit(False)))
     same = F.when(F.col("filter").isNotNull(), F.coalesce("same", F.lit(False)))

@@ -142,9 +142,10 @@ def expectations_met(classified: DataFrame, cases: DataFrame) -> DataFrame:
 
 
 def match_subtrees(old: DataFrame, new: DataFrame, on: str) -> DataFrame:
-    """Removed and added plan paths whose subtrees are equal: renamed (on="parent") or moved (on="name"). Both: path, parent,
-    name, sig."""
-    return old.select(on, "sig", F.col("path").alias("old_path")).join(new.select(on, "sig", F.col("path").alias("new_path")), [on, "sig"]).where("old_path <> new_path")
+    """(plan_id, on, sig, n_old, n_new): equal subtrees of two plans under one parent (on="parent": renamed) or of one name
+    (on="name": moved), as groups with the numbers of both sides. Both: plan_id, path, parent, name, sig."""
+    key = ["plan_id", on, "sig"]
+    return merged(old.groupBy(*key).agg(F.count("*").alias("n_old")), new.groupBy(*key).agg(F.count("*").alias("n_new")), key)
 
 
 def verify_copy(preview: DataFrame, listing: DataFrame) -> DataFrame:

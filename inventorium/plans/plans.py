@@ -1,10 +1,9 @@
-"""Filing plans: text to tables and back, numbering, comparison and differences.
+"""Filing plans: text to tables and back, numbering and comparison.
 
 Texts are (plan_id, text); parsed plans (plan_id, pos, folder, parent, title); nodes (plan_id, id, parent_id, title, slug)."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -115,53 +114,3 @@ def rubric_labels(plan: DataFrame) -> DataFrame:
 def compare_variants(plans: DataFrame) -> dict[str, DataFrame]:
     shapes = plan_shape(plans)
     return {"shapes": shapes, "ranges": plan_ranges(shapes), "folders": all_folders(plans)}
-
-
-def subtree_signatures(paths: DataFrame) -> DataFrame:
-    """(plan_id, path, parent, name, sig): equal sums for equal subtrees. A subtree is the multiset of the paths below a node,
-    so its sum is an order-free aggregate of their hashes, with their count."""
-    nodes = paths.select("plan_id", "path", F.explode(X.ancestor_paths(F.col("path"), inclusive=True)).alias("top"))
-    inner = F.when(F.col("path") == F.col("top"), "").otherwise(F.expr("substring(path, length(top) + 2)"))
-    sig = nodes.groupBy("plan_id", "top").agg(F.concat_ws("-", F.count("*").cast("string"), F.sum(F.xxhash64(inner).cast("decimal(38,0)")).cast("string"), F.bit_xor(F.xxhash64(F.concat(F.lit("x"), inner))).cast("string")).alias("sig"))
-    above = X.parent_path(F.col("top"))
-    return sig.select("plan_id", F.col("top").alias("path"), F.when(above == ".", "").otherwise(above).alias("parent"), X.basename(F.col("top")).alias("name"), "sig")
-
-
-def _pairs(key, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-    """Changes of one holding's plan: all renames first, then all moves; the highest nodes first, each match with the subtree
-    that it takes along. Of several equal subtrees a rename takes the most similar name, a move the most similar parent."""
-    from difflib import SequenceMatcher
-
-    before, after = set(old["path"]), set(new["path"])
-    removed, added = before - after, after - before
-    out = [(p, p, "unchanged") for p in sorted(before & after)]
-    rows = {r.path: r for r in old.itertuples() if r.path in removed}
-
-    def high(path: str) -> tuple[int, list[str]]:
-        return path.count("/"), path.split("/")
-
-    for kind, same, differ in (("renamed", "parent", "name"), ("moved", "name", "parent")):
-        near: dict[tuple[str, str], list] = {}
-        for r in sorted(new[new["path"].isin(added)].itertuples(), key=lambda r: high(r.path)):
-            near.setdefault((getattr(r, same), r.sig), []).append(r)
-        for path in sorted(removed, key=high):
-            if path not in removed:
-                continue
-            row = rows[path]
-            left = [r for r in near.get((getattr(row, same), row.sig), ()) if r.path in added]
-            if left:
-                best = max(left, key=lambda r: SequenceMatcher(None, getattr(row, differ), getattr(r, differ)).ratio()).path
-                out.append((path, best, kind))
-                removed -= {p for p in removed if p == path or p.startswith(path + "/")}
-                added -= {p for p in added if p == best or p.startswith(best + "/")}
-    out += [(p, None, "removed") for p in sorted(removed)] + [(None, p, "added") for p in sorted(added)]
-    return pd.DataFrame([(key[0], *r) for r in out], columns=["plan_id", "old_path", "new_path", "change"])
-
-
-def diff_plans(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(plan_id, old_path, new_path, change) between two states (plan_id, path) of each plan: unchanged, renamed, moved,
-    removed, added. Matching is sequential within a plan, which is small; plans are many."""
-    a, b = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (subtree_signatures(old), subtree_signatures(new)))
-    return a.groupBy("plan_id").cogroup(b.groupBy("plan_id")).applyInPandas(_pairs, f"plan_id {old.schema['plan_id'].dataType.simpleString()}, old_path string, new_path string, change string")
-
-

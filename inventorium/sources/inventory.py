@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from .records import read_csv
 
 # Column names outside, and inside Spark, where names have no dots.
 COLUMNS = {
@@ -32,21 +33,10 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
 
 
 def read_inventory(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings, canonical names, dialects normalised, null as empty; pos is the order of the rows, and over
-    several files that of the files' names first."""
-    raw = spark.read.csv(path, header=True, sep=sniff_separator(spark, path), quote='"', escape='"', multiLine=True)
-    return normalize_native(in_file_order(raw.toDF(*[c.lstrip("\ufeff") for c in raw.columns])))
-
-
-def in_file_order(raw: DataFrame) -> DataFrame:
-    """``raw``, read from files, with pos: by file name and place in the file. Spark deals several files out by size, so their
-    rows are numbered after a sort by name; the rows of one file come in order."""
-    placed = raw.withColumns({"__file": F.input_file_name(), "pos": F.monotonically_increasing_id()})
-    if len(raw.inputFiles()) < 2:
-        return placed.drop("__file")
-    from ..operators.explore import number_rows
-
-    return number_rows(placed.withColumnRenamed("pos", "__place"), ["__file", "__place"], "pos").drop("__file", "__place")
+    """All columns as strings, canonical names, dialects normalised, null as empty; pos rises in the order of the rows, and
+    over several files in that of the files' names first. Large files are read by many tasks, line breaks in fields or not."""
+    raw = read_csv(spark, path, sniff_separator(spark, path))
+    return normalize_native(raw)
 
 
 def normalize_native(raw: DataFrame) -> DataFrame:

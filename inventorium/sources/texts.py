@@ -101,7 +101,7 @@ def parse_directives(lines: DataFrame) -> DataFrame:
 
 
 def read_directives(spark: SparkSession, path: str) -> DataFrame:
-    from .inventory import in_file_order
+    from .records import in_file_order
 
     return parse_directives(in_file_order(spark.read.text(path)))
 

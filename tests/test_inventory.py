@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inventorium.functions import scalars as X
 from inventorium.operators import audit, checks, classify, content, evaluate, explore, hierarchy, joins, runs, sets, windows
+from inventorium.plans import differences
 from inventorium.plans import plans as P
 from inventorium.sources import inventory as inv_io
 from inventorium.sources import texts as text_io
@@ -181,12 +182,12 @@ def test_natural_order(spark):
 def test_plan_differences(spark):
     old = spark.createDataFrame([("a", p) for p in ("x", "x/1", "x/2", "y", "y/k", "z")], "plan_id string, path string")
     new = spark.createDataFrame([("a", p) for p in ("X2", "X2/1", "X2/2", "w", "w/y", "w/y/k", "z")], "plan_id string, path string")
-    got = {(r.old_path, r.new_path, r.change) for r in P.diff_plans(old, new).collect()}
+    got = {(r.old_path, r.new_path, r.change) for r in differences.diff_plans(old, new).collect()}
     assert got == {("x", "X2", "renamed"), ("y", "w/y", "moved"), ("z", "z", "unchanged"), (None, "w", "added")}
     # the closest name is the rename, though a move would fit the same leaf, and the closest parent is the move
     old = spark.createDataFrame([("a", p) for p in ("Budget", "Conseil", "Conseil/Actes", "Ecole", "Ecole/Menus", "Mairie")], "plan_id string, path string")
     new = spark.createDataFrame([("a", p) for p in ("Budgets", "Conseil", "Ecole", "Mairie", "Mairie/Actes", "Archives", "Ecoles", "Ecoles/Menus", "Archives/Menus")], "plan_id string, path string")
-    got = {(r.old_path, r.new_path) for r in P.diff_plans(old, new).where("change IN ('renamed', 'moved')").collect()}
+    got = {(r.old_path, r.new_path) for r in differences.diff_plans(old, new).where("change IN ('renamed', 'moved')").collect()}
     assert got == {("Budget", "Budgets"), ("Conseil/Actes", "Mairie/Actes"), ("Ecole/Menus", "Ecoles/Menus")}
 
 
@@ -455,3 +456,106 @@ def test_ledger(spark, tmp_path):
     rows = spark.createDataFrame([("1", None, "failed", "panne", None), ("2", None, "ok", None, [])], kind)
     text_io.append_ledger(rows.withColumn("started_at", F.lit("2024-01-01").cast("timestamp")), str(tmp_path / "l"))
     assert {r.run_id: len(r.anomalies) for r in spark.read.parquet(str(tmp_path / "l")).collect()} == {"1": 1, "2": 0}
+
+
+def test_a_file_is_read_in_many_tasks_and_keeps_its_order(spark, tmp_path):
+    """Records with line breaks, separators and doubled quotes, longer than a byte range at times."""
+    import csv
+
+    rng = random.Random(4)
+    fields = ["a", "", "é;ü", 'say "x"', "two\nlines", "\n\n", "x" * 700 + "\n" + "y" * 900, "tab\t", '"']
+    rows = [[str(k), "1", f"p/{k}", "Item", *(rng.choice(fields) for _ in range(3))] for k in range(300)]
+    folder = tmp_path / "in"
+    folder.mkdir()
+    names = ["ID", "ParentID", "File", "Content.DescriptionLevel", "Content.Title", "Content.StartDate", "Content.EndDate"]
+    for name, part, end in (("b.csv", rows[200:], "\n"), ("a.csv", rows[:200], "\r\n")):
+        with open(folder / name, "w", newline="", encoding="utf-8") as out:
+            out.write("﻿")
+            w = csv.writer(out, delimiter=";", quoting=csv.QUOTE_ALL, lineterminator=end)
+            w.writerows([names, *part])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 20
+        got = inv_io.read_inventory(spark, str(folder)).orderBy("pos").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [[r.id, r.parent_id, r.path, r.level, r.title, r.start_date, r.end_date] for r in got] == rows
+    assert len({r.pos for r in got}) == len(rows)
+
+
+def test_many_filters_in_one_plan(spark, inv):
+    import json
+
+    from inventorium.operators import postings
+
+    specs = [{}, {"extension": "pdf"}, {"extension": ".XLSX"}, {"folder": "divers"}, {"folder": "/cantine/"}, {"folder": "."}, {"folder": "div"}, {"year_min": 2022}, {"year_max": 2019}, {"year_min": 2021, "year_max": 2021},
+             {"year_min": 2023, "year_max": 2020}, {"year_min": 12000, "year_max": 15000}, {"keywords": ["liste"]}, {"keywords": ["ÉLÈVES", "2"]}, {"keywords": ["e"]}, {"keywords": ["zz"]}, {"keywords": ["li", "s"], "extension": "xlsx", "folder": "inscriptions", "year_min": 2000}]
+    filters = spark.createDataFrame([(json.dumps(s),) for s in specs], "filter string")
+    bits = postings.bitmaps(inv, filters)
+    found = dicts(postings.totals(bits, filters), "filter", "total")
+    assert found == {json.dumps(s): explore.filter_items(inv, s).count() for s in specs}
+    pairs = spark.createDataFrame([(json.dumps(a), json.dumps(b)) for a in specs for b in specs], "first string, second string")
+    for r in postings.compared(bits, pairs).collect():
+        a, b = ({x.path for x in explore.filter_items(inv, json.loads(f)).collect()} for f in (r.first, r.second)) if r.first in (json.dumps(specs[1]), json.dumps(specs[13])) else (None, None)
+        if a is not None:
+            assert (r.only_first, r.only_second, r.both, r.equal) == (len(a - b), len(b - a), len(a & b), a == b)
+
+
+def plain_diff(old, new):
+    """The same matching, one folder after another."""
+    from difflib import SequenceMatcher
+
+    gone, came, out = old - new, new - old, [(p, p, "unchanged") for p in old & new]
+
+    def below(paths, top):
+        return frozenset(p[len(top) :] for p in paths if p.startswith(top + "/"))
+
+    def high(p):
+        return p.count("/"), p.split("/")
+
+    def cut(p):
+        return p.rpartition("/")[::2]
+
+    for kind, same, differ in (("renamed", 0, 1), ("moved", 1, 0)):
+        for r in sorted(gone, key=high):
+            if r in gone:
+                fit = [a for a in sorted(came, key=high) if cut(a)[same] == cut(r)[same] and below(new, a) == below(old, r)]
+                if fit:
+                    best = max(fit, key=lambda a: SequenceMatcher(None, cut(r)[differ], cut(a)[differ]).ratio())
+                    out.append((r, best, kind))
+                    gone = {p for p in gone if p != r and not p.startswith(r + "/")}
+                    came = {p for p in came if p != best and not p.startswith(best + "/")}
+    return {*out, *((p, None, "removed") for p in gone), *((None, p, "added") for p in came)}
+
+
+def test_plans_differ_as_if_matched_one_by_one(spark):
+    rng = random.Random(8)
+
+    def tree(n):
+        out = {"a"}
+        while len(out) < n:
+            out.add(f"{rng.choice(sorted(out))}/{rng.choice('abc')}" if rng.random() < 0.8 else rng.choice("abcd"))
+        return out
+
+    def moved(paths):
+        """Some subtrees under other names or places, one inside another at times."""
+        for _ in range(rng.randint(1, 4)):
+            top = rng.choice(sorted(paths))
+            rest = sorted(p for p in paths if p != top and not p.startswith(top + "/"))
+            if rest:
+                to = f"{rng.choice(rest)}/{top.rpartition('/')[2]}" if rng.random() < 0.7 else f"{top}x"
+                paths = {(to + p[len(top) :] if p == top or p.startswith(top + "/") else p) for p in paths}
+        return paths
+
+    states = {f"p{k}": (old := tree(rng.randint(3, 14)), moved(old)) for k in range(60)}
+    states["empty"] = ({"a", "a/b"}, set())
+    states["nested"] = ({"a", "a/x", "a/x/y", "b", "b/y", "c", "q"}, {"a", "b", "c", "c/x", "c/x/y", "q"})
+    frames = [spark.createDataFrame([(k, p) for k, s in states.items() for p in s[side]], "plan_id string, path string") for side in (0, 1)]
+    changes = differences.diff_plans(*frames).cache()
+    got = {}
+    for r in changes.collect():
+        got.setdefault(r.plan_id, set()).add((r.old_path, r.new_path, r.change))
+    assert got == {k: plain_diff(*s) for k, s in states.items()}
+    for r in differences.summaries(changes).collect():
+        assert r.identical == (states[r.plan_id][0] == states[r.plan_id][1]) and r.unchanged == len(states[r.plan_id][0] & states[r.plan_id][1])
