@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as X
+from ..session import sized
 from .hierarchy import By, items
 
 FILTER_KEYS = ("keywords", "extension", "folder", "year_min", "year_max")
@@ -107,6 +108,15 @@ def beside(rows: DataFrame, totals: DataFrame, by: By) -> DataFrame:
     return rows.hint("merge").join(totals.hint("merge"), list(by)) if by else rows.crossJoin(F.broadcast(totals))  # one row
 
 
+#: Holdings whose totals are broadcast to rows; more are joined by a shuffle.
+MOST_HOLDINGS = 100_000
+
+
+def with_holding(rows: DataFrame, totals: DataFrame, by: By) -> DataFrame:
+    """``rows``, which are many, with what is known of their holding; without ``by`` that is one row."""
+    return rows.join(sized(totals, MOST_HOLDINGS), list(by), "left") if by else rows.crossJoin(F.broadcast(totals))
+
+
 def topk(rows: DataFrame, key: str, k: int, by: By = ()) -> DataFrame:
     """(key, n): most frequent first, ties by key."""
     return most(rows.groupBy(*by, key).agg(F.count("*").alias("n")), key, k, by)

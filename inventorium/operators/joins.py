@@ -8,38 +8,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
-from ..session import merged
-from .explore import structured_filter
-from .hierarchy import closure_by_id, folders, items
+from ..session import materialise, merged
+from .explore import structured_filter, with_holding
+from .hierarchy import By, intervals, items
 from .windows import keep_first
 
 
-def rehydrate_paths(asg: DataFrame, refs: DataFrame) -> DataFrame:
+def rehydrate_paths(asg: DataFrame, refs: DataFrame, by: By = ()) -> DataFrame:
     """Assignments by ref get the path of the Item with that ref, or an empty one; no-op if they have paths."""
     if "path" in asg.columns:
         return asg
-    known = refs.select(F.col("ref").cast("string").alias("ref"), F.col("path"))
-    return asg.withColumn("ref", F.trim(F.col("ref").cast("string"))).join(known, "ref", "left").withColumn("path", F.coalesce("path", F.lit("")))
+    known = refs.select(*by, F.col("ref").cast("string").alias("ref"), F.col("path"))
+    return asg.withColumn("ref", F.trim(F.col("ref").cast("string"))).join(known, [*by, "ref"], "left").withColumn("path", F.coalesce("path", F.lit("")))
 
 
-def attach_source(asg: DataFrame, inv: DataFrame) -> DataFrame:
+def attach_source(asg: DataFrame, inv: DataFrame, by: By = ()) -> DataFrame:
     """Assignments with the attributes of the first Item that has their path."""
-    return asg.join(keep_first(items(inv), ["path"], ["pos"]), "path")
+    return asg.join(keep_first(items(inv), [*by, "path"], ["pos"]), [*by, "path"])
 
 
-def unclassified(inv: DataFrame, asg: DataFrame) -> DataFrame:
-    return items(inv).join(asg.select("path"), "path", "left_anti")
+def unclassified(inv: DataFrame, asg: DataFrame, by: By = ()) -> DataFrame:
+    return items(inv).join(asg.select(*by, "path"), [*by, "path"], "left_anti")
 
 
-def unknown_paths(inv: DataFrame, asg: DataFrame) -> DataFrame:
-    return asg.join(items(inv).select("path"), "path", "left_anti")
+def unknown_paths(inv: DataFrame, asg: DataFrame, by: By = ()) -> DataFrame:
+    return asg.join(items(inv).select(*by, "path"), [*by, "path"], "left_anti")
 
 
-def match_targets(asg: DataFrame, plan: DataFrame) -> DataFrame:
+def match_targets(asg: DataFrame, plan: DataFrame, by: By = ()) -> DataFrame:
     """Assignments with plan_folder: their target if the plan has it, else null. A plan is small beside them, but of no
     bounded size, so Spark chooses how to join."""
-    known = plan.select(F.col("folder").alias("target"), F.col("folder").alias("plan_folder")).distinct()
-    return asg.join(known, "target", "left")
+    known = plan.select(*by, F.col("folder").alias("target"), F.col("folder").alias("plan_folder")).distinct()
+    return asg.join(known, [*by, "target"], "left")
 
 
 def plan_parents(plan: DataFrame) -> DataFrame:
@@ -99,46 +99,56 @@ def recommend_sampling(volumes: DataFrame, n: str = "items") -> DataFrame:
     return volumes.withColumns({"tier": tier, "sample_n": sample})
 
 
-def retained_folders(inv: DataFrame, plan: DataFrame) -> DataFrame:
+def source_labels(inv: DataFrame, by: By = ()) -> DataFrame:
+    """(label): what the source's folders with an Item below them are called, by title, else by name. An empty folder is a
+    fault of the source, which no plan has to keep."""
+    from .audit import source_folders
+
+    full = source_folders(inv, by).where("non_empty")
+    return full.select(*by, X.conservation_label(F.col("label")).alias("label")).where("label <> ''").distinct()
+
+
+def retained_folders(inv: DataFrame, plan: DataFrame, by: By = ()) -> DataFrame:
     """(label, retained): labels of the source's folders, and whether the plan has them."""
-    source = folders(inv).select(X.conservation_label(X.basename(F.col("path"))).alias("label")).where("label <> ''").distinct()
-    planned = plan.select(X.conservation_label(F.col("folder")).alias("label")).distinct().withColumn("retained", F.lit(True))
-    return source.join(planned, "label", "left").withColumn("retained", F.coalesce("retained", F.lit(False)))
+    planned = plan.select(*by, X.conservation_label(F.col("folder")).alias("label")).distinct().withColumn("retained", F.lit(True))
+    return merged(source_labels(inv, by), planned, [*by, "label"], "left").withColumn("retained", F.coalesce("retained", F.lit(False)))
 
 
-def created_folders(inv: DataFrame, plan: DataFrame) -> DataFrame:
-    """Labels of the plan's folders that no source folder has."""
-    source = folders(inv).select(X.conservation_label(X.basename(F.col("path"))).alias("label")).distinct()
-    return plan.select(X.conservation_label(F.col("folder")).alias("label")).where("label <> ''").distinct().join(source, "label", "left_anti")
+def created_folders(inv: DataFrame, plan: DataFrame, by: By = ()) -> DataFrame:
+    """(label): labels of the plan's folders that no source folder has."""
+    planned = plan.select(*by, X.conservation_label(F.col("folder")).alias("label")).where("label <> ''").distinct()
+    return merged(planned, source_labels(inv, by), [*by, "label"], "left_anti")
 
 
-def stale_anchors(directives: DataFrame, plan: DataFrame) -> DataFrame:
+def stale_anchors(directives: DataFrame, plan: DataFrame, by: By = ()) -> DataFrame:
     """Anchors of directives that are no plan folder, each once, in the order of their first use."""
-    lost = directives.where(X.text(F.col("folder")) != "").join(plan.select("folder"), "folder", "left_anti")
-    return lost.groupBy("folder").agg(F.min("pos").alias("pos")).orderBy("pos")
+    lost = directives.where(X.text(F.col("folder")) != "").join(plan.select(*by, "folder"), [*by, "folder"], "left_anti")
+    return lost.groupBy(*by, "folder").agg(F.min("pos").alias("pos")).orderBy(*by, "pos")
 
 
-def allowed_parents(directives: DataFrame, plan: DataFrame) -> DataFrame:
+def allowed_parents(directives: DataFrame, plan: DataFrame, by: By = ()) -> DataFrame:
     """Plan folders under which new ones may be created; a directive for the whole holding allows all."""
     allow = directives.where("allow_creation")
-    own = plan.select("folder").distinct()
-    anchored = own.join(allow.where(X.text(F.col("folder")) != "").select("folder"), "folder", "left_semi")
-    everywhere = allow.where(X.text(F.col("folder")) == "").agg((F.count("*") > 0).alias("all"))
-    return anchored.unionByName(own.crossJoin(F.broadcast(everywhere)).where("all").select("folder")).distinct()
-
-
-def expectations_met(classified: DataFrame, cases: DataFrame) -> DataFrame:
-    """Cases (path, folder, under) with landed and followed: the file stands in that folder, or anywhere below it."""
-    tree = classified.where("level = 'RecordGrp'").select("id", "parent_id", F.col("path").alias("folder"))
-    files = classified.where("level = 'Item'").select("path", F.col("parent_id").alias("folder_id"))
-    names = tree.select("id", "folder")
-    above = closure_by_id(tree).select("id", "ancestor").unionByName(tree.select("id", F.col("id").alias("ancestor")))
-    chain = above.join(names.withColumnsRenamed({"id": "ancestor", "folder": "above"}), "ancestor").select(F.col("id").alias("folder_id"), "above")
-    at = files.join(names.withColumnsRenamed({"id": "folder_id", "folder": "landed"}), "folder_id", "left")
-    met = cases.join(at, "path", "left").join(chain.withColumnRenamed("above", "folder"), ["folder_id", "folder"], "left_semi").select("path", "folder").distinct().withColumn("below", F.lit(True))
-    where = at.groupBy("path").agg(F.collect_set("landed").alias("landed"))
-    out = cases.join(where, "path", "left").join(met, ["path", "folder"], "left")
-    return out.withColumn("followed", F.when(F.col("under"), F.coalesce("below", F.lit(False))).otherwise(F.coalesce(F.array_contains("landed", F.col("folder")), F.lit(False)))).drop("below")
+    own = plan.select(*by, "folder").distinct()
+    anchored = own.join(allow.where(X.text(F.col("folder")) != "").select(*by, "folder"), [*by, "folder"], "left_semi")
+    everywhere = allow.where(X.text(F.col("folder")) == "").groupBy(*by).agg((F.count("*") > 0).alias("all"))
+    return anchored.unionByName(with_holding(own, everywhere, by).where("all").select(*by, "folder")).distinct()
+
+
+def expectations_met(classified: DataFrame, cases: DataFrame, by: By = ()) -> DataFrame:
+    """Cases (path, folder, under) with landed and followed: the file stands in that folder, or anywhere below it. Whether one
+    folder lies below another is told by their intervals."""
+    tree = classified.where("level = 'RecordGrp'").select(*by, "id", "parent_id", F.col("path").alias("name"))
+    places = materialise(merged(tree, intervals(tree, by), [*by, "id"]), "folder-intervals")
+    files = classified.where("level = 'Item'").select(*by, "path", F.col("parent_id").alias("id"))
+    at = merged(files, places.select(*by, "id", F.col("name").alias("landed"), F.col("pre").alias("at")), [*by, "id"], "left").drop("id")
+    wanted = places.select(*by, F.col("name").alias("folder"), "pre", "post")
+    tried = merged(merged(cases.select(*by, "path", "folder").distinct(), at, [*by, "path"]), wanted, [*by, "folder"])
+    met = tried.where("at >= pre AND at < post").select(*by, "path", "folder").distinct().withColumn("below", F.lit(True))
+    where = at.groupBy(*by, "path").agg(F.collect_set("landed").alias("landed"))
+    out = merged(merged(cases, where, [*by, "path"], "left"), met, [*by, "path", "folder"], "left")
+    exact = F.coalesce(F.array_contains("landed", F.col("folder")), F.lit(False))
+    return out.withColumn("followed", F.when(F.col("under"), F.coalesce("below", F.lit(False))).otherwise(exact)).drop("below")
 
 
 def match_subtrees(old: DataFrame, new: DataFrame, on: str) -> DataFrame:
@@ -148,17 +158,17 @@ def match_subtrees(old: DataFrame, new: DataFrame, on: str) -> DataFrame:
     return merged(old.groupBy(*key).agg(F.count("*").alias("n_old")), new.groupBy(*key).agg(F.count("*").alias("n_new")), key)
 
 
-def verify_copy(preview: DataFrame, listing: DataFrame) -> DataFrame:
+def verify_copy(preview: DataFrame, listing: DataFrame, by: By = ()) -> DataFrame:
     """Expected target paths with present: whether the listing has them."""
-    there = listing.select(F.col("path").alias("target_path")).distinct().withColumn("present", F.lit(True))
-    return preview.join(there, "target_path", "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    there = listing.select(*by, F.col("path").alias("target_path")).distinct().withColumn("present", F.lit(True))
+    return preview.join(there, [*by, "target_path"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 
-def remap_targets(asg: DataFrame, remap: DataFrame, removed: DataFrame) -> DataFrame:
+def remap_targets(asg: DataFrame, remap: DataFrame, removed: DataFrame, by: By = ()) -> DataFrame:
     """Targets renamed by (old, new); those of removed folders (folder) are emptied."""
-    gone = removed.select(F.col("folder").alias("target")).distinct().withColumn("gone", F.lit(True))
-    names = remap.select(F.col("old").alias("target"), "new").dropDuplicates(["target"])
-    out = asg.join(names, "target", "left").join(gone, "target", "left")
+    gone = removed.select(*by, F.col("folder").alias("target")).distinct().withColumn("gone", F.lit(True))
+    names = remap.select(*by, F.col("old").alias("target"), "new").dropDuplicates([*by, "target"])
+    out = asg.join(names, [*by, "target"], "left").join(gone, [*by, "target"], "left")
     return out.withColumn("target", F.when(F.col("gone"), "").otherwise(F.coalesce("new", "target"))).drop("new", "gone")
 
 

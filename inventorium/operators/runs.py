@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as X
 from ..session import sized
-from .hierarchy import By, closure_by_id, items
+from .hierarchy import By, along_path, items
 from .joins import price_models, recommend_sampling
 from .windows import sample_per_folder
 
@@ -61,7 +61,8 @@ def manifest_summary(classified: DataFrame) -> DataFrame:
     """folders, items, max_depth of the folders below the root, first and last date of the Items."""
     item, folder = F.col("level") == "Item", F.col("level") == "RecordGrp"
     tree = classified.where(folder).select("id", "parent_id")
-    deepest = closure_by_id(tree).groupBy("id").agg(F.max("distance").alias("d")).agg(F.coalesce(F.max("d"), F.lit(0)).cast("long").alias("max_depth"))
+    depths = along_path(tree, {"d": (F.lit(0).cast("long"), lambda above, own: above + own + 1)})
+    deepest = depths.agg(F.coalesce(F.max("d"), F.lit(0)).cast("long").alias("max_depth"))
     first, last = (F.coalesce(f(F.when(item, F.nullif(c, F.lit("")))), F.lit("")).alias(c) for f, c in ((F.min, "start_date"), (F.max, "end_date")))
     volumes = classified.agg(F.count_if(folder & (F.col("path") != ".")).alias("folders"), F.count_if(item).alias("items"), first, last)
     return volumes.crossJoin(F.broadcast(deepest)).select("folders", "items", "max_depth", "start_date", "end_date")  # one row each

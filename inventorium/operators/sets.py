@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from .hierarchy import By
 from .windows import keep_last
 
 
@@ -17,7 +18,11 @@ def assemble(*parts: DataFrame) -> DataFrame:
 
 
 def concat_batches(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    """The batches' rows with pos, in the order of the batches and, in each, of apos."""
+    from .explore import number_rows
+
+    tagged = [p.withColumn("__batch", F.lit(k)) for k, p in enumerate(parts)]
+    return number_rows(reduce(DataFrame.unionByName, tagged), ["__batch", "apos"], "pos").drop("__batch")
 
 
 def labels(plans: DataFrame) -> DataFrame:
@@ -42,22 +47,23 @@ def unique_folders(plans: DataFrame) -> DataFrame:
     return own.groupBy("label").agg(F.count("*").alias("n"), F.min("plan_id").alias("plan_id")).where("n = 1").select("label", "plan_id")
 
 
-def off_plan(plan: DataFrame, folders: DataFrame) -> DataFrame:
-    return folders.select("folder").distinct().join(plan.select("folder"), "folder", "left_anti")
+def off_plan(plan: DataFrame, folders: DataFrame, by: By = ()) -> DataFrame:
+    return folders.select(*by, "folder").distinct().join(plan.select(*by, "folder"), [*by, "folder"], "left_anti")
 
 
-def missing(plan: DataFrame, folders: DataFrame) -> DataFrame:
-    return plan.select("folder").distinct().join(folders.select("folder"), "folder", "left_anti")
+def missing(plan: DataFrame, folders: DataFrame, by: By = ()) -> DataFrame:
+    return plan.select(*by, "folder").distinct().join(folders.select(*by, "folder"), [*by, "folder"], "left_anti")
 
 
-def plan_path_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+def plan_path_diff(old: DataFrame, new: DataFrame, by: By = ()) -> DataFrame:
     """(path, change): added, removed or unchanged."""
-    a, b = old.select("path").distinct().withColumn("o", F.lit(1)), new.select("path").distinct().withColumn("n", F.lit(1))
-    return a.join(b, "path", "full").select("path", F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("unchanged").alias("change"))
+    sides = old.select(*by, "path", F.lit(1).alias("side")).unionByName(new.select(*by, "path", F.lit(2).alias("side")))
+    seen = sides.groupBy(*by, "path").agg(F.bit_or("side").alias("seen"))
+    return seen.select(*by, "path", F.when(F.col("seen") == 2, "added").when(F.col("seen") == 1, "removed").otherwise("unchanged").alias("change"))
 
 
-def merge_corrections(old: DataFrame, new: DataFrame) -> DataFrame:
+def merge_corrections(old: DataFrame, new: DataFrame, by: By = ()) -> DataFrame:
     """Corrections by path: the last one counts, at the place of the first."""
     rows = old.withColumn("__g", F.lit(0)).unionByName(new.withColumn("__g", F.lit(1)))
-    first = rows.groupBy("path").agg(F.min(F.struct("__g", "pos")).alias("first"))
-    return keep_last(rows, ["path"], ["__g", "pos"]).drop("__g", "pos").join(first, "path").select("path", "target", "new_title", F.struct("first.*").alias("place"))
+    first = rows.groupBy(*by, "path").agg(F.min(F.struct("__g", "pos")).alias("first"))
+    return keep_last(rows, [*by, "path"], ["__g", "pos"]).drop("__g", "pos").join(first, [*by, "path"]).select(*by, "path", "target", "new_title", F.struct("first.*").alias("place"))

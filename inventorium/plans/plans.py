@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as X
-from ..operators.hierarchy import closure_by_id, plan_shape
+from ..operators.hierarchy import along_path, full_paths, plan_shape
 from ..operators.joins import plan_parents
 from ..operators.runs import plan_ranges
 from ..operators.sets import all_folders
@@ -75,11 +75,9 @@ def plan_numbering(nodes: DataFrame) -> DataFrame:
     """Nodes with number ('1-2'), the positions of a node and those above it among their siblings by pos, and folder."""
     order = Window.partitionBy("plan_id", "parent_id").orderBy("pos", "id")
     own = nodes.withColumn("k", F.row_number().over(order))
-    chain = closure_by_id(nodes.select("plan_id", "id", "parent_id"), ("plan_id",))
-    above = merged(chain, own.select("plan_id", F.col("id").alias("ancestor"), F.col("k").alias("ak")), ["plan_id", "ancestor"]).groupBy("plan_id", "id").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), "ak"))).alias("ks"))
-    rows = merged(own, above, ["plan_id", "id"], "left")
-    ks = F.concat(F.coalesce(F.transform("ks", lambda x: x["ak"]), F.array().cast("array<int>")), F.array("k"))
-    return rows.withColumn("numbers", ks).withColumn("number", F.array_join(F.transform("numbers", lambda n: n.cast("string")), "-")).withColumn("folder", F.concat_ws("_", "number", "slug")).drop("k", "ks")
+    chain = along_path(own, {"numbers": (F.array("k"), lambda above, below: F.concat(above, below))}, ("plan_id",))
+    rows = merged(own, chain, ["plan_id", "id"])
+    return rows.withColumn("number", F.array_join(F.transform("numbers", lambda n: n.cast("string")), "-")).withColumn("folder", F.concat_ws("_", "number", "slug")).drop("k")
 
 
 def render_plans(nodes: DataFrame) -> DataFrame:
@@ -95,11 +93,8 @@ def render_plans(nodes: DataFrame) -> DataFrame:
 
 def plan_paths(plan: DataFrame) -> DataFrame:
     """(plan_id, folder, path): the whole path of every folder, names without numbers."""
-    nodes = plan.select("plan_id", F.col("folder").alias("id"), F.coalesce("parent", F.lit("")).alias("parent_id"))
-    chain = closure_by_id(nodes, ("plan_id",)).groupBy("plan_id", "id").agg(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("d"), X.strip_prefix(F.col("ancestor")).alias("n")))).alias("c"))
-    rows = merged(nodes, chain, ["plan_id", "id"], "left")
-    above = F.coalesce(F.transform("c", lambda x: x["n"]), F.array().cast("array<string>"))
-    return rows.select("plan_id", F.col("id").alias("folder"), F.array_join(F.concat(above, F.array(X.strip_prefix(F.col("id")))), "/").alias("path"))
+    nodes = plan.select("plan_id", F.col("folder").alias("id"), F.coalesce("parent", F.lit("")).alias("parent_id"), X.strip_prefix(F.col("folder")).alias("name"))
+    return full_paths(nodes, "name", ("plan_id",)).select("plan_id", F.col("id").alias("folder"), F.col("full_path").alias("path"))
 
 
 def rubric_labels(plan: DataFrame) -> DataFrame:

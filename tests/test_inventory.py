@@ -232,7 +232,88 @@ def test_classification_keeps_account_of_every_row(spark, inv):
 def test_names_that_clash_are_numbered(spark):
     rows = spark.createDataFrame([("d", n, k) for k, n in enumerate(["a.txt", "A.txt", "a (2).txt", "a.txt", "b", "B", ".x", "e.tar.gz"])] + [("e", "a.txt", 9)], "dir string, name string, pos long")
     got = [r.name for r in windows.dedup_names(rows, "dir", "name").orderBy("pos").collect()]
-    assert len({n.lower() for n in got[:8]}) == 8 and got[0] == "a.txt" and got[2] == "a (2).txt" and got[5] == "B (2)" and got[8] == "a.txt"
+    # in turn: the second name takes (2), so the one that is called so already is numbered itself
+    assert got == ["a.txt", "A (2).txt", "a (2) (2).txt", "a (3).txt", "b", "B (2)", ".x", "e.tar.gz", "a.txt"]
+
+
+@pytest.mark.parametrize("style", [windows.FILE_NAMES, windows.FOLDER_NAMES])
+def test_names_are_numbered_as_if_in_turn(spark, style):
+    rng = random.Random(3)
+    bits = ["a", "a (2)", "a_2", "A", "b", "a (2) (2)", "a_2_2", "a_3", "Straße", "STRASSE", "a. (2)"]
+    rows = [(rng.choice("xyz"), rng.choice(bits) + rng.choice(["", ".txt", ".", ".TXT", ".b.txt"]), k) for k in range(260)] + [("big", "Facture.pdf", 1000 + k) for k in range(90)]
+
+    def in_turn(names):
+        taken, out = set(), []
+        for n in names:
+            made, k = n, 2
+            stem, dot, ext = n.rpartition(".") if style.extension else ("", "", "")
+            while made.casefold() in taken:
+                made = f"{stem if dot else n}{style.before}{k}{style.after}{'.' + ext if dot and ext else ''}"
+                k += 1
+            taken.add(made.casefold())
+            out.append(made)
+        return out
+
+    want = {}
+    for d in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == d]
+        want |= dict(zip([r[2] for r in own], in_turn([r[1] for r in own]), strict=True))
+    frame = spark.createDataFrame(rows, "dir string, name string, pos long").repartition(4)
+    got = dicts(windows.dedup_names(frame, "dir", "name", style=style), "pos", "name")
+    assert got == want
+
+
+def test_trees_are_walked_without_a_closure(spark):
+    rng = random.Random(6)
+    parents = {}
+    for h in "ab":
+        for k in range(60):
+            parents[h, k] = None if not k or rng.random() < 0.05 else rng.randrange(k)
+        for k in range(100, 400):
+            parents[h, k] = k - 1 if k > 100 else 3
+    parents["a", 990] = 5555  # a parent that is no node
+    rows = [(h, str(k), "" if p is None else str(p), k % 17) for (h, k), p in parents.items()]
+    tree = spark.createDataFrame(rows, "fonds string, id string, parent_id string, v int")
+
+    def chain(h, k):
+        while k is not None and (h, k) in parents:
+            yield k
+            k = parents[h, k]
+
+    above = {(h, k): list(chain(h, k)) for h, k in parents}
+    below = {}
+    for (h, k), up in above.items():
+        for u in up:
+            below.setdefault((h, u), []).append(k)
+    by = ("fonds",)
+    paths = {(r.fonds, int(r.id)): r.full_path for r in hierarchy.full_paths(tree, "id", by).collect()}
+    assert paths == {x: "/".join(map(str, reversed(up))) for x, up in above.items()}
+    sums = {(r.fonds, int(r.id)): (r.n, r.low) for r in hierarchy.over_subtrees(tree, {"n": (F.lit(1), F.sum), "low": (F.col("v"), F.min)}, by).collect()}
+    assert sums == {x: (len(b), min(k % 17 for k in b)) for x, b in below.items()}
+    found = {(r.fonds, int(r.id)): (r.pre, r.post, r.depth) for r in hierarchy.intervals(tree, by).collect()}
+    assert {x: f[2] for x, f in found.items()} == {x: len(up) - 1 for x, up in above.items()}
+    for x, (pre, post, _) in found.items():
+        inside = {y for y, f in found.items() if y[0] == x[0] and pre <= f[0] < post}
+        assert inside == {(x[0], k) for k in below[x]}
+    cycle = spark.createDataFrame([("1", "2", "x"), ("2", "1", "y"), ("3", "2", "z"), ("4", "", "w"), ("5", "4", "v")], "id string, parent_id string, title string")
+    assert dicts(hierarchy.full_paths(cycle), "id", "full_path") == {"1": "x", "2": "y", "3": "z", "4": "w", "5": "w/v"}
+
+
+def test_two_holdings_are_classified_in_one_job(spark, inv):
+    plans = spark.createDataFrame([("a", PLAN), ("b", PLAN.replace("Eleves", "Enfants"))], "plan_id string, text string")
+    plan = P.parse_plans(plans).withColumn("fonds_id", F.col("plan_id"))
+    said = [("inscriptions/liste élèves 2022.xlsx", "1_Scolarite/1-1_Eleves", "Liste.pdf", 1), ("cantine/menus_semaine.docx", "2_Restauration/Menus d'hiver", "Menus.docx", 2), ("cantine/facture.pdf", "scan.pdf", "F", 3), ("nulle/part.doc", "2_Restauration", "x", 4), ("divers/IMG_kermesse.jpg", None, "k", 5)]
+    asg = spark.createDataFrame([(f, *r) for f in "ab" for r in said if (f, r[3]) != ("b", 2)], "fonds_id string, path string, target string, new_title string, apos long")
+    both = inv.withColumn("fonds_id", F.lit("a")).unionByName(inv.where("id <> '8'").withColumn("fonds_id", F.lit("b")))
+    allowed = plan.where("folder = '2_Restauration'").select("fonds_id", "folder")
+    by = ("fonds_id",)
+    done = classify.finalize(asg, both, plan, allowed, True, by)
+    for f in "ab":
+        own = [d.where(F.col("fonds_id") == f).drop("fonds_id") for d in (asg, both, plan, allowed)]
+        alone = classify.finalize(*own, True)
+        for part, want in ((done.rows, alone.rows), (done.created, alone.created), (classify.anomalies(done, both, plan, by), classify.anomalies(alone, own[1], own[2])), (classify.counters(done.status, both, by), classify.counters(alone.status, own[1])), (classify.copy_preview(done.rows, by=by), classify.copy_preview(alone.rows))):
+            got = part.where(F.col("fonds_id") == f).select(*want.columns)
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
 def test_answers_are_read_as_they_come(spark):
