@@ -181,11 +181,17 @@ over_inventory("a9_crowded_folders", audit.crowded_folders, f"SELECT {_segs()}[-
 over_inventory("h5_empty_folders", lambda inv: hierarchy.empty_folders(inv), f"WITH u AS (SELECT DISTINCT folder FROM ({_CHAIN})), e AS (SELECT coalesce(nullif(title, ''), nullif({_base()}, ''), '(sans titre)') AS label, row_number() OVER (ORDER BY pos) AS k FROM inventory WHERE {_FOLDERS} AND path NOT IN (SELECT folder FROM u)) SELECT count(*) AS n_empty, string_agg(label, ' | ' ORDER BY k) FILTER (k <= 5) AS examples FROM e")
 
 
-@register("a10_scan_all")
-def _scan(spark, sf):
-    parts = audit.scan(T.inventory(spark, sf))
-    rows = [df.select(F.lit(k).alias("measure"), F.to_json(F.struct("*")).alias("values")) for k, df in sorted(parts.items())]
-    return sets.assemble(*rows)
+# a scan as rows; the SQL puts the single measures side by side
+_SCAN_SQL = f"""WITH i AS (SELECT *, {_ext()} AS ext, {_base()} AS base, {_NOISE} AS noise, len({_segs()}) AS depth, {_segs()}[-2] AS above FROM inventory), it AS (SELECT * FROM i WHERE {_ITEMS}), fo AS (SELECT * FROM i WHERE {_FOLDERS}), u AS (SELECT DISTINCT folder FROM ({_CHAIN})),
+nc AS (SELECT count(*) AS n FROM it WHERE noise IS NULL AND trim(base) <> '' GROUP BY lower(trim(base)) HAVING count(*) >= 2), fp AS (SELECT count(*) AS n FROM it WHERE trim(fingerprint) <> '' GROUP BY lower(trim(fingerprint)) HAVING count(*) >= 2),
+ex AS (SELECT coalesce(nullif(ext, ''), '(sans extension)') AS key, count(*) AS n FROM it GROUP BY 1), ne AS (SELECT coalesce(nullif(title, ''), nullif(base, ''), '(sans titre)') AS label, row_number() OVER (ORDER BY pos) AS k FROM fo WHERE path NOT IN (SELECT folder FROM u)), no AS (SELECT path, row_number() OVER (ORDER BY pos) AS k FROM it WHERE noise IS NOT NULL),
+r AS (SELECT 'volumetry' AS measure, 'items' AS key, (SELECT count(*) FROM it) AS n UNION ALL SELECT 'volumetry', 'folders', count(*) FILTER (level = 'RecordGrp') FROM i UNION ALL SELECT 'volumetry', 'all_rows', count(*) FROM i UNION ALL SELECT 'volumetry', 'max_depth', max(depth) FROM i
+UNION ALL SELECT 'top_formats', 'distinct_extensions', count(*) FROM ex UNION ALL SELECT 'name_collisions', 'groups', count(*) FROM nc UNION ALL SELECT 'name_collisions', 'files', sum(n) FROM nc UNION ALL SELECT 'strict_duplicates', 'groups', count(*) FROM fp UNION ALL SELECT 'strict_duplicates', 'files', sum(n) FROM fp UNION ALL SELECT 'strict_duplicates', 'redundant', sum(n) - count(*) FROM fp UNION ALL SELECT 'strict_duplicates', 'available', 1
+UNION ALL SELECT 'empty_folders', 'n_empty', count(*) FROM ne UNION ALL SELECT 'source_folders', 'folders', count(*) FROM fo UNION ALL SELECT 'source_folders', 'non_empty', count(*) FROM fo WHERE path IN (SELECT folder FROM u) UNION ALL SELECT 'structure', 'root_items', count(*) FROM it WHERE depth = 1 UNION ALL SELECT 'structure', 'prefixed_folders', count(*) FROM fo WHERE regexp_matches(trim(base), '^[0-9]+[\\s._)-]') UNION ALL SELECT 'structure', 'folder_count', count(*) FROM fo
+UNION ALL (SELECT 'top_formats', key, n FROM ex ORDER BY n DESC, key LIMIT 10) UNION ALL SELECT 'risky_formats', key, n FROM ex WHERE key IN ({_list(X.RISKY_EXTENSIONS)}) UNION ALL SELECT 'compressed_formats', key, n FROM ex WHERE key IN ({_list(X.COMPRESSED_EXTENSIONS)}) UNION ALL SELECT 'noise', noise, count(*) FROM it WHERE noise IS NOT NULL GROUP BY 2
+UNION ALL (SELECT 'crowded_folders', above, count(*) FROM it WHERE depth >= 2 GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 5) UNION ALL SELECT 'empty_folder_examples', label, k FROM ne WHERE k <= 5 UNION ALL SELECT 'noise_examples', path, k FROM no WHERE k <= 5)
+SELECT measure, key, CAST(n AS BIGINT) AS n, CASE WHEN key = 'root_items' THEN (SELECT round(100.0 * count(*) FILTER (depth = 1) / count(*), 1)::DOUBLE FROM it) END AS pct FROM r"""
+over_inventory("a10_scan_all", audit.scan_report, _SCAN_SQL)
 
 
 # two holdings at once: each function gives for each what it gives for one
@@ -310,7 +316,7 @@ over_both("j4_unknown_paths", lambda asg, inv: joins.unknown_paths(inv, asg).sel
 register("j5_match_targets", "SELECT path, apos, folder AS plan_folder FROM assignments LEFT JOIN plan ON target = folder")(lambda spark, sf: joins.match_targets(T.assignments(spark, sf), T.plan(spark, sf)).select("path", "apos", "plan_folder"))
 over_inventory("j6_orphans", lambda inv: checks.orphans(inv.where("pos <> 101")).select("id"), "SELECT id FROM inventory WHERE pos <> 101 AND parent_id <> '' AND parent_id NOT IN (SELECT id FROM inventory WHERE pos <> 101)")
 register("j7_plan_parents", "SELECT plan_id, pos, folder, parent FROM plan")(lambda spark, sf: joins.plan_parents(T.plan(spark, sf)))
-register("j10_retained_folders", f"WITH sl AS (SELECT {_base()} AS b, pos FROM inventory WHERE {_FOLDERS}), pl AS (SELECT {_conserved('folder')} AS label FROM plan UNION SELECT {_conserved("coalesce(nullif(trim(regexp_replace(strip_accents(b), '[^A-Za-z0-9]+', '_', 'g'), '_'), ''), 'Nouveau_dossier')")} FROM sl WHERE pos % 3 = 0), src AS (SELECT DISTINCT {_conserved('b')} AS label FROM sl) SELECT label, label IN (SELECT label FROM pl) AS retained FROM src WHERE label <> ''")(lambda spark, sf: joins.retained_folders(T.inventory(spark, sf), T.plan(spark, sf).unionByName(hierarchy.folders(T.inventory(spark, sf)).where("pos % 3 = 0").select(F.lit("plan").alias("plan_id"), "pos", X.slugify(X.basename(F.col("path"))).alias("folder"), F.lit(None).cast("string").alias("parent"), "title"))))
+register("j10_retained_folders", f"WITH u AS (SELECT DISTINCT folder FROM ({_CHAIN})), sl AS (SELECT coalesce(nullif(title, ''), {_base()}) AS b, {_base()} AS base, path, pos FROM inventory WHERE {_FOLDERS}), pl AS (SELECT {_conserved('folder')} AS label FROM plan UNION SELECT {_conserved("coalesce(nullif(trim(regexp_replace(strip_accents(base), '[^A-Za-z0-9]+', '_', 'g'), '_'), ''), 'Nouveau_dossier')")} FROM sl WHERE pos % 3 = 0), src AS (SELECT DISTINCT {_conserved('b')} AS label FROM sl WHERE path IN (SELECT folder FROM u)) SELECT label, label IN (SELECT label FROM pl) AS retained FROM src WHERE label <> ''")(lambda spark, sf: joins.retained_folders(T.inventory(spark, sf), T.plan(spark, sf).unionByName(hierarchy.folders(T.inventory(spark, sf)).where("pos % 3 = 0").select(F.lit("plan").alias("plan_id"), "pos", X.slugify(X.basename(F.col("path"))).alias("folder"), F.lit(None).cast("string").alias("parent"), "title"))))
 over_both("j18_filters_equivalent", lambda asg, inv: joins.equivalence(inv, {"extension": "pdf", "year_min": 1995}, {"extension": ".PDF", "folder": "1_AFRICA"}), f"WITH f AS (SELECT {_ext()} = 'pdf' AND coalesce(try_cast(regexp_extract(start_date, '^([0-9]{{4}})', 1) AS INT) >= 1995, false) AS a, {_ext()} = 'pdf' AND starts_with(lower(path), '1_africa/') AS b FROM inventory WHERE {_ITEMS}) SELECT count(*) FILTER (a AND NOT b) AS only_first, count(*) FILTER (NOT a AND b) AS only_second, count(*) FILTER (a AND b) AS both FROM f")
 
 
@@ -430,11 +436,11 @@ register("a18_anomaly_counts")(lambda spark, sf: classify.anomaly_counts(classif
 register(
     "a17_classification_counters",
     f"""{_SPLIT} SELECT (SELECT count(*) FROM inventory WHERE {_ITEMS}) AS total, count(*) FILTER (status IN ('ok', 'off_plan', 'malformed')) AS classified, (SELECT count(*) FROM inventory WHERE {_ITEMS} AND path NOT IN (SELECT path FROM s)) AS unclassified, count(*) FILTER (status = 'malformed') AS malformed,
-    count(*) FILTER (status IN ('ok', 'off_plan', 'malformed') AND fixed_title <> new_title) AS extensions_fixed, count(*) FILTER (status = 'unknown_target') AS targets_unknown, count(*) FILTER (status = 'unknown_path') AS paths_not_found FROM s""",
+    count(*) FILTER (status IN ('ok', 'off_plan', 'malformed') AND fixed_title <> new_title) AS extensions_fixed, count(*) FILTER (status = 'unknown_target') AS targets_unknown, count(*) FILTER (status = 'unknown_path') AS paths_not_found, CAST(0 AS BIGINT) AS refs_unresolved FROM s""",
 )(lambda spark, sf: classify.counters(_done(spark, sf).status, T.inventory(spark, sf)).drop("classified_pct"))
 _FIGURES = f"""{_SPLIT}, z AS (SELECT (SELECT count(*) FROM inventory WHERE {_ITEMS}) AS total, count(*) FILTER (status IN ('ok', 'off_plan', 'malformed')) AS classified, (SELECT count(*) FROM inventory WHERE {_ITEMS} AND path NOT IN (SELECT path FROM s)) AS unclassified, count(*) FILTER (status = 'malformed') AS malformed,
-count(*) FILTER (status IN ('ok', 'off_plan', 'malformed') AND fixed_title <> new_title) AS extensions_fixed, count(*) FILTER (status = 'unknown_target') AS targets_unknown, count(*) FILTER (status = 'unknown_path') AS paths_not_found FROM s)"""
-_SHARES = ", ".join(f"{c}, round(100.0 * {c} / total, 1) AS {c}_pct" for c in ("classified", "unclassified", "malformed", "extensions_fixed", "targets_unknown", "paths_not_found"))
+count(*) FILTER (status IN ('ok', 'off_plan', 'malformed') AND fixed_title <> new_title) AS extensions_fixed, count(*) FILTER (status = 'unknown_target') AS targets_unknown, count(*) FILTER (status = 'unknown_path') AS paths_not_found, CAST(0 AS BIGINT) AS refs_unresolved FROM s)"""
+_SHARES = ", ".join(f"{c}, round(100.0 * {c} / total, 1) AS {c}_pct" for c in ("classified", "unclassified", "malformed", "extensions_fixed", "targets_unknown", "paths_not_found", "refs_unresolved"))
 register("e2_classement_metrics", f"{_FIGURES} SELECT total, {_SHARES} FROM z")(lambda spark, sf: evaluate.classement_metrics(classify.counters(_done(spark, sf).status, T.inventory(spark, sf))))
 
 
@@ -579,7 +585,7 @@ def _documents_inventory(spark, sf) -> DataFrame:
 
 register("s7_normalise_corrections", "SELECT trim(path) AS path, target, trim(new_title) AS new_title FROM assignments WHERE target <> ''")(lambda spark, sf: text_io.normalise_corrections(T.assignments(spark, sf).select(F.concat(F.lit(" "), "path").alias("Path"), F.col("target").alias("targetFolder"), F.col("new_title").alias("new_title"))).drop("pos"))
 register("u8_merge_corrections", "SELECT path, arg_max(target, apos + apos % 2 * 10000000000) AS target, arg_max(new_title, apos + apos % 2 * 10000000000) AS new_title FROM assignments GROUP BY path")(lambda spark, sf: sets.merge_corrections(*[T.assignments(spark, sf).where(f"apos % 2 = {k}").withColumnRenamed("apos", "pos") for k in (0, 1)]).drop("place"))
-register("s12_manifest", f"{_KEPT}, d AS (SELECT unnest(list_distinct([l.folder, coalesce(plan.parent, l.folder)])) AS folder, a, b FROM (SELECT path, arg_max(folder, apos) AS folder, any_value(a) AS a, any_value(b) AS b FROM y GROUP BY path) AS l LEFT JOIN plan ON plan.folder = l.folder), x AS (SELECT folder, min(nullif(a, '')) AS a, max(nullif(b, '')) AS b FROM d GROUP BY folder) SELECT coalesce(parent || '/', '') || n.folder AS path, coalesce(nullif(title, ''), trim(replace(regexp_replace(n.folder, '^[0-9]+(-[0-9]+)*_', ''), '_', ' '))) AS title, coalesce(a, '') AS start_date, coalesce(b, '') AS end_date FROM n LEFT JOIN plan ON plan.folder = n.folder LEFT JOIN x ON x.folder = n.folder")(lambda spark, sf: inv_io.manifest(_done(spark, sf).rows)[0])
+register("s12_manifest", f"{_KEPT}, d AS (SELECT unnest(list_distinct([l.folder, coalesce(plan.parent, l.folder)])) AS folder, a, b FROM (SELECT path, arg_max(folder, apos) AS folder, any_value(a) AS a, any_value(b) AS b FROM y GROUP BY path) AS l LEFT JOIN plan ON plan.folder = l.folder), x AS (SELECT folder, min(nullif(a, '')) AS a, max(nullif(b, '')) AS b FROM d GROUP BY folder) SELECT coalesce(parent || '/', '') || n.folder AS path, coalesce(nullif(title, ''), trim(replace(regexp_replace(n.folder, '^[0-9]+(-[0-9]+)*_', ''), '_', ' '))) AS title, coalesce(a, '') AS start_date, coalesce(b, '') AS end_date FROM n LEFT JOIN plan ON plan.folder = n.folder LEFT JOIN x ON x.folder = n.folder".replace("SELECT coalesce(parent", "SELECT n.folder AS name, 'RecordGrp' AS level, coalesce(parent"))(lambda spark, sf: inv_io.manifest(_done(spark, sf).rows)[0])
 
 
 @register("s11_run_ledger")
@@ -634,7 +640,7 @@ def _reports(spark, sf) -> DataFrame:
     return _plan_texts(spark, sf).withColumn("text", F.regexp_replace("text", "\n## ", "\n")).crossJoin(F.broadcast(v)).select(F.col("plan_id").alias("report_id"), said.alias("text"))
 
 
-register("e1_audit_metrics")(lambda spark, sf: evaluate.audit_metrics(_reports(spark, sf), audit.volumetry(T.inventory(spark, sf))))
+register("e1_audit_metrics")(lambda spark, sf: evaluate.audit_metrics(_reports(spark, sf), T.inventory(spark, sf)))
 
 
 @register(

@@ -83,4 +83,6 @@ def oracle(sql: str) -> str:
     sql = sql.strip()
     if not out:
         return sql
-    return f"WITH {', '.join(out)}{',' + sql[4:] if sql.upper().startswith('WITH') else ' ' + sql}"
+    rest = sql[4:].lstrip()
+    begin = "WITH RECURSIVE" if rest.upper().startswith("RECURSIVE ") else "WITH"
+    return f"{begin} {', '.join(out)}{', ' + rest.removeprefix('RECURSIVE ') if sql.upper().startswith('WITH') else ' ' + sql}"

@@ -11,36 +11,54 @@ from pyspark.sql.types import StringType
 
 from ..functions import scalars as X
 from ..plans.plans import parse_plans
-from ..session import materialise
+from ..session import materialise, merged
+from .audit import volumetry
 from .explore import checked_filter
-from .hierarchy import plan_shape
-from .joins import expectations_met
+from .hierarchy import By, plan_shape
+from .joins import conservation, expectations_met
 from .postings import bitmaps, compared, totals
 from .runs import agent_run_metrics
 from .windows import pair_events
 
 
-def audit_metrics(reports: DataFrame, volumes: DataFrame) -> DataFrame:
-    """Of each report (report_id, text): length, sections, verdict, whether a plan was found and its shape, and whether the
-    volumes it states are those measured (items, folders, max_depth); null if it states none."""
-    parts = reports.select("report_id", F.length(X.text(F.col("text"))).alias("chars"), X.gabarit_sections(F.col("text")).alias("sections"), X.order_verdict(F.col("text")).alias("verdict"), X.volumetry_line(F.col("text")).alias("v"), X.report_sections(F.col("text")).alias("r"))
-    plans = parse_plans(parts.select(F.col("report_id").alias("plan_id"), F.col("r.plan").alias("text")))
-    shape = plan_shape(plans).withColumnRenamed("plan_id", "report_id")
-    same = (F.col("v.items") == F.col("items")) & (F.col("v.folders") == F.col("n_folders")) & (F.col("v.depth") == F.col("max_depth"))
-    rows = parts.crossJoin(F.broadcast(volumes.withColumnRenamed("folders", "n_folders"))).hint("merge").join(shape.hint("merge"), "report_id", "left")
-    return rows.select("report_id", "chars", F.size("sections").alias("n_sections"), "verdict", F.col("folders").isNotNull().alias("plan_found"), "folders", "depth", "max_children", "leaves", same.alias("volumes_match"))
+def audit_metrics(reports: DataFrame, inv: DataFrame | None = None, brief: bool = False) -> DataFrame:
+    """Of each report (report_id, text): length, the sections it has and whether all, the verdict, whether a plan was found, in a
+    marked block, and its shape; against the source, whether the volumes it states are right (null if it states none) and how
+    many of the source's folders with content its plan retains and how many it creates (null without a plan). A brief report has
+    no sections to look for, and without ``inv`` there is nothing to compare with."""
+    text = X.text(F.col("text"))
+    parts = reports.select("report_id", F.length(text).alias("chars"), F.contains(text, F.lit(X.PLAN_MARKS[0])).alias("structure_block"), X.gabarit_sections(F.col("text")).alias("sections"), X.order_verdict(F.col("text")).alias("verdict"), X.volumetry_line(F.col("text")).alias("v"), X.report_sections(F.col("text")).alias("r"))
+    parts = materialise(parts, "report-parts")
+    plans = materialise(parse_plans(parts.select(F.col("report_id").alias("plan_id"), F.col("r.plan").alias("text"))), "report-plans")
+    rows = merged(parts, plan_shape(plans).withColumnRenamed("plan_id", "report_id"), "report_id", "left")
+    size, none = F.size("sections"), F.lit(None)
+    shown = {"n_sections": none.cast("int") if brief else size, "sections_complete": none.cast("boolean") if brief else size == X.SECTIONS}
+    against = {"volumes_match": none.cast("boolean"), **{c: none.cast("long") for c in ("source_folders", "source_retained")}, "source_retained_pct": none.cast("double"), "folders_created": none.cast("long")}
+    if inv is not None:
+        measured = volumetry(inv).select("items", F.col("folders").alias("n_folders"), F.col("max_depth").alias("n_depth"))
+        rows = merged(rows.crossJoin(F.broadcast(measured)), conservation(inv, plans).withColumnRenamed("plan_id", "report_id"), "report_id", "left")  # one row
+        same = (F.col("v.items") == F.col("items")) & (F.col("v.folders") == F.col("n_folders")) & (F.col("v.depth") == F.col("n_depth"))
+        against = {"volumes_match": same} | {c: F.col(c) for c in ("source_folders", "source_retained", "source_retained_pct", "folders_created")}
+    shape = [F.coalesce(c, F.lit(0)).alias(c) for c in ("folders", "depth", "max_children", "leaves")]
+    return rows.select("report_id", "chars", *[c.alias(n) for n, c in shown.items()], "verdict", (F.trim("r.plan") != "").alias("plan_extracted"), "structure_block", F.col("folders").isNotNull().alias("plan_found"), *shape, *[c.alias(n) for n, c in against.items()])
 
 
-def directives_followed(classified: DataFrame, cases: DataFrame) -> DataFrame:
+def directives_followed(classified: DataFrame, cases: DataFrame, by: By = ()) -> DataFrame:
     """total, followed, pct."""
-    met = expectations_met(classified, cases)
-    return met.agg(F.count("*").alias("total"), F.count_if("followed").alias("followed"), F.round(F.try_divide(100 * F.count_if("followed"), F.count("*")), 1).alias("pct"))
+    met = expectations_met(classified, cases, by)
+    return met.groupBy(*by).agg(F.count("*").alias("total"), F.count_if("followed").alias("followed"), F.round(F.try_divide(100 * F.count_if("followed"), F.count("*")), 1).alias("pct"))
+
+
+def directives_missed(classified: DataFrame, cases: DataFrame, by: By = ()) -> DataFrame:
+    """(path, landed_in, expected) of the cases that were not followed; landed_in is empty if the file is nowhere."""
+    landed = F.array_join(F.array_sort(F.coalesce("landed", F.array().cast("array<string>"))), " | ")
+    return expectations_met(classified, cases, by).where("NOT followed").select(*by, "path", landed.alias("landed_in"), F.col("folder").alias("expected"))
 
 
-def classement_metrics(counts: DataFrame) -> DataFrame:
+def classement_metrics(counts: DataFrame, by: By = ()) -> DataFrame:
     """Counters with their shares of the total."""
-    names = ("classified", "unclassified", "malformed", "extensions_fixed", "targets_unknown", "paths_not_found")
-    return counts.select("total", *names, *[F.round(F.try_divide(100 * F.col(c), F.col("total")), 1).alias(f"{c}_pct") for c in names])
+    names = ("classified", "unclassified", "malformed", "extensions_fixed", "targets_unknown", "paths_not_found", "refs_unresolved")
+    return counts.select(*by, "total", *names, *[F.round(F.try_divide(100 * F.col(c), F.col("total")), 1).alias(f"{c}_pct") for c in names])
 
 
 def _canonical(name: str | None, arguments: str | None) -> str | None:

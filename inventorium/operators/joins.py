@@ -108,16 +108,40 @@ def source_labels(inv: DataFrame, by: By = ()) -> DataFrame:
     return full.select(*by, X.conservation_label(F.col("label")).alias("label")).where("label <> ''").distinct()
 
 
+def rubrics(plan: DataFrame, by: By = ()) -> DataFrame:
+    """The plan without a single root that has children, which stands for the holding itself."""
+    kids = plan.where("parent IS NOT NULL").select(*by, F.col("parent").alias("folder")).distinct().withColumn("has_kids", F.lit(True))
+    roots = plan.groupBy(*by).agg(F.count_if(F.col("parent").isNull()).alias("n_roots"))
+    rows = with_holding(merged(plan, kids, [*by, "folder"], "left"), roots, by)
+    alone = F.col("parent").isNull() & (F.col("n_roots") == 1) & F.coalesce("has_kids", F.lit(False))
+    return rows.where(~alone).select(*plan.columns)
+
+
+def _planned_labels(plan: DataFrame, by: By) -> DataFrame:
+    return rubrics(plan, by).select(*by, X.conservation_label(F.col("folder")).alias("label")).where("label <> ''").distinct()
+
+
 def retained_folders(inv: DataFrame, plan: DataFrame, by: By = ()) -> DataFrame:
     """(label, retained): labels of the source's folders, and whether the plan has them."""
-    planned = plan.select(*by, X.conservation_label(F.col("folder")).alias("label")).distinct().withColumn("retained", F.lit(True))
+    planned = _planned_labels(plan, by).withColumn("retained", F.lit(True))
     return merged(source_labels(inv, by), planned, [*by, "label"], "left").withColumn("retained", F.coalesce("retained", F.lit(False)))
 
 
 def created_folders(inv: DataFrame, plan: DataFrame, by: By = ()) -> DataFrame:
     """(label): labels of the plan's folders that no source folder has."""
-    planned = plan.select(*by, X.conservation_label(F.col("folder")).alias("label")).where("label <> ''").distinct()
-    return merged(planned, source_labels(inv, by), [*by, "label"], "left_anti")
+    return merged(_planned_labels(plan, by), source_labels(inv, by), [*by, "label"], "left_anti")
+
+
+def conservation(inv: DataFrame, plans: DataFrame) -> DataFrame:
+    """Of each of many plans for one source (plan_id, folder, parent): source_folders, source_retained, source_retained_pct and
+    folders_created, by one join of all plans' labels with those of the source."""
+    known = source_labels(inv).withColumn("known", F.lit(True))
+    total = known.agg(F.count("*").alias("source_folders"))
+    each = merged(_planned_labels(plans, ("plan_id",)), known, "label", "left").groupBy("plan_id")
+    counts = each.agg(F.count_if("known").alias("source_retained"), F.count_if(F.col("known").isNull()).alias("folders_created"))
+    every = merged(plans.select("plan_id").distinct(), counts, "plan_id", "left").na.fill(0)
+    pct = F.round(F.try_divide(100 * F.col("source_retained"), F.col("source_folders")), 1)
+    return every.crossJoin(F.broadcast(total)).select("plan_id", "source_folders", "source_retained", pct.alias("source_retained_pct"), "folders_created")  # one row
 
 
 def stale_anchors(directives: DataFrame, plan: DataFrame, by: By = ()) -> DataFrame:

@@ -49,23 +49,23 @@ def fonds_dashboard(projects: DataFrame) -> DataFrame:
     return projects.agg(F.count("*").alias("projects"), F.sum("items").alias("items"), F.sum("total_tokens").alias("tokens"), F.round(F.sum("duration_s"), 3).alias("duration_s"), F.count("plan_matches").alias("measured"), F.count_if("plan_matches").alias("matching"), F.round(F.try_divide(F.count_if("plan_matches"), F.nullif(F.count("plan_matches"), F.lit(0))), 4).alias("conformity_rate"))
 
 
-def coverage_report(inv: DataFrame, classified: DataFrame) -> DataFrame:
+def coverage_report(inv: DataFrame, classified: DataFrame, by: By = ()) -> DataFrame:
     """original_items, new_folders, new_items, undated_items, missing."""
-    before = items(inv).agg(F.count("*").alias("original_items"))
-    item = F.col("level") == "Item"
-    after = classified.agg(F.count_if((F.col("level") == "RecordGrp") & (F.col("path") != ".")).alias("new_folders"), F.count_if(item).alias("new_items"), F.count_if(item & (X.text(F.col("start_date")) == "")).alias("undated_items"))
-    return before.crossJoin(F.broadcast(after)).withColumn("missing", F.col("original_items") - F.col("new_items"))
+    kind = F.when(F.col("level") == "Item", "item").when(F.col("path") != ".", "folder")
+    after = classified.select(*by, kind.alias("kind"), (X.text(F.col("start_date")) == "").alias("undated"))
+    rows = items(inv).select(*by, F.lit("original").alias("kind"), F.lit(False).alias("undated")).unionByName(after)
+    n = {"original_items": F.col("kind") == "original", "new_folders": F.col("kind") == "folder", "new_items": F.col("kind") == "item", "undated_items": (F.col("kind") == "item") & F.col("undated")}
+    out = rows.groupBy(*by).agg(*[F.count_if(c).alias(k) for k, c in n.items()])
+    return out.withColumn("missing", F.col("original_items") - F.col("new_items"))
 
 
-def manifest_summary(classified: DataFrame) -> DataFrame:
+def manifest_summary(classified: DataFrame, by: By = ()) -> DataFrame:
     """folders, items, max_depth of the folders below the root, first and last date of the Items."""
     item, folder = F.col("level") == "Item", F.col("level") == "RecordGrp"
-    tree = classified.where(folder).select("id", "parent_id")
-    depths = along_path(tree, {"d": (F.lit(0).cast("long"), lambda above, own: above + own + 1)})
-    deepest = depths.agg(F.coalesce(F.max("d"), F.lit(0)).cast("long").alias("max_depth"))
-    first, last = (F.coalesce(f(F.when(item, F.nullif(c, F.lit("")))), F.lit("")).alias(c) for f, c in ((F.min, "start_date"), (F.max, "end_date")))
-    volumes = classified.agg(F.count_if(folder & (F.col("path") != ".")).alias("folders"), F.count_if(item).alias("items"), first, last)
-    return volumes.crossJoin(F.broadcast(deepest)).select("folders", "items", "max_depth", "start_date", "end_date")  # one row each
+    depths = along_path(classified.where(folder).select(*by, "id", "parent_id"), {"d": (F.lit(0).cast("long"), lambda above, own: above + own + 1)}, by)
+    rows = classified.select(*by, "level", "path", "start_date", "end_date", F.lit(0).cast("long").alias("d")).unionByName(depths.select(*by, "d"), allowMissingColumns=True)
+    first, last = (F.coalesce(f(F.when(item, F.nullif(c, F.lit("")))), F.lit("")).alias(c) for c, f in (("start_date", F.min), ("end_date", F.max)))
+    return rows.groupBy(*by).agg(F.count_if(folder & (F.col("path") != ".")).alias("folders"), F.count_if(item).alias("items"), F.coalesce(F.max("d"), F.lit(0)).alias("max_depth"), first, last)
 
 
 def plan_ranges(shapes: DataFrame) -> DataFrame:

@@ -4,15 +4,17 @@ Texts are (plan_id, text); parsed plans (plan_id, pos, folder, parent, title); n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as X
+from ..operators.explore import number_rows
 from ..operators.hierarchy import along_path, full_paths, plan_shape
-from ..operators.joins import plan_parents
+from ..operators.joins import plan_parents, rubrics
 from ..operators.runs import plan_ranges
 from ..operators.sets import all_folders
+from ..operators.windows import id_order
 from ..session import merged
 
 _ARROW = r"\s*(?:→|->)\s*"
@@ -62,33 +64,77 @@ def plan_nodes(texts: DataFrame) -> DataFrame:
 
 
 def plan_from_inventory(inv: DataFrame, plan_id: str = "inventory") -> DataFrame:
-    """Nodes from the folder rows of an inventory; those whose parent is no folder stand at the top."""
+    """Nodes from the folder rows of an inventory, siblings in the order of their identifiers; those whose parent is no folder
+    stand at the top."""
     rows = inv.where("level = 'RecordGrp' AND path <> '.'")
     ids = rows.select(F.col("id").alias("parent_id")).distinct().withColumn("known", F.lit(True))
     base = X.strip_prefix(X.basename(F.col("path")))
     slug = X.slugify(F.when(base != "", base).otherwise(F.col("title")))
-    out = merged(rows, ids, "parent_id", "left")
+    keys = {f"__o{k}": c for k, c in enumerate(id_order(F.col("id")))}
+    out = number_rows(merged(rows, ids, "parent_id", "left").drop("pos").withColumns(keys), [*keys], "pos")
     return out.select(F.lit(plan_id).alias("plan_id"), "id", F.when(F.col("known"), F.col("parent_id")).otherwise("").alias("parent_id"), F.when(X.text(F.col("title")) != "", F.col("title")).otherwise(X.humanize(X.basename(F.col("path")))).alias("title"), slug.alias("slug"), "pos")
 
 
+def plan_import_report(inv: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """folder_count, ignored_items and root_title of a plan that is made from an inventory; Items are ignored."""
+    folder = F.col("level") == "RecordGrp"
+    root = folder & (F.trim("path") == ".") & (X.text(F.col("parent_id")) == "")
+    title = F.coalesce(F.max(F.when(root, F.nullif(F.trim(X.text(F.col("title"))), F.lit("")))), F.lit("Plan de classement"))
+    return inv.groupBy(*by).agg(F.count_if(folder & ~root).alias("folder_count"), F.count_if(F.col("level") == "Item").alias("ignored_items"), title.alias("root_title"))
+
+
+def _placed(nodes: DataFrame) -> DataFrame:
+    """Nodes with numbers, the positions of a node and those above it among their siblings by pos, and lasts, whether each of
+    these is the last one."""
+    order = Window.partitionBy("plan_id", "parent_id").orderBy("pos", "id")
+    ranked = nodes.withColumns({"k": F.row_number().over(order), "last": F.lead("id").over(order).isNull()})
+
+    def joined(above, own):
+        return F.concat(above, own)
+
+    chain = along_path(ranked, {"numbers": (F.array("k"), joined), "lasts": (F.array("last"), joined)}, ("plan_id",))
+    return merged(nodes, chain, ["plan_id", "id"])
+
+
+def _with_number(placed: DataFrame) -> DataFrame:
+    number = F.array_join(F.transform("numbers", lambda n: n.cast("string")), "-")
+    return placed.withColumn("number", number).withColumn("folder", F.concat_ws("_", "number", "slug"))
+
+
 def plan_numbering(nodes: DataFrame) -> DataFrame:
     """Nodes with number ('1-2'), the positions of a node and those above it among their siblings by pos, and folder."""
-    order = Window.partitionBy("plan_id", "parent_id").orderBy("pos", "id")
-    own = nodes.withColumn("k", F.row_number().over(order))
-    chain = along_path(own, {"numbers": (F.array("k"), lambda above, below: F.concat(above, below))}, ("plan_id",))
-    rows = merged(own, chain, ["plan_id", "id"])
-    return rows.withColumn("number", F.array_join(F.transform("numbers", lambda n: n.cast("string")), "-")).withColumn("folder", F.concat_ws("_", "number", "slug")).drop("k")
+    return _with_number(_placed(nodes)).drop("lasts")
+
+
+# How a plan is drawn, and the heading and fence of its block.
+ROOT_TITLE = "[Nom du fonds]"
+SEPARATOR, INDENT, BRANCH, LAST, UNDER_BRANCH, UNDER_LAST = "  │", "  ", "├──", "└──", "│     ", "      "
+BLOCK_HEADER = "**Arborescence technique** *(chaque dossier porte son titre descriptif puis son nom technique, séparés par « → » ; dossiers uniquement, jamais de fichiers individuels)* **:**"
+
+
+def _safe_title(title) -> Column:
+    return F.trim(F.regexp_replace(X.text(title), _ARROW, " - "))
+
+
+def render_plans(nodes: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """(plan_id, text): an outline with glyphs, numbers, titles and names, which parse_plans reads back. The root's line comes
+    first, with its title (``titles``: plan_id, title) if there is one, and a bar before each folder of the first level. Below a
+    folder that has siblings to follow runs a bar; below the last one there is none."""
+    placed = _with_number(_placed(nodes))
+    above = F.transform(F.slice("lasts", 1, F.size("lasts") - 1), lambda last: F.when(last, UNDER_LAST).otherwise(UNDER_BRANCH))
+    glyph = F.concat(F.lit(INDENT), F.array_join(above, ""), F.when(F.element_at("lasts", -1), LAST).otherwise(BRANCH))
+    number = F.concat(F.array_join(F.transform("numbers", lambda n: n.cast("string")), "."), F.lit("."))
+    line = F.concat(glyph, F.lit(" "), number, F.lit(" "), _safe_title(F.col("title")), F.lit(" → "), F.col("folder"), F.lit("/"))
+    rows = placed.select("plan_id", "numbers", F.when(F.size("numbers") == 1, F.concat(F.lit(SEPARATOR + "\n"), line)).otherwise(line).alias("line"))
+    body = rows.groupBy("plan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("numbers", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    named = merged(body, titles.select("plan_id", _safe_title(F.col("title")).alias("root")), "plan_id", "left") if titles is not None else body.withColumn("root", F.lit(""))
+    root = F.concat(F.lit("Fonds — "), F.coalesce(F.nullif("root", F.lit("")), F.lit(ROOT_TITLE)), F.lit(f" → {ROOT_NAME}/\n"))
+    return named.select("plan_id", F.concat(root, "body").alias("text"))
 
 
-def render_plans(nodes: DataFrame) -> DataFrame:
-    """(plan_id, text): an outline with glyphs, numbers, titles and names, which parse_plans reads back."""
-    numbered = plan_numbering(nodes)
-    last = F.row_number().over(Window.partitionBy("plan_id", "parent_id").orderBy(F.desc("pos"), F.desc("id"))) == 1
-    glyph = F.concat(F.repeat(F.lit("│  "), F.size("numbers") - 1), F.when(F.col("last"), "└─ ").otherwise("├─ "))
-    title = F.regexp_replace(F.col("title"), _ARROW, " - ")
-    line = F.concat(glyph, F.array_join(F.transform("numbers", lambda n: n.cast("string")), "."), F.lit(". "), title, F.lit(" → "), F.col("folder"), F.lit("/"))
-    rows = numbered.withColumn("last", last).select("plan_id", "numbers", line.alias("line"))
-    return rows.groupBy("plan_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("numbers", "line"))), lambda x: x["line"]), "\n").alias("text"))
+def plan_blocks(rendered: DataFrame) -> DataFrame:
+    """(plan_id, text): rendered plans under their heading, in a fence, as a document of their own."""
+    return rendered.select("plan_id", F.concat(F.lit(f"{BLOCK_HEADER}\n\n```text\n"), "text", F.lit("\n```")).alias("text"))
 
 
 def plan_paths(plan: DataFrame) -> DataFrame:
@@ -99,11 +145,7 @@ def plan_paths(plan: DataFrame) -> DataFrame:
 
 def rubric_labels(plan: DataFrame) -> DataFrame:
     """(plan_id, label) without a single root that has children."""
-    kids = plan.where("parent IS NOT NULL").select("plan_id", F.col("parent").alias("folder")).distinct().withColumn("has_kids", F.lit(True))
-    roots = plan.where("parent IS NULL").groupBy("plan_id").agg(F.count("*").alias("n_roots"))
-    rows = merged(merged(plan, kids, ["plan_id", "folder"], "left"), roots, "plan_id", "left")
-    alone = F.col("parent").isNull() & (F.col("n_roots") == 1) & F.coalesce("has_kids", F.lit(False))
-    return rows.where(~alone).select("plan_id", X.semantic_label(F.col("folder")).alias("label"))
+    return rubrics(plan, ("plan_id",)).select("plan_id", X.semantic_label(F.col("folder")).alias("label"))
 
 
 def compare_variants(plans: DataFrame) -> dict[str, DataFrame]:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..session import materialise, merged, sized
 from .records import read_csv
 
 # Column names outside, and inside Spark, where names have no dots.
@@ -118,26 +119,29 @@ def fingerprint(inv: DataFrame, files: DataFrame, overwrite: bool = False) -> Da
     return out.withColumn("fingerprint", F.when(F.col("fingerprint_status") == "hashed", F.col("__sum")).otherwise(F.col("fingerprint"))).drop("__sum")
 
 
-def manifest(classified: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Directories (path, title, dates) and items (target, source, title, dates) of a classified tree."""
+def manifest(classified: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Directories (path, name, title, level, dates) and items (directory, path, name, source, dates) of a classified tree. The
+    name of an item is its title, and its path is where it will stand."""
+    from ..operators.classify import MOST_FOLDERS, root_ids
+    from ..operators.explore import with_holding
     from ..operators.hierarchy import full_paths
 
-    root = classified.where("path = '.'").agg(F.min("id").alias("root_id"))
     dirs = classified.where("level = 'RecordGrp' AND path <> '.'")
-    tree = dirs.crossJoin(F.broadcast(root)).withColumn("parent_id", F.when(F.col("parent_id") == F.col("root_id"), "").otherwise(F.col("parent_id")))
-    paths = full_paths(tree.select("id", "parent_id", "path"), "path")
-    listed = dirs.join(paths, "id").select(F.col("full_path").alias("path"), "title", "start_date", "end_date")
-    above = paths.select(F.col("id").alias("parent_id"), "full_path")
-    files = classified.where("level = 'Item'").join(above, "parent_id", "left").select(F.coalesce("full_path", F.lit("")).alias("directory"), F.col("path").alias("source"), "title", "start_date", "end_date")
-    return listed, files
-
-
-def write_manifest(classified: DataFrame, path: str) -> None:
+    tree = with_holding(dirs, root_ids(classified, by), by).withColumn("parent_id", F.when(F.col("parent_id") == F.col("root_id"), "").otherwise(F.col("parent_id")))
+    paths = materialise(full_paths(tree.select(*by, "id", "parent_id", "path"), "path", by), "directory-paths")
+    listed = merged(dirs, paths, [*by, "id"]).select(*by, F.col("full_path").alias("path"), F.col("path").alias("name"), "title", "level", "start_date", "end_date")
+    above = paths.select(*by, F.col("id").alias("parent_id"), "full_path")
+    files = classified.where("level = 'Item'").join(sized(above, MOST_FOLDERS), [*by, "parent_id"], "left")
+    directory, name = F.coalesce("full_path", F.lit("")), X.text(F.col("title"))
+    shown = F.concat_ws("/", F.nullif(directory, F.lit("")), name)
+    return listed, files.select(*by, directory.alias("directory"), shown.alias("path"), name.alias("name"), F.col("path").alias("source"), "start_date", "end_date")
+
+
+def write_manifest(classified: DataFrame, path: str, by: tuple[str, ...] = ()) -> None:
+    """Directories in the order of a walk by name, and items by directory, name and source, as JSON lines; and the summary."""
     from ..operators.runs import manifest_summary
 
-    dirs, files = manifest(classified)
-    dirs.write.json(f"{path}/directories")
-    files.write.json(f"{path}/items")
-    manifest_summary(classified).write.json(f"{path}/summary")
-
-
+    dirs, files = manifest(classified, by)
+    dirs.orderBy(*by, F.split("path", "/")).write.json(f"{path}/directories")
+    files.orderBy(*by, F.split("directory", "/"), "name", "source").write.json(f"{path}/items")
+    manifest_summary(classified, by).write.json(f"{path}/summary")

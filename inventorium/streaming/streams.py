@@ -20,6 +20,22 @@ def progress(lines: DataFrame) -> DataFrame:
     return lines.where(data).groupBy("batch_id").agg(F.count("*").alias("n"))
 
 
+def store_progress(counts: DataFrame, checkpoint: str, sink: str):
+    """Starts a stream that stores the batches whose count has changed, an epoch in its own folder, so that a repeated epoch
+    writes the same files again. Returns the query."""
+
+    def store(part: DataFrame, epoch: int) -> None:
+        part.write.mode("overwrite").parquet(f"{sink}/epoch={epoch}")
+
+    return counts.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_progress(spark: SparkSession, sink: str) -> DataFrame:
+    """(batch_id, n): the count of each batch in its last epoch."""
+    stored = spark.read.schema("batch_id string, n long, epoch int").option("basePath", sink).parquet(sink)
+    return stored.groupBy("batch_id").agg(F.max_by("n", "epoch").alias("n"))
+
+
 def usage_quota(usage: DataFrame, watermark: str = "1 day", cap: int = DAILY_TOKENS) -> DataFrame:
     """(day, tokens, over_cap) of usage (ts, tokens)."""
     days = usage.withWatermark("ts", watermark).groupBy(F.window("ts", "1 day"))

@@ -136,7 +136,13 @@ def test_audit_measures(spark, inv):
     fp = df.withColumn("fingerprint", F.when(F.col("level") == "Item", F.upper(F.substring("title", 1, 1))).otherwise(""))
     d = audit.strict_duplicate_totals(fp).first()
     assert d.available and d.files - d.groups == d.redundant
-    assert set(audit.scan(df)) >= {"volumetry", "noise", "structure"}
+    told = {(r.measure, r.key): r.n for r in audit.scan_report(fp).collect()}
+    assert told[("strict_duplicates", "redundant")] == d.redundant and told[("empty_folders", "n_empty")] == 2 and told[("empty_folder_examples", "Ordre")] == 2
+    assert {(r.measure, r.key): r.n for r in audit.scan_report(df).collect()}[("strict_duplicates", "available")] == 0
+    both = fp.withColumn("fonds_id", F.lit("a")).unionByName(fp.where("id <> '8'").withColumn("fonds_id", F.lit("b")))
+    for f, own in (("a", fp), ("b", fp.where("id <> '8'"))):
+        want = sorted(map(tuple, audit.scan_report(own).collect()), key=str)
+        assert sorted(map(tuple, audit.scan_report(both, ("fonds_id",)).where(F.col("fonds_id") == f).drop("fonds_id").collect()), key=str) == want
 
 
 def test_rules(spark, inv):
