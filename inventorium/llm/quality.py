@@ -7,8 +7,10 @@ Documents are dealt into chunks of bounded size by one shuffle. Each chunk sends
 document, to the sharded tables; their costs come back by joins and meet the chunk's texts, which were shuffled once, in a
 cogroup that sums them over each document. No part of the model is collected or broadcast, but for tables of proven size.
 
-A document passes if its perplexity and its peak, the dearest WINDOW characters, are both under their thresholds: a few bad
-words hardly move a mean, and a peak shows them.
+A document passes if its perplexity and its burst are both under their thresholds. A few bad words hardly move a mean, so dear
+stretches are counted as well: runs of windows of WINDOW characters over a bound that held-out trusted text goes over once in
+EVERY characters. The burst is how far a document's runs exceed those expected of its length, in standard deviations, so
+neither figure moves with length as such: trusted texts that are joined keep passing.
 
 Defined results: a null or empty text has no perplexity and is not kept. Languages without a model of their own, null and
 the empty string included, use the model pooled over all trusted text, and its thresholds where theirs has no held-out text.
@@ -31,6 +33,8 @@ from pyspark.sql.window import Window
 from .common import materialise, new_path, remove, sized, table
 
 ORDER, WINDOW = 4, 6
+#: Characters of held-out trusted text with one run of dear windows, and the bounds among which that one is found: mean costs.
+EVERY, BOUNDS = 10_000, np.arange(1.0, 13.0, 0.125)
 #: Of the held-out trusted documents of a language, this share is under each threshold.
 QUANTILE = 0.99
 #: Bytes of text in a chunk, about.
@@ -39,7 +43,8 @@ CHUNK_BYTES = 48 << 20
 LISTED_CHUNKS = 4096
 #: Trusted ids and rows of small model tables that are broadcast; more are joined by a shuffle.
 MOST_IDS, MOST_ROWS = 2_000_000, 50_000
-_BINS = 512
+#: Bins of one unit, in which thresholds are found.
+_COST_BINS, _BURST_BINS = 512, 1 << 16
 _POOLED = ""
 _BITS, _START = 21, 0x110000  # one past the last character
 _LAST = (1 << _BITS) - 1
@@ -197,7 +202,8 @@ def costs(needed: DataFrame, model: tuple[list[DataFrame], DataFrame]) -> DataFr
 
 
 def _summed(key, docs: pa.Table, known: pa.Table) -> pa.Table:
-    """Mean and peak cost of each text of a chunk from the costs of the chunk's n-grams."""
+    """Mean cost of each text of a chunk from the costs of the chunk's n-grams, its length, and the runs of windows over each of
+    BOUNDS."""
     tables = {}
     names = known["lang"].to_numpy(zero_copy_only=False)
     context, symbol = known["context"].to_numpy(), known["symbol"].to_numpy()
@@ -207,8 +213,7 @@ def _summed(key, docs: pa.Table, known: pa.Table) -> pa.Table:
         at, contexts = pd.factorize(context[own])
         keys, first = np.unique(at.astype(np.int64) << _BITS | symbol[own].astype(np.int64), return_index=True)  # a task may send one twice
         tables[lang] = pd.Index(contexts), pd.Index(keys), cost[own][first]
-    mean: list[float | None] = []
-    peak: list[float | None] = []
+    rows: list[tuple] = []
     for lang, text in zip(docs["lang"].to_pylist(), docs["text"].to_pylist(), strict=True):
         parts = []
         for piece in _pieces(text or ""):
@@ -219,21 +224,27 @@ def _summed(key, docs: pa.Table, known: pa.Table) -> pa.Table:
                 raise RuntimeError("a chunk lacks the cost of an n-gram")
             parts.append(dear[at])
         own = np.concatenate(parts) if parts else np.zeros(0)
-        if not len(own) or np.isnan(own[0]):
-            mean.append(None)
-            peak.append(None)
-            continue
-        mean.append(float(own.mean()))
-        width = min(WINDOW, len(own))
-        window = own[: len(own) - width + 1].copy()
-        for k in range(1, width):
-            window += own[k : len(own) - width + 1 + k]
-        peak.append(float(window.max()) / width)
-    return pa.table([docs["doc_id"], docs["lang"], pa.array(mean, pa.float64()), pa.array(peak, pa.float64())], ["doc_id", "lang", "cost", "peak"])
+        rows.append((None, None, None) if not len(own) or np.isnan(own[0]) else (float(own.mean()), len(own), _runs(own)))
+    mean, n, runs = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table([docs["doc_id"], docs["lang"], pa.array(mean, pa.float64()), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.int32()))], ["doc_id", "lang", "cost", "n", "runs"])
+
+
+def _runs(costs: np.ndarray) -> list[int]:
+    """How many runs of windows lie over each of BOUNDS. A run begins where a window is over a bound and the one before is not,
+    so it counts for every bound between the two."""
+    width = min(WINDOW, len(costs))
+    window = costs[: len(costs) - width + 1].copy()
+    for k in range(1, width):
+        window += costs[k : len(costs) - width + 1 + k]
+    over = np.searchsorted(BOUNDS, window / width)  # so many bounds lie below
+    before = np.concatenate(([0], over[:-1]))
+    up = over > before
+    edges = np.bincount(before[up], minlength=len(BOUNDS) + 1) - np.bincount(over[up], minlength=len(BOUNDS) + 1)
+    return np.cumsum(edges)[: len(BOUNDS)].tolist()
 
 
 def score(docs: DataFrame, model: tuple[list[DataFrame], DataFrame], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(doc_id, lang, cost, peak): the mean cost of a character and that of the dearest window."""
+    """(doc_id, lang, cost, n, runs): the mean cost of a character, their number, and the runs of dear windows by bound."""
     lang = F.col(lang_col).cast("string")
     slim = docs.select(F.col(id_col).alias("doc_id"), lang.alias("lang"), F.col(text_col).cast("string").alias("text"))
     total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
@@ -250,24 +261,39 @@ def score(docs: DataFrame, model: tuple[list[DataFrame], DataFrame], id_col: str
     needed = needed.hint("merge").join(sized(own, MOST_ROWS), "lang", "left").withColumn("model", F.coalesce("model", F.lit(_POOLED)))
     known = costs(needed, model).select(F.explode("chunks").alias("chunk"), "lang", "context", "symbol", F.col("cost").cast("float").alias("cost"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_summed, f"doc_id {kind}, lang string, cost double, peak double")
+    return dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_summed, f"doc_id {kind}, lang string, cost double, n long, runs array<int>")
+
+
+def _limit(known: DataFrame, name: str, quantile: float, bins: int) -> DataFrame:
+    """(model, most): the bound of ``name`` under which the share ``quantile`` of each model's rows lies, and that of all rows
+    under null; from exact counts in narrow bins."""
+    own = known.select("model", F.floor(F.col(name) * bins).alias("bin"))
+    counts = own.unionByName(own.withColumn("model", F.lit(None).cast("string"))).groupBy("model", "bin").agg(F.count("*").alias("n"))
+    part = Window.partitionBy("model")  # a row for each bin that a held-out text falls into
+    ranked = counts.withColumn("upto", F.sum("n").over(part.orderBy("bin"))).withColumn("all", F.sum("n").over(part))
+    return ranked.where(F.col("upto") >= F.col("all") * quantile).groupBy("model").agg(((F.min("bin") + 1) / bins).alias(f"most_{name}"))
+
+
+def _rates(known: DataFrame) -> DataFrame:
+    """(model, bound, rate): the first bound that the texts of a model go over once in EVERY characters or less, and how often
+    they do; one time is the least that is taken. Under null for all rows."""
+    sums = known.select("model", "n", F.posexplode("runs").alias("bound", "runs")).groupBy("model", "bound").agg(F.sum("runs").alias("runs"), F.sum("n").alias("n"))
+    every = sums.unionByName(sums.groupBy("bound").agg(F.sum("runs").alias("runs"), F.sum("n").alias("n")).withColumn("model", F.lit(None).cast("string")))
+    rare = (F.col("runs") * EVERY <= F.col("n")) | (F.col("bound") == len(BOUNDS) - 1)
+    return every.where(rare).groupBy("model").agg(F.min(F.struct("bound", (F.greatest("runs", F.lit(1)) / F.col("n")).alias("rate"))).alias("r")).select("model", "r.*")
 
 
-def _limits(scored: DataFrame, by: str, quantile: float) -> DataFrame:
-    """(model, cost and peak under which the share ``quantile`` lies), from exact counts in narrow bins."""
-    out = None
-    for name in ("cost", "peak"):
-        own = scored.select(F.col(by).alias("model"), F.floor(F.col(name) * _BINS).alias("bin"))
-        bins = own.unionByName(own.withColumn("model", F.lit(None).cast("string"))).groupBy("model", "bin").agg(F.count("*").alias("n"))
-        part = Window.partitionBy("model")  # a row for each bin, so a few thousand for each model
-        ranked = bins.withColumn("upto", F.sum("n").over(part.orderBy("bin"))).withColumn("all", F.sum("n").over(part))
-        found = ranked.where(F.col("upto") >= F.col("all") * quantile).groupBy("model").agg(((F.min("bin") + 1) / _BINS).alias(f"most_{name}"))
-        out = found if out is None else out.join(found.withColumnRenamed("model", "m2"), F.col("model").eqNullSafe(F.col("m2"))).drop("m2")
-    return materialise(out, "thresholds")
+def _of_model(rows: DataFrame, known: DataFrame, columns: list[str], what: str) -> DataFrame:
+    """``rows`` (model and others) with the columns of their model, or of all models where theirs has none."""
+    known = materialise(known, what)
+    own = known.where("model IS NOT NULL").select(F.col("model").alias("m"), *columns)
+    pooled = known.where("model IS NULL").first()
+    out = rows.hint("merge").join(sized(own, MOST_ROWS), F.col("model") == F.col("m"), "left").drop("m")
+    return out.withColumns({c: F.coalesce(c, F.lit(pooled[c] if pooled else None).cast(known.schema[c].dataType)) for c in columns})
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """One row per document: doc_id, lang, perplexity, peak, their thresholds and keep. ``labels``: doc_id, quality, toxic. A
+    """One row per document: doc_id, lang, perplexity, burst, their thresholds and keep. ``labels``: doc_id, quality, toxic. A
     fifth of the trusted documents, by the CRC-32 of their id, is held out of the training and gives the thresholds."""
     good = labels.groupBy(F.col("doc_id").alias("__label_id")).agg(F.min((F.coalesce(F.col("quality"), F.lit(0)) == 1) & (F.coalesce(F.col("toxic"), F.lit(1)) == 0)).alias("ok")).where("ok").select("__label_id")
     held = F.crc32(F.col("__label_id").cast("string").cast("binary")) % 5 == 0
@@ -279,15 +305,16 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, id_
     scored = materialise(score(docs, model, id_col, text_col, lang_col, chunk_bytes), "perplexities")
     some = not good.where("__held_out").isEmpty()
     judges = good.where("__held_out") if some else good
-    known = scored.where("cost IS NOT NULL").hint("merge").join(judges.hint("merge"), scored["doc_id"] == F.col("__label_id"), "left_semi")
-    limits = _limits(known.select(F.coalesce("lang", F.lit(_POOLED)).alias("lang"), "cost", "peak"), "lang", quantile)
-    own = limits.where("model IS NOT NULL").select(F.col("model").alias("m"), "most_cost", "most_peak")
-    pooled = limits.where("model IS NULL").agg(F.max("most_cost").alias("cost"), F.max("most_peak").alias("peak")).first()
-    name = F.coalesce("lang", F.lit(_POOLED))
-    out = scored.hint("merge").join(sized(materialise(own, "own-thresholds"), MOST_ROWS), name == F.col("m"), "left")
-    most_cost, most_peak = F.coalesce("most_cost", F.lit(pooled.cost).cast("double")), F.coalesce("most_peak", F.lit(pooled.peak).cast("double"))
-    keep = F.coalesce((F.col("cost") <= most_cost) & (F.col("peak") <= most_peak), F.lit(False))
-    return out.select("doc_id", "lang", F.exp("cost").alias("perplexity"), F.exp("peak").alias("peak"), F.exp(most_cost).alias("threshold"), F.exp(most_peak).alias("peak_threshold"), keep.alias("keep"))
+    scored = scored.withColumn("model", F.coalesce("lang", F.lit(_POOLED)))
+    held = scored.where("cost IS NOT NULL").hint("merge").join(judges.hint("merge"), scored["doc_id"] == F.col("__label_id"), "left_semi")
+    expected = F.col("rate") * F.col("n")
+    measured = _of_model(scored, _rates(held), ["bound", "rate"], "rates").withColumn("burst", (F.get("runs", F.col("bound")) - expected) / F.sqrt(expected)).drop("runs")
+    measured = materialise(measured, "bursts")
+    held = materialise(measured.where("cost IS NOT NULL").hint("merge").join(judges.hint("merge"), measured["doc_id"] == F.col("__label_id"), "left_semi"), "judging-texts")
+    out = _of_model(measured, _limit(held, "cost", quantile, _COST_BINS), ["most_cost"], "cost-thresholds")
+    out = _of_model(out, _limit(held, "burst", quantile, _BURST_BINS), ["most_burst"], "burst-thresholds")
+    keep = F.coalesce((F.col("cost") <= F.col("most_cost")) & (F.col("burst") <= F.col("most_burst")), F.lit(False))
+    return out.select("doc_id", "lang", F.exp("cost").alias("perplexity"), "burst", F.exp("most_cost").alias("threshold"), F.col("most_burst").alias("burst_threshold"), keep.alias("keep"))
 
 
 def op9_quality(spark, sf_dir):

@@ -743,14 +743,16 @@ def test_scores_match_a_plain_model(spark, chunk_bytes):
     for k, (lang, text) in enumerate(rows):
         assert got[k].lang == lang
         if not text:
-            assert got[k].cost is None and got[k].peak is None
+            assert got[k].cost is None and got[k].runs is None
             continue
         p = functools.cache(plain.get(lang, pooled))
         seq = [None] * 3 + list(text)
         costs = [-math.log(p(tuple(seq[i : i + 4]))) for i in range(len(text))]
         width = min(quality.WINDOW, len(text))
         assert got[k].cost == pytest.approx(sum(costs) / len(costs), rel=1e-6)
-        assert got[k].peak == pytest.approx(max(sum(costs[i : i + width]) / width for i in range(len(text) - width + 1)), rel=1e-6)
+        means = [sum(costs[i : i + width]) / width for i in range(len(text) - width + 1)]
+        want = [sum(m > b and (not i or means[i - 1] <= b) for i, m in enumerate(means)) for b in quality.BOUNDS + 1e-4]
+        assert got[k].n == len(text) and sum(abs(x - y) for x, y in zip(got[k].runs, want, strict=True)) <= len(text) // 500
 
 
 def test_junk_and_rude_words_are_dropped_and_clean_text_kept(spark, texts):
@@ -768,6 +770,23 @@ def test_junk_and_rude_words_are_dropped_and_clean_text_kept(spark, texts):
     assert quality.classify(docs.where("false"), labels).count() == 0
 
 
+def test_clean_texts_are_kept_however_long(spark):
+    """Some clean texts hold an odd string, so a long one holds many; toxic ones hold several bad words at any length."""
+    rng = random.Random(14)
+
+    def clean():
+        return prose(rng, 40) + (f" {rng.getrandbits(64):x} " if rng.random() < 0.1 else " ") + prose(rng, 20)
+
+    def rude(n):
+        return " ".join(prose(rng, 15) + " you jackdump quzzbok" for _ in range(n))
+
+    rows = [(k, clean()) for k in range(600)] + [(1000 + k, " ".join(clean() for _ in range(200))) for k in range(20)] + [(2000 + k, rude(1 + k)) for k in range(20)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(600)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.keep for r in quality.classify(frame(spark, rows), labels).collect()}
+    assert sum(got[k] for k in range(600)) >= 0.96 * 600
+    assert sum(got[1000 + k] for k in range(20)) >= 19 and not any(got[2000 + k] for k in range(20))
+
+
 def test_thresholds_are_quantiles_of_what_was_held_out(spark):
     rng = random.Random(13)
     rows = [(k, prose(rng, 30)) for k in range(200)]
@@ -775,7 +794,7 @@ def test_thresholds_are_quantiles_of_what_was_held_out(spark):
     labels = spark.createDataFrame([(k, 1, 0) for k in range(200)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in quality.classify(docs, labels, quantile=0.5).collect()}
     held = [got[k] for k in range(200) if zlib.crc32(str(k).encode()) % 5 == 0]
-    for name, most in (("perplexity", "threshold"), ("peak", "peak_threshold")):
+    for name, most in (("perplexity", "threshold"), ("burst", "burst_threshold")):
         under = sum(getattr(r, name) <= getattr(r, most) for r in held)
         assert len(held) / 2 <= under <= len(held) / 2 + 3
 
