@@ -244,6 +244,25 @@ def _stored_plans(spark, sf):
     return found.select(F.regexp_extract("text", "^([A-Z ]+ (?:table|plan))", 1).alias("first"), "kind")
 
 
+@register("s3_listing_of_input_files", "SELECT lang, CAST(sum(strlen(text) + 1) AS BIGINT) AS size FROM documents GROUP BY lang")
+def _listed_files(spark, sf):
+    """Files of texts in a folder for each language, listed with their sizes."""
+    path = new_path(spark, "text-files")
+    T.source(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").text(path)
+    files = inv_io.listing(spark, path).where(~F.startswith(X.basename(F.col("path")), F.lit("_")))
+    return files.groupBy(F.regexp_extract("path", "lang=([^/]*)/", 1).alias("lang")).agg(F.sum("size").alias("size"))
+
+
+over_inventory(
+    "by_h10_list_folder",
+    lambda inv: hierarchy.list_folder(_holdings(inv), "1_AFRICA", by=_BY).select("fonds_id", "kind", "name", "n_items"),
+    f"WITH c AS (SELECT folder, count(*) AS n FROM ({_CHAIN}) GROUP BY folder) SELECT 'a' AS fonds_id, 'folder' AS kind, path AS name, coalesce(n, 0) AS n_items FROM inventory LEFT JOIN c ON folder = path WHERE {_FOLDERS} AND regexp_matches(path, '^1_AFRICA/[^/]*$') ORDER BY path LIMIT 20",
+)
+over_inventory(
+    "by_w3_even_sample",
+    lambda inv: explore.even_sample(_holdings(inv), {"extension": "doc"}, 7, _BY).select("fonds_id", "nth", "total", "path"),
+    rf"WITH r AS (SELECT CASE WHEN path < '3' THEN 'a' ELSE 'b' END AS fonds_id, path, row_number() OVER (PARTITION BY path < '3' ORDER BY pos, path) - 1 AS nth, count(*) OVER (PARTITION BY path < '3') AS total FROM inventory WHERE {_ITEMS} AND lower(regexp_extract(path, '\.([^.]*)$', 1)) = 'doc') SELECT fonds_id, nth, total, path FROM r WHERE nth IN (SELECT CAST(floor(i * total / 7) AS BIGINT) FROM range(7) t(i))",
+)
 over_inventory(
     "u2_concat_batches",
     lambda inv: sets.concat_batches([hierarchy.items(inv).where(F.col("pos") % 3 == k).select("path", F.col("pos").alias("apos")) for k in (2, 0, 1)]).select("path", "pos"),

@@ -575,7 +575,6 @@ def _listing(spark, sf):
     return inv_io.inventory_of_listing(files).select("id", "parent_id", "path", "level", "title", "start_date", "end_date")
 
 
-register("s3_listing_of_input_files")(lambda spark, sf: inv_io.listing(spark, sf).select("path", "size"))
 register("s4_fingerprint", "SELECT doc_id AS id, sha256(text) AS fingerprint, 'hashed' AS fingerprint_status FROM documents")(lambda spark, sf: inv_io.fingerprint(_documents_inventory(spark, sf), T.source(spark, sf, "documents").select(F.concat(F.lit("d/"), "doc_id").alias("path"), F.col("text").cast("binary").alias("content"))).select("id", "fingerprint", "fingerprint_status"))
 
 

@@ -166,17 +166,20 @@ def frequent_terms(inv: DataFrame, spec: dict | None = None, n: int = 20, by: By
     return beside(most(counts, "term", min(n, MAX_TERMS), by), counts.groupBy(*by).agg(F.count("*").alias("distinct_terms")), by)
 
 
-def even_sample(inv: DataFrame, spec: dict | None = None, n: int = 5) -> DataFrame:
-    """Rows at floor(i * total / n) in input order, i < n <= 20; all if there are no more than n.
+def even_sample(inv: DataFrame, spec: dict | None = None, n: int = 5, by: By = ()) -> DataFrame:
+    """Rows at floor(i * total / n) in input order, i < n <= 20; all if there are no more than n; of each holding.
 
     Positions come from a sort by range and counts of its partitions, so no task sees all rows.
     """
     n = max(1, min(n, MAX_SAMPLE))
-    numbered = number_rows(filter_items(inv, spec), ["pos", "path"], "nth")
-    total = numbered.agg(F.count("*").alias("total"))
+    numbered = number_rows(filter_items(inv, spec), ["pos", "path"], "nth", by)
+    total = numbered.groupBy(*by).agg(F.count("*").alias("total"))
     places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.floor(i * F.col("total") / n))
-    wanted = total.select("total", F.explode(F.when(F.col("total") <= n, F.sequence(F.lit(0).cast("long"), F.greatest(F.col("total") - 1, F.lit(0)))).otherwise(places)).alias("nth"))
-    return numbered.withColumn("nth", F.col("nth") - 1).join(F.broadcast(wanted), "nth")  # at most n rows
+    every = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("total") - 1, F.lit(0)))
+    wanted = total.select(*by, "total", F.explode(F.when(F.col("total") <= n, every).otherwise(places)).alias("nth"))
+    placed = numbered.withColumn("nth", F.col("nth") - 1)
+    # without holdings, at most n rows
+    return placed.join(sized(wanted, MAX_SAMPLE * MOST_HOLDINGS) if by else F.broadcast(wanted), [*by, "nth"])
 
 
 def number_rows(rows: DataFrame, order: list[str], name: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -152,18 +152,22 @@ def empty_folders(inv: DataFrame, examples: int = 5, by: By = ()) -> DataFrame:
     """One row (for each holding): n_empty and the first labels in input order."""
     full = nonempty_folders(inv, by).withColumnRenamed("folder", "path")
     empty = merged(folders(inv), full, [*by, "path"], "left_anti")
-    return _first_labels(empty.select(*by, "pos", _folder_label().alias("label")), examples, by, "n_empty")
+    return _first_labels(empty.select(*by, "pos", _folder_label().alias("label")), examples, by, "n_empty", inv)
 
 
-def _first_labels(rows: DataFrame, k: int, by: By, count: str) -> DataFrame:
-    """Counts, and the labels of the first k rows by pos; only those k of each group are gathered."""
+def _first_labels(rows: DataFrame, k: int, by: By, count: str, inv: DataFrame) -> DataFrame:
+    """Counts, and the labels of the first k rows by pos; only those k of each group are gathered. Holdings of the inventory
+    without any row have zero and no examples."""
     if by:
         first = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy("pos", "label"))).where(F.col("nth") <= k)
     else:
         first = rows.orderBy("pos", "label").limit(k)
     shown = first.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "label"))), lambda x: x["label"]), " | ").alias("examples"))
     total = rows.groupBy(*by).agg(F.count("*").alias(count))
-    return total.join(shown, list(by), "left") if by else total.crossJoin(F.broadcast(shown))
+    if not by:
+        return total.crossJoin(F.broadcast(shown))  # one row
+    every = merged(merged(inv.select(*by).distinct(), total, list(by), "left"), shown, list(by), "left")
+    return every.select(*by, F.coalesce(count, F.lit(0)).alias(count), F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 def has_cycle(tree: DataFrame, by: By = ()) -> DataFrame:
@@ -190,24 +194,28 @@ def descendant_counts(inv: DataFrame, by: By = ()) -> DataFrame:
     return with_ancestors(inv).groupBy(*by, "folder").agg(F.count("*").alias("n_items"))
 
 
-def files_per_folder(inv: DataFrame, parent: str = ".", most: int = 20) -> DataFrame:
-    """(folder, n_items) of the first direct sub-folders of a folder, what lies below them included."""
-    sub = folders(inv).where(X.fold(X.parent_path(F.col("path"))) == X.fold(F.lit(parent))).select(F.col("path").alias("folder")).orderBy("folder").limit(most)
-    counts = descendant_counts(inv)
-    return merged(sub, counts, "folder", "left").select("folder", F.coalesce("n_items", F.lit(0)).alias("n_items"))
+def files_per_folder(inv: DataFrame, parent: str = ".", most: int = 20, by: By = ()) -> DataFrame:
+    """(folder, n_items) of the first direct sub-folders of a folder, what lies below them included; of each holding."""
+    sub = folders(inv).where(X.fold(X.parent_path(F.col("path"))) == X.fold(F.lit(parent))).select(*by, F.col("path").alias("folder"))
+    if by:
+        sub = sub.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy("folder"))).where(F.col("__k") <= most).drop("__k")
+    else:
+        sub = sub.orderBy("folder").limit(most)
+    return merged(sub, descendant_counts(inv, by), [*by, "folder"], "left").select(*by, "folder", F.coalesce("n_items", F.lit(0)).alias("n_items"))
 
 
-def list_folder(inv: DataFrame, path: str = ".", page: int = 0, size: int = 20) -> DataFrame:
-    """kind, name, n_items, title: direct sub-folders with the files below them, then a page of direct files."""
+def list_folder(inv: DataFrame, path: str = ".", page: int = 0, size: int = 20, by: By = ()) -> DataFrame:
+    """kind, name, n_items, title: direct sub-folders with the files below them, then a page of direct files. Of many holdings
+    those that have the folder give theirs."""
     from .explore import paginate
 
     known = folders(inv).where(X.fold(F.col("path")) == X.fold(F.lit(path))).limit(1)
     if path != "." and known.isEmpty():
-        near = [r.path for r in folders(inv).where(X.fold(F.col("path")).contains(F.lit(path.lower()))).select("path").orderBy("path").limit(5).collect()]
+        near = [r.path for r in folders(inv).where(X.fold(F.col("path")).contains(F.lit(path.lower()))).select("path").distinct().orderBy("path").limit(5).collect()]
         raise ValueError(f"no folder {path!r}; near: {near}")
-    subs = files_per_folder(inv, path).select(F.lit("folder").alias("kind"), F.col("folder").alias("name"), "n_items", F.lit(None).cast("string").alias("title"))
+    subs = files_per_folder(inv, path, by=by).select(*by, F.lit("folder").alias("kind"), F.col("folder").alias("name"), "n_items", F.lit(None).cast("string").alias("title"))
     direct = items(inv).where(X.fold(X.parent_path(F.col("path"))) == X.fold(F.lit(path)))
-    files = paginate(direct, page, size).select(F.lit("file").alias("kind"), F.col("path").alias("name"), F.lit(1).cast("long").alias("n_items"), "title")
+    files = paginate(direct, page, size, by).select(*by, F.lit("file").alias("kind"), F.col("path").alias("name"), F.lit(1).cast("long").alias("n_items"), "title")
     return subs.unionByName(files)
 
 
