@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as X
-from ..session import materialise, sized
+from ..session import materialise
 from .explore import beside, most, topk
 from .hierarchy import By, _first_labels, _folder_label, empty_folders, folders, items, nonempty_folders
 
@@ -16,10 +16,6 @@ from .hierarchy import By, _first_labels, _folder_label, empty_folders, folders,
 _DERIVED = {"__ext": X.extension, "__name": X.basename, "__depth": X.depth, "__noise": X.noise_kind}
 
 
-#: Repeated names that are broadcast to the Items; more are joined by a shuffle.
-MOST_NAMES = 300_000
-
-
 def prepared(inv: DataFrame) -> DataFrame:
     """The inventory with what the measures derive from a path."""
     return inv.withColumns({name: of(F.col("path")) for name, of in _DERIVED.items()})
@@ -65,13 +61,11 @@ def noise_examples(inv: DataFrame, k: int = 5, by: By = ()) -> DataFrame:
 
 
 def name_collisions(inv: DataFrame, min_n: int = 2, by: By = ()) -> DataFrame:
-    """(name, n, first_path) of the names, case folded, that several Items have; noise left out. Counts come first, and only
-    the rows of names that repeat look for their first path."""
+    """(name, n, first_path) of the names, case folded, that several Items have; noise left out. One pass: each task sends a
+    count and a first path for each of its names."""
     real = items(inv).where(_derived(inv, "__noise").isNull()).withColumn("name", F.lower(F.trim(_derived(inv, "__name")))).where("name <> ''")
-    counts = real.groupBy(*by, "name").agg(F.count("*").alias("n"), F.min("pos").alias("pos")).where(F.col("n") >= min_n)
-    counts = materialise(counts, "repeated-names")
-    paths = real.select(*by, "name", "pos", "path").join(sized(counts, MOST_NAMES), [*by, "name", "pos"])
-    return paths.groupBy(*by, "name", "n").agg(F.min("path").alias("first_path"))
+    counts = real.groupBy(*by, "name").agg(F.count("*").alias("n"), F.min(F.struct("pos", "path")).alias("first")).where(F.col("n") >= min_n)
+    return counts.select(*by, "name", "n", F.col("first.path").alias("first_path"))
 
 
 def name_collision_totals(inv: DataFrame, by: By = ()) -> DataFrame:
