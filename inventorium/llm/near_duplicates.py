@@ -21,14 +21,15 @@ Other columns of the input are never looked at, and are kept where a function re
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
-from pyspark.sql.window import Window
 
 from ..operators.explore import number_rows
 from .common import free_name, in_slices, materialise, sized, table, worker_cache
@@ -170,7 +171,7 @@ def deduplicate(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_c
 #: The verified search: words in a shingle, the least Jaccard of two sets of shingles, independent fingerprints, and longs of
 #: a set's bitmap.
 SHINGLE, ALIKE, PRINTS, BITMAP = 5, (4, 5), 4, 8
-#: Members of a bucket that are compared with all others of it in the second round; eight times as many in each round after.
+#: Members of a group that are compared with all others of it in the first round; eight times as many in each round after.
 PIVOTS = 32
 #: Keys of documents that are broadcast to a scan of the texts; more are joined by a shuffle.
 MOST_KEYS = 1_000_000
@@ -249,82 +250,140 @@ def _sets(rows: DataFrame) -> DataFrame:
     return materialise(number_rows(sets, ["no_id", "doc_id", "shingles", "size"], "k").select(*columns), "shingle-sets")
 
 
-def _shared_buckets(sets: DataFrame, radius: int, prints: int) -> DataFrame:
-    """(b, k, fp, size, bitmap): the members of each bucket of covering LSH that holds at least two sets. Close fingerprints meet
-    in many tables: of the buckets of a fingerprint that hold the same sets, one is kept."""
+def _shared_keys(keyed: DataFrame) -> DataFrame:
+    """The rows (b, k) of ``keyed`` whose b has at least two of them. Of several b with the same k, the least is kept."""
+    many = keyed.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
+    met = materialise(keyed.hint("merge").join(many.hint("merge"), "b", "left_semi"), "met-in-buckets")
+    held = met.groupBy("b").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y"))
+    once = materialise(held.groupBy("n", "x", "y").agg(F.min("b").alias("b")).select("b"), "different-buckets")
+    return met.hint("merge").join(once.hint("merge"), "b", "left_semi")
+
+
+def _members(sets: DataFrame, radius: int, prints: int) -> DataFrame:
+    """(k, fp, size, bitmap, bs) for each fingerprint of a set that shares buckets of covering LSH with other sets: bs are
+    these buckets, at most one for each mask. Close fingerprints meet in many tables, so equal buckets are kept once."""
     least = ALIKE[0]  # sets of fewer shingles are that similar only if equal
     out = None
     for j in range(prints):
         own = sets.where(F.col("size") >= least).select("k", "size", F.col("fps")[j].alias("fp"), *_BITMAP_COLUMNS)
         keys = F.array(*[F.xxhash64(F.lit(j), F.lit(t), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for t, m in enumerate(covering_masks(radius))])
-        keyed = own.select("k", F.explode(keys).alias("b"))
-        many = keyed.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select("b")
-        met = materialise(keyed.hint("merge").join(many.hint("merge"), "b", "left_semi"), "met-in-buckets")
-        held = met.groupBy("b").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y"))
-        once = materialise(held.groupBy("n", "x", "y").agg(F.min("b").alias("b")).select("b"), "different-buckets")
-        shared = met.hint("merge").join(once.hint("merge"), "b", "left_semi").hint("merge").join(own.hint("merge"), "k")
-        shared = materialise(shared.select("b", "k", "fp", "size", *_BITMAP_COLUMNS), "shared-buckets")
-        out = shared if out is None else out.unionByName(shared)
+        buckets = _shared_keys(own.select("k", F.explode(keys).alias("b"))).groupBy("k").agg(F.collect_list("b").alias("bs"))
+        found = materialise(own.hint("merge").join(buckets.hint("merge"), "k"), "bucket-members")
+        out = found if out is None else out.unionByName(found)
     return out
 
 
-def _may_be_alike(radius: int) -> Column:
-    """Whether the bucket members x and y are within the radius, and their sizes and bitmaps leave room for the Jaccard."""
-    close = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius
+def _may_be_alike(radius: int, prints: tuple[str, ...] = ("fp",)) -> Column:
+    """Whether the members x and y are within the radius in one of the fingerprints, and their sizes and bitmaps leave room
+    for the Jaccard."""
+    close = [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) <= radius for p in prints]
 
     def lacking(one: str, other: str) -> Column:
         lone = [F.bit_count(F.col(f"{one}.{c}").bitwiseAND(F.bitwise_not(F.col(f"{other}.{c}")))) for c in _BITMAP_COLUMNS]
         return F.col(f"{one}.size") - sum(lone[1:], lone[0])
 
     num, den = ALIKE  # shared / (x + y - shared) >= num / den
-    return close & (F.least(lacking("x", "y"), lacking("y", "x")) * (num + den) >= (F.col("x.size") + F.col("y.size")) * num)
+    return reduce(or_, close) & (F.least(lacking("x", "y"), lacking("y", "x")) * (num + den) >= (F.col("x.size") + F.col("y.size")) * num)
+
+
+class _Labels:
+    """The groups of sets found so far: each set has the lowest number of its group as label, at first its own."""
+
+    def __init__(self, docs: DataFrame, sets: DataFrame):
+        self.docs, self.sets, self.known = docs, sets, None
+        self.moved = docs.sparkSession.createDataFrame([], "k long, label long")
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the label of each k."""
+        return rows.hint("merge").join(self.moved.hint("merge"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+
+    def shingles(self, wanted: DataFrame) -> DataFrame:
+        """(k, own) of the sets in ``wanted`` and those asked for before; a set's text is read once."""
+        if self.known is not None:
+            wanted = wanted.hint("merge").join(self.known.select("k").hint("merge"), "k", "left_anti")
+        found = self.sets.select("k", "doc_id", "h").hint("merge").join(wanted.hint("merge"), "k", "left_semi")
+        more = _shingle_table(self.docs, materialise(found, "wanted-sets"))
+        self.known = more if self.known is None else self.known.unionByName(more)
+        return self.known
+
+    def link(self, met: DataFrame) -> None:
+        """Joins the labels of the pairs (x, y of ``met``) that are similar."""
+        pairs = met.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb"))
+        pairs = materialise(pairs.distinct(), "candidate-pairs")
+        known = self.shingles(pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct())
+        links = materialise(_verified(pairs, known).select("la", "lb").distinct(), "label-links")
+        renamed = connected_components(links).where("node <> component").select(F.col("node").alias("label"), F.col("component").alias("new"))
+        # the old labels that go over to another, and their members
+        moved = self.moved.hint("merge").join(renamed.hint("merge"), "label", "left").select("k", F.coalesce("new", "label").alias("label"))
+        self.moved = materialise(moved.unionByName(renamed.select(F.col("label").alias("k"), F.col("new").alias("label"))), "set-labels")
 
 
-def linked_sets(docs: DataFrame, sets: DataFrame, radius: int = 4, prints: int = PRINTS, pivots: int = PIVOTS) -> DataFrame:
+def linked_sets(docs: DataFrame, sets: DataFrame, radius: int = 4, prints: int = PRINTS, pivots: int = PIVOTS, small: int = SMALL_BUCKET) -> DataFrame:
     """(k, label) of the sets with another one in their group, label being its lowest number. Groups are the components of all
     pairs within the radius in some fingerprint whose exact Jaccard is at least ALIKE.
 
-    In a first round each member of a bucket is compared with the lowest. A bucket whose members have one label is finished.
-    In each later round some members of every other bucket, those of its rarest labels first, are compared with all members
-    of other labels, and then leave it: no pair of different labels is lost, pairs of one label are never made, and a group,
-    which soon has one label, costs rows in proportion to its members.
-    """
-    spark = docs.sparkSession
-    active = _shared_buckets(sets, radius, prints)
-    labels = spark.createDataFrame([], "k long, label long")
-    known, most = None, 1
-    may_be_alike = _may_be_alike(radius)
+    First each member of a bucket is compared with the lowest. Buckets whose members have one label are then finished. The
+    others are compared pair by pair where they have up to ``small`` members. Members of larger ones meet again only where
+    they share a rare shingle (``_rare_groups``), so texts that have the same words and little more in common never do."""
+    groups, alike = _Labels(docs, sets), _may_be_alike(radius)
+    members = _members(sets, radius, prints)
+    bucketed = members.select("k", "fp", "size", *_BITMAP_COLUMNS, F.explode("bs").alias("b"))
+    lowest = materialise(bucketed.groupBy("b").agg(F.min("k").alias("k")), "lowest-members")
+    first = members.select("k", "fp", "size", *_BITMAP_COLUMNS, "bs").hint("merge").join(lowest.hint("merge"), "k").where(F.array_contains("bs", F.col("b"))).drop("bs")
+    first = materialise(first.withColumn("label", F.col("k")), "first-members")
+    stars = first.alias("x").hint("merge").join(bucketed.withColumn("label", F.col("k")).alias("y").hint("merge"), (F.col("x.b") == F.col("y.b")) & (F.col("x.k") < F.col("y.k")) & alike)
+    groups.link(stars)
+    named = groups.of(members).select("k", "label", "fp", "size", *_BITMAP_COLUMNS, F.explode("bs").alias("b"))
+    mixed = named.groupBy("b").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("greatest")).where("least <> greatest")
+    mixed = materialise(mixed.select("b", "n"), "mixed-buckets")
+    few = materialise(named.hint("merge").join(mixed.where(F.col("n") <= small).hint("merge"), "b", "left_semi"), "small-buckets")
+    crossing = (F.col("x.b") == F.col("y.b")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.label") != F.col("y.label")) & alike
+    dense = named.select("b", "k").hint("merge").join(mixed.where(F.col("n") > small).hint("merge"), "b", "left_semi").select("k").distinct()
+    dense = materialise(dense, "dense-members")
+    groups.link(few.alias("x").hint("merge").join(few.alias("y").hint("merge"), crossing))
+    if not dense.isEmpty():
+        _link_dense(groups, dense, radius, prints, pivots)
+    return groups.moved
+
+
+def _rare_groups(own: DataFrame) -> DataFrame:
+    """(b, k): the sets of ``own`` (k, own) by the shingles b among their rarest, with at least two sets for each b.
+
+    Two sets of Jaccard t or more share at least t of either. With shingles in one order, by the number of these sets that
+    have them, they therefore share one among the first size - ceil(t * size) + 1 of both. Shingles of one set come first."""
+    num, den = ALIKE
+    each = own.select("k", F.size("own").alias("size"), F.explode("own").alias("s"))
+    often = materialise(each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "shared-shingles")
+    shared = each.hint("merge").join(often.hint("merge"), "s").groupBy("k", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("shared"))
+    wanted = F.col("size") - F.ceil(F.col("size") * num / den) + 1 - (F.col("size") - F.size("shared"))
+    return _shared_keys(shared.where(wanted > 0).select("k", F.explode(F.slice("shared", F.lit(1), wanted.cast("int"))).alias("x")).select("k", F.col("x.s").alias("b")))
+
+
+def _link_dense(groups: _Labels, dense: DataFrame, radius: int, prints: int, pivots: int) -> None:
+    """Links the sets ``dense`` (k) by groups that share a rare shingle.
+
+    In each round some members of every group with several labels, those of its rarest labels first, are compared with all
+    members of other labels, and then leave it; their number grows from round to round. No pair of different labels is lost,
+    pairs of one label are never made, and copies, which soon have one label, cost rows in proportion to their number."""
+    own = groups.shingles(dense).hint("merge").join(dense.hint("merge"), "k", "left_semi")
+    fps = tuple(f"fp{j}" for j in range(prints))
+    facts = groups.sets.select("k", "size", *[F.col("fps")[j].alias(name) for j, name in enumerate(fps)], *_BITMAP_COLUMNS)
+    active = materialise(_rare_groups(own).hint("merge").join(facts.hint("merge"), "k"), "rare-groups")
+    most, alike = pivots, _may_be_alike(radius, fps)
     while True:
-        if known is None:  # each set is its own label
-            named = active.withColumn("label", F.col("k"))
-        else:
-            named = active.hint("merge").join(labels.hint("merge"), "k", "left").withColumn("label", F.coalesce("label", "k"))
-        bucket = Window.partitionBy("b")
-        mixed = named.withColumns({"least": F.min("label").over(bucket), "greatest": F.max("label").over(bucket)}).where("least <> greatest").drop("least", "greatest")
-        order = bucket.orderBy("k") if known is None else bucket.orderBy("rarity", "label", "k")
-        ranked = mixed.withColumn("rarity", F.count("*").over(Window.partitionBy("b", "label"))).withColumns({"r": F.row_number().over(order), "n": F.count("*").over(bucket)}).drop("rarity")
-        ranked = materialise(ranked, "buckets")
-        if ranked.isEmpty():
-            return labels
-        pivot = ranked.where(F.col("r") <= most)
-        crossing = (F.col("x.b") == F.col("y.b")) & (F.col("x.r") < F.col("y.r")) & (F.col("x.label") != F.col("y.label")) & may_be_alike
-        met = pivot.alias("x").hint("merge").join(ranked.alias("y").hint("merge"), crossing)
-        pairs = met.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b"), F.col("x.label").alias("la"), F.col("y.label").alias("lb")).distinct()
-        pairs = materialise(pairs, "candidate-pairs")
-        wanted = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k"))).distinct()
-        if known is not None:
-            wanted = wanted.hint("merge").join(known.select("k").hint("merge"), "k", "left_anti")
-        wanted = materialise(sets.select("k", "doc_id", "h").hint("merge").join(wanted.hint("merge"), "k", "left_semi"), "wanted-sets")
-        more = _shingle_table(docs, wanted)
-        known = more if known is None else known.unionByName(more)
-        links = materialise(_verified(pairs, known).select("la", "lb").distinct(), "label-links")
-        joined = connected_components(links).where("node <> component")
-        renamed = joined.select(F.col("node").alias("label"), F.col("component").alias("new"))
-        # the old labels that go over to another, and their members
-        moved = labels.hint("merge").join(renamed.hint("merge"), "label", "left").select("k", F.coalesce("new", "label").alias("label"))
-        labels = materialise(moved.unionByName(renamed.select(F.col("label").alias("k"), F.col("new").alias("label"))), "set-labels")
+        named = groups.of(active)
+        counts = materialise(named.groupBy("b", "label").agg(F.count("*").alias("rarity")), "group-labels")
+        mixed = counts.groupBy("b").agg(F.count("*").alias("labels"), F.sum("rarity").alias("n")).where("labels > 1")
+        mixed = materialise(counts.hint("merge").join(mixed.select("b", "n").hint("merge"), "b"), "mixed-groups")
+        if mixed.isEmpty():
+            return
+        placed = materialise(number_rows(named.hint("merge").join(mixed.hint("merge"), ["b", "label"]), ["b", "rarity", "label", "k"], "at"), "placed-members")
+        start = materialise(placed.groupBy("b").agg(F.min("at").alias("start")), "group-starts")
+        ranked = materialise(placed.hint("merge").join(start.hint("merge"), "b").withColumn("r", F.col("at") - F.col("start") + 1).drop("at", "start", "rarity"), "ranked-members")
+        crossing = (F.col("x.b") == F.col("y.b")) & (F.col("x.r") < F.col("y.r")) & (F.col("x.label") != F.col("y.label")) & alike
+        groups.link(ranked.where(F.col("r") <= most).alias("x").hint("merge").join(ranked.alias("y").hint("merge"), crossing))
         active = ranked.where((F.col("r") > most) & (F.col("n") > most + 1)).drop("r", "label", "n")  # one that is left has met all
-        most = pivots if most == 1 else most * 8
+        most *= 8
 
 
 def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
