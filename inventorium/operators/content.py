@@ -24,15 +24,15 @@ def _counted(values: Column) -> Column:
     def runs(w: Column, ends: Column) -> Column:
         return F.transform(ends, lambda e, i: F.struct(F.get(w, e - 1).alias("value"), (e - F.when(i > 0, F.get(ends, i - 1)).otherwise(0)).alias("n")))
 
-    return X.let(F.array_sort(values), ends_of)
+    return X.let(F.sort_array(values), ends_of)
 
 
 def keywords_of(text: Column, k: int = 6) -> Column:
     """(word, n) of the k most frequent words of three letters or more that occur twice or more, stop words left out, ties by
     word."""
     found = F.regexp_extract_all(X.redact_emails(X.text(text)), F.lit("[A-Za-zÀ-ÖØ-öø-ÿ]{3,}"), F.lit(0))
-    words = F.filter(F.transform(found, F.lower), lambda w: ~w.isin(*X.STOP_WORDS, *X.PLACEHOLDER_WORDS))
-    often = F.filter(_counted(words), lambda x: x["n"] >= 2)
+    # stop words are looked for among the distinct words that repeat, not among all
+    often = F.filter(_counted(F.transform(found, F.lower)), lambda x: (x["n"] >= 2) & ~x["value"].isin(*X.STOP_WORDS, *X.PLACEHOLDER_WORDS))
     ranked = F.array_sort(F.transform(often, lambda x: F.struct((-x["n"]).alias("less"), x["value"].alias("word"), x["n"].alias("n"))))
     return F.transform(F.slice(ranked, 1, k), lambda x: F.struct(x["word"].alias("word"), x["n"].alias("n")))
 
@@ -48,9 +48,11 @@ def _lines(section: Column) -> Column:
 
 
 def boilerplate_of(sections: Column) -> Column:
-    """The clean lines that stand in two of the sections or more, those longer than LINE_CHARS left out."""
+    """The clean lines that stand in two of the sections or more, those longer than LINE_CHARS left out. One section alone has
+    none."""
     own = F.transform(sections, lambda s: F.array_distinct(F.filter(F.transform(_lines(s), X.clean), lambda x: (x != "") & (F.length(x) <= LINE_CHARS))))
-    return F.transform(F.filter(_counted(F.flatten(own)), lambda x: x["n"] >= 2), lambda x: x["value"])
+    found = F.transform(F.filter(_counted(F.flatten(own)), lambda x: x["n"] >= 2), lambda x: x["value"])
+    return F.when(F.size(sections) > 1, found).otherwise(F.array().cast("array<string>"))
 
 
 def boilerplate_lines(sections: DataFrame, min_n: int = 2, most: int = 150) -> DataFrame:
@@ -70,43 +72,69 @@ def sample_positions(n: Column, want: int = 3, around: int = 0) -> Column:
     return F.array_sort(F.array_distinct(wide))
 
 
+def _body(section: Column, repeated: Column) -> Column:
+    """A section without the lines that recur."""
+    own = F.filter(_lines(section), lambda x: ~F.array_contains(repeated, X.clean(x)))
+    return F.when(F.size(repeated) > 0, F.array_join(own, "\n")).otherwise(F.array_join(_lines(section), "\n"))
+
+
 def describe(docs: DataFrame, overwrite: bool = False, k: int = 6) -> DataFrame:
     """(doc_id, description, status) of documents (doc_id, path, text or sections, description).
 
     Optional columns: ``title``, ``keywords`` and ``subject`` from a file's properties, ``headings`` (candidates for a title
     with their styles, as structs of text and style), ``error`` and ``supported``. Of the sections (a text is cut at form
     feeds) the first, middle and last are read. Lines that recur between them are shown once and left out of the rest. An
-    existing description is kept unless ``overwrite``. Everything happens inside the row."""
+    existing description is kept unless ``overwrite``, and its text is not read. Everything happens inside the row, and each
+    part of a description is worked out once: what several others need is bound by ``let``, since Spark would put a column's
+    expression wherever its name stands."""
     has = set(docs.columns)
     sections = F.col("sections") if "sections" in has else F.split(X.text(F.col("text")), "\f")
-    rows = docs.withColumn("__read", F.transform(sample_positions(F.size(sections)), lambda i: F.get(sections, i)))
-    rows = rows.withColumn("__lines", boilerplate_of(F.col("__read")))
-    body = F.transform("__read", lambda s: F.array_join(F.filter(_lines(s), lambda x: ~F.array_contains(F.col("__lines"), X.clean(x))), "\n"))
-    rows = rows.withColumn("__body", body)
 
     def given(name: str) -> Column:
         return X.clean(F.col(name)) if name in has else F.lit("")
 
-    first_line = F.filter(F.transform(F.flatten(F.transform("__body", _lines)), X.clean), lambda x: x != "")
-    candidates = F.transform(F.slice(first_line, 1, 1), lambda x: F.struct(x.alias("text"), F.lit("position").alias("style")))
-    if "headings" in has:
-        candidates = F.concat(F.transform("headings", lambda h: F.struct(h["text"].alias("text"), h["style"].alias("style"))), candidates)
-    shown = F.array_sort(F.transform("__lines", lambda x: F.struct(F.length(x).alias("size"), x.alias("line"))))
-    snippet = F.coalesce(F.try_element_at(F.filter(F.transform("__body", lambda s: X.snippet(s)), lambda x: x != ""), F.lit(1)), F.lit(""))
-    words = F.array_join(F.transform(keywords_of(F.array_join("__body", "\n"), k), lambda x: x["word"]), ", ")
-    values = (
-        F.when(~X.noise_title(given("title"), F.col("path")), given("title")),
-        X.pick_title(candidates, F.col("path")),
-        given("keywords"),
-        words,
-        given("subject"),
-        F.array_join(F.transform(F.slice(shown, 1, SHOWN_LINES), lambda x: x["line"]), " · "),
-        snippet,
-    )
-    made = X.format_description(list(zip(LABELS, values, strict=True)))
+    def title(bodies: Column) -> Column:
+        written = F.filter(F.flatten(F.transform(bodies, _lines)), lambda x: x.rlike(r"\S"))
+        candidates = F.transform(F.slice(written, 1, 1), lambda x: F.struct(X.clean(x).alias("text"), F.lit("position").alias("style")))
+        if "headings" in has:
+            candidates = F.concat(F.transform("headings", lambda h: F.struct(h["text"].alias("text"), h["style"].alias("style"))), candidates)
+        return X.pick_title(candidates, F.col("path"))
+
+    def described(repeated: Column, bodies: Column) -> Column:
+        shown = F.array_sort(F.transform(repeated, lambda x: F.struct(F.length(x).alias("size"), x.alias("line"))))
+        snippet = F.coalesce(F.try_element_at(F.filter(F.transform(bodies, lambda s: X.snippet(s)), lambda x: x != ""), F.lit(1)), F.lit(""))
+        words = F.array_join(F.transform(keywords_of(F.array_join(bodies, "\n"), k), lambda x: x["word"]), ", ")
+        values = (
+            X.let(given("title"), lambda t: F.when(~X.noise_title(t, F.col("path")), t)),
+            title(bodies),
+            given("keywords"),
+            words,
+            given("subject"),
+            F.array_join(F.transform(F.slice(shown, 1, SHOWN_LINES), lambda x: x["line"]), " · "),
+            snippet,
+        )
+        return X.format_description(list(zip(LABELS, values, strict=True)))
+
+    def read(s: Column) -> Column:
+        return F.transform(sample_positions(F.size(s)), lambda i: F.get(s, i))
+
+    def made_of(r: Column) -> Column:
+        return X.let(boilerplate_of(r), lambda repeated: X.let(F.transform(r, lambda s: _body(s, repeated)), lambda bodies: described(repeated, bodies)))
+
     keep = F.trim(X.text(F.col("description"))) != "" if not overwrite else F.lit(False)
     failed = F.trim(X.text(F.col("error"))) != "" if "error" in has else F.lit(False)
     other = ~F.coalesce(F.col("supported"), F.lit(True)) if "supported" in has else F.lit(False)
-    empty = F.array_join(F.transform(sections, X.text), "") == ""
-    status = F.when(keep, "already").when(other, "unsupported").when(failed, "error").when(empty, "missing").when(made == "", "no_text").otherwise("enriched")
-    return rows.select("doc_id", F.when(status == "enriched", made).otherwise(F.col("description")).alias("description"), status.alias("status"))
+
+    def result(description: Column, status: Column | str) -> Column:
+        return F.struct(description.alias("description"), (F.lit(status) if isinstance(status, str) else status).alias("status"))
+
+    def enriched(made: Column) -> Column:
+        return F.when(made == "", result(F.col("description"), "no_text")).otherwise(result(made, "enriched"))
+
+    def examined(s: Column) -> Column:
+        empty = F.forall(s, lambda x: X.text(x) == "")
+        return F.when(empty, result(F.col("description"), "missing")).otherwise(X.let(X.let(read(s), made_of), enriched))
+
+    known = F.when(keep, F.lit("already")).when(other, F.lit("unsupported")).when(failed, F.lit("error"))
+    found = F.when(known.isNotNull(), result(F.col("description"), known)).otherwise(X.let(sections, examined))
+    return docs.select("doc_id", F.inline(F.array(found)))

@@ -445,6 +445,14 @@ def test_descriptions_are_whole(spark):
     assert got[3].description == "déjà" and got[5].description is None
 
 
+def test_a_description_reads_its_text_once(spark):
+    """The plan names each step of a description once, however many parts need it."""
+    docs = spark.createDataFrame([(1, "d/1", "Alpha beta\fBeta alpha", "")], "doc_id long, path string, text string, description string")
+    plan = content.describe(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 2, plan.count("regexp_extract_all(")
+    assert plan.count("split(") <= 12, plan.count("split(")
+
+
 def test_agent_filters_are_judged_by_what_they_select(spark, inv):
     def turn(case, name, arguments, answer):
         return [("r", case, 0, "tool", name, arguments, None), ("r", case, 1, "toolResult", name, None, '{"total": 1}'), ("r", case, 2, "final", None, None, answer)]
