@@ -451,6 +451,10 @@ def test_a_description_reads_its_text_once(spark):
     plan = content.describe(docs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") <= 2, plan.count("regexp_extract_all(")
     assert plan.count("split(") <= 12, plan.count("split(")
+    report = runs.enrich_report(content.describe(docs))
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 2, plan.count("regexp_extract_all(")
+    assert [tuple(r) for r in report.collect()] == [("enriched", 1)]
 
 
 def test_agent_filters_are_judged_by_what_they_select(spark, inv):
