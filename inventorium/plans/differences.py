@@ -5,7 +5,7 @@ one that came may be the same folder renamed (same parent and subtree) or moved
 The parent of a rename is in both states, so no rename lies below another one, and all groups of (parent, signature) are matched
 at once. Moves go by levels of the folders that are gone, the highest first, since a match takes its subtrees along on both
 sides. Within a level a group waits only while an earlier folder may take a subtree that holds one of its own candidates; then
-come the next rounds of the level, mostly one. A group alone is matched in order in one task."""
+come the next rounds of the level, mostly one. A group with a choice is matched in order in one task."""
 
 from __future__ import annotations
 
@@ -50,9 +50,18 @@ def _matcher(id_type: str, differ: str):
 
 
 def _matched(gone: DataFrame, came: DataFrame, same: str, differ: str, what: str) -> DataFrame:
+    """(plan_id, old_path, new_path). A group of one folder on each side leaves no choice and is matched by the join that finds
+    it; only groups with a choice go through Python, one by one."""
     f, schema = _matcher(gone.schema["plan_id"].dataType.simpleString(), differ)
     key = ["plan_id", same, "sig"]
-    return materialise(gone.groupBy(*key).cogroup(came.groupBy(*key)).applyInPandas(f, schema), what)
+    old, new = (x.groupBy(*key).agg(F.count("*").alias(f"n_{side}"), F.min("path").alias(f"{side}_path")) for x, side in ((gone, "old"), (came, "new")))
+    groups = materialise(merged(old, new, key), f"{what}-groups")
+    plain = (F.col("n_old") == 1) & (F.col("n_new") == 1)
+    pairs, chosen = groups.where(plain).select("plan_id", "old_path", "new_path"), groups.where(~plain).select(*key)
+    if chosen.isEmpty():
+        return pairs
+    many = [_in_groups(x, chosen, key).groupBy(*key) for x in (gone, came)]
+    return materialise(pairs.unionByName(many[0].cogroup(many[1]).applyInPandas(f, schema)), what)
 
 
 def _without(rows: DataFrame, taken: DataFrame) -> DataFrame:
@@ -103,7 +112,7 @@ def diff_plans(old: DataFrame, new: DataFrame) -> DataFrame:
     node = ["plan_id", "path"]
     gone, came = (materialise(merged(x, y.select(*node), node, "left_anti"), "changed-folders") for x, y in ((a, b), (b, a)))
     both = merged(a.select(*node), b.select(*node), node, "left_semi").select("plan_id", F.col("path").alias("old_path"), F.col("path").alias("new_path"), F.lit("unchanged").alias("change"))
-    renames = _matched(*(_in_groups(x, match_subtrees(gone, came, "parent"), ["plan_id", "parent", "sig"]) for x in (gone, came)), "parent", "name", "renames")
+    renames = _matched(gone, came, "parent", "name", "renames")
     gone = _without(gone, renames.select("plan_id", F.col("old_path").alias("path")))
     came = _without(came, renames.select("plan_id", F.col("new_path").alias("path")))
     found, gone, came = _moves(gone, came)

@@ -658,3 +658,29 @@ def test_plans_differ_as_if_matched_one_by_one(spark):
     assert got == {k: plain_diff(*s) for k, s in states.items()}
     for r in differences.summaries(changes).collect():
         assert r.identical == (states[r.plan_id][0] == states[r.plan_id][1]) and r.unchanged == len(states[r.plan_id][0] & states[r.plan_id][1])
+
+
+def test_folders_without_a_choice_are_matched_by_a_join(spark, monkeypatch):
+    """Groups of one folder on each side never reach the Python that chooses between likely ones."""
+
+    def refuse(id_type: str, differ: str):
+        def match(key, old, new):
+            raise AssertionError(key)
+
+        return match, f"plan_id {id_type}, old_path string, new_path string"
+
+    monkeypatch.setattr(differences, "_matcher", refuse)
+    old = spark.createDataFrame([(p, x) for p in (1, 2) for x in ("a", "a/x", "b", "b/q", "b/q/z")], "plan_id long, path string")
+    new = spark.createDataFrame([(p, x) for p in (1, 2) for x in ("c", "c/x", "b", "q", "q/z")], "plan_id long, path string")
+    got = {(r.plan_id, r.old_path, r.new_path, r.change) for r in differences.diff_plans(old, new).where("change <> 'unchanged'").collect()}
+    assert got == {(p, *x) for p in (1, 2) for x in (("a", "c", "renamed"), ("b/q", "q", "moved"))}
+
+
+def test_plan_texts_are_read_once(spark):
+    """Parsed plans come from a table of short rows, and rendered ones from nodes that were ranked once."""
+    texts = spark.createDataFrame([(1, "Un → 1_Un/\nDeux → 1-1_Deux/\nTrois → 2_Trois/")], "plan_id long, text string")
+    parsed = P.parse_plans(texts)
+    assert "Generate" not in parsed._jdf.queryExecution().optimizedPlan().toString()
+    rendered = P.render_plans(P.plan_nodes(texts))
+    assert "Window" not in rendered._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.folder, r.parent, r.title) for r in P.parse_plans(rendered).collect()} == {("1_Un", None, "Un"), ("1-1_Deux", "1_Un", "Deux"), ("2_Trois", None, "Trois")}
