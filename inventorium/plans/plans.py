@@ -15,7 +15,7 @@ from ..operators.joins import plan_parents, rubrics
 from ..operators.runs import plan_ranges
 from ..operators.sets import all_folders
 from ..operators.windows import id_order
-from ..session import merged
+from ..session import materialise, merged
 
 _ARROW = r"\s*(?:→|->)\s*"
 _FOLDER = r"([\p{L}\p{N}_][\p{L}\p{N}_-]*)/"
@@ -49,6 +49,7 @@ def parse_plans(texts: DataFrame) -> DataFrame:
     """(plan_id, pos, folder, parent, title); a folder that is named twice counts once, at its first place."""
     lines = plan_lines(texts)
     first = lines.groupBy("plan_id", "folder").agg(F.min("pos").alias("pos"), F.coalesce(F.max_by("title", F.when(F.col("title") != "", F.col("pos"))), F.lit("")).alias("title"))
+    first = materialise(first, "plan-folders")  # texts are read once; what follows are joins of short rows
     parents = plan_main_root(plan_parents(first.select("plan_id", "pos", "folder")))
     return merged(parents, first.select("plan_id", "folder", "title"), ["plan_id", "folder"]).select("plan_id", "pos", "folder", "parent", "title")
 
@@ -87,13 +88,13 @@ def _placed(nodes: DataFrame) -> DataFrame:
     """Nodes with numbers, the positions of a node and those above it among their siblings by pos, and lasts, whether each of
     these is the last one."""
     order = Window.partitionBy("plan_id", "parent_id").orderBy("pos", "id")
-    ranked = nodes.withColumns({"k": F.row_number().over(order), "last": F.lead("id").over(order).isNull()})
+    ranked = materialise(nodes.withColumns({"k": F.row_number().over(order), "last": F.lead("id").over(order).isNull()}), "ranked-nodes")
 
     def joined(above, own):
         return F.concat(above, own)
 
     chain = along_path(ranked, {"numbers": (F.array("k"), joined), "lasts": (F.array("last"), joined)}, ("plan_id",))
-    return merged(nodes, chain, ["plan_id", "id"])
+    return merged(ranked.select(*nodes.columns), chain, ["plan_id", "id"])
 
 
 def _with_number(placed: DataFrame) -> DataFrame:
