@@ -12,6 +12,8 @@ from .hierarchy import By, items
 
 FILTER_KEYS = ("keywords", "extension", "folder", "year_min", "year_max")
 PAGE_SIZE, MAX_BUCKETS, MAX_TERMS, MAX_SAMPLE = 20, 20, 50, 20
+#: Rows of a holding, from its first one, that a window finds without gathering the holding in one task.
+FRONT_ROWS = 1_000
 
 
 def checked_filter(spec: dict | None) -> dict:
@@ -79,15 +81,28 @@ def exclude_noise_names(rows: DataFrame) -> DataFrame:
     return rows.where(~X.is_hidden_or_noise(F.col("path")))
 
 
+def _of_holding(rows: DataFrame, facts: DataFrame, by: By) -> DataFrame:
+    """``rows`` with the facts of their holding; rows without a holding are one of their own."""
+    known = facts.withColumnsRenamed({k: f"__{k}" for k in by})
+    return rows.join(known, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in by]).drop(*[f"__{k}" for k in by])
+
+
 def paginate(rows: DataFrame, page: int = 0, size: int = PAGE_SIZE, by: By = ()) -> DataFrame:
     """Rows of a page in input order, with total and pages; a page beyond the end is an error that tells the totals. Of many
     holdings (``by``) each gives its own page, and those with fewer pages give none."""
     page = max(0, page)
     if by:
-        own = Window.partitionBy(*by)
+        totals = rows.groupBy(*by).agg(F.count("*").alias("total"))
         pages = F.greatest(F.ceil(F.col("total") / size), F.lit(1)).cast("int")
-        placed = rows.withColumns({"__nth": F.row_number().over(own.orderBy("pos", "path")), "total": F.count("*").over(own)}).withColumn("pages", pages)
-        return placed.where((F.col("__nth") > page * size) & (F.col("__nth") <= (page + 1) * size)).drop("__nth")
+        end = F.col("__nth") <= (page + 1) * size
+        if (page + 1) * size <= FRONT_ROWS:  # Spark keeps so many rows of a holding in each task before the shuffle
+            placed = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*by).orderBy("pos", "path"))).where(end)
+        else:  # numbered over all holdings, less the rows of the holdings before
+            numbered = number_rows(rows, [*by, "pos", "path"], "__nth")
+            first = numbered.groupBy(*by).agg(F.min("__nth").alias("__first"))
+            placed = _of_holding(numbered, sized(first, MOST_HOLDINGS), by).withColumn("__nth", F.col("__nth") - F.col("__first") + 1).drop("__first").where(end)
+        shown = placed.where(F.col("__nth") > page * size).drop("__nth")
+        return _of_holding(shown.hint("merge"), totals.hint("merge"), by).withColumn("pages", pages)
     total = rows.count()
     pages = max(1, -(-total // size))
     if page >= pages:

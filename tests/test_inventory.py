@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inventorium.functions import scalars as X
-from inventorium.operators import audit, checks, classify, content, evaluate, explore, hierarchy, joins, runs, sets, windows
+from inventorium.operators import audit, checks, classify, content, evaluate, explore, hierarchy, joins, postings, runs, sets, windows
 from inventorium.plans import differences
 from inventorium.plans import plans as P
 from inventorium.sources import inventory as inv_io
@@ -684,3 +684,38 @@ def test_plan_texts_are_read_once(spark):
     rendered = P.render_plans(P.plan_nodes(texts))
     assert "Window" not in rendered._jdf.queryExecution().optimizedPlan().toString()
     assert {(r.folder, r.parent, r.title) for r in P.parse_plans(rendered).collect()} == {("1_Un", None, "Un"), ("1-1_Deux", "1_Un", "Deux"), ("2_Trois", None, "Trois")}
+
+
+def test_pages_of_holdings_are_found_without_gathering_a_holding(spark, monkeypatch):
+    """Front pages by a limit before the shuffle, later ones by a sort over all holdings; both are the same page."""
+    rows = spark.range(90).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 3).alias("fonds_id"), (100 - F.col("id")).alias("pos"), F.col("id").cast("string").alias("path"))
+    front = explore.paginate(rows, 1, 10, ("fonds_id",))
+    plan = front._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan and "count(1) windowspec" not in plan
+    got = sorted((r.fonds_id or 0, r.pos, r.total, r.pages) for r in front.collect())
+    monkeypatch.setattr(explore, "FRONT_ROWS", 0)
+    assert got == sorted((r.fonds_id or 0, r.pos, r.total, r.pages) for r in explore.paginate(rows, 1, 10, ("fonds_id",)).collect())
+    want = {k: sorted(100 - i for i in range(90) if i % 3 == k)[10:20] for k in range(3)}
+    assert got == sorted((k, p, 30, 3) for k, v in want.items() for p in v)
+
+
+def test_orphans_are_found_by_one_grouping(spark):
+    """No anti-join that a union could repeat for each of its parts, and rows of one parent are summed before the shuffle."""
+    parts = [spark.createDataFrame(r, "id string, parent_id string") for r in ([("1", ""), ("2", "1")], [("3", "1"), ("4", "9"), ("5", None)], [("6", "9"), ("7", "8"), (None, "2")])]
+    inv = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    found = checks.orphans(inv).select("id")
+    assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.id for r in found.collect()) == ["4", "6", "7"]
+    assert [tuple(r) for r in checks.check_orphans(inv).collect()] == [("orphan", 3)]
+    assert [tuple(r) for r in checks.check_orphans(inv.where("parent_id = '1'").unionByName(parts[0])).collect()] == [("orphan", 0)]
+
+
+def test_few_words_are_looked_for_without_grams(spark, monkeypatch):
+    numbered = spark.createDataFrame([(1, "rapport 1 voirie"), (2, "rapport 2"), (3, ".")], "n long, hay string")
+    words = spark.createDataFrame([(7, "rapport 1"), (8, "ra"), (9, ".")], "c long, word string")
+    few = postings._by_word(numbered, words)
+    assert "Generate" not in few._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(tuple(r) for r in few.collect())
+    assert got == [(7, 1), (8, 1), (8, 2), (9, 3)]
+    monkeypatch.setattr(postings, "FEW_WORDS", 0)
+    assert sorted(tuple(r) for r in postings._by_word(numbered, words).collect()) == got
