@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as X
+from ..session import materialise, sized
 from .hierarchy import By, has_cycle
 
 # Columns that an inventory must have, and levels that it may use.
@@ -45,15 +46,28 @@ def check_ids(inv: DataFrame, by: By = ()) -> DataFrame:
     return _rule(inv.groupBy(*by, "id").agg(F.count("*").alias("c")), "duplicate_id", F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0)), by)
 
 
+def _lost_parents(inv: DataFrame, by: By) -> DataFrame:
+    """(parent_id, below): parents that are no row's identifier, with the number of their rows. Each row brings itself and its
+    parent to one grouping by identifier, so a parent of many rows is summed before the shuffle."""
+    own = inv.select(*by, F.col("id").alias("parent_id"), F.lit(1).cast("long").alias("here"), F.lit(0).cast("long").alias("below"))
+    asked = inv.where(X.text(F.col("parent_id")) != "").select(*by, "parent_id", F.lit(0).cast("long").alias("here"), F.lit(1).cast("long").alias("below"))
+    keys = own.unionByName(asked).groupBy(*by, "parent_id").agg(F.sum("here").alias("here"), F.sum("below").alias("below"))
+    return keys.where("here = 0").select(*by, "parent_id", "below")
+
+
+#: Parents without a row that are broadcast to the rows; more are joined by a shuffle.
+MOST_LOST = 100_000
+
+
 def orphans(inv: DataFrame, by: By = ()) -> DataFrame:
     """Rows whose parent is no row's identifier."""
-    ids = inv.select(*by, F.col("id").alias("parent_id")).distinct()
-    return inv.where(X.text(F.col("parent_id")) != "").join(ids, [*by, "parent_id"], "left_anti")
+    lost = materialise(_lost_parents(inv, by).select(*by, "parent_id"), "lost-parents")
+    return inv.join(sized(lost, MOST_LOST), [*by, "parent_id"], "left_semi")
 
 
 def check_orphans(inv: DataFrame, by: By = ()) -> DataFrame:
     """Holdings without an orphan have no row if there are several."""
-    return _rule(orphans(inv, by), "orphan", F.count("*"), by)
+    return _rule(_lost_parents(inv, by), "orphan", F.coalesce(F.sum("below"), F.lit(0)), by)
 
 
 def check_root(inv: DataFrame, by: By = ()) -> DataFrame:
