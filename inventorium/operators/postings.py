@@ -2,7 +2,7 @@
 
 A filter is a conjunction of conditions: a word in path or title, an extension, a folder above, a range of years. Filters share
 conditions, so each distinct condition looks its Items up once, in a posting list: extensions, folded folders above, years and
-character grams of path and title. A word is looked up by its rarest gram and then verified. Items are numbered, and what a
+character grams of path and title. A word is looked up by its rarest gram and then verified; a few words are looked for as they are. Items are numbered, and what a
 condition selects is kept as bitmaps of blocks of numbers. A filter's bitmaps are the conjunction of those of its conditions,
 block by block, and its total is a count of bits. Nothing loops over filters: however many there are, it is one plan.
 
@@ -22,6 +22,8 @@ from .hierarchy import items
 FILTER_SCHEMA = "keywords array<string>, extension string, folder string, year_min int, year_max int"
 #: Distinct keys that are broadcast to the posting lists; more are joined by a shuffle.
 MOST_KEYS = 200_000
+#: Words that are looked for in every text: searching is dearer than grams only beyond some number of words.
+FEW_WORDS = 16
 #: Years have four digits.
 _FIRST, _LAST = 0, 9999
 
@@ -55,6 +57,23 @@ def grams(text, sizes: tuple[int, ...] = (1, 2, 3)):
     return F.array_distinct(F.concat(*map(of, sizes)))
 
 
+def _by_word(numbered: DataFrame, words: DataFrame) -> DataFrame:
+    """(c, n) of ``words`` (c, word). Few words are looked for in each text; of many, each only in the texts that hold its
+    rarest gram."""
+    if words.limit(FEW_WORDS + 1).count() <= FEW_WORDS:
+        return numbered.select("n", "hay").join(F.broadcast(words), F.contains("hay", "word")).select("c", "n")
+    # words by their rarest gram; one of up to three characters is its own gram
+    size = F.least(F.length("word"), F.lit(3))
+    parts = words.select("c", "word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - size + 1), lambda i: F.substring("word", i, size)))).alias("gram"))
+    parts = materialise(parts, "word-grams")
+    used = sized(parts.select("gram").distinct(), MOST_KEYS)
+    lists = numbered.select("n", "hay", F.explode(grams(F.col("hay"))).alias("gram")).join(used, "gram", "left_semi")
+    rarity = lists.groupBy("gram").agg(F.count("*").alias("rows"))
+    best = merged(parts, rarity, "gram").groupBy("c", "word").agg(F.min_by("gram", F.struct("rows", "gram")).alias("gram"))
+    found = lists.join(sized(materialise(best, "word-keys"), MOST_KEYS), "gram")
+    return found.where(F.contains("hay", F.col("word"))).select("c", "n")
+
+
 def _selected(numbered: DataFrame, wanted: DataFrame) -> DataFrame:
     """(c, n): the numbers of the Items that meet each condition."""
 
@@ -72,17 +91,7 @@ def _selected(numbered: DataFrame, wanted: DataFrame) -> DataFrame:
     present = F.broadcast(dated.select("year").distinct())  # at most ten thousand
     by_year = dated.join(sized(spans.join(present, "year", "left_semi"), MOST_KEYS), "year").select("c", "n")
     every = numbered.select("n").crossJoin(F.broadcast(of("all").select("c").limit(1))).select("c", "n")  # there is one such condition
-    # words by their rarest gram; one of up to three characters is its own gram
-    words = of("word").select("c", F.col("value").alias("word"))
-    size = F.least(F.length("word"), F.lit(3))
-    parts = words.select("c", "word", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - size + 1), lambda i: F.substring("word", i, size)))).alias("gram"))
-    parts = materialise(parts, "word-grams")
-    used = sized(parts.select("gram").distinct(), MOST_KEYS)
-    lists = numbered.select("n", "hay", F.explode(grams(F.col("hay"))).alias("gram")).join(used, "gram", "left_semi")
-    rarity = lists.groupBy("gram").agg(F.count("*").alias("rows"))
-    best = merged(parts, rarity, "gram").groupBy("c", "word").agg(F.min_by("gram", F.struct("rows", "gram")).alias("gram"))
-    found = lists.join(sized(materialise(best, "word-keys"), MOST_KEYS), "gram")
-    by_word = found.where(F.contains("hay", F.col("word"))).select("c", "n")
+    by_word = _by_word(numbered, materialise(of("word").select("c", F.col("value").alias("word")), "words"))
     return by_extension.unionByName(by_folder).unionByName(by_year).unionByName(every).unionByName(by_word)
 
 
