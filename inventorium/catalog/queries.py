@@ -620,7 +620,7 @@ def _title_candidates():
 
 
 register("k1_describe_documents")(lambda spark, sf: content.describe(_described(spark, sf)))
-register("a29_enrich_report")(lambda spark, sf: runs.enrich_report(content.describe(_described(spark, sf))))
+register("a29_enrich_report")(lambda spark, sf: runs.enrich_report(content.statuses(_described(spark, sf))))
 
 
 def _described(spark, sf) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from ..functions import scalars as X
 LINE_CHARS, SHOWN_LINES = 150, 2
 # The labels of a description, in their order.
 LABELS = ("Titre interne", "Titre (contenu)", "Mots-clés", "Mots du contenu", "Sujet", "En-tête/pied de page", "Extrait")
+#: The same labels, those whose parts cost least first.
+BY_COST = ("Titre interne", "Mots-clés", "Sujet", "Titre (contenu)", "En-tête/pied de page", "Extrait", "Mots du contenu")
 
 
 def _counted(values: Column) -> Column:
@@ -75,18 +81,12 @@ def sample_positions(n: Column, want: int = 3, around: int = 0) -> Column:
 def _body(section: Column, repeated: Column) -> Column:
     """A section without the lines that recur."""
     own = F.filter(_lines(section), lambda x: ~F.array_contains(repeated, X.clean(x)))
-    return F.when(F.size(repeated) > 0, F.array_join(own, "\n")).otherwise(F.array_join(_lines(section), "\n"))
-
+    return F.when(F.size(repeated) > 0, F.array_join(own, "\n")).otherwise(F.replace(X.text(section), F.lit("\r\n"), F.lit("\n")))
 
-def describe(docs: DataFrame, overwrite: bool = False, k: int = 6) -> DataFrame:
-    """(doc_id, description, status) of documents (doc_id, path, text or sections, description).
 
-    Optional columns: ``title``, ``keywords`` and ``subject`` from a file's properties, ``headings`` (candidates for a title
-    with their styles, as structs of text and style), ``error`` and ``supported``. Of the sections (a text is cut at form
-    feeds) the first, middle and last are read. Lines that recur between them are shown once and left out of the rest. An
-    existing description is kept unless ``overwrite``, and its text is not read. Everything happens inside the row, and each
-    part of a description is worked out once: what several others need is bound by ``let``, since Spark would put a column's
-    expression wherever its name stands."""
+def _judged(docs: DataFrame, overwrite: bool, k: int, known: Callable[[Column], Column], made_of: Callable[[tuple[Column, ...]], Column]) -> Column:
+    """What ``known`` makes of the status of a document whose text tells nothing, and ``made_of`` of the parts of a
+    description, in the order of LABELS."""
     has = set(docs.columns)
     sections = F.col("sections") if "sections" in has else F.split(X.text(F.col("text")), "\f")
 
@@ -100,7 +100,7 @@ def describe(docs: DataFrame, overwrite: bool = False, k: int = 6) -> DataFrame:
             candidates = F.concat(F.transform("headings", lambda h: F.struct(h["text"].alias("text"), h["style"].alias("style"))), candidates)
         return X.pick_title(candidates, F.col("path"))
 
-    def described(repeated: Column, bodies: Column) -> Column:
+    def parts(repeated: Column, bodies: Column) -> Column:
         shown = F.array_sort(F.transform(repeated, lambda x: F.struct(F.length(x).alias("size"), x.alias("line"))))
         snippet = F.coalesce(F.try_element_at(F.filter(F.transform(bodies, lambda s: X.snippet(s)), lambda x: x != ""), F.lit(1)), F.lit(""))
         words = F.array_join(F.transform(keywords_of(F.array_join(bodies, "\n"), k), lambda x: x["word"]), ", ")
@@ -113,28 +113,54 @@ def describe(docs: DataFrame, overwrite: bool = False, k: int = 6) -> DataFrame:
             F.array_join(F.transform(F.slice(shown, 1, SHOWN_LINES), lambda x: x["line"]), " · "),
             snippet,
         )
-        return X.format_description(list(zip(LABELS, values, strict=True)))
+        return made_of(values)
 
     def read(s: Column) -> Column:
         return F.transform(sample_positions(F.size(s)), lambda i: F.get(s, i))
 
-    def made_of(r: Column) -> Column:
-        return X.let(boilerplate_of(r), lambda repeated: X.let(F.transform(r, lambda s: _body(s, repeated)), lambda bodies: described(repeated, bodies)))
+    def made(r: Column) -> Column:
+        return X.let(boilerplate_of(r), lambda repeated: X.let(F.transform(r, lambda s: _body(s, repeated)), lambda bodies: parts(repeated, bodies)))
+
+    def examined(s: Column) -> Column:
+        return F.when(F.forall(s, lambda x: X.text(x) == ""), known(F.lit("missing"))).otherwise(X.let(read(s), made))
 
     keep = F.trim(X.text(F.col("description"))) != "" if not overwrite else F.lit(False)
     failed = F.trim(X.text(F.col("error"))) != "" if "error" in has else F.lit(False)
     other = ~F.coalesce(F.col("supported"), F.lit(True)) if "supported" in has else F.lit(False)
+    status = F.when(keep, F.lit("already")).when(other, F.lit("unsupported")).when(failed, F.lit("error"))
+    return F.when(status.isNotNull(), known(status)).otherwise(X.let(sections, examined))
+
+
+def describe(docs: DataFrame, overwrite: bool = False, k: int = 6) -> DataFrame:
+    """(doc_id, description, status) of documents (doc_id, path, text or sections, description).
+
+    Optional columns: ``title``, ``keywords`` and ``subject`` from a file's properties, ``headings`` (candidates for a title
+    with their styles, as structs of text and style), ``error`` and ``supported``. Of the sections (a text is cut at form
+    feeds) the first, middle and last are read. Lines that recur between them are shown once and left out of the rest. An
+    existing description is kept unless ``overwrite``, and its text is not read. Everything happens inside the row, and each
+    part of a description is worked out once: what several others need is bound by ``let``, since Spark would put a column's
+    expression wherever its name stands."""
 
-    def result(description: Column, status: Column | str) -> Column:
-        return F.struct(description.alias("description"), (F.lit(status) if isinstance(status, str) else status).alias("status"))
+    def result(description: Column, status: Column) -> Column:
+        return F.struct(description.alias("description"), status.alias("status"))
 
     def enriched(made: Column) -> Column:
-        return F.when(made == "", result(F.col("description"), "no_text")).otherwise(result(made, "enriched"))
+        return F.when(made == "", result(F.col("description"), F.lit("no_text"))).otherwise(result(made, F.lit("enriched")))
 
-    def examined(s: Column) -> Column:
-        empty = F.forall(s, lambda x: X.text(x) == "")
-        return F.when(empty, result(F.col("description"), "missing")).otherwise(X.let(X.let(read(s), made_of), enriched))
+    def made_of(values: tuple[Column, ...]) -> Column:
+        return X.let(X.format_description(list(zip(LABELS, values, strict=True))), enriched)
 
-    known = F.when(keep, F.lit("already")).when(other, F.lit("unsupported")).when(failed, F.lit("error"))
-    found = F.when(known.isNotNull(), result(F.col("description"), known)).otherwise(X.let(sections, examined))
+    found = _judged(docs, overwrite, k, lambda status: result(F.col("description"), status), made_of)
     return docs.select("doc_id", F.inline(F.array(found)))
+
+
+def statuses(docs: DataFrame, overwrite: bool = False, k: int = 6) -> DataFrame:
+    """(doc_id, status) as of ``describe``. A text is enriched if any part of its description is not empty, so the parts are
+    tried one after the other, those that cost least first, and no description is put together."""
+
+    def made_of(values: tuple[Column, ...]) -> Column:
+        by_label = dict(zip(LABELS, values, strict=True))
+        some = [X.text(by_label[label]) != "" for label in BY_COST]
+        return F.when(reduce(or_, some), F.lit("enriched")).otherwise(F.lit("no_text"))
+
+    return docs.select("doc_id", _judged(docs, overwrite, k, lambda status: status, made_of).alias("status"))

@@ -457,6 +457,35 @@ def test_a_description_reads_its_text_once(spark):
     assert [tuple(r) for r in report.collect()] == [("enriched", 1)]
 
 
+def test_a_report_puts_no_description_together(spark):
+    """The statuses are those of the descriptions, whichever part alone is not empty, and the plan builds none."""
+    kind = "doc_id int, path string, sections array<string>, description string, title string, keywords string, subject string, headings array<struct<text:string,style:string>>, error string, supported boolean"
+    digits = ["12 34 56", "78 90"]
+    rows = [
+        (1, "p/a", digits, "", "Rapport", "", "", [], None, None),
+        (2, "p/b", digits, "", "b", "voirie", "", [], None, True),
+        (3, "p/c", digits, None, None, None, "plans", None, "", None),
+        (4, "p/d", digits, "", "", "", "", [("Titre du style", "Heading 1")], None, None),
+        (5, "p/e", ["12 34\n5", "12 34\n6"], "", "", "", "", [], None, None),
+        (6, "p/f", ["mairie 1234567890 mairie 1234567890"], "", "", "", "", [], None, None),
+        (7, "p/g", ["Un texte lisible\r\net sa suite"], "", "", "", "", [], None, None),
+        (8, "p/h", digits, " ", "h", " ", None, [], None, None),
+        (9, "p/i", [None, ""], "", "Rapport", "", "", [], None, None),
+        (10, "p/j", ["x"], "connu", "", "", "", [], "illisible", False),
+        (11, "p/k", ["x"], "", "", "", "", [], "illisible", False),
+        (12, "p/l", ["x"], "", "", "", "", [], "illisible", None),
+        (13, "p/m", None, "", "", "", "", [], None, None),
+    ]
+    docs = spark.createDataFrame(rows, kind)
+    want = {1: "enriched", 2: "enriched", 3: "enriched", 4: "enriched", 5: "enriched", 6: "enriched", 7: "enriched", 8: "no_text", 9: "missing", 10: "already", 11: "unsupported", 12: "error"}
+    for overwrite in (False, True):
+        got = dicts(content.statuses(docs, overwrite), "doc_id", "status")
+        assert got == dicts(content.describe(docs, overwrite), "doc_id", "status")
+        assert {k: got[k] for k in want if k != 10} == {k: v for k, v in want.items() if k != 10} and got[10] == ("unsupported" if overwrite else "already")
+    plan = runs.enrich_report(content.statuses(docs))._jdf.queryExecution().optimizedPlan().toString()
+    assert "concat_ws(" not in plan and plan.count("regexp_extract_all(") == 1
+
+
 def test_agent_filters_are_judged_by_what_they_select(spark, inv):
     def turn(case, name, arguments, answer):
         return [("r", case, 0, "tool", name, arguments, None), ("r", case, 1, "toolResult", name, None, '{"total": 1}'), ("r", case, 2, "final", None, None, answer)]
