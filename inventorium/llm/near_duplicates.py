@@ -169,8 +169,8 @@ def deduplicate(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_c
 
 
 #: The verified search: words in a shingle, the least Jaccard of two sets of shingles, independent fingerprints, and longs of
-#: a set's bitmap.
-SHINGLE, ALIKE, PRINTS, BITMAP = 5, (4, 5), 4, 8
+#: a set's bitmap and of its parities.
+SHINGLE, ALIKE, PRINTS, BITMAP, PARITIES = 5, (4, 5), 4, 8, 16
 #: Members of a group that are compared with all others of it in the first round; eight times as many in each round after.
 PIVOTS = 32
 #: Keys of documents that are broadcast to a scan of the texts; more are joined by a shuffle.
@@ -219,6 +219,7 @@ def _bitmap(own: np.ndarray) -> np.ndarray:
 
 
 _BITMAP_COLUMNS = [f"b{k}" for k in range(BITMAP)]
+_PARITY_COLUMNS = [f"p{k}" for k in range(PARITIES)]
 
 
 def _rows(docs: DataFrame, prints: int) -> DataFrame:
@@ -273,17 +274,28 @@ def _members(sets: DataFrame, radius: int, prints: int) -> DataFrame:
     return out
 
 
-def _may_be_alike(radius: int, prints: tuple[str, ...] = ("fp",)) -> Column:
-    """Whether the members x and y are within the radius in one of the fingerprints, and their sizes and bitmaps leave room
-    for the Jaccard."""
-    close = [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) <= radius for p in prints]
+def _close(radius: int, prints: tuple[str, ...]) -> Column:
+    """Whether the members x and y are within the radius in one of the fingerprints."""
+    return reduce(or_, [F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) <= radius for p in prints])
+
+
+def _may_be_alike(radius: int) -> Column:
+    """Whether the members x and y are close, and their sizes and bitmaps leave room for the Jaccard."""
 
     def lacking(one: str, other: str) -> Column:
         lone = [F.bit_count(F.col(f"{one}.{c}").bitwiseAND(F.bitwise_not(F.col(f"{other}.{c}")))) for c in _BITMAP_COLUMNS]
         return F.col(f"{one}.size") - sum(lone[1:], lone[0])
 
     num, den = ALIKE  # shared / (x + y - shared) >= num / den
-    return reduce(or_, close) & (F.least(lacking("x", "y"), lacking("y", "x")) * (num + den) >= (F.col("x.size") + F.col("y.size")) * num)
+    return _close(radius, ("fp",)) & (F.least(lacking("x", "y"), lacking("y", "x")) * (num + den) >= (F.col("x.size") + F.col("y.size")) * num)
+
+
+def _may_differ_little(radius: int, prints: tuple[str, ...]) -> Column:
+    """Whether the members x and y are close, and what they surely differ by leaves room for the Jaccard: the shingles that
+    are in one set alone, and one for each parity of the others in which the two are not the same."""
+    odd = [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _PARITY_COLUMNS]
+    num, den = ALIKE  # x + y - 2 * shared <= (x + y) * (den - num) / (den + num)
+    return _close(radius, prints) & ((F.col("x.lone") + F.col("y.lone") + sum(odd[1:], odd[0])) * (num + den) <= (F.col("x.size") + F.col("y.size")) * (den - num))
 
 
 class _Labels:
@@ -346,30 +358,45 @@ def linked_sets(docs: DataFrame, sets: DataFrame, radius: int = 4, prints: int =
     return groups.moved
 
 
-def _rare_groups(own: DataFrame) -> DataFrame:
-    """(b, k): the sets of ``own`` (k, own) by the shingles b among their rarest, with at least two sets for each b.
+def _shared_shingles(own: DataFrame) -> DataFrame:
+    """Of each set of ``own`` (k, own) that shares shingles with another: k, size, shared (the shingles s that n of these sets
+    have, the rarest first), lone (the number of the others), and the parities of the shared ones, dealt by hash to 64 *
+    PARITIES cells."""
+    each = own.select("k", F.size("own").alias("size"), F.explode("own").alias("s"))
+    often = materialise(each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "shared-shingles")
+    dealt = each.hint("merge").join(often.hint("merge"), "s").withColumn("cell", F.pmod(F.xxhash64("s"), F.lit(64 * PARITIES)).cast("int"))
+    bit = F.expr("shiftleft(1L, cell % 64)")
+    parities = [F.bit_xor(F.when(F.shiftright("cell", 6) == w, bit).otherwise(F.lit(0).cast("long"))).alias(c) for w, c in enumerate(_PARITY_COLUMNS)]
+    sets = dealt.groupBy("k", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("shared"), *parities)
+    return materialise(sets.withColumn("lone", F.col("size") - F.size("shared")), "sets-that-share")
+
+
+def _rare_groups(sets: DataFrame) -> DataFrame:
+    """(b, k): the sets by the shingles b among their rarest, with at least two sets for each b; ``sets`` as of
+    ``_shared_shingles``.
 
     Two sets of Jaccard t or more share at least t of either. With shingles in one order, by the number of these sets that
     have them, they therefore share one among the first size - ceil(t * size) + 1 of both. Shingles of one set come first."""
     num, den = ALIKE
-    each = own.select("k", F.size("own").alias("size"), F.explode("own").alias("s"))
-    often = materialise(each.groupBy("s").agg(F.count("*").alias("n")).where("n > 1"), "shared-shingles")
-    shared = each.hint("merge").join(often.hint("merge"), "s").groupBy("k", "size").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("shared"))
-    wanted = F.col("size") - F.ceil(F.col("size") * num / den) + 1 - (F.col("size") - F.size("shared"))
-    return _shared_keys(shared.where(wanted > 0).select("k", F.explode(F.slice("shared", F.lit(1), wanted.cast("int"))).alias("x")).select("k", F.col("x.s").alias("b")))
+    wanted = F.col("size") - F.ceil(F.col("size") * num / den) + 1 - F.col("lone")
+    return _shared_keys(sets.where(wanted > 0).select("k", F.explode(F.slice("shared", F.lit(1), wanted.cast("int"))).alias("x")).select("k", F.col("x.s").alias("b")))
 
 
 def _link_dense(groups: _Labels, dense: DataFrame, radius: int, prints: int, pivots: int) -> None:
     """Links the sets ``dense`` (k) by groups that share a rare shingle.
 
-    In each round some members of every group with several labels, those of its rarest labels first, are compared with all
+    Copies of one text that are each changed in some words resemble one another just too little to link, so they keep their
+    labels and all of them are compared; what a pair surely differs by (``_may_differ_little``) leaves few such pairs to look
+    up. In each round some members of every group with several labels, those of its rarest labels first, are compared with all
     members of other labels, and then leave it; their number grows from round to round. No pair of different labels is lost,
     pairs of one label are never made, and copies, which soon have one label, cost rows in proportion to their number."""
     own = groups.shingles(dense).hint("merge").join(dense.hint("merge"), "k", "left_semi")
     fps = tuple(f"fp{j}" for j in range(prints))
-    facts = groups.sets.select("k", "size", *[F.col("fps")[j].alias(name) for j, name in enumerate(fps)], *_BITMAP_COLUMNS)
-    active = materialise(_rare_groups(own).hint("merge").join(facts.hint("merge"), "k"), "rare-groups")
-    most, alike = pivots, _may_be_alike(radius, fps)
+    sharing = _shared_shingles(own)
+    facts = groups.sets.select("k", *[F.col("fps")[j].alias(name) for j, name in enumerate(fps)])
+    facts = materialise(sharing.drop("shared").hint("merge").join(facts.hint("merge"), "k"), "dense-facts")
+    active = materialise(_rare_groups(sharing).hint("merge").join(facts.hint("merge"), "k"), "rare-groups")
+    most, alike = pivots, _may_differ_little(radius, fps)
     while True:
         named = groups.of(active)
         counts = materialise(named.groupBy("b", "label").agg(F.count("*").alias("rarity")), "group-labels")

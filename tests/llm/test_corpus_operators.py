@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -657,6 +658,53 @@ def test_bitmaps_leave_out_no_similar_pair():
         assert room >= len(np.intersect1d(x, y))
 
 
+def edited(rng, words, n):
+    """The words with n of them changed, at least five apart."""
+    out = list(words)
+    for k, at in enumerate(rng.sample(range(rng.randrange(5), len(out), 5), n)):
+        out[at] = f"e{k}x{rng.randrange(10**9)}"
+    return out
+
+
+def test_copies_that_differ_too_much_are_not_looked_up_in_pairs(spark, monkeypatch):
+    """150 copies of one text that is not there itself, each with seven words changed, resemble one another by about 0.7. Two of
+    them have a near copy."""
+    rng = random.Random(25)
+    base = [f"{rng.choice('bcdfglmnprst')}{rng.choice('aeiou')}{k}" for k in range(400)]
+    copies = [edited(rng, base, 7) for _ in range(150)]
+    rows = [(k, " ".join(c)) for k, c in enumerate(copies)] + [(1000 + k, " ".join(edited(rng, copies[k], 2))) for k in (40, 140)]
+    alike = sum(jaccard(rows[i][1], rows[j][1]) >= 0.8 for i in range(len(rows)) for j in range(i))
+    assert alike == 2
+    verified, compared = near_duplicates._verified, []
+
+    def counted(pairs, known):
+        compared.append(pairs.count())
+        return verified(pairs, known)
+
+    monkeypatch.setattr(near_duplicates, "_verified", counted)
+    kept = {r.doc_id for r in near_duplicates.deduplicate_verified(frame(spark, rows)).select("doc_id").collect()}
+    assert kept == set(range(150))
+    assert len(compared) > 2 and sum(compared[2:]) <= 30, compared  # the first two are of lowest members and of small buckets
+
+
+def test_parities_leave_out_no_similar_pair(spark):
+    import numpy as np
+
+    rng = random.Random(26)
+    rows = []
+    for n in (4, 30, 150, 900):
+        base = [f"w{rng.randrange(2000)}" for _ in range(n + 4)]
+        rows += [near_duplicates.shingles(" ".join(edited(rng, base, rng.randint(0, max(1, n // 30)))))[0] for _ in range(12)]
+    own = spark.createDataFrame([(k, r.view(np.int64).tolist()) for k, r in enumerate(rows)], "k long, own array<bigint>")
+    got = {r.k: r for r in near_duplicates._shared_shingles(own).collect()}
+    pairs = 0
+    for a, b in combinations(got.values(), 2):
+        differ = a.lone + b.lone + sum(((a[c] ^ b[c]) & (2**64 - 1)).bit_count() for c in near_duplicates._PARITY_COLUMNS)
+        pairs += 1
+        assert differ <= len(np.setxor1d(rows[a.k], rows[b.k]))
+    assert pairs > 500 and all(r.size == len(rows[r.k]) == r.lone + len(r.shared) for r in got.values())
+
+
 def test_near_copies_are_found(spark):
     """A labelled set: copies of 40 to 400 words with one to all the edits that leave a Jaccard of 0.8."""
     rng = random.Random(23)
